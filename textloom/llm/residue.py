@@ -1,0 +1,282 @@
+"""Problem 4: template residue and error-page text."""
+
+from __future__ import annotations
+
+import math
+import re
+from bisect import bisect_right
+from collections import Counter
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from textloom.llm.common import map_rows
+
+#: Share of a passage's weight that exemplars of one class must cover.
+COVERAGE = 0.7
+
+# Labelled exemplars of residue, by class. ``num`` stands for any number, ``status``
+# for one from 400 to 599, ``hexid`` for an identifier.
+EXEMPLARS: dict[str, list[str]] = {
+    "filler": [
+        "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua",
+        "ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat",
+        "duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur",
+        "excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum",
+        "sample text", "dummy text", "example text", "placeholder text", "text goes here", "your text here", "content goes here", "body copy goes here", "body copy to be supplied", "copy to come", "text to be supplied", "title goes here", "enter text here", "insert text here", "add your content here", "this is a placeholder", "this text is a placeholder", "replace this text", "content to follow", "content coming soon",
+        "placeholder paragraph replace before publishing", "this is dummy content for the layout", "this is placeholder content", "this is filler text for the layout", "to be replaced before publishing",
+        "test test test num test", "testing num num", "this is a test", "blah blah blah", "foo bar baz", "the quick brown fox jumps over the lazy dog",
+        "asdf asdf asdfgh qwer qwerty zxcv zxcvbn hjkl jkl sdfg dfgh fghj wert uiop yuiop",
+        "platzhaltertext bitte ersetzen", "platzhalter bitte ersetzen", "blindtext", "beispieltext", "hier steht der text", "texte provisoire à remplacer", "texte de remplissage", "texte d exemple", "votre texte ici", "texto de ejemplo sustituir después", "texto de relleno", "texto provisional reemplazar", "su texto aquí",
+        "testo segnaposto da sostituire", "testo di esempio da sostituire", "testo provvisorio", "inserire qui il testo", "texto provisório substituir depois", "texto de exemplo a substituir", "texto de preenchimento", "insira o texto aqui", "voorbeeldtekst vervangen", "tijdelijke tekst nog te vervangen", "plaatshoudertekst vervangen vóór publicatie", "hier komt de tekst",
+    ],
+    "error": [
+        "error status the requested page could not be found or has been moved", "reference hexid", "trace hexid", "trace id hexid", "request id hexid",
+        "page not found", "the page you are looking for does not exist", "oops we can t seem to find what you are looking for", "the requested url was not found on this server", "this page is no longer available", "this page cannot be displayed",
+        "status not found", "status bad gateway", "status forbidden", "status unauthorized", "status internal server error", "status service unavailable", "status gateway timeout", "status too many requests", "status request timeout", "bad request", "http error status", "http status status", "error code status", "error status",
+        "not found", "bad gateway", "forbidden", "unauthorized", "internal server error", "service unavailable", "gateway timeout", "too many requests", "server error", "request timed out", "connection timed out", "connection refused", "connection reset by peer", "network error",
+        "access denied you do not have permission to view this document", "access to this resource is denied", "you don t have permission to access this page on this server", "you are not authorized to view this page",
+        "rate limit reached for this key please wait and retry", "rate limit exceeded please try again later", "you have exceeded your current quota", "quota exceeded",
+        "your session has expired sign in again to continue", "please log in to continue", "please sign in to continue", "session timed out",
+        "the service is temporarily down for maintenance", "the server is temporarily unable to service your request", "we are currently undergoing scheduled maintenance please check back soon", "the site is temporarily unavailable", "temporarily unavailable",
+        "something went wrong while generating the response id hexid please try again", "something went wrong please try again later", "an error occurred while processing your request", "an unexpected error has occurred", "an internal error occurred", "please try again", "please retry", "please contact the administrator", "contact support if the problem persists", "please contact the system administrator", "please wait and retry", "reload the page",
+        "the model worker did not answer in time try again later", "model is overloaded retry later", "the model is currently overloaded", "that model is currently overloaded with other requests", "no response was received from the model", "failed to generate a response", "generation failed", "error generating response",
+        "the gateway is unreachable status num", "our backend returned an unexpected status status num", "this endpoint refused the connection trace hexid", "the upstream server did not respond", "the server did not respond in time", "the service refused the request status num", "the backend is unreachable", "the server returned an error", "this endpoint is unreachable", "our backend crashed while handling your request", "the server failed to process your request", "the worker ran out of memory", "the request was cancelled by the server", "the model is unavailable", "the api returned an unexpected response",
+        "stream aborted upstream connect error code status id hexid", "connection closed before the response was complete", "output truncated due to an error", "response interrupted",
+        "traceback most recent call last", "file worker py line num in run", "timeouterror no reply within num s", "connectionerror failed to connect", "valueerror", "keyerror", "nullpointerexception", "exception in thread main java lang", "segmentation fault core dumped", "fatal error uncaught exception",
+        "error code num message model is overloaded retry later request id hexid", "error message code status internal error", "upstream failure", "html head title status title head body status upstream failure body html",
+        "seite nicht gefunden fehler status", "fehler status die angeforderte seite wurde nicht gefunden", "zugriff verweigert", "der dienst ist vorübergehend nicht verfügbar", "interner serverfehler", "ihre sitzung ist abgelaufen bitte melden sie sich erneut an",
+        "erreur status la page demandée n existe pas", "page introuvable", "accès refusé", "le service est temporairement indisponible", "votre session a expiré", "erreur interne du serveur",
+        "error status no se encontró la página solicitada", "página no encontrada", "acceso denegado", "el servicio no está disponible temporalmente", "su sesión ha caducado", "error interno del servidor",
+        "errore status pagina non trovata", "errore status la pagina richiesta non esiste", "impossibile trovare la pagina richiesta", "accesso negato", "il servizio è temporaneamente non disponibile", "erro status página não encontrada", "erro status a página solicitada não existe", "acesso negado", "o serviço está temporariamente indisponível", "fout status pagina niet gevonden", "fout status de gevraagde pagina bestaat niet", "toegang geweigerd", "de dienst is tijdelijk niet beschikbaar",
+    ],
+    "script": [
+        "please enable javascript to view this page", "please enable javascript and cookies and reload", "please turn on javascript in your browser and refresh the page", "you need to enable javascript to run this app", "you must enable javascript in your browser", "you must turn on scripts then refresh the page", "javascript is required to view this site", "javascript must be enabled", "javascript is disabled some parts of the document cannot be shown", "javascript is disabled in your browser", "this site requires javascript", "this site requires scripts to be turned on in your browser settings", "this page needs javascript to work",
+        "your browser does not support scripts so the reader cannot load", "your browser does not support javascript", "checking your browser before continuing", "scripts and cookies must be allowed", "for the full reply enable javascript on this device", "before reading on allow javascript and cookies for this site", "before reading on switch on client side scripts in your browser", "this widget needs javascript to display the remaining text", "to continue activate javascript and reload", "the content could not be shown because scripts are blocked", "noscript turn on scripting to read this reply noscript", "without javascript this app cannot run", "enable cookies and reload the page",
+        "bitte aktivieren sie javascript um den inhalt zu sehen", "sie müssen javascript in ihrem browser aktivieren", "diese seite benötigt javascript", "veuillez activer javascript pour afficher cette page", "javascript doit être activé dans votre navigateur", "active javascript en su navegador para continuar", "debe habilitar javascript para ver esta página", "esta página requiere javascript", "attiva javascript nel browser per continuare", "per visualizzare questa pagina è necessario abilitare javascript", "ative o javascript no seu navegador para continuar", "é necessário ativar o javascript para ver esta página", "schakel javascript in om deze pagina te bekijken", "javascript moet zijn ingeschakeld in uw browser",
+    ],
+}
+
+# What marks an unfilled placeholder.
+_FIELD = r"name|first name|last name|full name|date|time|title|company|address|city|country|email|phone|number|recipient|sender|signature|topic|subject|product|details|nombre|fecha|nom|datum|nome|data|naam"
+_SLOT = re.compile(
+    r"\{\{[^{}\n]{0,80}\}\}|\$\{[^{}\n]{1,80}\}|<%=?[^%\n]{1,80}%>|<<\s*[A-Za-z][\w -]{0,60}>>|%%\s*\w[\w -]{0,60}%%|@@\s*\w[\w -]{0,60}@@|##\w[\w -]{0,60}##|\b__[A-Z][A-Z0-9_]*__|(?<![\w$%\\{])\{[A-Za-z_]\w*\}(?!\})|%\(\w+\)s"
+    r"|\[(?i:(?:please )?(?:insert|add|enter|fill in|fill|put|type|write|replace|choose|select|your|the|einfügen|hier|insérer|votre|insertar|su|inserire|inserir|invoegen|uw)\b[^\]\n]{0,80}|(?:[\w ]{0,30} )?(?:" + _FIELD + r")(?: here)?|todo|tbd|tba|placeholder|blank)\]"
+    r"|\((?i:[\w ]{1,40} (?:goes|go|comes|come) here|(?:insert|add|enter|fill in|your) [\w ]{1,40} here)\)"
+    r"|<(?i:(?:your |insert |enter |the )?[a-z]+ (?:" + _FIELD + r"))>|<(?i:insert|enter|your)[^<>\n]{0,60}>"
+    r"|\b(?:X{4,}|x{4,}|TKTK)\b|\bTODO: ?\w|\b(?:TBD|TBA|FIXME)\b:?|(?<![_\w])_{4,}(?![_\w])"
+)
+#: Words of a passage that speaks of placeholders instead of having one left.
+_ABOUT = re.compile(r"(?i)\b(templates?|placeholders?|syntax|interpolat\w+|braces|brackets|markup|variables?|vorlage\w*|platzhalter\w*|gabarit|plantilla|marcador|segnaposto|sjabloon)\b")
+_CODE_LINE = re.compile(r"[;{}]\s*$|^\s*(?:def|class|return|const|let|var|function|for|if|import|from|else|while|try|print)\b|=>|\)\s*:\s*$|\w\(.*\)\s*$|^\s*[\w.]+\s*[+\-*/]?=\s")
+_COMMENT = re.compile(r"(?:#|//|/\*|--)\s*$")
+_LITERAL = re.compile(r"`[^`]*`|\"[^\"\n]*\"|'[^'\n]*'")
+_TOKEN = re.compile(r"[^\W_]+")
+_HEX = re.compile(r"(?=[0-9a-f]*\d)[0-9a-f]{6,40}$")
+_END = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s)|[\r\n]+")
+
+
+def term(w: str) -> str:
+    if w[0].isdigit() or w[-1].isdigit():
+        if w.isdigit() and len(w) < 6:
+            return "status" if len(w) == 3 and w[0] in "45" else "num"
+        return "hexid" if _HEX.match(w) else w
+    return "hexid" if len(w) > 5 and _HEX.match(w) else w
+
+
+def terms(passage: str) -> list[str]:
+    """Words in lower case; numbers, status numbers and identifiers as such."""
+    return [term(w) for w in _TOKEN.findall(passage.lower())]
+
+
+#: Inverted index: term to the exemplars that have it, as (class, number).
+INDEX: dict[str, list[tuple[str, int]]] = {}
+for _class, _texts in EXEMPLARS.items():
+    for _i, _t in enumerate(_texts):
+        for _w in dict.fromkeys(_t.split()):
+            INDEX.setdefault(_w, []).append((_class, _i))
+CLASSES = frozenset({"num", "status", "hexid"})
+VOCABULARY = frozenset(INDEX) - CLASSES
+
+
+#: Marks and words that stand for no answer.
+STAND_INS = frozenset(
+    "null none nil na n/a nan undefined empty blank tbd void missing - -- --- — – . .. ... … ? * _ / x".split()
+    + ["no answer", "no response", "no reply", "no output", "no text", "no content", "not available", "not applicable", "not answered", "left blank", "empty response", "no comment", "keine antwort", "ohne antwort", "k.a", "leer", "entfällt", "pas de réponse", "sans réponse", "aucune réponse", "vide", "sin respuesta", "ninguna respuesta", "vacío", "nessuna risposta", "senza risposta", "vuoto", "sem resposta", "nenhuma resposta", "vazio", "geen antwoord", "leeg"]
+)
+_EDGE = " \t\r\n\f\v\u00a0\u200b\u200c\u200d\u2060\ufeff\u3000()[]{}<>\"'`“”«»*_.!"
+
+
+def is_stand_in(text: str | None) -> bool:
+    """Whether a text is null, blank or only stands for the lack of an answer."""
+    if not text:
+        return True
+    if len(text) > 200 and not text.isspace():
+        return not any(c.isalnum() for c in text)
+    bare = text.strip(_EDGE).lower()
+    return not any(c.isalnum() for c in text) or bare in STAND_INS or " ".join(bare.split()) in STAND_INS
+
+
+def passages(text: str) -> list[tuple[int, int]]:
+    out, at = [], 0
+    for m in _END.finditer(text):
+        out.append((at, m.end()))
+        at = m.end()
+    out.append((at, len(text)))
+    return [(a, b) for a, b in out if a < b]
+
+
+_DIGIT = re.compile(r"\d")
+#: A placeholder starts where this matches.
+_MAY_BE_SLOT = re.compile(r"\{\{|\$\{|[{\[]\w|<[%<A-Za-z]|%[%(]|@@|##|__|XXXX|xxxx|TKTK|TODO|TB[DA]\b|FIXME|\([^()\n]{1,60} here\)")
+_SLOT_MARK = re.compile(r"[{\[<%@]|##|__|XXXX|xxxx|TKTK|TODO|TB[DA]\b|FIXME")
+
+
+def holding(spans: list[tuple[int, int]], places: list[int]) -> list[tuple[int, int]]:
+    """The spans that hold a place, in order."""
+    starts = [a for a, _ in spans]
+    return [spans[k] for k in sorted({bisect_right(starts, i) - 1 for i in places})]
+
+
+def known_terms(low: str) -> set[str]:
+    """Words of a text in lower case that exemplars have; classes of numbers are left out."""
+    words = set(low.split())
+    rest = " ".join([w for w in words if not w.isalnum()])
+    return (words & VOCABULARY).union(VOCABULARY.intersection(_TOKEN.findall(rest)))
+
+
+class Detector:
+    """Scores passages against the exemplars, with the weights that the corpus gives its terms."""
+
+    def __init__(self, idf: dict[str, float], unknown: float, coverage: float = COVERAGE):
+        self.idf, self.unknown, self.coverage = idf, unknown, coverage
+        # Terms that are rare in the corpus and so can bring up an exemplar; a passage without any
+        # has not the weight to be covered by one.
+        self.rare = frozenset(t for t in VOCABULARY if idf.get(t, unknown) >= 0.45 * unknown)
+
+    def best(self, ts: list[str]) -> tuple[str | None, float]:
+        """Class of the exemplar that covers most of the terms' weight, and the share that it and
+        the next best seven of its class cover together."""
+        weight = {t: self.idf.get(t, self.unknown) for t in ts}
+        score: dict = {}
+        for t, w in weight.items():
+            for e in INDEX.get(t, ()):
+                score[e] = score.get(e, 0.0) + w
+        if not score:
+            return None, 0.0
+        total = sum(weight.values())
+        (c, i), s = max(score.items(), key=lambda x: x[1])
+        if s < 0.3 * total:
+            return None, s / total
+        near = sorted((e for e in score if e[0] == c), key=lambda e: (-score[e], e))[:8]
+        covered = set().union(*(EXEMPLARS[c][k].split() for _, k in near))
+        both = sum(w for t, w in weight.items() if t in covered)
+        return c, both / total
+
+    def slot(self, passage: str, code: bool) -> bool:
+        """Whether the passage has an unfilled placeholder and doesn't speak of one."""
+        bare = _SLOT.sub(" ", passage)
+        if code or _CODE_LINE.search(bare):
+            passage = "\n".join(line for line in _LITERAL.sub(" ", passage).split("\n") if not _CODE_LINE.search(_SLOT.sub(" ", line)))
+            m = _SLOT.search(passage)
+            if not m or m[0].startswith("TODO") and _COMMENT.search(passage[: m.start()]):
+                return False
+        return not _ABOUT.search(bare)
+
+    def at(self, low: str, hits: set[str]) -> list[int]:
+        """Where the terms stand in a text in lower case."""
+        out = []
+        for h in hits:
+            i = low.find(h)
+            while i >= 0:
+                out.append(i)
+                i = low.find(h, i + len(h))
+        return out
+
+    def kind(self, text: str | None, code: bool = False) -> str | None:
+        """``placeholder``, ``filler``, ``error`` or ``script`` if the text has residue, else None."""
+        if not text or is_stand_in(text):
+            return None
+        spans = None
+        slots = _SLOT_MARK.search(text) or " here)" in text
+        slots = slots and [m.start() for m in _MAY_BE_SLOT.finditer(text) if _SLOT.match(text, m.start())]
+        if slots:
+            spans = passages(text)
+            for a, b in holding(spans, slots):
+                if self.slot(text[a:b], code):
+                    return "placeholder"
+        low = text.lower()
+        hits = known_terms(low) & self.rare
+        if not hits:
+            return None
+        spans = spans or passages(text)
+        for a, b in holding(spans, self.at(low, hits)) if len(low) == len(text) else spans:
+            ts = terms(text[a:b])
+            if hits.isdisjoint(ts):
+                continue
+            c, s = self.best(ts)
+            if c and s >= self.coverage and (len(ts) > 1 or len(spans) == 1) and not (code and len(spans) > 1 and _CODE_LINE.search(text[a:b].rstrip("\n"))):
+                return c
+        return None
+
+
+def term_weights(records: DataFrame) -> tuple[dict[str, float], float]:
+    """Weights of the exemplars' terms from their frequencies in all records, and the weight of a
+    term that no exemplar has: the median. The driver gets one row per term of the exemplars."""
+
+    def make():
+        def work(texts):
+            df: Counter = Counter()
+            for t in texts:
+                df.update(known_terms(t.lower()))
+                df["num"] += _DIGIT.search(t) is not None
+            return ["", *df], [len(texts), *df.values()]
+
+        return work
+
+    got = map_rows(records.where("text is not null"), ["text"], make, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    df = {r["term"]: r["n"] for r in got}
+    n = df.pop("", 0)
+    return weights(df, n)
+
+
+def weights(df: dict[str, int], n: int) -> tuple[dict[str, float], float]:
+    """Weights by the frequencies ``df`` among ``n`` texts. A status number weighs as any number, an
+    identifier as an unknown term."""
+    idf = {t: math.log((n + 1) / (df.get(t, 0) + 1)) for t in VOCABULARY}
+    unknown = sorted(idf.values())[len(idf) // 2] or 1.0
+    number = math.log((n + 1) / (df.get("num", 0) + 1))
+    return {**idf, "num": number, "status": number, "hexid": unknown}, unknown
+
+
+def find_residue(records: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """``(record_id, residue)`` of each record whose text is or holds an unfilled placeholder,
+    ``filler``, an ``error`` message or a notice that ``script``s are needed.
+
+    Each passage (sentence or line) brings up the exemplars that share rare terms with it through
+    an inverted index; it is residue if the exemplars of one class that fit best cover at least
+    ``coverage`` of its TF-IDF weight. Placeholders are read by their marks, except in code
+    proper, in literals of code and in passages that speak of templates. Texts go through whole;
+    null, blank and stand-in texts have no residue; a record delivered twice counts once.
+    """
+    r = records.where("record_id is not null and text is not null")
+    idf, unknown = term_weights(r)
+
+    def make():
+        d = Detector(idf, unknown, coverage)
+
+        def work(ids, texts, kinds):
+            found = [(i, k) for i, t, c in zip(ids, texts, kinds) if (k := d.kind(t, c == "code"))]
+            return [i for i, _ in found], [k for _, k in found]
+
+        return work
+
+    return map_rows(r, ["record_id", "text", "kind"], make, "record_id bigint, residue string").dropDuplicates(["record_id"])
+
+
+def batch_report(records: DataFrame, hygiene: DataFrame) -> DataFrame:
+    """By batch: records, those with residue by class, and the earlier count of artifacts."""
+    b = records.select("record_id", "batch_id").dropDuplicates(["record_id"]).join(find_residue(records), "record_id", "left")
+    counts = [F.count(F.when(F.col("residue") == k, 1)).alias(k) for k in ("placeholder", "filler", "error", "script")]
+    n = b.groupBy("batch_id").agg(F.count("*").alias("records"), F.count("residue").alias("with_residue"), *counts)
+    return n.join(hygiene.select("batch_id", "rows_raw", "dropped_error_artifacts"), "batch_id", "full")
