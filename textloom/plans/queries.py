@@ -2,5 +2,470 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.functions import text as T
+from textloom.operators import corpus, detectors, evidence, features, metrics, splits, statistics, watermarks
+from textloom.plans.sql import SQL
+
 QUERIES: dict = {}
-SQL: dict[str, str] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def docs(spark, d, *columns: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", *(columns or ("text",)))
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Floating columns rounded, so that two engines' sums agree."""
+    return df.select(*(F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
+
+
+def key(c) -> F.Column:
+    k = F.lower(T.strip(c))
+    return F.when(k != "", k)
+
+
+def scored(spark, d) -> DataFrame:
+    """Documents with a probability made of label and a hash of the id: y, p, and slices."""
+    h = F.conv(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 6), 16, 10).cast("bigint") % 1000
+    t = table(spark, d, "documents")
+    return t.select("doc_id", F.col("label").alias("y"), F.round((h + 400 * F.col("label")) / 1400.0, 3).alias("p"), "kind", "family", "author", "source", F.coalesce("lang", F.lit("none")).alias("lang"))
+
+
+@query
+def kgw_detect(spark, d):
+    return rounded(watermarks.kgw_counts(docs(spark, d)).drop("text"))
+
+
+@query
+def kgw_power(spark, d):
+    """With p value and power, which need the normal distribution."""
+    return rounded(watermarks.kgw_detect(docs(spark, d)).select("doc_id", "z", "p_value", "power"))
+
+
+@query
+def kgw_segments(spark, d):
+    return rounded(watermarks.kgw_segments(docs(spark, d)))
+
+
+@query
+def kgw_screen(spark, d):
+    """Share of rejections at z > 1.6449 by label and kind, over tested documents."""
+    k = watermarks.kgw_counts(docs(spark, d, "text", "label", "kind")).where("z is not null")
+    return rounded(k.groupBy("label", "kind").agg(F.count("*").alias("tested"), F.avg((F.col("z") > 1.6448536269514722).cast("double")).alias("reject_rate"), F.avg("z").alias("mean_z"), F.avg("green_rate").alias("mean_green_rate")))
+
+
+@query
+def kgw_flags(spark, d):
+    """The 50 documents with the highest z."""
+    return rounded(watermarks.kgw_counts(docs(spark, d)).where("z is not null").select("doc_id", "n_tokens", "green", "z").orderBy(F.desc(F.round("z", 6)), "doc_id").limit(50))
+
+
+@query
+def zero_width_roundtrip(spark, d):
+    t = docs(spark, d).withColumn("text", watermarks.embed_zero_width(F.coalesce("text", F.lit(""))))
+    return rounded(watermarks.zero_width(t).drop("text"))
+
+
+@query
+def zero_width_stripped(spark, d):
+    t = docs(spark, d).withColumn("text", watermarks.strip_invisible(watermarks.embed_zero_width(F.coalesce("text", F.lit("")))))
+    return watermarks.zero_width(t).groupBy("present").agg(F.count("*").alias("n"), F.sum("n_marks").alias("marks"))
+
+
+@query
+def attack_texts(spark, d):
+    t = docs(spark, d)
+    return t.select("doc_id", *(F.sha2(F.encode(watermarks.attack(F.coalesce("text", F.lit("")), a, F.col("doc_id")), "utf-8"), 256).alias(a) for a in ("drop_tokens", "lowercase", "strip_punctuation", "truncate")))
+
+
+@query
+def watermark_retention(spark, d):
+    return rounded(watermarks.retention(docs(spark, d)))
+
+
+@query
+def bigram_counts(spark, d):
+    return watermarks.bigram_student(docs(spark, d))[0].where("n >= 5")
+
+
+@query
+def bigram_nll(spark, d):
+    t = docs(spark, d, "text", "label")
+    return rounded(watermarks.knowledge_nll(t.where("label = 1"), t.where("label = 0")))
+
+
+@query
+def token_counts(spark, d):
+    t = docs(spark, d).withColumn("text", F.coalesce("text", F.lit("")))
+    n = F.size(T.word_tokens("text"))
+    return t.select("doc_id", n.alias("n_words"), F.size(T.tokens("text")).alias("n_tokens"), T.length_bucket(n).alias("bucket"), T.content_hash("text").alias("content_hash"))
+
+
+@query
+def content_types(spark, d):
+    t = F.coalesce("text", F.lit(""))
+    return docs(spark, d).select("doc_id", T.content_type(t).alias("content_type"), T.language(t).alias("language"))
+
+
+@query
+def segment_windows(spark, d):
+    k = docs(spark, d).select("doc_id", F.size(T.tokens(F.coalesce("text", F.lit("")))).alias("n"))
+    s = k.select("doc_id", "n", F.posexplode(T.window_starts(F.col("n"), 160, 32)).alias("segment_no", "token_start"))
+    return s.select("doc_id", "segment_no", "token_start", F.least(F.col("token_start") + 160, F.col("n")).alias("token_end"))
+
+
+@query
+def equal_thirds(spark, d):
+    w = docs(spark, d).select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "").alias("w"))
+    n = F.size("w")
+    part = lambda i: F.floor(n * (i + 1) / 3) - F.floor(n * i / 3)
+    return w.select("doc_id", *(part(i).cast("bigint").alias(f"third_{i}") for i in range(3)))
+
+
+@query
+def stylometry(spark, d):
+    return rounded(features.extract(docs(spark, d, "text", "kind")).drop("text", "kind"))
+
+
+@query
+def stylometry_by_family(spark, d):
+    f = features.extract(table(spark, d, "documents").select("text", "kind", "family"))
+    return rounded(f.groupBy("family", "kind").agg(F.count("*").alias("n"), *(g(c).alias(f"{c}_{n}") for c in ("token_entropy", "unique_ratio", "sentence_len_mean") for n, g in (("mean", F.avg), ("min", F.min), ("max", F.max)))), 5)
+
+
+@query
+def prose_scores(spark, d):
+    return rounded(detectors.prose_score(docs(spark, d)).drop("text"))
+
+
+@query
+def code_scores(spark, d):
+    return rounded(detectors.code_score(table(spark, d, "documents").where("kind = 'code'").select("doc_id", "text")).drop("text"))
+
+
+@query
+def source_families(spark, d):
+    return rounded(detectors.source_families(docs(spark, d, "text", "kind")).drop("text", "kind"))
+
+
+@query
+def analyze_documents(spark, d):
+    return rounded(detectors.analyze(docs(spark, d)).drop("text"))
+
+
+@query
+def corpus_hygiene(spark, d):
+    return corpus.hygiene(docs(spark, d), "doc_id").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query
+def exact_copies(spark, d):
+    return splits.exact_copies(docs(spark, d))
+
+
+@query
+def dataset_fingerprint(spark, d):
+    return corpus.dataset_hash(table(spark, d, "documents"))
+
+
+@query
+def corpus_datasheet(spark, d):
+    return corpus.datasheet(table(spark, d, "corpus_records").dropDuplicates(["record_id"]))
+
+
+@query
+def contamination_status(spark, d):
+    return corpus.contamination(table(spark, d, "corpus_records").dropDuplicates(["record_id"]), ["family", "kind"])
+
+
+@query
+def run_merkle_roots(spark, d):
+    r = table(spark, d, "corpus_records").where("text is not null").dropDuplicates(["record_id"])
+    return corpus.run_roots(r, key("run_id"))
+
+
+@query
+def run_registry(spark, d):
+    return corpus.first_submissions(table(spark, d, "runs"), key("run_id"))
+
+
+@query
+def catalog_problems(spark, d):
+    return corpus.catalog_check(table(spark, d, "corpus_records"), table(spark, d, "runs"), key)
+
+
+@query
+def stale_hashes(spark, d):
+    """Records whose stored hash is absent or not that of their text."""
+    r = table(spark, d, "corpus_records").where("text is not null").dropDuplicates(["record_id"])
+    ok = F.coalesce(F.lower(F.trim("sha256")) == T.content_hash("text"), F.lit(False))
+    return r.where(~ok).select("record_id", F.col("sha256").isNull().alias("absent"))
+
+
+@query
+def output_counts(spark, d):
+    """Runs whose registered number of outputs is not that of their records."""
+    n = table(spark, d, "corpus_records").select("record_id", key("run_id").alias("run")).where("run is not null").distinct().groupBy("run").agg(F.count("*").alias("found"))
+    r = table(spark, d, "runs").select(key("run_id").alias("run"), "n_outputs").where("run is not null").groupBy("run").agg(F.max("n_outputs").alias("registered"))
+    return r.join(n, "run").where("registered <> found")
+
+
+@query
+def near_duplicates(spark, d):
+    return splits.near_duplicate_clusters(docs(spark, d)).groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query
+def minhash_signatures(spark, d):
+    return splits.minhash(docs(spark, d), perms=4)
+
+
+@query
+def author_copies_jaccard(spark, d):
+    """Exact similarity of each document and the one before it in the same source."""
+    from pyspark.sql import Window as W
+
+    t = table(spark, d, "documents").select("doc_id", "text", "source")
+    pairs = t.select("source", "doc_id").withColumn("a", F.lag("doc_id").over(W.partitionBy("source").orderBy("doc_id"))).where("a is not null").select("a", F.col("doc_id").alias("b"))
+    return rounded(splits.jaccard(pairs, t))
+
+
+@query
+def group_subsample(spark, d):
+    return splits.group_subsample(table(spark, d, "documents").select("doc_id", "author"), "author", 300)
+
+
+@query
+def group_partitions(spark, d):
+    return splits.group_partitions(table(spark, d, "documents"), "author", {"train": 0.6, "calibration": 0.2, "test": 0.2})
+
+
+@query
+def writer_splits(spark, d):
+    s = splits.hash_split(F.col("author"), "20260819:", {"train": 4000, "calibration": 1500, "development": 1500, "test": 3000})
+    return table(spark, d, "documents").select("author", s.alias("partition")).where("author is not null").distinct()
+
+
+@query
+def split_leaks(spark, d):
+    """Authors in more than one hash split: none."""
+    s = splits.hash_split(F.col("author"), "20260819:", {"train": 4000, "calibration": 1500, "development": 1500, "test": 3000})
+    return splits.leaks(table(spark, d, "documents").withColumn("partition", s).where("author is not null"), "author")
+
+
+@query
+def leakage_by_prompt(spark, d):
+    r = table(spark, d, "corpus_records").select("record_id", "split", "prompt_id").distinct()
+    return splits.leakage_audit(r, key("prompt_id"))
+
+
+@query
+def balanced_folds(spark, d):
+    return splits.stratified_folds(table(spark, d, "documents"), "author")
+
+
+@query
+def prompt_pairs(spark, d):
+    r = table(spark, d, "corpus_records").select("record_id", "prompt_id", "kind", "label").distinct()
+    return evidence.prompt_pairs(r, key("prompt_id"))
+
+
+@query
+def metrics_by_kind(spark, d):
+    return rounded(metrics.binary_metrics(scored(spark, d), ["kind"]))
+
+
+@query
+def metrics_overall(spark, d):
+    return rounded(metrics.binary_metrics(scored(spark, d), []))
+
+
+@query
+def reliability_bins(spark, d):
+    return rounded(metrics.reliability(scored(spark, d), []))
+
+
+@query
+def adaptive_calibration(spark, d):
+    return rounded(metrics.adaptive_error(scored(spark, d)))
+
+
+@query
+def worst_language(spark, d):
+    return rounded(metrics.worst_groups(scored(spark, d), "lang"))
+
+
+@query
+def fairness_slices(spark, d):
+    return rounded(metrics.slices(scored(spark, d), ["kind", "family", "lang"]))
+
+
+@query
+def coverage_curve(spark, d):
+    return rounded(metrics.coverage_curve(scored(spark, d)))
+
+
+@query
+def conformal_sets(spark, d):
+    return rounded(metrics.conformal(scored(spark, d)))
+
+
+@query
+def selective_risk(spark, d):
+    return rounded(metrics.selective_risk(scored(spark, d)))
+
+
+@query
+def prevalence_metrics(spark, d):
+    return rounded(metrics.prevalence_metrics(scored(spark, d)))
+
+
+@query
+def bootstrap_by_author(spark, d):
+    return rounded(metrics.group_bootstrap(scored(spark, d).where("author is not null"), "author", 20))
+
+
+@query
+def transport_cells(spark, d):
+    return rounded(evidence.transport_cells(scored(spark, d), "lang"))
+
+
+@query
+def prior_grid(spark, d):
+    return rounded(evidence.prior_sensitivity(scored(spark, d), "p"))
+
+
+@query
+def segment_dependence(spark, d):
+    """Evidence of the watermark test's segments, taken as if independent and shrunk."""
+    s = watermarks.kgw_segments(docs(spark, d)).where("z is not null").withColumn("p", F.greatest(F.lit(0.02), F.least(F.lit(0.98), F.col("green") / F.col("n_tokens"))))
+    return rounded(evidence.accumulate(s, "p"))
+
+
+@query
+def overlap_corrected_odds(spark, d):
+    s = watermarks.kgw_segments(docs(spark, d)).where("n_tokens >= 20").withColumn("p", F.col("green") / F.col("n_tokens"))
+    return rounded(evidence.overlap_corrected(s.withColumn("s", F.col("segment_no") * 128).withColumn("e", F.col("segment_no") * 128 + F.col("n_tokens")), "p", "s", "e"))
+
+
+@query
+def mixture_lengths(spark, d):
+    """Texts of prompt pairs mixed at seven rates: words and watermark z of the mixture."""
+    r = table(spark, d, "corpus_records").where("text is not null and kind = 'text'").select("record_id", "prompt_id", "kind", "label", "text").dropDuplicates(["record_id"])
+    words = r.select("record_id", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w"))
+    p = evidence.prompt_pairs(r.select("record_id", "prompt_id", "kind", "label"), key("prompt_id"))
+    x = p.join(words.withColumnsRenamed({"record_id": "human_id", "w": "h"}), "human_id").join(words.withColumnsRenamed({"record_id": "ai_id", "w": "a"}), "ai_id")
+    x = x.withColumn("rate", F.explode(F.array(*map(F.lit, evidence.RATES))))
+    m = x.select("rate", evidence.mix_words(F.col("h"), F.col("a"), F.col("rate")).alias("m"))
+    k = watermarks.kgw_counts(m.select("rate", F.array_join("m", " ").alias("text")))
+    return rounded(k.groupBy("rate").agg(F.count("*").alias("pairs"), F.count("z").alias("tested"), F.sum("n_tokens").alias("tokens"), F.avg("z").alias("mean_z"), F.stddev_pop("z").alias("sd_z")))
+
+
+@query
+def family_geometry(spark, d):
+    return rounded(evidence.nearest_family(table(spark, d, "embeddings"), "embedding", "label"), 4)
+
+
+@query
+def group_weighting(spark, d):
+    return rounded(evidence.group_weights(table(spark, d, "documents").where("author is not null").select("doc_id", "author"), "author"))
+
+
+@query
+def welch_prices(spark, d):
+    return rounded(statistics.welch(table(spark, d, "lineitem"), "l_extendedprice", F.col("l_returnflag") == "R", ["l_linestatus"]))
+
+
+@query
+def mann_whitney_quantity(spark, d):
+    return rounded(statistics.mann_whitney(table(spark, d, "lineitem"), "l_quantity", F.col("l_returnflag") == "R"))
+
+
+@query
+def fdr_by_brand(spark, d):
+    """Two-sided z of each brand's share of returned items against all, and its place in the family."""
+    li = table(spark, d, "lineitem").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    g = li.groupBy("p_brand").agg(F.count("*").alias("n"), F.sum((F.col("l_returnflag") == "R").cast("int")).alias("k"))
+    t = g.agg(F.sum("n").alias("tn"), F.sum("k").alias("tk"))
+    x = g.crossJoin(F.broadcast(t)).withColumn("p0", F.col("tk") / F.col("tn"))
+    z = (F.col("k") / F.col("n") - F.col("p0")) / F.sqrt(F.col("p0") * (1 - F.col("p0")) / F.col("n"))
+    # A bound of the tail that both engines have: exp(-z^2 / 2).
+    return rounded(statistics.benjamini_hochberg(x.select("p_brand", z.alias("z"), F.exp(-z * z / 2).alias("bound")), "bound"))
+
+
+@query
+def mcnemar_counts(spark, d):
+    s = scored(spark, d)
+    return rounded(statistics.mcnemar(s, (F.col("p") >= 0.5).cast("int") == F.col("y"), (F.col("p") >= 0.6).cast("int") == F.col("y")))
+
+
+@query
+def durbin_watson_prices(spark, d):
+    return rounded(statistics.durbin_watson(table(spark, d, "lineitem"), "l_extendedprice", "l_orderkey", "l_linenumber"))
+
+
+@query
+def jarque_bera_prices(spark, d):
+    return rounded(statistics.jarque_bera(table(spark, d, "lineitem"), "l_extendedprice", ["l_returnflag"]), 3)
+
+
+@query
+def hosmer_lemeshow(spark, d):
+    return rounded(statistics.hosmer_lemeshow(scored(spark, d), "y", "p"), 4)
+
+
+@query
+def hourly_events(spark, d):
+    """Sliding windows over the event stream's rows: the batch form of the streaming operator."""
+    from textloom.streaming.events import windowed_counts
+
+    w = windowed_counts(table(spark, d, "events"), None)
+    return rounded(w.select(F.col("window.start").cast("string").alias("window_start"), "event_type", "n", "value"), 4)
+
+
+@query
+def first_events(spark, d):
+    from textloom.streaming.events import first_of_key
+
+    return first_of_key(table(spark, d, "events"), ["user_id", "event_type"]).groupBy("event_type").agg(F.count("*").alias("users"))
+
+
+@query
+def logistic_coefficients(spark, d):
+    """Logistic regression of the label on five features, by Newton steps."""
+    x = ["long_words", "unique_ratio", "sentence_len_mean", "punctuation", "log_words"]
+    f = features.extract(table(spark, d, "documents").select("text", "kind", "label")).select("label", *x)
+    b = statistics.irls(f, x, "label")["beta"]
+    return spark.createDataFrame([(n, round(float(v), 4)) for n, v in zip(["intercept", *x], b)], "term string, beta double")
+
+
+@query
+def feature_inflation(spark, d):
+    x = ["long_words", "unique_ratio", "sentence_len_mean", "mean_word_length", "word_length_var", "token_entropy", "log_words"]
+    v = statistics.vif(features.extract(docs(spark, d, "text", "kind")), x)
+    return spark.createDataFrame([(k, round(a, 3)) for k, a in v.items()], "feature string, inflation double")
+
+
+@query
+def delong_scores(spark, d):
+    s = scored(spark, d).withColumn("q", F.round((F.col("p") + (F.col("doc_id") % 7) / 10.0) / 1.6, 3))
+    r = statistics.delong(s, "y", "p", "q")
+    return spark.createDataFrame([tuple(round(v, 6) for v in r.values())], ", ".join(f"{k} double" for k in r))
+
+
+@query
+def isotonic_calibration(spark, d):
+    s = scored(spark, d)
+    knots = evidence.isotonic_knots(s)
+    return rounded(s.select("doc_id", evidence.interpolate(F.col("p"), knots).alias("calibrated")), 4) if knots and len(knots) < 200 else s.select("doc_id", F.col("p").alias("calibrated"))
