@@ -18,6 +18,11 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, also where ``then`` uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def word_tokens(text: str | Column) -> Column:
     """Lower-case words."""
     return F.regexp_extract_all(F.lower(_c(text)), F.lit(WORD), F.lit(0))

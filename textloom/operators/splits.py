@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.functions.text import content_hash
+from textloom.functions.text import content_hash, let
 from textloom.session import cut_lineage
 
 PRIME = (1 << 31) - 1
@@ -15,9 +15,8 @@ NEAR_WORD = "[a-z0-9']+"
 
 def shingles(text: Column, n: int = 3) -> Column:
     """Distinct runs of n words; the words themselves of a shorter text."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(NEAR_WORD), F.lit(0))
-    runs = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
-    return F.array_distinct(F.when(F.size(w) >= n, runs).otherwise(w))
+    runs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
+    return let(F.regexp_extract_all(F.lower(text), F.lit(NEAR_WORD), F.lit(0)), lambda w: F.array_distinct(F.when(F.size(w) >= n, runs(w)).otherwise(w)))
 
 
 def hash31(s: Column) -> Column:
@@ -78,8 +77,8 @@ def jaccard(pairs: DataFrame, df: DataFrame, id_: str = "doc_id", text: str = "t
     """Exact similarity of given pairs ``(a, b)`` over their shingles."""
     s = df.select(F.col(id_), shingles(F.coalesce(F.col(text), F.lit(""))).alias("s"))
     x = pairs.join(s.withColumnsRenamed({id_: "a", "s": "sa"}), "a").join(s.withColumnsRenamed({id_: "b", "s": "sb"}), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return x.select("a", "b", F.when(F.size("sa") + F.size("sb") > 0, both / (F.size("sa") + F.size("sb") - both)).otherwise(1.0).alias("similarity"))
+    x = x.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("both"))
+    return x.select("a", "b", F.when(F.col("n") > 0, F.col("both") / (F.col("n") - F.col("both"))).otherwise(1.0).alias("similarity"))
 
 
 def _ordered(groups: DataFrame, prefix: str) -> Column:

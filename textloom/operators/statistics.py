@@ -120,11 +120,11 @@ def mcnemar_p(only_a: int, only_b: int) -> float:
     return chi2_sf(max(0.0, abs(only_a - only_b) - 1) ** 2 / n, 1)
 
 
-def durbin_watson(df: DataFrame, value: str, key: str, order: str) -> DataFrame:
+def durbin_watson(df: DataFrame, value: str, key: str, order: list[str]) -> DataFrame:
     """Sum of squared differences of neighbours over the sum of squares about each key's mean."""
     w = W.partitionBy(key)
     d = df.withColumn("_e", F.col(value) - F.avg(value).over(w))
-    d = d.withColumn("_d", F.col("_e") - F.lag("_e").over(w.orderBy(order)))
+    d = d.withColumn("_d", F.col("_e") - F.lag("_e").over(w.orderBy(*order)))
     return d.agg((F.sum(F.col("_d") * F.col("_d")) / F.sum(F.col("_e") * F.col("_e"))).alias("dw"), F.count("*").alias("n"))
 
 

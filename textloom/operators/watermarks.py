@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from textloom.functions.text import tokens, window_starts
+from textloom.functions.text import let, tokens, window_starts
 
 #: The key of the green list; a deployment passes its own.
 KEY = "demo-key"
@@ -22,7 +23,7 @@ SIGNATURE = (1, 0, 1, 1, 0, 1, 0, 0, 1, 1, 0, 0, 1, 0, 1, 0)
 INVISIBLE = "​‌‍﻿⁠­‎‏"
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if x is None or math.isnan(x) else 0.5 * math.erfc(-x / math.sqrt(2)))
 
@@ -40,8 +41,9 @@ def _z(green: Column, n: Column) -> Column:
 def kgw_counts(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """``df`` with n_tokens, green, z, green_rate, effect, dilution and the 95 % Wilson interval of the
     rate; all but n_tokens are null under 50 tokens (not tested, never 0)."""
-    d = df.withColumn("_k", tokens(F.coalesce(F.col(text), F.lit("")))).withColumn("n_tokens", F.size("_k"))
-    d = d.withColumn("green", F.when(F.col("n_tokens") >= MIN_TOKENS, F.size(F.filter(greens(F.col("_k"), key), lambda g: g))))
+    # The counts are bound in one expression, so that a later filter on them computes them once.
+    counts = let(tokens(F.coalesce(F.col(text), F.lit(""))), lambda k: F.struct(F.size(k).alias("n"), F.when(F.size(k) >= MIN_TOKENS, F.size(F.filter(greens(k, key), lambda g: g))).cast("double").alias("g")))
+    d = df.withColumn("_k", F.explode(F.array(counts))).withColumn("n_tokens", F.col("_k.n")).withColumn("green", F.col("_k.g"))
     n, g = F.col("n_tokens"), F.col("green")
     p, z2 = g / n, _Z975 * _Z975
     centre = (p + z2 / (2 * n)) / (1 + z2 / n)
@@ -54,6 +56,7 @@ def kgw_detect(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """``kgw_counts`` with the p value (at least 1e-16) and the power at level 0.01."""
     d = kgw_counts(df, text, key)
     n, r = F.col("n_tokens"), F.col("green_rate")
+    n = F.when(n > 0, n)
     critical = _Z99 * F.sqrt(0.25 / n) + 0.5
     alt = F.sqrt(F.greatest(r * (1 - r), F.lit(1e-9)) / n)
     return d.withColumn("p_value", F.greatest(F.lit(1e-16), F.least(F.lit(1.0), 1 - normal_cdf(F.col("z"))))).withColumn("power", 1 - normal_cdf((critical - r) / alt))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.operators import corpus, detectors, evidence, features, metrics, splits, statistics, watermarks
 from textloom.plans.sql import SQL
+from textloom.session import cut_lineage
 
 QUERIES: dict = {}
 
@@ -197,7 +198,8 @@ def run_merkle_roots(spark, d):
 
 @query
 def run_registry(spark, d):
-    return corpus.first_submissions(table(spark, d, "runs"), key("run_id"))
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return corpus.first_submissions(table(spark, d, "runs"), key("run_id")).select("run", "submissions", "model_slug", "provider", at("created_utc"), at("submitted_utc"))
 
 
 @query
@@ -228,7 +230,7 @@ def near_duplicates(spark, d):
 
 @query
 def minhash_signatures(spark, d):
-    return splits.minhash(docs(spark, d), perms=4)
+    return splits.minhash(docs(spark, d), perms=4).fillna(-1)
 
 
 @query
@@ -412,7 +414,7 @@ def mcnemar_counts(spark, d):
 
 @query
 def durbin_watson_prices(spark, d):
-    return rounded(statistics.durbin_watson(table(spark, d, "lineitem"), "l_extendedprice", "l_orderkey", "l_linenumber"))
+    return rounded(statistics.durbin_watson(table(spark, d, "lineitem"), "l_extendedprice", "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]))
 
 
 @query
@@ -445,7 +447,7 @@ def first_events(spark, d):
 def logistic_coefficients(spark, d):
     """Logistic regression of the label on five features, by Newton steps."""
     x = ["long_words", "unique_ratio", "sentence_len_mean", "punctuation", "log_words"]
-    f = features.extract(table(spark, d, "documents").select("text", "kind", "label")).select("label", *x)
+    f = cut_lineage(features.extract(table(spark, d, "documents").select("text", "kind", "label")).select("label", *x))
     b = statistics.irls(f, x, "label")["beta"]
     return spark.createDataFrame([(n, round(float(v), 4)) for n, v in zip(["intercept", *x], b)], "term string, beta double")
 

@@ -25,7 +25,7 @@ SEGMENTS = f"""(with g as {GREEN}, n as (select doc_id, count(*) as n from g gro
     s as (select doc_id, n, unnest(range(greatest(cast(ceil((n - 160) / 128.0) as bigint), 0) + 1)) as k from n)
     select s.doc_id, cast(k as integer) as segment_no, cast(count(*) as integer) as n_tokens, cast(sum(g.g::int) as integer) as green
     from s join g on g.doc_id = s.doc_id and g.i >= k * 128 and g.i < k * 128 + 160 group by 1, 2)"""
-KGW = f"""(select d.doc_id, cast(coalesce(n, 0) as integer) as n_tokens, case when n >= 50 then cast(k as integer) end as green from documents d
+KGW = f"""(select d.doc_id, cast(coalesce(n, 0) as integer) as n_tokens, case when n >= 50 then cast(k as double) end as green from documents d
     left join (select doc_id, count(*) as n, sum(g::int) as k from {GREEN} group by 1) using (doc_id))"""
 FEATURES = f"""(with t as (select doc_id, coalesce(text, '') as text, coalesce(kind = 'code', false) as code, family, kind, label from documents),
     w as (select doc_id, unnest(regexp_extract_all(lower(text), '{W}')) as w from t),
@@ -143,11 +143,11 @@ SQL: dict[str, str] = {
     "run_merkle_roots": f"""with recursive h as (select {key('run_id')} as run, sha256(text) as h from {RECORDS} where text is not null), g as (select run, count(*) as n, list_sort(list(h)) as a from h where run is not null group by 1),
         r as (select run, n, a from g union all select run, n, list_transform(range(1, (len(a) + 1) // 2 + 1), lambda i: sha256(a[2 * i - 1] || coalesce(a[2 * i], a[2 * i - 1]))) from r where len(a) > 1)
         select run, n, a[1] as merkle_root from r where len(a) = 1""",
-    "run_registry": f"select run, count(*) as submissions, arg_min(model_slug, (submitted_utc, model_slug)) as model_slug, arg_min_null(provider, (submitted_utc, model_slug)) as provider, arg_min(created_utc, (submitted_utc, model_slug)) as created_utc, arg_min(submitted_utc, (submitted_utc, model_slug)) as submitted_utc from (select *, {key('run_id')} as run from runs) where run is not null group by 1",
+    "run_registry": f"select run, count(*) as submissions, arg_min(model_slug, (submitted_utc, model_slug)) as model_slug, arg_min_null(provider, (submitted_utc, model_slug)) as provider, strftime(arg_min(created_utc, (submitted_utc, model_slug)) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as created_utc, strftime(arg_min(submitted_utc, (submitted_utc, model_slug)) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as submitted_utc from (select *, {key('run_id')} as run from runs) where run is not null group by 1",
     "catalog_problems": f"with a as (select distinct {key('run_id')} as run from corpus_records), b as (select distinct {key('run_id')} as run from runs) select run, 'dangling' as problem from a where run is not null and run not in (select run from b where run is not null) union all select run, 'unreferenced' from b where run is not null and run not in (select run from a where run is not null)",
     "stale_hashes": f"select record_id, sha256 is null as absent from (select record_id, r.sha256, sha256(text) as h from {RECORDS} r where text is not null) where not coalesce(lower(trim(sha256)) = h, false)",
     "output_counts": f"select run, max(n_outputs) as registered, any_value(found) as found from (select {key('run_id')} as run, n_outputs from runs) join (select {key('run_id')} as run, count(distinct record_id) as found from corpus_records group by 1) using (run) where run is not null group by 1 having max(n_outputs) <> any_value(found)",
-    "minhash_signatures": f"select doc_id, {', '.join(f'min(({a} * h + {b}) % 2147483647) as m{i}' for i, (a, b) in enumerate(_perms(4)))} from documents left join (select doc_id, ('0x' || substr(md5(s), 1, 8))::bigint & 2147483647 as h from (select doc_id, unnest({SHINGLES}) as s from (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+') as w from documents))) using (doc_id) group by 1",
+    "minhash_signatures": f"select doc_id, {', '.join(f'coalesce(min(({a} * h + {b}) % 2147483647), -1) as m{i}' for i, (a, b) in enumerate(_perms(4)))} from documents left join (select doc_id, ('0x' || substr(md5(s), 1, 8))::bigint & 2147483647 as h from (select doc_id, unnest({SHINGLES}) as s from (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+') as w from documents))) using (doc_id) group by 1",
     "author_copies_jaccard": f"""with s as (select doc_id, {SHINGLES} as s from (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+') as w from documents)),
         p as (select lag(doc_id) over (partition by source order by doc_id) as a, doc_id as b from documents)
         select a, b, round(case when len(x.s) + len(y.s) > 0 then len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) else 1 end, 6) as similarity from p join s x on x.doc_id = a join s y on y.doc_id = b where a is not null""",
@@ -190,7 +190,7 @@ SQL: dict[str, str] = {
         b as (select p_brand, z, exp(-z * z / 2) as b from z), r as (select *, count(*) over () / row_number() over (order by b) * b as q from b)
         select p_brand, round(z, 6) as z, round(b, 6) as bound, round(least(1, min(q) over (order by b desc range between unbounded preceding and current row)), 6) as q_value from r""",
     "mcnemar_counts": f"select a::bigint as only_a, b::bigint as only_b, round(case when a + b > 0 then greatest(0, abs(a - b) - 1) ^ 2 / (a + b) else 0 end, 6) as chi2 from (select sum((x and not w)::int) as a, sum((not x and w)::int) as b from (select (p >= 0.5)::int = y as x, (p >= 0.6)::int = y as w from {SCORED}))",
-    "durbin_watson_prices": "with e as (select l_orderkey, l_linenumber, l_extendedprice - avg(l_extendedprice) over (partition by l_orderkey) as e from lineitem), d as (select e, e - lag(e) over (partition by l_orderkey order by l_linenumber) as d from e) select round(sum(d * d) / sum(e * e), 6) as dw, count(*) as n from d",
+    "durbin_watson_prices": "with e as (select *, l_extendedprice - avg(l_extendedprice) over (partition by l_orderkey) as e from lineitem), d as (select e, e - lag(e) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as d from e) select round(sum(d * d) / sum(e * e), 6) as dw, count(*) as n from d",
     "jarque_bera_prices": "with m as (select l_returnflag, avg(l_extendedprice) as m from lineitem group by 1), g as (select l_returnflag, count(*) as n, avg((l_extendedprice - m) ^ 2) as m2, avg((l_extendedprice - m) ^ 3) as m3, avg((l_extendedprice - m) ^ 4) as m4 from lineitem join m using (l_returnflag) group by 1) select l_returnflag, n, round(m3 / m2 ^ 1.5, 3) as skew, round(m4 / m2 ^ 2 - 3, 3) as kurt, round(n / 6 * ((m3 / m2 ^ 1.5) ^ 2 + (m4 / m2 ^ 2 - 3) ^ 2 / 4), 3) as jb from g",
     "first_events": "select event_type, count(distinct user_id) as users from events group by 1",
 }
