@@ -129,6 +129,7 @@ def passages(text: str) -> list[tuple[int, int]]:
 _DIGIT = re.compile(r"\d")
 #: A placeholder starts where this matches.
 _MAY_BE_SLOT = re.compile(r"\{\{|\$\{|[{\[]\w|<[%<A-Za-z]|%[%(]|@@|##|__|XXXX|xxxx|TKTK|TODO|TB[DA]\b|FIXME|\([^()\n]{1,60} here\)")
+_STATUS = re.compile(r"(?<![^\W_])[45]\d\d(?![^\W_])")
 _SLOT_MARK = re.compile(r"[{\[<%@]|##|__|XXXX|xxxx|TKTK|TODO|TB[DA]\b|FIXME")
 
 
@@ -164,6 +165,8 @@ class Detector:
                 score[e] = score.get(e, 0.0) + w
         if not score:
             return None, 0.0
+        if CLASSES.issuperset(weight):
+            return None, 0.0  # numbers alone are no message
         total = sum(weight.values())
         (c, i), s = max(score.items(), key=lambda x: x[1])
         if s < 0.3 * total:
@@ -207,13 +210,12 @@ class Detector:
                     return "placeholder"
         low = text.lower()
         hits = known_terms(low) & self.rare
-        if not hits:
+        places = [m.start() for m in _STATUS.finditer(text)] if _DIGIT.search(text) else []
+        if not hits and not places:
             return None
         spans = spans or passages(text)
-        for a, b in holding(spans, self.at(low, hits)) if len(low) == len(text) else spans:
+        for a, b in holding(spans, self.at(low, hits) + places) if len(low) == len(text) else spans:
             ts = terms(text[a:b])
-            if hits.isdisjoint(ts):
-                continue
             c, s = self.best(ts)
             if c and s >= self.coverage and (len(ts) > 1 or len(spans) == 1) and not (code and len(spans) > 1 and _CODE_LINE.search(text[a:b].rstrip("\n"))):
                 return c
