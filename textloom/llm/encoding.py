@@ -195,10 +195,12 @@ class Restorer:
                     continue
                 if c[0] == "utf-8":
                     good += (1.0 if promising(u) else -2.0) + (0.5 if bare(u) in known else 0.0)
-                elif bare(w) in known:
-                    good -= 2.0
-                elif bare(u) in known:
+                elif bare(w) not in known and bare(u) in known:
                     good += 1.0
+                elif bare(w) not in known and bare(u).isascii():
+                    good += 0.5  # only quotation marks or dashes were garbled
+            if c[0] != "utf-8" and good < (2 if any(bare(w) in known for w in words) else 1):
+                continue  # beside clean words, one word could be chance
             if good > most + 1e-9:
                 best, most = c, good
         return best
