@@ -131,6 +131,12 @@ def bare(word: str) -> str:
     return word.strip(_EDGES)
 
 
+#: A letter where none belongs: before a capital, after a mark, or alone; what is left of quotation
+#: marks and dashes that were misread.
+MISPLACED = r"^[à-ÿœ][A-Z]|[,.;:!?][À-ÿœ]+$|^[ùöôûîõïøåæ]$"
+_MISPLACED = re.compile(MISPLACED)
+
+
 def doc_words(text: str) -> list[str]:
     """The different words with non-ASCII characters, quoted sequences left out."""
     return [w for w in dict.fromkeys(_PIECE.findall(text)) if not quoted(w)]
@@ -197,7 +203,7 @@ class Restorer:
                     good += (1.0 if promising(u) else -2.0) + (0.5 if bare(u) in known else 0.0)
                 elif bare(w) not in known and bare(u) in known:
                     good += 1.0
-                elif bare(w) not in known and bare(u).isascii():
+                elif _MISPLACED.search(bare(w)) and bare(u).isascii():
                     good += 0.5  # only quotation marks or dashes were garbled
             if c[0] != "utf-8" and good < (2 if any(bare(w) in known for w in words) else 1):
                 continue  # beside clean words, one word could be chance
@@ -308,7 +314,7 @@ def restore(documents: DataFrame) -> DataFrame:
     was = candidates(words, support).join(words.select(F.col("word").alias("was"), F.col("n").alias("was_n")), "was")
     was = cut_lineage(was.where("was_n >= 2").select("word", "n", "was", "was_n"))
     garbled = was.where("was_n >= 3 * n").select("word").distinct()
-    clean = words.where("n >= 2").join(garbled, "word", "left_anti").select(F.col("word").alias("known"))
+    clean = words.where((F.col("n") >= 2) & ~F.col("word").rlike(MISPLACED)).join(garbled, "word", "left_anti").select(F.col("word").alias("known"))
     helps = was.select("word", F.col("was").alias("known")).union(clean.select(F.col("known").alias("word"), "known")).join(clean, "known", "left_semi")
 
     def spread():
