@@ -2,4 +2,25 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+# Keys as they are compared: no outer blanks, no case; blank is null.
+KEY = "nullif(lower(regexp_replace({}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), '')"
+_TOKEN = r"(?:[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}])[\s\p{Z}]*"
+
+SQL: dict[str, str] = {
+    "p1_found": f"""with recursive c as (select distinct {KEY.format('run_id')} as run, nullif(lower(ltrim(regexp_replace(contributor, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), '@')), '') as who from runs),
+        r as (select distinct record_id, cohort_id, {KEY.format('run_id')} as run, {KEY.format('prompt_id')} as prompt from corpus_records),
+        k as (select record_id, cohort_id, 'run ' || run as node from r join split_manifest using (cohort_id) where group_unit like '%run_id%' and run is not null
+            union select record_id, cohort_id, 'prompt ' || prompt from r join split_manifest using (cohort_id) where group_unit like '%prompt_id%' and prompt is not null
+            union select record_id, cohort_id, 'who ' || who from r join split_manifest using (cohort_id) join c using (run) where group_unit like '%contributor%' and who is not null),
+        e as (select distinct a.cohort_id, a.node as x, b.node as y from k a join k b using (record_id, cohort_id)),
+        t as (select cohort_id, x, y from e union select t.cohort_id, t.x, e.y from t join e on e.cohort_id = t.cohort_id and e.x = t.y),
+        m as (select cohort_id, x as node, min(y) as root from t group by 1, 2),
+        g as (select distinct cohort_id, record_id, root from k join m using (cohort_id, node)),
+        f as (select record_id, min(record_id) over (partition by cohort_id, root) as first_record_id from g)
+        select first_record_id, record_id from f where record_id <> first_record_id""",
+    "p3_found": f"""with k as (select record_id, regexp_extract_all(text, '{_TOKEN}') as k from (select distinct record_id, text from corpus_records where text is not null)),
+        b as (select record_id, len(k) as n, list_filter(range(1, len(k)), lambda i: regexp_matches(k[i], '[\\r\\n]') or (k[i][1] in ('.', '!', '?') and len(k[i]) > 1)) as cuts from k),
+        w as (select distinct record_id, window_no, greatest(coalesce(token_start, 0), 0) as s, least(coalesce(token_end, n), n) as e, cuts from token_windows join b using (record_id)),
+        g as (select record_id, window_no, list_concat([s], list_filter(cuts, lambda c: c > s and c < e), [e]) as g from w where e - s > 256)
+        select distinct record_id, window_no, case when list_max(list_transform(range(1, len(g)), lambda i: g[i + 1] - g[i])) > 256 then 'forced' else 'boundary' end as cut from g""",
+}
