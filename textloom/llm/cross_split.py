@@ -102,12 +102,13 @@ def index_records(records: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def candidate_pairs(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(eval_id, train_id)`` of representatives that share a band key, fit in size and agree in
     their sketches."""
-    rows = reps.select("record_id", "train", "n", F.posexplode("bands").alias("band", "k")).select((F.shiftleft(F.col("band").cast("bigint"), 32) + F.col("k").cast("bigint")).alias("k"), "record_id", "n", "train")
-    e = rows.where("not train").select("k", F.col("record_id").alias("eval_id"), F.col("n").alias("eval_n"))
-    t = rows.where("train").select("k", F.col("record_id").alias("train_id"), F.col("n").alias("train_n"))
-    pairs = e.join(t, "k").where(F.least("eval_n", "train_n") >= F.lit(similarity) * F.greatest("eval_n", "train_n")).select("eval_id", "train_id").distinct()
-    sk = reps.select("record_id", "sketch")
-    pairs = pairs.join(sk.withColumnsRenamed({"record_id": "eval_id", "sketch": "eval_sketch"}), "eval_id").join(sk.withColumnsRenamed({"record_id": "train_id", "sketch": "train_sketch"}), "train_id")
+    rows = reps.select("record_id", "train", F.posexplode("bands").alias("band", "k")).select((F.shiftleft(F.col("band").cast("bigint"), 32) + F.col("k").cast("bigint")).alias("k"), "record_id", "train")
+    e = rows.where("not train").select("k", F.col("record_id").alias("eval_id"))
+    t = rows.where("train").select("k", F.col("record_id").alias("train_id"))
+    pairs = e.join(t, "k").select("eval_id", "train_id").distinct()
+    sk = reps.select("record_id", "n", "sketch")
+    pairs = pairs.join(sk.withColumnsRenamed({"record_id": "eval_id", "n": "eval_n", "sketch": "eval_sketch"}), "eval_id").join(sk.withColumnsRenamed({"record_id": "train_id", "n": "train_n", "sketch": "train_sketch"}), "train_id")
+    pairs = pairs.where(F.least("eval_n", "train_n") >= F.lit(similarity) * F.greatest("eval_n", "train_n"))
 
     def alike(batches):
         import pyarrow as pa
@@ -124,11 +125,12 @@ def candidate_pairs(reps: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def run_sets(records: DataFrame) -> DataFrame:
-    """``(record_id, runs)``: the sorted 64-bit hashes of each record's word runs, as bytes."""
+    """``(record_id, runs)``: the sorted 32-bit hashes of each record's word runs, as bytes: half the
+    room in the joins, and two records of 200 runs share one by chance in 1 of 100,000 pairs."""
 
     def make():
         hasher = Hasher()
-        return lambda ids, texts: (ids, [hasher.runs(folded_words(t)).tobytes() for t in texts])
+        return lambda ids, texts: (ids, [np.unique((hasher.runs(folded_words(t)) >> _U(32)).astype(np.uint32)).tobytes() for t in texts])
 
     return map_rows(records.select("record_id", "text"), ["record_id", "text"], make, "record_id bigint, runs binary")
 
@@ -142,7 +144,7 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         def work(es, ts, xs, ys):
             sims, cons = [], []
             for a, b in zip(xs, ys):
-                a, b = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+                a, b = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 sims.append(both / (len(a) + len(b) - both))
                 cons.append(both / len(a))
@@ -165,18 +167,19 @@ def cross_split_pairs(records: DataFrame, similarity: float = SIMILARITY, min_wo
     fewer than ``min_words`` words, are in no pair; a record delivered twice counts once.
     """
     index = cut_lineage(index_records(records, min_words))
-    members = index.select("record_id", "train", "runs").dropDuplicates(["record_id"])
+    # A record delivered twice is there twice, which the last aggregation mends at the least cost.
+    members = index.select("record_id", "train", "runs")
     low = members.groupBy("runs", "train").agg(F.min("record_id").alias("rep"), F.count("*").alias("copies"))
     others = members.join(low.where("copies > 1"), ["runs", "train"]).where("record_id <> rep").select("record_id")
-    reps = only_ids(index, others, "record_id", "left_anti").dropDuplicates(["record_id"])
+    reps = only_ids(index, others, "record_id", "left_anti")
     pairs = cut_lineage(candidate_pairs(reps, similarity))
     wanted = pairs.select(F.col("eval_id").alias("record_id")).union(pairs.select("train_id"))
     texts = only_ids(records.select("record_id", "text").where("text is not null"), wanted, "record_id", "left_semi")
-    near = measured(pairs, run_sets(texts).dropDuplicates(["record_id"])).where(F.col("similarity") >= similarity)
+    near = measured(pairs.distinct(), run_sets(texts).dropDuplicates(["record_id"])).where(F.col("similarity") >= similarity)
     of_rep = members.join(low, ["runs", "train"]).select("record_id", "rep")
     near = near.join(of_rep.withColumnsRenamed({"rep": "eval_id", "record_id": "eval_record"}), "eval_id").join(of_rep.withColumnsRenamed({"rep": "train_id", "record_id": "train_record"}), "train_id")
     near = near.select(F.col("eval_record").alias("eval_id"), F.col("train_record").alias("train_id"), "similarity", "containment")
-    c = classes_of(index.select("record_id", "train", "plain", "by_fields").dropDuplicates(["record_id"]), "train")
+    c = classes_of(index.select("record_id", "train", "plain", "by_fields"), "train")
     same = c.where("not train").select("class_id", F.col("record_id").alias("eval_id")).join(c.where("train").select("class_id", F.col("record_id").alias("train_id")), "class_id")
     none = F.lit(None).cast("double")
     return near.union(same.select("eval_id", "train_id", none, none)).groupBy("eval_id", "train_id").agg(F.max("similarity").alias("similarity"), F.max("containment").alias("containment"))
