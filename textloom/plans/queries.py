@@ -455,7 +455,7 @@ def logistic_coefficients(spark, d):
 @query
 def feature_inflation(spark, d):
     x = ["long_words", "unique_ratio", "sentence_len_mean", "mean_word_length", "word_length_var", "token_entropy", "log_words"]
-    v = statistics.vif(features.extract(docs(spark, d, "text", "kind")), x)
+    v = statistics.vif(cut_lineage(features.extract(docs(spark, d, "text", "kind")).select(*x)), x)
     return spark.createDataFrame([(k, round(a, 3)) for k, a in v.items()], "feature string, inflation double")
 
 
