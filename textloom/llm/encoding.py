@@ -335,7 +335,7 @@ def restore(documents: DataFrame) -> DataFrame:
 
         return work
 
-    each = map_rows(docs, ["doc_id", "text"], spread, "doc_id bigint, word string, odd boolean")
+    each = cut_lineage(map_rows(docs, ["doc_id", "text"], spread, "doc_id bigint, word string, odd boolean"))
     masks = words.where("n >= 2").select(F.regexp_replace("word", r"[^\x00-\x7f]", "?").alias("word")).where(F.length(F.regexp_replace("word", "[^a-zA-Z]", "")) >= 2).distinct()
     asked = each.where("odd is null").join(masks, "word", "left_semi").select("doc_id", F.lit(True).alias("asked"))
     odd = each.where("odd").select("doc_id", F.lit(False).alias("asked")).union(each.where("odd is not null").join(garbled, "word", "left_semi").select("doc_id", F.lit(False)))
