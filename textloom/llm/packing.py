@@ -145,8 +145,9 @@ def pack_items(sizes: DataFrame, packs: dict[str, list[int]]) -> DataFrame:
         histogram.setdefault(r["pack"], {})[r["len"]] = r["n"]
     keys, rows = [], []
     for p, h in histogram.items():
-        by, _ = slots(best_fit(h, packs[names[p]]))
-        by[0] = [(0, 0, max(h.get(0, 0), 1), 0, min(packs[names[p]]))]
+        groups = best_fit(h, packs[names[p]])
+        by, _ = slots(groups)
+        by[0] = [(0, 0, max(h.get(0, 0), 1), 0, groups[0].capacity if groups else min(packs[names[p]]))]
         for size, ranges in sorted(by.items()):
             for first, base, each, at, capacity in ranges:
                 keys.append(((p << 32 | size) << 64) + first)
