@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import map_rows
+from textloom.llm.language import FUNCTION_WORDS
 
 #: Share of a passage's weight that exemplars of one class must cover.
 COVERAGE = 0.7
@@ -97,6 +98,8 @@ for _class, _texts in EXEMPLARS.items():
             INDEX.setdefault(_w, []).append((_class, _i))
 CLASSES = frozenset({"num", "status", "hexid"})
 VOCABULARY = frozenset(INDEX) - CLASSES
+#: Function words; to those that tell languages apart come pronouns, auxiliaries and what apostrophes leave.
+FUNCTION = frozenset(w for v in FUNCTION_WORDS.values() for w in v.split()).union("you our don t s d n does must need needs most too while here hier ici aqui aquí votre uw ihrem diese doit moet debe à".split())
 
 
 #: Marks and words that stand for no answer.
@@ -151,14 +154,14 @@ class Detector:
 
     def __init__(self, idf: dict[str, float], unknown: float, coverage: float = COVERAGE):
         self.idf, self.unknown, self.coverage = idf, unknown, coverage
-        # Terms that are rare in the corpus and so can bring up an exemplar; a passage without any
-        # has not the weight to be covered by one.
-        self.rare = frozenset(t for t in VOCABULARY if idf.get(t, unknown) >= 0.45 * unknown)
+        # A term that all records have weighs next to nothing, but a passage of such terms can be covered.
+        self.weight = {t: max(idf.get(t, unknown), 1e-9) for t in {*VOCABULARY, *CLASSES}}
+        self.rare = frozenset(t for t in VOCABULARY if self.weight[t] >= 0.45 * unknown)
 
     def best(self, ts: list[str]) -> tuple[str | None, float]:
         """Class of the exemplar that covers most of the terms' weight, and the share that it and
         the next best seven of its class cover together."""
-        weight = {t: self.idf.get(t, self.unknown) for t in ts}
+        weight = {t: self.weight.get(t, self.unknown) for t in ts}
         score: dict = {}
         for t, w in weight.items():
             for e in INDEX.get(t, ()):
@@ -173,6 +176,12 @@ class Detector:
             return None, s / total
         near = sorted((e for e in score if e[0] == c), key=lambda e: (-score[e], e))[:8]
         covered = set().union(*(EXEMPLARS[c][k].split() for _, k in near))
+        if "status" not in weight and self.rare.isdisjoint(weight):
+            # Every known term is common here, be it a function word or the words of a notice that
+            # many records have: function words don't make a message, so the others must fit too.
+            told = [t for t in weight if t not in FUNCTION]
+            if CLASSES.issuperset(told) or sum(t in covered for t in told) < self.coverage * len(told):
+                return None, 0.0
         both = sum(w for t, w in weight.items() if t in covered)
         return c, both / total
 
@@ -186,15 +195,20 @@ class Detector:
                 return False
         return not _ABOUT.search(bare)
 
-    def at(self, low: str, hits: set[str]) -> list[int]:
-        """Where the terms stand in a text in lower case."""
-        out = []
-        for h in hits:
-            i = low.find(h)
-            while i >= 0:
-                out.append(i)
-                i = low.find(h, i + len(h))
-        return out
+    def may_be_covered(self, passage: str) -> bool:
+        """Whether terms that exemplars have could reach ``coverage`` of the passage's weight: no
+        passage that ``best`` would find covered fails this. Words with digits count as such terms."""
+        words = set(_TOKEN.findall(passage.lower()))
+        known = words & INDEX.keys()
+        other = words - known
+        if _DIGIT.search(passage):
+            digits = {w for w in other if not w.isalpha()}
+            known |= {term(w) for w in digits}
+            other -= digits
+        if not known:
+            return False
+        most = sum([self.weight.get(t, self.unknown) for t in known])
+        return most >= self.coverage * (most + self.unknown * len(other)) - 1e-9
 
     def kind(self, text: str | None, code: bool = False) -> str | None:
         """``placeholder``, ``filler``, ``error`` or ``script`` if the text has residue, else None."""
@@ -208,13 +222,12 @@ class Detector:
             for a, b in holding(spans, slots):
                 if self.slot(text[a:b], code):
                     return "placeholder"
-        low = text.lower()
-        hits = known_terms(low) & self.rare
-        places = [m.start() for m in _STATUS.finditer(text)] if _DIGIT.search(text) else []
-        if not hits and not places:
+        if not known_terms(text.lower()) and not (_DIGIT.search(text) and _STATUS.search(text)):
             return None
         spans = spans or passages(text)
-        for a, b in holding(spans, self.at(low, hits) + places) if len(low) == len(text) else spans:
+        for a, b in spans:
+            if not self.may_be_covered(text[a:b]):
+                continue
             ts = terms(text[a:b])
             c, s = self.best(ts)
             if c and s >= self.coverage and (len(ts) > 1 or len(spans) == 1) and not (code and len(spans) > 1 and _CODE_LINE.search(text[a:b].rstrip("\n"))):
@@ -255,8 +268,8 @@ def find_residue(records: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """``(record_id, residue)`` of each record whose text is or holds an unfilled placeholder,
     ``filler``, an ``error`` message or a notice that ``script``s are needed.
 
-    Each passage (sentence or line) brings up the exemplars that share rare terms with it through
-    an inverted index; it is residue if the exemplars of one class that fit best cover at least
+    Each passage (sentence or line) whose known terms could reach ``coverage`` brings up the
+    exemplars that share terms with it through an inverted index; it is residue if the exemplars of one class that fit best cover at least
     ``coverage`` of its TF-IDF weight. Placeholders are read by their marks, except in code
     proper, in literals of code and in passages that speak of templates. Texts go through whole;
     null, blank and stand-in texts have no residue; a record delivered twice counts once.
