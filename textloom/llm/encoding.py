@@ -119,6 +119,17 @@ def plausible(run: str) -> bool:
     return all(c.isalpha() and ord(c) < 0x250 and c not in "ƒªº" or c in "“”‘’«»„‚—–…€£§°¿¡· †‡•©®™½¼¾²³ºª´×÷" for c in run)
 
 
+_NATURAL = re.compile(r"[À-ÖØ-öø-ÿŒœ]+|’")
+_INNER_CAPITAL = re.compile(r"[a-zß-öø-ÿœ][À-ÖØ-ÞŒ]")
+
+
+@lru_cache(maxsize=100_000)
+def natural(word: str) -> bool:
+    """Whether a word without the marks around it is written as words of the Western languages are:
+    their letters, no capital after a small letter, no other mark inside."""
+    return all(_NATURAL.fullmatch(r) for r in runs(word)) and not _INNER_CAPITAL.search(word)
+
+
 def quoted(word: str) -> bool:
     """Whether the word only shows a sequence: nothing but non-ASCII characters between quotation
     marks or brackets."""
@@ -278,23 +289,24 @@ def learned(words: DataFrame) -> dict[tuple[str, str], int]:
 
 
 def candidates(words: DataFrame, support: dict[tuple[str, str], int]) -> DataFrame:
-    """``(word, n, was)``: what each word may have been before one or two of the transformations."""
+    """``(word, n, was, odd, was_odd)``: what each word may have been before one or two of the
+    transformations, and which of both no language writes so."""
     order = Restorer(support).order
 
     def make():
         def work(ws, ns):
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], [], [], [], []]
             for w, n in zip(ws, ns):
                 once = {u for c in order if (u := undo_word(w, c)) != w}
                 twice = {u for x in once if suspicious(x) for c in order if c[0] == "utf-8" and (u := undo_word(x, c)) != x}
                 for u in {bare(u) for u in once | twice} - {w, ""}:
-                    for column, v in zip(out, (w, n, u)):
+                    for column, v in zip(out, (w, n, u, not natural(w), not natural(u))):
                         column.append(v)
             return out
 
         return work
 
-    return map_rows(words, ["word", "n"], make, "word string, n bigint, was string")
+    return map_rows(words, ["word", "n"], make, "word string, n bigint, was string, odd boolean, was_odd boolean")
 
 
 def restore(documents: DataFrame) -> DataFrame:
@@ -311,10 +323,15 @@ def restore(documents: DataFrame) -> DataFrame:
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     words = cut_lineage(words_of(docs))
     support = learned(words)
-    was = candidates(words, support).join(words.select(F.col("word").alias("was"), F.col("n").alias("was_n")), "was")
-    was = cut_lineage(was.where("was_n >= 2").select("word", "n", "was", "was_n"))
-    garbled = was.where("was_n >= 3 * n").select("word").distinct()
-    clean = words.where((F.col("n") >= 2) & ~F.col("word").rlike(MISPLACED)).join(garbled, "word", "left_anti").select(F.col("word").alias("known"))
+    made = cut_lineage(candidates(words, support))
+    was = made.join(words.select(F.col("word").alias("was"), F.col("n").alias("was_n")), "was")
+    was = cut_lineage(was.where("was_n >= 2").select("word", "n", "was", "was_n", "odd", "was_odd"))
+    # A word that no language writes so is garbled if what it was is attested, however many documents
+    # have it; between words of the same look, and only there, the frequencies decide.
+    plain = was.where("odd and not was_odd").select("word").distinct()
+    garbled = cut_lineage(was.where("was_n >= 3 * n").join(plain.select(F.col("word").alias("was")), "was", "left_anti").select("word").union(plain).distinct())
+    unknown = garbled.union(made.where("odd and not was_odd").select("word")).distinct()
+    clean = words.where((F.col("n") >= 2) & ~F.col("word").rlike(MISPLACED)).join(unknown, "word", "left_anti").select(F.col("word").alias("known"))
     helps = was.select("word", F.col("was").alias("known")).union(clean.select(F.col("known").alias("word"), "known")).join(clean, "known", "left_semi")
 
     def spread():
