@@ -105,12 +105,19 @@ def isotonic_knots(df: DataFrame, y: str = "y", p: str = "p", bins: int = 1000)
 
 
 def interpolate(p: Column, knots: list[tuple[float, float]]) -> Column:
-    """Linear between the knots, flat outside, held to [1e-6, 1 - 1e-6]."""
-    out = F.lit(knots[0][1])
-    for (x0, y0), (x1, y1) in zip(knots, knots[1:]):
-        slope = (y1 - y0) / (x1 - x0) if x1 > x0 else 0.0
-        out = F.when(p >= x0, y0 + (F.least(p, F.lit(x1)) - x0) * slope).otherwise(out)
-    return clip(out)
+    """Linear between the knots, flat outside, held to [1e-6, 1 - 1e-6]. The knots are sorted, so each
+    row finds its place by bisection, whatever their number."""
+    n, xs, ys = len(knots), F.lit([float(x) for x, _ in knots]), F.lit([float(y) for _, y in knots])
+    steps = F.lit([1 << k for k in reversed(range(n.bit_length()))])
+    # How many knots are at or below p.
+    place = F.aggregate(steps, F.lit(0), lambda i, s: F.when((i + s <= n) & (F.get(xs, i + s - 1) <= p), i + s).otherwise(i))
+
+    def value(i):
+        x0, y0, x1, y1 = F.get(xs, i - 1), F.get(ys, i - 1), F.get(xs, i), F.get(ys, i)
+        between = y0 + F.when(x1 > x0, (p - x0) * (y1 - y0) / (x1 - x0)).otherwise(0.0)
+        return F.when(i == 0, F.lit(float(knots[0][1]))).when(i == n, F.lit(float(knots[-1][1]))).otherwise(between)
+
+    return clip(F.get(F.transform(F.array(place), value), 0))
 
 
 def centroids(df: DataFrame, vector: str, label: str) -> DataFrame:
