@@ -68,13 +68,20 @@ def mix_words(human: Column, ai: Column, rate: Column, suffix: bool = False) ->
     return F.concat(own, new) if suffix else F.concat(new, own)
 
 
-def prompt_pairs(df: DataFrame, group: Column, id_: str = "record_id") -> DataFrame:
-    """``(group, human_id, ai_id)``: of each group and kind, every AI row with one human row, chosen by
-    rank in turn, so a group of any size gives no more pairs than it has rows."""
-    d = df.withColumn("_g", group).where("_g is not null")
-    human = d.where("label = 0").select("_g", "kind", F.col(id_).alias("human_id"), F.row_number().over(W.partitionBy("_g", "kind").orderBy(id_)).alias("_r"))
-    ai = d.where("label = 1").select("_g", "kind", F.col(id_).alias("ai_id"), F.row_number().over(W.partitionBy("_g", "kind").orderBy(id_)).alias("_r"))
-    return human.join(ai, ["_g", "kind", "_r"]).select(F.col("_g").alias("group"), "kind", "human_id", "ai_id")
+def prompt_pairs(df: DataFrame, group: Column, id_: str = "record_id", once: bool = False) -> DataFrame:
+    """``(group, kind, human_id, ai_id)``: of each group and kind that has both labels, every row with one
+    of the other label, chosen by rank in turn: the smaller side starts anew when it is used up. So a
+    group gives as many pairs as its larger side has rows, not all that could be formed. With ``once``
+    the turn ends with the smaller side, and what the larger has beyond it is in no pair."""
+    d = df.withColumn("_g", group).where("_g is not null and label in (0, 1)")
+    n = d.groupBy("_g", "kind").agg(F.sum(1 - F.col("label")).alias("_h"), F.sum("label").alias("_a")).where("_h > 0 and _a > 0")
+    pairs = F.least("_h", "_a") if once else F.greatest("_h", "_a")
+    rank = F.row_number().over(W.partitionBy("_g", "kind", "label").orderBy(id_)).cast("bigint")
+    d = d.select("_g", "kind", "label", id_, rank.alias("_r")).join(n, ["_g", "kind"]).withColumn("_n", pairs).where("_r <= _n")
+    # A row stands at its rank and every so many places further; places are distinct on both sides.
+    d = d.withColumn("_k", F.explode(F.sequence("_r", "_n", F.when(F.col("label") == 0, F.col("_h")).otherwise(F.col("_a")))))
+    side = lambda label, name: d.where(F.col("label") == label).select("_g", "kind", "_k", F.col(id_).alias(name))
+    return side(0, "human_id").join(side(1, "ai_id"), ["_g", "kind", "_k"]).select(F.col("_g").alias("group"), "kind", "human_id", "ai_id")
 
 
 def transport_cells(df: DataFrame, cohort: str, y: str = "y", p: str = "p") -> DataFrame:

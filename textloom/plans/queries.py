@@ -279,6 +279,13 @@ def balanced_folds(spark, d):
 
 @query
 def prompt_pairs(spark, d):
+    r = table(spark, d, "corpus_records").select("record_id", "prompt_id", "kind", "label").distinct()
+    return evidence.prompt_pairs(r, key("prompt_id"), once=True)  # as its SQL has it
+
+
+@query
+def prompt_pairs_all_rows(spark, d):
+    """Pairs in which every row of a prompt and kind with both labels stands."""
     r = table(spark, d, "corpus_records").select("record_id", "prompt_id", "kind", "label").distinct()
     return evidence.prompt_pairs(r, key("prompt_id"))
 
