@@ -79,6 +79,14 @@ def test_packing_rows(spark):
     assert packing.pack_items(df.limit(0), {"one": [64]}).count() == 0
 
 
+def test_all_capacities_together(spark):
+    assert packing.joint_name({"a": 1}) == "joint" and packing.joint_name({"joint": 1}) == "joint+"
+    docs = spark.createDataFrame([(i, "word " * (i % 40)) for i in range(80)], "doc_id bigint, text string")
+    packs = spark.createDataFrame([("small", 16), ("large", 64), (None, 8)], "pack_name string, capacity_tokens int")
+    used = {(r["pack_name"], r["capacity"]): r["used_share"] for r in packing.usage(packing.pack_documents(docs, packs)).collect()}
+    assert {k for k, _ in used} == {"small", "large", "joint"} and {c for k, c in used if k == "joint"} <= {16, 64}
+
+
 def test_thresholds_hit_the_rate():
     tokens = {s: 10 for s in range(mixing.STEPS)}
     have = sum(tokens.values())

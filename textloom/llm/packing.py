@@ -109,10 +109,11 @@ def slots(groups: list[Group]) -> tuple[dict[int, list[tuple[int, int, int, int,
     return out, base
 
 
-def cut(sizes: DataFrame, packs: DataFrame) -> DataFrame:
-    """Items by pack: whole documents, or the full pieces and the rest of one above the capacity."""
+def cut(sizes: DataFrame, largest: list[int]) -> DataFrame:
+    """Items by pack (its number in ``largest``): whole documents, or the full pieces and the rest of
+    one above the capacity."""
     n, c = F.col("n_tokens"), F.col("largest")
-    p = sizes.join(packs, F.lit(True))  # a few rows of packs, each needs all documents
+    p = sizes.select("*", F.posexplode(F.array(*map(F.lit, largest))).alias("pack", "largest"))
     p = p.withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(n / c) - 1, F.lit(0)).cast("int"))))
     start = F.col("piece_no") * c
     return p.select("pack", "doc_id", "piece_no", start.cast("bigint").alias("token_start"), F.least(n, start + c).cast("bigint").alias("token_end")).withColumn("len", (F.col("token_end") - F.col("token_start")).cast("int"))
@@ -135,10 +136,9 @@ def pack_items(sizes: DataFrame, packs: dict[str, list[int]]) -> DataFrame:
     spark = sizes.sparkSession
     names = list(packs)
     largest = [max(packs[p]) for p in names]
-    table = spark.createDataFrame([(i, c) for i, c in enumerate(largest)], "pack int, largest int")
     n_docs = sizes.count()
     buckets = max(1, math.ceil(n_docs / BUCKET_ITEMS))
-    items = cut(sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")), table).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(buckets)).cast("int"))
+    items = cut(sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")), largest).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(buckets)).cast("int"))
     counts = items.groupBy("pack", "len", "bucket").agg(F.count("*").alias("n"))
     histogram: dict[int, dict[int, int]] = {}
     for r in counts.groupBy("pack", "len").agg(F.sum("n").alias("n")).collect():
@@ -153,16 +153,20 @@ def pack_items(sizes: DataFrame, packs: dict[str, list[int]]) -> DataFrame:
                 keys.append(((p << 32 | size) << 64) + first)
                 rows.append((first, base, each, at, capacity, size))
     order = sorted(range(len(keys)), key=keys.__getitem__)
-    keys, rows = [keys[i] for i in order], np.array([rows[i] for i in order], dtype=np.int64).reshape(len(rows), 6)
+    # One row per length and group of like containers: no more than the lengths that a container can
+    # hold allow, whatever the number of documents.
+    plan = spark.sparkContext.broadcast(([keys[i] for i in order], np.array([rows[i] for i in order], dtype=np.int64).reshape(len(rows), 6)))
     before = counts.withColumn("before", F.sum("n").over(W.partitionBy("pack", "len").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)))
     ranked = items.withColumn("rn", F.row_number().over(W.partitionBy("pack", "len", "bucket").orderBy("doc_id", "piece_no")))
     ranked = ranked.join(before.select("pack", "len", "bucket", F.coalesce("before", F.lit(0)).alias("before")), ["pack", "len", "bucket"])
     ranked = ranked.select("pack", "doc_id", "piece_no", "token_start", "token_end", "len", (F.col("before") + F.col("rn") - 1).cast("bigint").alias("rank"))
 
     def make():
-        def work(ps, docs, pieces, froms, tos, lens, ranks):
-            from bisect import bisect_right
+        from bisect import bisect_right
+
+        keys, rows = plan.value
 
+        def work(ps, docs, pieces, froms, tos, lens, ranks):
             places = [bisect_right(keys, ((p << 32 | size) << 64) + r) - 1 for p, size, r in zip(ps, lens, ranks)]
             t, r = rows[places], np.array(ranks, dtype=np.int64)
             k = r - t[:, 0]
@@ -181,14 +185,28 @@ def read_packs(pack_sizes: DataFrame, most: int = 1000) -> dict[str, int]:
     return dict(sorted(map(tuple, rows)))
 
 
-def pack_documents(documents: DataFrame, pack_sizes: DataFrame, joint: bool = False, tokenizer: str = TOKENIZER) -> DataFrame:
-    """All documents in containers of each capacity of ``pack_sizes``; ``joint=True``: in one set of
-    containers of any of these capacities, opened and downsized as costs least."""
+JOINT = "joint"
+
+
+def pack_documents(documents: DataFrame, pack_sizes: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """All documents in containers of each capacity of ``pack_sizes`` alone, and, as the pack ``joint``, in
+    one set of containers of any of these capacities, opened and downsized as costs least. A pack of
+    that name in ``pack_sizes`` makes the other ``joint+``."""
     sizes = token_sizes(documents.where("doc_id is not null"), tokenizer)
     from textloom.session import cut_lineage
 
     caps = read_packs(pack_sizes)
-    return pack_items(cut_lineage(sizes), {"joint": sorted(caps.values())} if joint else {k: [v] for k, v in caps.items()})
+    packs = {k: [v] for k, v in caps.items()}
+    if caps:
+        packs[joint_name(caps)] = sorted(set(caps.values()))
+    return pack_items(cut_lineage(sizes), packs)
+
+
+def joint_name(packs) -> str:
+    name = JOINT
+    while name in packs:
+        name += "+"
+    return name
 
 
 def usage(packed: DataFrame) -> DataFrame:
