@@ -38,6 +38,14 @@ def test_formatting_classes(spark):
     assert canonical.formatting_pairs(df.limit(0)).count() == 0
 
 
+def test_equal_digests_of_different_records_are_told_apart(spark):
+    t = "one two three"
+    d = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "a", "f"), (4, "b", "f"), (5, "c", "f")], "record_id bigint, plain string, by_fields string")
+    texts = spark.createDataFrame([(1, t), (2, t.upper() + "!"), (3, "x: 1\ny: 2"), (4, "Y: 2\nX: 1"), (5, "x: 2\ny: 1")], "record_id bigint, text string")
+    classes = {r["record_id"]: r["class_id"] for r in canonical.classes_of(canonical.confirmed(d, texts)).collect()}
+    assert classes[1] == classes[2] and classes[3] == classes[4] and len({classes[i] for i in (1, 3, 5)}) == 3
+
+
 def runs(t):
     w = WORDS.findall(t.casefold())
     return {tuple(w[i : i + 3]) for i in range(len(w) - 2)}

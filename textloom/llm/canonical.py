@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import WORD, map_rows
 from textloom.llm.components import hash_to_min
+from textloom.session import cut_lineage
 
 MIN_WORDS = 30
 
@@ -113,17 +114,65 @@ def classes_of(digested: DataFrame, *carry: str) -> DataFrame:
     return tagged.join(comp, "node", "left").select("record_id", F.coalesce("component", "node").alias("class_id"), *carry)
 
 
+def sorted_form(node):
+    """A nested record in the form that ``merkle`` digests: what is equal in this form is the same
+    record, whatever the digests say."""
+    if isinstance(node, Pairs):
+        return "object", sorted(((letters(k), sorted_form(v)) for k, v in node), key=repr)
+    if isinstance(node, list):
+        return "list", [sorted_form(v) for v in node]
+    return "leaf", letters(node)
+
+
+def same_record(a: str, b: str, by_fields: bool) -> bool:
+    """Full comparison of two texts: their letters and digits in order, or their fields in any order."""
+    if not by_fields:
+        return "".join(folded_words(a)) == "".join(folded_words(b))
+    x, y = fields_of(a), fields_of(b)
+    return x is not None and y is not None and sorted_form(x) == sorted_form(y)
+
+
+def confirmed(digested: DataFrame, texts: DataFrame) -> DataFrame:
+    """``digested`` with the digests of those records made their own whose text isn't that of the
+    smallest record with the digest, when both are compared in full. Only texts of records that
+    share a digest are moved; the other side of the join has one row per digest, so the rows of a
+    digest that many records share can be split among tasks."""
+    marks = []
+    for column in ("plain", "by_fields"):
+        g = digested.where(F.col(column).isNotNull()).groupBy(column).agg(F.min("record_id").alias("low"), F.count("*").alias("n")).where("n > 1").select(column, "low")
+        marks.append(digested.join(g, column).where("record_id <> low").select("record_id", "low", F.lit(column == "by_fields").alias("fields")))
+    pairs = cut_lineage(marks[0].union(marks[1]))
+    wanted = pairs.select("record_id").union(pairs.select(F.col("low").alias("record_id"))).distinct()
+    t = cut_lineage(texts.join(wanted, "record_id", "left_semi").dropDuplicates(["record_id"]))
+    x = pairs.join(t, "record_id").join(t.select(F.col("record_id").alias("low"), F.col("text").alias("low_text")), "low")
+
+    def make():
+        def work(ids, fields, texts_, lows):
+            wrong = [(i, f) for i, f, a, b in zip(ids, fields, texts_, lows) if not same_record(a, b, f)]
+            return [i for i, _ in wrong], [f for _, f in wrong]
+
+        return work
+
+    wrong = map_rows(x, ["record_id", "fields", "text", "low_text"], make, "record_id bigint, fields boolean")
+    wrong = wrong.groupBy("record_id").agg(F.max(F.expr("not fields")).alias("_p"), F.max("fields").alias("_f"))
+    d = digested.join(wrong, "record_id", "left")
+    own = lambda c: F.concat(F.lit("!"), F.col(c), F.lit("!"), F.col("record_id").cast("string"))
+    return d.withColumn("plain", F.when(F.col("_p"), own("plain")).otherwise(F.col("plain"))).withColumn("by_fields", F.when(F.col("_f"), own("by_fields")).otherwise(F.col("by_fields"))).drop("_p", "_f")
+
+
 def formatting_classes(records: DataFrame, min_words: int = MIN_WORDS, nested: bool = False) -> DataFrame:
     """``(record_id, first_record_id, n_copies)`` of each record with at least ``min_words`` words.
 
     Two records are copies if their letters and digits, ignoring case and all else, are the same in
     the same order, or if both consist of named fields (lines ``name: value`` or a flat JSON
     object; ``nested=True`` takes nested objects, too) and have the same ones in any order; being a
-    copy carries on. Grouping is by 160-bit digests made from the leaves up, so that texts are
-    neither shuffled nor gathered, however many copies a group has. Null texts, null ids and short
-    texts are in no class; a record delivered twice counts once.
+    copy carries on. Records are grouped by 160-bit digests made from the leaves up; each that
+    shares a digest is then compared in full with the smallest record that has it, and one that
+    differs stands alone. Null texts, null ids and short texts are in no class; a record delivered
+    twice counts once.
     """
-    c = classes_of(record_digests(records, min_words, nested))
+    d = cut_lineage(record_digests(records, min_words, nested))
+    c = classes_of(confirmed(d, records.select("record_id", "text").where("record_id is not null and text is not null")))
     sizes = c.groupBy("class_id").agg(F.min("record_id").alias("first_record_id"), F.count("*").alias("n_copies"))
     return c.join(sizes, "class_id").select("record_id", "first_record_id", "n_copies")
 
@@ -133,6 +182,6 @@ def formatting_pairs(records: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     return formatting_classes(records, min_words).where("record_id <> first_record_id").select("first_record_id", "record_id")
 
 
-def collapsed(records: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def collapsed(records: DataFrame, min_words: int = MIN_WORDS, nested: bool = False) -> DataFrame:
     """One row per class with its number of copies."""
-    return formatting_classes(records, min_words).where("record_id = first_record_id").select("record_id", "n_copies")
+    return formatting_classes(records, min_words, nested).where("record_id = first_record_id").select("record_id", "n_copies")
