@@ -72,8 +72,9 @@ class Bounded(dict):
         return v
 
 
-#: Identifiers go to all tasks only up to this many (8 bytes each); beyond, they are joined.
-BROADCAST_IDS = 2_000_000
+#: Identifiers go to all tasks only up to this many: a relation of long keys takes about 50 bytes for
+#: each, so 10 MB; beyond, they are joined.
+BROADCAST_IDS = 200_000
 
 
 def only_ids(big: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:

@@ -146,13 +146,6 @@ class Profiles:
         return self.languages[int(d.argmin())], float(1 / e.sum())
 
 
-    def confidence(self, text: str, language: str) -> float:
-        """Confidence in a language, from the distances to all profiles."""
-        d = self.out_of_place(text)
-        e = np.exp(-40 * (d - d.min()))
-        return float(e[self.languages.index(language)] / e.sum())
-
-
 def evidence(p: Profiles, texts: list[str]) -> tuple[list[int], np.ndarray]:
     """Where each text's sentences begin in the result, and for all sentences of the batch, in
     order, what their words say for each language and, last, their number of words."""
@@ -192,7 +185,7 @@ def sentence_spans(p: Profiles, text: str) -> list[tuple[int, int]]:
 
 
 def segments(p: Profiles, scores: np.ndarray, least_words: int = 4, switch: float = 6.0, odds: float = 0.35) -> list[tuple[int, int, str]]:
-    """Maximal stretches ``(first sentence, end, language)`` of sentences in one language.
+    """Stretches ``(first sentence, end, language)`` of sentences that seem to be in one language.
 
     The best course of languages through the sentences (Viterbi): a sentence counts for a language
     by its words, a change costs ``switch``, and a sentence of fewer than ``least_words`` words,
@@ -222,6 +215,25 @@ def segments(p: Profiles, scores: np.ndarray, least_words: int = 4, switch: floa
     return [(a, b, p.languages[path[a]]) for a, b in zip(cuts, cuts[1:])]
 
 
+def stretches(p: Profiles, text: str, course: list[tuple[int, int, str]]) -> list[tuple[int, int, str, float]]:
+    """``(char start, end, language, confidence)`` of the text's stretches: each part of the ``course`` is
+    in the language whose profile is nearest by out-of-place distance; neighbours in one language
+    are one stretch. A part without n-grams of any profile keeps what the course says."""
+    if len(course) == 1:
+        cuts = [(0, len(text), course[0][2])]
+    else:
+        spans = sentence_spans(p, text)
+        cuts = [(spans[a][0], spans[b - 1][1], k) for a, b, k in course]
+    out: list[tuple[int, int, str, float]] = []
+    for a, b, k in cuts:
+        got, sure = p.language(text[a:b])
+        while out and out[-1][2] == (got or k):
+            a = out.pop()[0]
+            got, sure = p.language(text[a:b])
+        out.append((a, b, got or k, sure))
+    return out
+
+
 def fit_profiles(records: DataFrame, diagnostics: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = 2) -> Profiles:
     """Profiles of the languages from the function words and about ``sample_rows`` records of kind
     text, picked by a hash of their id: first by their labels, then by the language that the first
@@ -279,7 +291,7 @@ def main_languages(records: DataFrame, profiles: Profiles, min_words: int = MIN_
             out: list[list] = [[], [], []]
             for rid, t, a, b in zip(ids, texts, at, at[1:]):
                 if enough_words(t, min_words):
-                    found = segments(p, scores[a:b])
+                    found = stretches(p, t, segments(p, scores[a:b]))
                     for column, v in zip(out, (rid, len(found), found[0][2] if len(found) == 1 else None)):
                         column.append(v)
             return out
@@ -292,8 +304,9 @@ def main_languages(records: DataFrame, profiles: Profiles, min_words: int = MIN_
 def language_segments(records: DataFrame, profiles: Profiles, min_words: int = MIN_WORDS, keep=None) -> DataFrame:
     """``(record_id, segment_no, n_segments, language, confidence, char_start, char_end)``: the maximal
     stretches of consecutive sentences in one language of each record of kind text with at least
-    ``min_words`` words. The confidence comes from the distances of the stretch's most frequent
-    n-grams to the profiles. Null, short and code texts have no rows; a record delivered twice
+    ``min_words`` words. Language and confidence come from the out-of-place distances of the
+    stretch's most frequent n-grams to the profiles; where a text may change its language is found
+    by the sums of ``segments``. Null, short and code texts have no rows; a record delivered twice
     counts once. ``keep()``, made once per task, may turn texts down."""
     shared = records.sparkSession.sparkContext.broadcast(profiles)  # a few hundred n-grams per language
 
@@ -306,10 +319,9 @@ def language_segments(records: DataFrame, profiles: Profiles, min_words: int = M
             for rid, t, x, y in zip(ids, texts, at, at[1:]):
                 if not enough_words(t, min_words) or keeps and not keeps(t):
                     continue
-                found, spans = segments(p, scores[x:y]), sentence_spans(p, t)
-                for no, (a, b, language) in enumerate(found, 1):
-                    start, end = spans[a][0], spans[b - 1][1]
-                    for column, v in zip(out, (rid, no, len(found), language, p.confidence(t[start:end], language), start, end)):
+                found = stretches(p, t, segments(p, scores[x:y]))
+                for no, (start, end, language, sure) in enumerate(found, 1):
+                    for column, v in zip(out, (rid, no, len(found), language, sure, start, end)):
                         column.append(v)
             return out
 
