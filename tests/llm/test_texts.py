@@ -55,6 +55,16 @@ def test_segments(profiles):
         assert len(spans) == b - a and "".join(t[x:y] for x, y in spans) == t
 
 
+def test_stretches_take_the_nearest_profile(profiles):
+    text = EN * 3 + DE * 3
+    at, scores = language.evidence(profiles, [text])
+    got = language.stretches(profiles, text, language.segments(profiles, scores))
+    assert [(text[a:b].strip() == (EN * 3 if k == "en" else DE * 3).strip(), k) for a, b, k, _ in got] == [(True, "en"), (True, "de")]
+    # A course that is wrong about a language is put right, and what then is one language is one stretch.
+    assert [x[2] for x in language.stretches(profiles, EN * 4, [(0, 2, "nl"), (2, 4, "fr")])] == ["en"]
+    assert language.stretches(profiles, "12 34", [(0, 1, "es")])[0][2] == "es"
+
+
 def test_relabelled(spark, profiles):
     rows = [(1, EN * 3), (2, EN * 3), (3, EN * 3), (4, EN * 2 + DE * 2), (5, "Too short."), (6, None), (7, DE * 3), (7, DE * 3), (8, FR * 3)]
     labels = [(1, "en-GB"), (2, "de"), (3, None), (4, "EN"), (7, " German "), (5, None)]
@@ -84,6 +94,36 @@ def test_copies():
     assert not c(prompt, prompt + "\n\n" + PROSE) and not c(prompt, "Describe a verdict.") and not c("", "x")
 
 
+def test_copies_by_the_compressor_alone():
+    """Padding, marks and case don't hide a copy; a changed word, a part or an answer isn't one."""
+    c, prompt = pairs.CopyCheck(), "Explain in 120 words why the orchard matters to the river, and who keeps it."
+    assert c(prompt, "   " * 900 + prompt.upper() + "\n" * 50 + "*" * 3000) and c(prompt, "The question was: " + prompt.replace(" ", "  —  "))
+    assert not c(prompt, prompt.replace("orchard", "lighthouse")) and not c(prompt, prompt[:40]) and not c(prompt, prompt + " It matters since nobody else would ever water the trees in summer.")
+    assert c("Why?", "Why?") and not c("Why?", "Who?")
+
+
+def test_a_long_refusal():
+    assert pairs.refuses("I'm sorry, but I cannot help with that request. " * 60) and not pairs.refuses("I cannot help with that. " + PROSE * 40)
+
+
+def test_ends_are_judged_by_all_records(spark):
+    """A line that several records end with is no cut, also if each has it without a mark; a pair that
+    goes on in the other records is one."""
+    rows = [(i, PROSE + f"Number {i} is done.\n\nWarm greetings\nthe harbour office") for i in range(6)] + [(10, PROSE + "Nobody had opened")] + [(20 + i, PROSE * 2) for i in range(4)]
+    r = spark.createDataFrame([(i, "p", t, "text") for i, t in rows], "record_id bigint, prompt_id string, text string, kind string")
+    open_ = spark.createDataFrame([(i, *pairs.terminal_contexts(t)) for i, t in rows[:7]], "record_id bigint, one string, pair string, close string, line string")
+    assert [x["record_id"] for x in pairs.cut_off(open_, r).collect()] == [10]
+    assert pairs.cut_off(open_.limit(0), r).count() == 0
+
+
+def test_contexts_against_brute_force(spark):
+    texts = [PROSE, "One two.\nOne two three", "one two", "A b c.", "", None, "One two"]
+    r = spark.createDataFrame(list(enumerate(texts)), "record_id bigint, text string")
+    wanted = spark.createDataFrame([("two",), ("one two",), ("$ one two",), ("$$ one two",), ("$$ one two three",), ("missing",)], "context string")
+    got = {x["context"]: (x["ends"], x["goes_on"]) for x in pairs.context_counts(r, wanted).collect()}
+    assert got == {"two": (1, 1), "one two": (1, 1), "$ one two": (2, 0), "$$ one two": (0, 1), "$$ one two three": (1, 0)}
+
+
 def test_defects(spark, profiles):
     prompts = [("text-1", "Describe the harbour in 100 words."), ("Text-2", "Describe the harbour. Answer in German."), ("text-3", None)]
     good = PROSE * 3

@@ -4,19 +4,27 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from zlib import crc32
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.canonical import folded_words
 from textloom.llm.common import Bounded, key, map_rows
-from textloom.llm.language import FUNCTION_WORDS, Profiles, evidence, segments
+from textloom.llm.language import FUNCTION_WORDS, Profiles, enough_words, evidence, segments
 from textloom.llm.residue import Detector, is_stand_in, term_weights
+from textloom.session import cut_lineage
 
-#: Texts that the model of terminal contexts is fitted on.
-SAMPLE_ROWS = 6_000
 #: Words an answer may have before or after the prompt and still be only the prompt.
 INTRODUCTION = 6
+#: Bytes of a compressed answer for each introducing word, and what a copy may need beyond a text
+#: compressed with itself as dictionary.
+WORD_BYTES, SLACK_BYTES = 8, 4
+#: A shorter prompt takes as little room as a copy of it does, so its words are compared, too.
+SHORT_BYTES = 40
+#: Bits of the filter that lets terminal contexts through before the exact join: at most this many.
+MOST_BITS = 1 << 25
 
 # How a refusal is put, by language. A sentence that matches one of these declines.
 _REFUSALS = [
@@ -62,10 +70,8 @@ _NAMED = {
 _ASKED = re.compile("|".join(rf"(?P<{k}>\b(?:{v})\b)" for k, v in _NAMED.items()), re.IGNORECASE)
 
 
-def refuses(text: str, most_words: int = 70) -> bool:
+def refuses(text: str) -> bool:
     """Whether the whole answer declines: its sentences decline or go with that, and one declines."""
-    if len(text) > 12 * most_words:
-        return False
     most = 8 if len(text.split()) > 8 else 3
     found, rest = False, 0
     for m in _SENTENCE.finditer(text.replace("’", "'")):
@@ -86,31 +92,40 @@ _DICTIONARIES = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 
 
 class CopyCheck:
-    """Finds answers that are only the prompt: the answer, without case and punctuation, is
-    compressed with the prompt as zstandard dictionary, and what hardly takes room is a copy if at
-    most a few introducing words remain."""
+    """Finds answers that are only the prompt, by zstandard with a raw dictionary, on the folded words:
+    with the prompt as dictionary, the answer takes no more room than the matches and a few
+    introducing words; with the answer as dictionary, the prompt takes no more than the matches."""
 
     def __init__(self, limit: int = 5_000):
         self.ready: Bounded = Bounded(limit)
 
-    def __call__(self, prompt: str, answer: str) -> bool:
+    @staticmethod
+    def compressor(dictionary: str):
         import zstandard as z
 
+        d = z.ZstdCompressionDict(dictionary.encode() or b" ", dict_type=z.DICT_TYPE_RAWCONTENT)
+        return z.ZstdCompressor(level=19, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def __call__(self, prompt: str, answer: str) -> bool:
         got = self.ready.get(prompt)
         if got is None:
             words = folded_words(prompt)
             bare = " ".join(words)
-            d = z.ZstdCompressionDict(bare.encode() or b" ", dict_type=z.DICT_TYPE_RAWCONTENT)
-            got = self.ready.put(prompt, (words, bare, z.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
-        words, bare, compressor = got
-        if not words or len(answer) > 2 * len(prompt) + 200:
-            return False  # more than the prompt and an introduction
+            c = self.compressor(bare)
+            got = self.ready.put(prompt, (words, bare, c, len(c.compress(bare.encode()))))
+        words, bare, compressor, least = got
+        # An answer with more words than the prompt and an introduction says something of its own.
+        if not words or enough_words(answer, 2 * (len(words) + INTRODUCTION) + 1):
+            return False
         own = folded_words(answer)
+        if not own or len(own) > len(words) + INTRODUCTION:
+            return False
         text = " ".join(own)
-        # A copy needs a few bytes for its matches and those of the introduction.
-        if len(compressor.compress(text.encode())) > 24 + 8 * INTRODUCTION + max(0, len(text) - len(bare)):
+        if len(compressor.compress(text.encode())) > least + WORD_BYTES * INTRODUCTION:
+            return False
+        if len(self.compressor(text).compress(bare.encode())) > least + SLACK_BYTES:
             return False
-        return len(words) <= len(own) <= len(words) + INTRODUCTION and any(own[k : k + len(words)] == words for k in range(len(own) - len(words) + 1))
+        return len(bare) >= SHORT_BYTES or any(own[k : k + len(words)] == words for k in range(len(own) - len(words) + 1))
 
 
 _LAST_WORDS = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -118,46 +133,130 @@ _ENDS = ".!?…。"
 _CLOSERS = "\"'”’»)]}*_`~ \t\r\n ​‌‍﻿"
 
 
-class EndModel:
-    """How often texts go on, or end a sentence or line, after a word and after a pair of words."""
+#: A last line of at most so many pieces is looked up as a whole.
+LINE_PIECES = 6
 
-    def __init__(self, counts: dict[str, tuple[int, int]]):
-        self.counts = counts
 
-    @staticmethod
-    def contexts(text: str):
-        """Each word and pair of words with whether a sentence or line ends after it; the last pair of
-        the text, if no mark follows, as such."""
-        last = ""
-        for m in _LAST_WORDS.finditer(text):
-            w = m[0].casefold()
-            e = m.end()
+def terminal_contexts(text: str) -> tuple[str, str | None, str | None, str | None]:
+    """What an unmarked end is judged by: the last word, the last pair of words, that pair as the end
+    of a text, and the last line if it is short."""
+    s = text.rstrip(_CLOSERS)
+    words = _LAST_WORDS.findall(s)
+    w = words[-1].casefold()
+    pair = f"{words[-2].casefold()} {w}" if len(words) > 1 else None
+    pieces = s.rsplit("\n", 1)[-1].casefold().split()
+    line = f"$$ {' '.join(pieces)}" if "\n" in s and len(pieces) <= LINE_PIECES else None
+    return w, pair, pair and f"$ {pair}", line
+
+
+def seen_contexts(text: str, wanted) -> list[tuple[str, bool, bool]]:
+    """``(context, ends, final)`` of the text's contexts that ``wanted`` lets through: each word and
+    pair with whether a sentence or line ends after it, the last pair of a text without a mark, and
+    each line's first pieces with whether the line ends there."""
+    out, last = [], ""
+    for m in _LAST_WORDS.finditer(text):
+        w, e = m[0].casefold(), m.end()
+        if wanted(w):
             tail = text[e : e + 3]
+            pair = f"{last} {w}"
             # The end of a text without a mark may be a cut: it counts only if several texts end so.
-            ends = tail[:1] in ".!?…" and bool(tail) or "\n" in tail[:2] or "\r" in tail[:2]
-            if tail.strip(_CLOSERS):
-                yield w, ends
-                if last:
-                    yield f"{last} {w}", ends
-            else:
-                yield f"$ {last} {w}", True
-                line = text.rstrip(_CLOSERS).rsplit("\n", 1)
-                if len(line) > 1 and len(line[1].split()) <= 6:
-                    yield f"$$ {' '.join(line[1].casefold().split())}", True
-            last = w
-
-    def unfinished(self, words: list[str]) -> bool:
-        w = words[-1].casefold()
-        pair = self.counts.get(f"{words[-2].casefold()} {w}") if len(words) > 1 else None
-        one = self.counts.get(w, (0, 0))
-        ends, on = one
-        prior = (ends + 0.5) / (ends + on + 2.0)  # a word that never ends a sentence, or no known word
-        closes = self.counts.get(f"$ {words[-2].casefold()} {w}", (0, 0))[0] if len(words) > 1 else 0
-        if pair or closes > 2:
-            ends, on = pair or (0, 0)
-            ends += closes - 1 if closes > 2 else 0
-            prior = (ends + 2 * prior) / (ends + on + 2)
-        return prior < 0.3
+            if tail.strip(_CLOSERS) or text[e:].strip(_CLOSERS):
+                ends = tail[:1] in ".!?…" or "\n" in tail[:2] or "\r" in tail[:2]
+                out.append((w, ends, False))
+                if last and wanted(pair):
+                    out.append((pair, ends, False))
+            elif last and wanted(f"$ {pair}"):
+                out.append((f"$ {pair}", True, True))
+        last = w
+    lines = text.rstrip(_CLOSERS).casefold().split("\n")
+    for k, line in enumerate(lines):
+        pieces = line.split()
+        start = "$$"
+        for n, piece in enumerate(pieces[:LINE_PIECES], 1):
+            start += " " + piece
+            if k and wanted(start):
+                ends = n == len(pieces)
+                out.append((start, ends, ends and k == len(lines) - 1))
+    return out
+
+
+class Filter:
+    """A bitmap over hashes of the wanted contexts; it may let others through, never keeps one out."""
+
+    def __init__(self, bits: np.ndarray, n: int):
+        self.bits, self.mask, self.known = bits.tobytes(), n - 1, Bounded(300_000)
+
+    def __call__(self, context: str) -> bool:
+        got = self.known.get(context)
+        if got is None:
+            h = crc32(context.encode()) & self.mask
+            got = self.known.put(context, self.bits[h >> 3] >> (h & 7) & 1)
+        return got
+
+
+def context_filter(wanted: DataFrame) -> tuple[np.ndarray, int]:
+    """The bitmap of the contexts in ``wanted`` and its number of bits, at most ``MOST_BITS``; the
+    driver gets a row per 32 bits of it."""
+    n = 1 << 10
+    size = wanted.count()
+    while n < min(16 * size, MOST_BITS):
+        n *= 2
+    h = F.crc32(F.encode("context", "utf-8")).bitwiseAND(F.lit(n - 1))
+    rows = wanted.select(h.alias("h")).groupBy(F.shiftright("h", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 31 as int))")).alias("b")).toPandas()
+    words = np.zeros(n // 32, dtype="<u4")
+    words[rows["w"].to_numpy(dtype=np.int64)] = rows["b"].to_numpy(dtype=np.int64).astype("<u4")
+    return words, n
+
+
+def context_counts(records: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(context, ends, goes_on)`` of the wanted contexts over all records, counted in each task before
+    the shuffle. Texts that end so without a mark count once however many copies they have."""
+    shared = records.sparkSession.sparkContext.broadcast(context_filter(wanted))  # bounded by MOST_BITS
+
+    def make():
+        from xxhash import xxh64_intdigest
+
+        f = Filter(*shared.value)
+
+        def work(texts):
+            n: dict[tuple[str, int | None], list[int]] = {}
+            for t in texts:
+                for c, ends, final in seen_contexts(t, f):
+                    k = c, xxh64_intdigest(t) - (1 << 63) if final else None
+                    n.setdefault(k, [0, 0])[not ends] += 1
+            return [c for c, _ in n], [h for _, h in n], [v[0] for v in n.values()], [v[1] for v in n.values()]
+
+        return work
+
+    rows = map_rows(records.where("text is not null"), ["text"], make, "context string, h bigint, ends bigint, goes_on bigint")
+    rows = rows.groupBy("context", "h").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
+    rows = rows.groupBy("context").agg(F.sum(F.when(F.col("h").isNull(), F.col("ends")).otherwise(F.lit(1))).alias("ends"), F.sum("goes_on").alias("goes_on"))
+    return rows.join(wanted, "context", "left_semi")
+
+
+#: An end is a cut where sentences, lines or texts end so in less than this share of cases.
+LEAST_SHARE = 0.3
+#: After a word that ends a sentence in fewer cases than this, no text is finished, whatever its copies say.
+WORD_SHARE = 0.02
+
+
+def cut_off(open_: DataFrame, records: DataFrame) -> DataFrame:
+    """``(record_id)`` of the rows ``(record_id, one, pair, close, line)`` of ``open_`` whose end is a
+    cut, by how the same contexts go on in all records."""
+    roles = ("one", "pair", "close", "line")
+    long = open_.select("record_id", F.explode(F.array(*(F.struct(F.lit(k).alias("role"), F.col(k).alias("context")) for k in roles))).alias("x")).select("record_id", "x.*").where("context is not null")
+    counts = context_counts(records, cut_lineage(long.select("context").distinct()))
+    got = long.join(counts, "context", "left")
+    pick = lambda role, c: F.coalesce(F.max(F.when(F.col("role") == role, F.col(c))), F.lit(0))
+    g = got.groupBy("record_id").agg(*(pick(k, c).alias(f"{k}_{c}") for k in roles for c in ("ends", "goes_on")))
+    word = (F.col("one_ends") + 0.5) / (F.col("one_ends") + F.col("one_goes_on") + 2)  # a word that never ends a sentence, or no known word
+    # Texts that end with the pair, but the one in question, if they are several.
+    closes = F.when((F.col("close_ends") > 2) & (word >= WORD_SHARE), F.col("close_ends") - 1).otherwise(0)
+    ends, on = F.col("pair_ends") + closes, F.col("pair_goes_on")
+    share = F.when(ends + on > 0, (ends + 2 * word) / (ends + on + 2)).otherwise(word)
+    # Several texts or paragraphs have this line, and it seldom goes on.
+    common = (word >= WORD_SHARE) & (F.col("line_ends") > 2) & (F.col("line_ends") - 1 > F.col("line_goes_on"))
+    return g.where(~common & (share < LEAST_SHARE)).select("record_id")
 
 
 def _unbalanced(text: str) -> bool:
@@ -191,8 +290,8 @@ def looks_like_code(text: str) -> bool:
     return bool(re.search(r"(?m)^\s*(?:def |class |function |const |let |import |return\b|for \()|[{};]\s*$|=>", text))
 
 
-def breaks_off(text: str, code: bool, model: EndModel) -> bool:
-    """Whether the text stops unfinished."""
+def breaks_off(text: str, code: bool) -> bool | None:
+    """Whether the text stops unfinished; None if only its terminal contexts can tell."""
     if code and looks_like_code(text):
         return code_breaks_off(text)
     s = text.rstrip(_CLOSERS)
@@ -212,35 +311,11 @@ def breaks_off(text: str, code: bool, model: EndModel) -> bool:
         return s[-1] in ",;:([{-–—&/+=<\\“„«" and s[-2:] != "--"
     if re.match(r"[^:\n]{1,40}:\s*\S", line) and "\n" in s and re.match(r"[^:\n]{1,40}:", s.rsplit("\n", 2)[-2].strip()):
         return False  # the last of a list of fields
-    if model.counts.get(f"$$ {' '.join(line.casefold().split())}", (0, 0))[0] > 2:
-        return False  # several texts end with this line
     if re.search(r"\n[ \t>]*\r?\n[^\n]{2,40}\r?\n[^\n]{2,40}$", s) and len(line.split()) <= 5:
         above = s.rsplit("\n", 2)[-2].strip()
         if len(above.split()) <= 4 and (above[-1:] == "," or above[-1:].isalpha()):
             return False  # a letter's close and signature
-    words = _LAST_WORDS.findall(s[-200:])
-    return bool(words) and model.unfinished(words)
-
-
-def fit_end_model(records: DataFrame, sample_rows: int = SAMPLE_ROWS, least: int = 2) -> EndModel:
-    """The model of terminal contexts from about ``sample_rows`` texts, picked by a hash of their id;
-    contexts seen fewer than ``least`` times are left out, so the driver gets a bounded table."""
-    n = records.count()
-    r = records.where(F.pmod(F.xxhash64("record_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, sample_rows / max(n, 1)))))
-
-    def make():
-        def work(texts):
-            ends, on = Counter(), Counter()
-            for t in texts:
-                for c, e in EndModel.contexts(t):
-                    (ends if e else on)[c] += 1
-            ks = list(ends | on)
-            return ks, [ends[k] for k in ks], [on[k] for k in ks]
-
-        return work
-
-    rows = map_rows(r.where("text is not null"), ["text"], make, "context string, ends bigint, goes_on bigint").groupBy("context").agg(F.sum("ends").alias("e"), F.sum("goes_on").alias("o"))
-    return EndModel({r["context"]: (r["e"], r["o"]) for r in rows.where(F.col("e") + F.col("o") >= least).collect()})
+    return None if _LAST_WORDS.search(s) else False
 
 
 def asked_language(prompt: str, profiles: Profiles) -> str | None:
@@ -254,8 +329,8 @@ def asked_language(prompt: str, profiles: Profiles) -> str | None:
 class Judge:
     """Names the defect of an answer."""
 
-    def __init__(self, profiles: Profiles, model: EndModel):
-        self.profiles, self.model, self.copied, self.asked = profiles, model, CopyCheck(), Bounded(5_000)
+    def __init__(self, profiles: Profiles):
+        self.profiles, self.copied, self.asked = profiles, CopyCheck(), Bounded(5_000)
 
     def foreign(self, prompt: str, text: str) -> bool:
         wanted = self.asked.get(prompt)
@@ -273,6 +348,7 @@ class Judge:
         return scores[:, -1].sum() >= 4 and all(k != wanted for _, _, k in segments(self.profiles, scores))
 
     def defect(self, prompt: str, text: str | None, code: bool) -> str | None:
+        """The defect, ``open`` where the terminal contexts must tell whether the text is cut off, or None."""
         if is_stand_in(text):
             return "empty"
         if prompt and self.copied(prompt, text):
@@ -281,7 +357,7 @@ class Judge:
             return "refusal"
         if not code and prompt and self.foreign(prompt, text):
             return "other_language"
-        return "truncated" if breaks_off(text, code, self.model) else None
+        return {True: "truncated", False: None, None: "open"}[breaks_off(text, code)]
 
 
 def find_defects(records: DataFrame, prompts: DataFrame, profiles: Profiles, keep_residue: bool = False) -> DataFrame:
@@ -293,25 +369,29 @@ def find_defects(records: DataFrame, prompts: DataFrame, profiles: Profiles, kee
     that is there twice, the smaller prompt text counts. A null prompt text can't be copied and
     asks for no language. Texts go through whole; a record delivered twice counts once. The table
     of prompts is joined as Spark sees fit: it goes to all tasks only below the session's threshold.
+    What an unmarked end means is told by how all records go on after the same words, see ``cut_off``.
     """
-    model = fit_end_model(records)
     idf, unknown = ({}, 1.0) if keep_residue else term_weights(records)
     p = prompts.select(key("prompt_id").alias("pk"), F.coalesce("prompt", F.lit("")).alias("prompt")).where("pk is not null").groupBy("pk").agg(F.min("prompt").alias("prompt"))
     r = records.where("record_id is not null").select("record_id", "text", "kind", key("prompt_id").alias("pk")).join(p, "pk").select("record_id", "text", "kind", "prompt")
-    shared = records.sparkSession.sparkContext.broadcast((profiles, model))  # bounded by both fits
+    shared = records.sparkSession.sparkContext.broadcast(profiles)  # a few hundred n-grams per language
 
     def make():
-        judge, residue = Judge(*shared.value), None if keep_residue else Detector(idf, unknown)
+        judge, residue = Judge(shared.value), None if keep_residue else Detector(idf, unknown)
 
         def work(ids, texts, kinds, asked):
-            out: list[list] = [[], []]
+            out: list[list] = [[] for _ in range(6)]
             for i, t, k, q in zip(ids, texts, kinds, asked):
                 d = judge.defect(q, t, k == "code")
                 if d and not (residue and residue.kind(t, k == "code")):
-                    out[0].append(i)
-                    out[1].append(d)
+                    contexts = terminal_contexts(t) if d == "open" else (None,) * 4
+                    for column, v in zip(out, (i, d, *contexts)):
+                        column.append(v)
             return out
 
         return work
 
-    return map_rows(r, r.columns, make, "record_id bigint, defect string").dropDuplicates(["record_id"])
+    judged = map_rows(r, r.columns, make, "record_id bigint, defect string, one string, pair string, close string, line string")
+    judged = cut_lineage(judged.dropDuplicates(["record_id"]))
+    cut = cut_off(judged.where("defect = 'open'").drop("defect"), records)
+    return judged.where("defect <> 'open'").select("record_id", "defect").union(cut.select("record_id", F.lit("truncated")))
