@@ -9,7 +9,7 @@ from hashlib import blake2b
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WORD, map_rows
+from textloom.llm.common import WORD, map_rows, only_ids
 from textloom.llm.components import hash_to_min
 from textloom.session import cut_lineage
 
@@ -142,8 +142,8 @@ def confirmed(digested: DataFrame, texts: DataFrame) -> DataFrame:
         g = digested.where(F.col(column).isNotNull()).groupBy(column).agg(F.min("record_id").alias("low"), F.count("*").alias("n")).where("n > 1").select(column, "low")
         marks.append(digested.join(g, column).where("record_id <> low").select("record_id", "low", F.lit(column == "by_fields").alias("fields")))
     pairs = cut_lineage(marks[0].union(marks[1]))
-    wanted = pairs.select("record_id").union(pairs.select(F.col("low").alias("record_id"))).distinct()
-    t = cut_lineage(texts.join(wanted, "record_id", "left_semi").dropDuplicates(["record_id"]))
+    wanted = pairs.select("record_id").union(pairs.select(F.col("low").alias("record_id")))
+    t = cut_lineage(only_ids(texts, wanted, "record_id", "left_semi").dropDuplicates(["record_id"]))
     x = pairs.join(t, "record_id").join(t.select(F.col("record_id").alias("low"), F.col("text").alias("low_text")), "low")
 
     def make():
