@@ -100,6 +100,7 @@ class Profiles:
         self.ids_of: list[np.ndarray] = []
         self.table = np.zeros((1024, len(self.languages) + 1))
         self.ends = np.zeros(1024, dtype=bool)
+        self.places = np.arange(RANKED)[:, None]
 
     def __getstate__(self):
         return self.languages, self.ids, self.rank, self.weight
@@ -128,14 +129,18 @@ class Profiles:
     def out_of_place(self, text: str) -> np.ndarray:
         """Per language, the mean distance between the rank of each of the text's most frequent
         n-grams and its rank in the profile, as a share of the largest possible."""
-        got = [self.ids_of[self.piece(w)] for w in text.split()]
-        if not got:
-            return np.ones(len(self.languages))
-        ids, n = np.unique(np.concatenate(got), return_counts=True)
+        known, ids_of, piece = self.words.get, self.ids_of, self.piece
+        got = [ids_of[k if (k := known(w)) is not None else piece(w)] for w in text.split()]
+        ids = np.concatenate(got) if got else ()
         if not len(ids):
             return np.ones(len(self.languages))
-        top = ids[np.lexsort((ids, -n))][:RANKED]
-        return np.minimum(np.abs(self.rank[top] - np.arange(len(top))[:, None]), PROFILE).mean(axis=0) / PROFILE
+        # Counts and, among equal ones, smaller ids first, as one key.
+        n = len(self.ids)
+        order = np.bincount(ids, minlength=n) * n - np.arange(n)
+        top = np.flatnonzero(order > 0) if n <= RANKED else np.argpartition(-order, RANKED - 1)[:RANKED]
+        top = top[np.argsort(-order[top])]
+        top = top[order[top] > 0]
+        return np.minimum(np.abs(self.rank[top] - self.places[: len(top)]), PROFILE).mean(axis=0) / PROFILE
 
     def language(self, text: str) -> tuple[str | None, float]:
         """Nearest language and a confidence from the distances of the others; None for no words."""
