@@ -111,7 +111,7 @@ def test_ends_are_judged_by_all_records(spark):
     goes on in the other records is one."""
     rows = [(i, PROSE + f"Number {i} is done.\n\nWarm greetings\nthe harbour office") for i in range(6)] + [(10, PROSE + "Nobody had opened")] + [(20 + i, PROSE * 2) for i in range(4)]
     r = spark.createDataFrame([(i, "p", t, "text") for i, t in rows], "record_id bigint, prompt_id string, text string, kind string")
-    open_ = spark.createDataFrame([(i, *pairs.terminal_contexts(t)) for i, t in rows[:7]], "record_id bigint, one string, pair string, close string, line string")
+    open_ = spark.createDataFrame([(i, *pairs.terminal_contexts(t)) for i, t in rows[:7]], ", ".join(["record_id bigint", *(f"{k} string" for k in pairs.ROLES)]))
     assert [x["record_id"] for x in pairs.cut_off(open_, r).collect()] == [10]
     assert pairs.cut_off(open_.limit(0), r).count() == 0
 
@@ -119,9 +119,9 @@ def test_ends_are_judged_by_all_records(spark):
 def test_contexts_against_brute_force(spark):
     texts = [PROSE, "One two.\nOne two three", "one two", "A b c.", "", None, "One two"]
     r = spark.createDataFrame(list(enumerate(texts)), "record_id bigint, text string")
-    wanted = spark.createDataFrame([("two",), ("one two",), ("$ one two",), ("$$ one two",), ("$$ one two three",), ("missing",)], "context string")
+    wanted = spark.createDataFrame([("two",), ("one two",), ("$ one two",), ("$ two",), ("$$ one two",), ("$$ one two three",), ("missing",)], "context string")
     got = {x["context"]: (x["ends"], x["goes_on"]) for x in pairs.context_counts(r, wanted).collect()}
-    assert got == {"two": (1, 1), "one two": (1, 1), "$ one two": (2, 0), "$$ one two": (0, 1), "$$ one two three": (1, 0)}
+    assert got == {"two": (1, 1), "one two": (1, 1), "$ one two": (2, 0), "$ two": (2, 0), "$$ one two": (0, 1), "$$ one two three": (1, 0)}
 
 
 def test_defects(spark, profiles):

@@ -137,62 +137,93 @@ _CLOSERS = "\"'”’»)]}*_`~ \t\r\n ​‌‍﻿"
 LINE_PIECES = 6
 
 
-def terminal_contexts(text: str) -> tuple[str, str | None, str | None, str | None]:
-    """What an unmarked end is judged by: the last word, the last pair of words, that pair as the end
-    of a text, and the last line if it is short."""
-    s = text.rstrip(_CLOSERS)
+#: What an unmarked end is judged by.
+ROLES = ("one", "last", "pair", "close", "line")
+
+
+def terminal_contexts(text: str) -> tuple[str | None, ...]:
+    """Of the text's end, in the order of ``ROLES``: the last word, that as the end of a text, the last pair
+    of words, that as the end of a text, and the last line if it is short."""
+    s = text.casefold().rstrip(_CLOSERS)
     words = _LAST_WORDS.findall(s)
-    w = words[-1].casefold()
-    pair = f"{words[-2].casefold()} {w}" if len(words) > 1 else None
-    pieces = s.rsplit("\n", 1)[-1].casefold().split()
+    w = words[-1]
+    pair = f"{words[-2]} {w}" if len(words) > 1 else None
+    pieces = s.rsplit("\n", 1)[-1].split()
     line = f"$$ {' '.join(pieces)}" if "\n" in s and len(pieces) <= LINE_PIECES else None
-    return w, pair, pair and f"$ {pair}", line
-
-
-def seen_contexts(text: str, wanted) -> list[tuple[str, bool, bool]]:
-    """``(context, ends, final)`` of the text's contexts that ``wanted`` lets through: each word and
-    pair with whether a sentence or line ends after it, the last pair of a text without a mark, and
-    each line's first pieces with whether the line ends there."""
-    out, last = [], ""
-    for m in _LAST_WORDS.finditer(text):
-        w, e = m[0].casefold(), m.end()
-        if wanted(w):
-            tail = text[e : e + 3]
-            pair = f"{last} {w}"
-            # The end of a text without a mark may be a cut: it counts only if several texts end so.
-            if tail.strip(_CLOSERS) or text[e:].strip(_CLOSERS):
-                ends = tail[:1] in ".!?…" or "\n" in tail[:2] or "\r" in tail[:2]
-                out.append((w, ends, False))
-                if last and wanted(pair):
-                    out.append((pair, ends, False))
-            elif last and wanted(f"$ {pair}"):
-                out.append((f"$ {pair}", True, True))
-        last = w
-    lines = text.rstrip(_CLOSERS).casefold().split("\n")
-    for k, line in enumerate(lines):
-        pieces = line.split()
-        start = "$$"
-        for n, piece in enumerate(pieces[:LINE_PIECES], 1):
-            start += " " + piece
-            if k and wanted(start):
-                ends = n == len(pieces)
-                out.append((start, ends, ends and k == len(lines) - 1))
-    return out
-
-
-class Filter:
-    """A bitmap over hashes of the wanted contexts; it may let others through, never keeps one out."""
-
-    def __init__(self, bits: np.ndarray, n: int):
-        self.bits, self.mask, self.known = bits.tobytes(), n - 1, Bounded(300_000)
-
-    def __call__(self, context: str) -> bool:
-        got = self.known.get(context)
+    return w, f"$ {w}", pair, pair and f"$ {pair}", line
+
+
+_SPLIT = re.compile(rf"({_LAST_WORDS.pattern})")
+
+
+class Contexts:
+    """Counts the contexts of texts that a bitmap over the hashes of the wanted ones lets through; it may
+    let others through, and never keeps one out."""
+
+    def __init__(self, bits: np.ndarray, n: int, limit: int = 400_000):
+        self.bits, self.mask, self.limit = bits.tobytes(), n - 1, limit
+        self.seen: set[str] = set()
+        self.yes: set[str] = set()
+        self.separators: dict[str, bool] = {}
+
+    def wanted(self, contexts: list[str]) -> set[str]:
+        """The set of all wanted contexts met so far; of these, it has all that are wanted."""
+        if len(self.seen) > self.limit:
+            self.seen, self.yes = set(), set()
+        new = set(contexts) - self.seen
+        self.seen |= new
+        for c in new:
+            h = crc32(c.encode()) & self.mask
+            if self.bits[h >> 3] >> (h & 7) & 1:
+                self.yes.add(c)
+        return self.yes
+
+    def ends(self, separator: str) -> bool:
+        """Whether a sentence or line ends with what stands between two words."""
+        got = self.separators.get(separator)
         if got is None:
-            h = crc32(context.encode()) & self.mask
-            got = self.known.put(context, self.bits[h >> 3] >> (h & 7) & 1)
+            if len(self.separators) > 10_000:
+                self.separators.clear()
+            got = self.separators[separator] = separator[:1] in (".", "!", "?", "…") or "\n" in separator[:2] or "\r" in separator[:2]
         return got
 
+    def add(self, text: str, ends: Counter, on: Counter) -> list[str]:
+        """Adds the text's contexts to those after which something ends or goes on: each word and pair, and
+        each line's first pieces. Returns those at the text's very end, if no mark follows: it may be a cut."""
+        folded = text.casefold()
+        parts = _SPLIT.split(folded)
+        words, after = parts[1::2], parts[2::2]
+        final = []
+        if words:
+            pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
+            open_ = not after[-1].strip(_CLOSERS)
+            if open_:
+                final += [f"$ {c}" for c in (words[-1], *pairs[-1:])]
+            # The last word's fate is known only where a mark follows it.
+            last = len(words) - open_
+            stop = [self.ends(x) for x in after[:last]]
+            yes = self.wanted([*words, *pairs, *final])
+            ends.update([w for w, e in zip(words, stop) if e and w in yes])
+            on.update([w for w, e in zip(words, stop) if not e and w in yes])
+            ends.update([p for p, e in zip(pairs, stop[1:]) if e and p in yes])
+            on.update([p for p, e in zip(pairs, stop[1:]) if not e and p in yes])
+            final = [c for c in final if c in yes]
+        lines = folded.rstrip(_CLOSERS).split("\n")
+        for k, line in enumerate(lines[1:], 1):
+            pieces = line.split()
+            start = "$$"
+            for n, piece in enumerate(pieces[:LINE_PIECES], 1):
+                start += " " + piece
+                if start not in self.wanted([start]):
+                    break  # the filter has each beginning of a wanted line
+                if n < len(pieces):
+                    on[start] += 1
+                elif k < len(lines) - 1:
+                    ends[start] += 1
+                else:
+                    final.append(start)
+        return final
+
 
 def context_filter(wanted: DataFrame) -> tuple[np.ndarray, int]:
     """The bitmap of the contexts in ``wanted`` and its number of bits, at most ``MOST_BITS``; the
@@ -208,23 +239,33 @@ def context_filter(wanted: DataFrame) -> tuple[np.ndarray, int]:
     return words, n
 
 
+def beginnings(wanted: DataFrame) -> DataFrame:
+    """The contexts, and each beginning of those that are lines."""
+    pieces = F.split("context", " ")
+    parts = F.when(F.col("context").startswith("$$ "), F.transform(F.sequence(F.lit(2), F.size(pieces)), lambda n: F.array_join(F.slice(pieces, F.lit(1), n), " "))).otherwise(F.array("context"))
+    return wanted.select(F.explode(parts).alias("context")).distinct()
+
+
 def context_counts(records: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(context, ends, goes_on)`` of the wanted contexts over all records, counted in each task before
     the shuffle. Texts that end so without a mark count once however many copies they have."""
-    shared = records.sparkSession.sparkContext.broadcast(context_filter(wanted))  # bounded by MOST_BITS
+    shared = records.sparkSession.sparkContext.broadcast(context_filter(cut_lineage(beginnings(wanted))))  # bounded by MOST_BITS
 
     def make():
         from xxhash import xxh64_intdigest
 
-        f = Filter(*shared.value)
+        contexts = Contexts(*shared.value)
 
         def work(texts):
-            n: dict[tuple[str, int | None], list[int]] = {}
+            ends, on, final = Counter(), Counter(), set()
             for t in texts:
-                for c, ends, final in seen_contexts(t, f):
-                    k = c, xxh64_intdigest(t) - (1 << 63) if final else None
-                    n.setdefault(k, [0, 0])[not ends] += 1
-            return [c for c, _ in n], [h for _, h in n], [v[0] for v in n.values()], [v[1] for v in n.values()]
+                got = contexts.add(t, ends, on)
+                if got:
+                    h = xxh64_intdigest(t) - (1 << 63)
+                    final.update((c, h) for c in got)
+            both = list(ends | on)
+            n = len(final)
+            return both + [c for c, _ in final], [None] * len(both) + [h for _, h in final], [ends[c] for c in both] + [1] * n, [on[c] for c in both] + [0] * n
 
         return work
 
@@ -236,26 +277,28 @@ def context_counts(records: DataFrame, wanted: DataFrame) -> DataFrame:
 
 #: An end is a cut where sentences, lines or texts end so in less than this share of cases.
 LEAST_SHARE = 0.3
-#: After a word that ends a sentence in fewer cases than this, no text is finished, whatever its copies say.
+#: After a word that ends a sentence or text in fewer cases than this, no text is finished, however
+#: many others end with the same pair.
 WORD_SHARE = 0.02
 
 
 def cut_off(open_: DataFrame, records: DataFrame) -> DataFrame:
-    """``(record_id)`` of the rows ``(record_id, one, pair, close, line)`` of ``open_`` whose end is a
-    cut, by how the same contexts go on in all records."""
-    roles = ("one", "pair", "close", "line")
-    long = open_.select("record_id", F.explode(F.array(*(F.struct(F.lit(k).alias("role"), F.col(k).alias("context")) for k in roles))).alias("x")).select("record_id", "x.*").where("context is not null")
+    """``(record_id)`` of the rows ``(record_id, *ROLES)`` of ``open_`` whose end is a cut, by how the same
+    contexts go on in all records."""
+    long = open_.select("record_id", F.explode(F.array(*(F.struct(F.lit(k).alias("role"), F.col(k).alias("context")) for k in ROLES))).alias("x")).select("record_id", "x.*").where("context is not null")
     counts = context_counts(records, cut_lineage(long.select("context").distinct()))
     got = long.join(counts, "context", "left")
     pick = lambda role, c: F.coalesce(F.max(F.when(F.col("role") == role, F.col(c))), F.lit(0))
-    g = got.groupBy("record_id").agg(*(pick(k, c).alias(f"{k}_{c}") for k in roles for c in ("ends", "goes_on")))
+    g = got.groupBy("record_id").agg(*(pick(k, c).alias(f"{k}_{c}") for k in ROLES for c in ("ends", "goes_on")))
     word = (F.col("one_ends") + 0.5) / (F.col("one_ends") + F.col("one_goes_on") + 2)  # a word that never ends a sentence, or no known word
+    others = F.greatest(F.col("last_ends") - 1, F.lit(0))
+    may_end = (F.col("one_ends") + others + 0.5) / (F.col("one_ends") + others + F.col("one_goes_on") + 2) >= WORD_SHARE
     # Texts that end with the pair, but the one in question, if they are several.
-    closes = F.when((F.col("close_ends") > 2) & (word >= WORD_SHARE), F.col("close_ends") - 1).otherwise(0)
+    closes = F.when(may_end & (F.col("close_ends") > 2), F.col("close_ends") - 1).otherwise(0)
     ends, on = F.col("pair_ends") + closes, F.col("pair_goes_on")
     share = F.when(ends + on > 0, (ends + 2 * word) / (ends + on + 2)).otherwise(word)
     # Several texts or paragraphs have this line, and it seldom goes on.
-    common = (word >= WORD_SHARE) & (F.col("line_ends") > 2) & (F.col("line_ends") - 1 > F.col("line_goes_on"))
+    common = may_end & (F.col("line_ends") > 2) & (F.col("line_ends") - 1 > F.col("line_goes_on"))
     return g.where(~common & (share < LEAST_SHARE)).select("record_id")
 
 
@@ -380,18 +423,18 @@ def find_defects(records: DataFrame, prompts: DataFrame, profiles: Profiles, kee
         judge, residue = Judge(shared.value), None if keep_residue else Detector(idf, unknown)
 
         def work(ids, texts, kinds, asked):
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(2 + len(ROLES))]
             for i, t, k, q in zip(ids, texts, kinds, asked):
                 d = judge.defect(q, t, k == "code")
                 if d and not (residue and residue.kind(t, k == "code")):
-                    contexts = terminal_contexts(t) if d == "open" else (None,) * 4
+                    contexts = terminal_contexts(t) if d == "open" else (None,) * len(ROLES)
                     for column, v in zip(out, (i, d, *contexts)):
                         column.append(v)
             return out
 
         return work
 
-    judged = map_rows(r, r.columns, make, "record_id bigint, defect string, one string, pair string, close string, line string")
+    judged = map_rows(r, r.columns, make, ", ".join(["record_id bigint", "defect string", *(f"{k} string" for k in ROLES)]))
     judged = cut_lineage(judged.dropDuplicates(["record_id"]))
     cut = cut_off(judged.where("defect = 'open'").drop("defect"), records)
     return judged.where("defect <> 'open'").select("record_id", "defect").union(cut.select("record_id", F.lit("truncated")))
