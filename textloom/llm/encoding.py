@@ -16,7 +16,7 @@ WRITTEN = ("utf-8", "cp1252", "mac_roman", "cp850", "cp437")
 READ = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1254", "cp437", "cp850", "cp852", "cp866", "mac_roman", "iso8859-15", "iso8859-2", "koi8-r", "cp1253", "cp1257", "mac_latin2")
 #: How often a text may have been misread in a row.
 DEPTH = 3
-#: A transformation is learned from so many different pairs of a garbled and a clean word.
+#: A transformation is learned from so many different pairs of something garbled and clean.
 LEAST_PAIRS = 2
 
 _NON_ASCII = re.compile(r"[^\x00-\x7f]+")
@@ -166,16 +166,6 @@ def replaced_words(text: str) -> list[str]:
     return [w for w in dict.fromkeys(_ASKED.findall(text)) if "://" not in w and "=" not in w and "/" not in w]
 
 
-def chains_between(garbled: str, clean: str) -> list[tuple[str, str]]:
-    """Which transformations turn the clean word into the garbled one, by aligning their runs: the
-    ASCII characters of both are the same, so runs at the same place belong together."""
-    a, b = _NON_ASCII.split(garbled), _NON_ASCII.split(clean)
-    if a != b:
-        return []
-    pairs = list(zip(runs(clean), runs(garbled)))
-    return [c for c in CHAINS if all(misread(x, *c) == y for x, y in pairs)]
-
-
 def suspicious(word: str) -> bool:
     """Whether some transformation can have made the word's non-ASCII characters."""
     rs = runs(word)
@@ -198,7 +188,7 @@ class Restorer:
     """Restores texts by the transformations learned and the words that clean texts have."""
 
     def __init__(self, support: dict[tuple[str, str], int]):
-        self.order = sorted((c for c in CHAINS if support.get(c, 0) >= LEAST_PAIRS or c[0] == "utf-8"), key=lambda c: (-support.get(c, 0), CHAINS.index(c)))
+        self.order = sorted((c for c in CHAINS if support.get(c, 0) >= LEAST_PAIRS), key=lambda c: (-support.get(c, 0), CHAINS.index(c)))
 
     def step(self, words: list[str], known: set[str]) -> tuple[str, str] | None:
         """The transformation to undo next: the one that mends most of the words, less those that
@@ -258,34 +248,80 @@ def words_of(documents: DataFrame) -> DataFrame:
     return map_rows(documents.where("text is not null"), ["text"], make, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def learned(words: DataFrame) -> dict[tuple[str, str], int]:
-    """By transformation, from how many different words it is learned.
+def aligned(garbled: str, clean: str) -> list[tuple[str, str]]:
+    """Runs of non-ASCII characters that stand at the same place of two texts and differ; none if the
+    texts' ASCII characters aren't the same."""
+    if _NON_ASCII.split(garbled) != _NON_ASCII.split(clean):
+        return []
+    return [(a, b) for a, b in zip(_NON_ASCII.findall(garbled), _NON_ASCII.findall(clean)) if a != b]
+
+
+@lru_cache(maxsize=50_000)
+def run_chains(garbled: str, clean: str) -> tuple[int, ...]:
+    """Numbers of the transformations that make the one run of the other."""
+    return tuple(k for k, c in enumerate(CHAINS) if misread(clean, *c) == garbled)
 
-    Words meet their clean near-twins on what remains without non-ASCII characters; of a group
-    only the most frequent word that looks clean stands for it, so no group's pairs are formed.
-    Aligning the runs of both shows which transformations lead from one to the other. The driver
-    gets a row per transformation that this module knows.
+
+def twin_votes(docs: DataFrame) -> DataFrame:
+    """``(chain, evidence)`` from records that are the same but for non-ASCII characters.
+
+    Records meet on the hash of their text without these; of such a group the text with the fewest
+    words that some transformation can have made stands for it, and each other text is aligned with
+    that one, so no group's pairs are formed. Evidence is a pair of aligned runs.
     """
+    plain = F.regexp_replace("text", r"[^\x00-\x7F]+", "")
+    marked = docs.where(F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", "text", F.xxhash64(plain, F.length(plain)).alias("twin"), F.xxhash64("text").alias("own"))
+    groups = marked.groupBy("twin").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b").select("twin")
+    t = cut_lineage(marked.join(groups, "twin", "left_semi").dropDuplicates(["twin", "own"]))
 
-    def make():
-        def work(ws, ns):
-            return ws, ns, [_NON_ASCII.sub("", w) for w in ws], [all(map(plausible, runs(w))) and not suspicious(w) for w in ws]
+    def count():
+        return lambda ids, texts, twins: (ids, texts, twins, [sum(map(suspicious, doc_words(x))) for x in texts])
+
+    t = map_rows(t, ["doc_id", "text", "twin"], count, "doc_id bigint, text string, twin bigint, odd int")
+    best = t.groupBy("twin").agg(F.min_by(F.struct("doc_id", "text"), F.struct("odd", "doc_id")).alias("best"))
+    x = t.join(best, "twin").where(F.col("doc_id") != F.col("best.doc_id")).select("text", F.col("best.text").alias("clean"))
+
+    def vote():
+        def work(texts, cleans):
+            found = {(k, f"{a} {b}") for t, c in zip(texts, cleans) for a, b in aligned(t, c) for k in run_chains(a, b)}
+            return [k for k, _ in found], [e for _, e in found]
 
         return work
 
-    tagged = map_rows(words, ["word", "n"], make, "word string, n bigint, stripped string, clean boolean").where("stripped <> ''")
-    twin = tagged.where("clean").groupBy("stripped").agg(F.max(F.struct("n", "word")).alias("t")).select("stripped", F.col("t.word").alias("twin"), F.col("t.n").alias("twin_n"))
-    pairs = tagged.join(twin, "stripped").where("word <> twin and n < twin_n").select("word", "twin")
+    return map_rows(x, ["text", "clean"], vote, "chain int, evidence string")
 
-    def vote():
-        def work(ws, ts):
-            found = [CHAINS.index(c) for w, t in zip(ws, ts) for c in chains_between(w, t)]
-            return [found]
+
+def word_votes(words: DataFrame) -> DataFrame:
+    """``(chain, evidence)`` from words: each with every word that a transformation can have made it of, if
+    that one looks clean, is attested by more documents, or is written as languages write while this one
+    isn't. Both have the same ASCII characters, since transformations leave these."""
+
+    def make():
+        def work(ws, ns):
+            out: list[list] = [[], [], [], [], []]
+            for w, n in zip(ws, ns):
+                if not _NON_ASCII.sub("", w):
+                    continue
+                for k, c in enumerate(CHAINS):
+                    u = bare(undo_word(w, c))
+                    if u and u != w and all(map(plausible, runs(u))) and not suspicious(u):
+                        for column, v in zip(out, (w, n, k, u, not natural(w) and natural(u))):
+                            column.append(v)
+            return out
 
         return work
 
-    got = map_rows(pairs, ["word", "twin"], vote, "chain int").groupBy("chain").agg(F.count("*").alias("n")).collect()
-    return {CHAINS[r["chain"]]: r["n"] for r in got}
+    made = map_rows(words, ["word", "n"], make, "word string, n bigint, chain int, was string, plain boolean")
+    clean = words.select(F.col("word").alias("was"), F.col("n").alias("was_n"))
+    return made.join(clean, "was").where("was_n > n or plain").select("chain", F.col("word").alias("evidence"))
+
+
+def learned(words: DataFrame, docs: DataFrame) -> dict[tuple[str, str], int]:
+    """By transformation, from how many different pieces of evidence it is learned: aligned runs of
+    near-twin records, and words that occur garbled and clean. The driver gets a row per
+    transformation that this module knows."""
+    votes = twin_votes(docs).union(word_votes(words)).distinct().groupBy("chain").agg(F.count("*").alias("n")).collect()
+    return {CHAINS[r["chain"]]: r["n"] for r in votes}
 
 
 def candidates(words: DataFrame, support: dict[tuple[str, str], int]) -> DataFrame:
@@ -314,15 +350,15 @@ def restore(documents: DataFrame) -> DataFrame:
     or in part; ``restored`` is the whole text, or null where characters were ``lost`` for good
     (replaced by U+FFFD or by question marks inside known words).
 
-    Transformations are learned from words that occur garbled and clean in the documents, and
-    applied to all words that they mend: misread UTF-8 proves itself, other misreadings need words
-    that clean documents have. Sequences that stand alone between quotation marks are shown on
+    Transformations are learned from near-twin records and from words that occur garbled and clean in
+    the documents; those learned are applied to all words that they mend: misread UTF-8 is told by
+    its sequences, other misreadings need words that clean documents have. Sequences that stand alone between quotation marks are shown on
     purpose and stay. Null, empty and clean texts have no rows, null ids neither; each row of
     ``documents`` is a document of its own. Tables of words are joined, never gathered.
     """
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     words = cut_lineage(words_of(docs))
-    support = learned(words)
+    support = learned(words, docs)
     made = cut_lineage(candidates(words, support))
     was = made.join(words.select(F.col("word").alias("was"), F.col("n").alias("was_n")), "was")
     was = cut_lineage(was.where("was_n >= 2").select("word", "n", "was", "was_n", "odd", "was_odd"))
