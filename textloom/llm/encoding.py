@@ -163,9 +163,11 @@ _ASKED = re.compile(r"[^\s?]*[^\W\d_]\?[^\W\d_][^\s]*|(?<![^\s])\?[a-zß-ÿ][^\s
 
 def replaced_words(text: str) -> list[str]:
     """Words with a question mark inside or before a letter, as a replaced character leaves them."""
-    return [w for w in dict.fromkeys(_ASKED.findall(text)) if "://" not in w and "=" not in w and "/" not in w]
+    pieces = " ".join([w for w in text.split() if "?" in w])
+    return [w for w in dict.fromkeys(_ASKED.findall(pieces)) if "://" not in w and "=" not in w and "/" not in w] if pieces else []
 
 
+@lru_cache(maxsize=100_000)
 def suspicious(word: str) -> bool:
     """Whether some transformation can have made the word's non-ASCII characters."""
     rs = runs(word)
@@ -270,9 +272,11 @@ def twin_votes(docs: DataFrame) -> DataFrame:
     that one, so no group's pairs are formed. Evidence is a pair of aligned runs.
     """
     plain = F.regexp_replace("text", r"[^\x00-\x7F]+", "")
-    marked = docs.where(F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", "text", F.xxhash64(plain, F.length(plain)).alias("twin"), F.xxhash64("text").alias("own"))
-    groups = marked.groupBy("twin").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b").select("twin")
-    t = cut_lineage(marked.join(groups, "twin", "left_semi").dropDuplicates(["twin", "own"]))
+    marked = docs.where(F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", F.xxhash64(plain, F.length(plain)).alias("twin"), F.xxhash64("text").alias("own"))
+    each = cut_lineage(marked.groupBy("twin", "own").agg(F.min("doc_id").alias("doc_id")))
+    groups = each.groupBy("twin").agg(F.count("*").alias("n")).where("n > 1").select("twin")
+    mine = cut_lineage(each.join(groups, "twin", "left_semi").select("doc_id", "twin"))
+    t = only_ids(docs, mine, "doc_id", "left_semi").join(mine, "doc_id")
 
     def count():
         return lambda ids, texts, twins: (ids, texts, twins, [sum(map(suspicious, doc_words(x))) for x in texts])
