@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textloom.operators.metrics import by_score
+from textloom.operators.ranks import quantiles, running, same_keys
+
 
 def normal_sf(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
@@ -83,23 +86,137 @@ def welch(df: DataFrame, value: str, split: Column, keys: list[str] | None = Non
 
 
 def mann_whitney(df: DataFrame, value: str, split: Column) -> DataFrame:
-    """U of the rows where ``split`` holds, rank-biserial correlation, and z with tie correction. Ranks
-    are counted over distinct values."""
+    """U of the rows where ``split`` holds, rank-biserial correlation 1 - 2 U / (n1 n0), which is positive
+    where their values tend to be lower, and z with tie correction. Ranks are counted over distinct values."""
     g = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum(F.when(split, 1).otherwise(0)).alias("a"), F.sum(F.when(split, 0).otherwise(1)).alias("b"))
-    g = g.withColumn("below", F.coalesce(F.sum("b").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("t", F.col("a") + F.col("b"))
-    s = g.agg(F.sum(F.col("a") * (F.col("below") + F.col("b") / 2)).alias("u"), F.sum("a").alias("n1"), F.sum("b").alias("n0"), F.sum((F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double")).alias("ties"))
+    g = running(g, [], value, ["b"]).withColumn("t", F.col("a") + F.col("b"))
+    s = g.agg(F.sum(F.col("a") * (F.col("b_below") + F.col("b") / 2)).alias("u"), F.sum("a").alias("n1"), F.sum("b").alias("n0"), F.sum((F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double")).alias("ties"))
     n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
     n = n1 + n0
     sd = F.sqrt(n1 * n0 / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
-    return s.select("n1", "n0", "u", (2 * F.col("u") / (n1 * n0) - 1).alias("rank_biserial"), ((F.col("u") - n1 * n0 / 2) / sd).alias("z"))
+    return s.select("n1", "n0", "u", (1 - 2 * F.col("u") / (n1 * n0)).alias("rank_biserial"), ((F.col("u") - n1 * n0 / 2) / sd).alias("z"))
 
 
 def benjamini_hochberg(df: DataFrame, p: str, family: list[str] | None = None) -> DataFrame:
-    """``df`` with ``q_value``; null p values keep null. Each family is one set of tests."""
-    part = W.partitionBy(*(family or [F.lit(1)]))
-    d = df.withColumn("_r", F.when(F.col(p).isNotNull(), F.row_number().over(part.orderBy(F.col(p).asc_nulls_last())))).withColumn("_n", F.count(p).over(part))
-    d = d.withColumn("_q", F.col("_n") / F.col("_r") * F.col(p))
-    return d.withColumn("q_value", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_q").over(part.orderBy(F.col(p).desc_nulls_first()).rangeBetween(W.unboundedPreceding, W.currentRow))))).drop("_r", "_n", "_q")
+    """``df`` with ``q_value``: the smallest m p / rank over the p values from the row's own on, at most 1;
+    null p values keep null. Each family (all rows, if none is named) is one set of tests. Ranks and
+    the running minimum are counted over ranges of distinct p values."""
+    fam = family or []
+    g = running(df.where(F.col(p).isNotNull()).groupBy(*fam, p).agg(F.count("*").alias("rows")), fam, p, ["rows"])
+    g = g.withColumn("_q", F.col("all_rows") * F.col(p) / (F.col("rows_below") + F.col("rows")))
+    g = least_from(g, fam, p, "_q").select(*(F.col(c).alias(f"{c}_k") for c in [*fam, p]), "_least")
+    return df.join(g, same_keys([*fam, p]), "left").withColumn("q_value", F.when(F.col("_least").isNotNull(), F.least(F.lit(1.0), "_least"))).drop("_least", *(f"{c}_k" for c in [*fam, p]))
+
+
+def least_from(g: DataFrame, keys: list[str], value: str, of: str, ranges: int = 64) -> DataFrame:
+    """``g`` with ``_least``: the smallest ``of`` over rows of the same keys with this ``value`` or more."""
+    cuts = g.agg(F.percentile_approx(value, F.array(*(F.lit((i + 1) / ranges) for i in range(ranges - 1))), F.lit(20 * ranges)).alias("_cuts"))
+    d = g.crossJoin(F.broadcast(cuts)).withColumn("_part", F.size(F.filter(F.coalesce("_cuts", F.array(F.col(value))), lambda c: c < F.col(value)))).drop("_cuts")
+    per = d.groupBy(*keys, "_part").agg(F.min(of).alias("_m"))
+    after = W.partitionBy(*keys).orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)
+    per = per.select(*(F.col(k).alias(f"{k}_k") for k in keys), F.col("_part").alias("_part_k"), F.min("_m").over(after).alias("_later"))
+    d = d.join(per, same_keys([*keys, "_part"])).drop(*(f"{k}_k" for k in [*keys, "_part"]))
+    inner = W.partitionBy(*keys, "_part").orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return d.withColumn("_least", F.least(F.min(of).over(inner), "_later")).drop("_part", "_later")
+
+
+def t_quantile(q: float, df: float) -> float:
+    """Quantile of Student's t above one half, by bisection."""
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if 1 - t_sf(mid, df) < q else (low, mid)
+    return (low + high) / 2
+
+
+def directed(p_two: float, estimate: float, direction: str) -> float:
+    """One-sided p from a two-sided one, where the estimate is expected above (``greater``) or below 0 (``lower``)."""
+    if direction == "two-sided":
+        return p_two
+    return p_two / 2 if (estimate > 0) == (direction == "greater") and estimate != 0 else 1 - p_two / 2
+
+
+def welch_test(df: DataFrame, value: str, split: Column, direction: str = "two-sided") -> dict:
+    """Welch's t of the rows where ``split`` holds against the others, its degrees of freedom, the difference
+    with its 95 % interval, Cohen's d and the p value."""
+    r = welch_moments(df, value, split).first()
+    a, b = r["v1"] / r["n1"], r["v0"] / r["n0"]
+    n = (a + b) ** 2 / (a * a / (r["n1"] - 1) + b * b / (r["n0"] - 1)) if a + b else 1.0
+    diff, se = r["m1"] - r["m0"], math.sqrt(a + b)
+    t = diff / se if se else 0.0
+    half = t_quantile(0.975, n) * se
+    pooled = math.sqrt(((r["n1"] - 1) * r["v1"] + (r["n0"] - 1) * r["v0"]) / max(r["n1"] + r["n0"] - 2, 1))
+    return {"t": t, "df": n, "difference": diff, "low": diff - half, "high": diff + half, "cohens_d": diff / pooled if pooled else 0.0, "p_value": directed(min(1.0, 2 * t_sf(abs(t), n)), diff, direction)}
+
+
+def welch_moments(df: DataFrame, value: str, split: Column) -> DataFrame:
+    a = lambda f, c: f(F.when(c, F.col(value)))
+    return df.agg(F.count(F.when(split, F.col(value))).alias("n1"), F.count(F.when(~split, F.col(value))).alias("n0"), a(F.avg, split).alias("m1"), a(F.avg, ~split).alias("m0"), a(F.var_samp, split).alias("v1"), a(F.var_samp, ~split).alias("v0"))
+
+
+def mann_whitney_test(df: DataFrame, value: str, split: Column, direction: str = "two-sided") -> dict:
+    """``mann_whitney`` with a p value by the normal approximation, with continuity correction."""
+    r = mann_whitney(df, value, split).first()
+    sd = (r["u"] - r["n1"] * r["n0"] / 2) / r["z"] if r["z"] else 0.0
+    z = max(0.0, abs(r["u"] - r["n1"] * r["n0"] / 2) - 0.5) / abs(sd) if sd else 0.0
+    return {**r.asDict(), "p_value": directed(min(1.0, 2 * normal_sf(z)), -r["rank_biserial"], direction)}
+
+
+def pseudo_r2(df: DataFrame, y: str, p: str) -> DataFrame:
+    """``(mcfadden, tjur)``: 1 less the ratio of log likelihoods of the scores and of the base rate; the
+    difference of mean scores of both classes, 0 if one is missing."""
+    q = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col(p)))
+    g = df.agg(F.sum(F.when(F.col(y) == 1, F.log(q)).otherwise(F.log(1 - q))).alias("ll"), F.avg(F.col(y).cast("double")).alias("r"), F.count("*").alias("n"), F.avg(F.when(F.col(y) == 1, F.col(p))).alias("a"), F.avg(F.when(F.col(y) == 0, F.col(p))).alias("b"))
+    null = F.col("n") * (F.col("r") * F.log("r") + (1 - F.col("r")) * F.log(1 - F.col("r")))
+    inside = (F.col("r") > 0) & (F.col("r") < 1)
+    return g.select(F.when(inside, 1 - F.col("ll") / null).otherwise(0.0).alias("mcfadden"), F.when(inside, F.col("a") - F.col("b")).otherwise(0.0).alias("tjur"))
+
+
+def permutation_manova(df: DataFrame, columns: list[str], group: str, id_: str, permutations: int = 199, seed: int = 13) -> dict:
+    """Wilks' lambda and the share of random assignments with one as small, itself counted in. Rows are put in
+    one of 1,000 cells by a hash of their id, and the cells' labels are permuted among hash orders: what
+    is moved are whole rows' labels, by their ranks. The labels of a permutation come from ``ranked``."""
+    from textloom.operators.ranks import ranked
+
+    d = df.where(" and ".join(f"`{c}` is not null" for c in [*columns, group])).select(id_, group, *columns)
+    observed = wilks_lambda(d, columns, group)
+    # Labels by their place in the order of ids; a permutation takes the label of another place.
+    base = ranked(d.withColumn("_v", F.lit(0)), [], "_v", id_, "_at").drop("_v", "all_rows")
+    labels = base.select(F.col("_at").alias("_to"), F.col(group).alias("_label"))
+    below = 0
+    for k in range(permutations):
+        mixed = ranked(base.drop(group).withColumn("_v", F.xxhash64(F.lit(f"{seed}:{k}"), F.col(id_))), [], "_v", id_, "_to")
+        below += wilks_lambda(mixed.join(labels, "_to"), columns, "_label") <= observed + 1e-12
+    return {"wilks_lambda": observed, "p_value": (below + 1) / (permutations + 1), "permutations": permutations}
+
+
+def durbin_watson_permutation(df: DataFrame, value: str, key: str, order: list[str], permutations: int = 199, seed: int = 13) -> DataFrame:
+    """``(dw, p_value, permutations)``: the statistic over a key's neighbours, and the share of orders within keys,
+    shuffled by hashes, with one as small, itself counted in. All permutations are one job."""
+    d = df.withColumn("_e", F.col(value) - F.avg(value).over(W.partitionBy(key))).select(key, *order, "_e")
+    d = d.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
+    place = F.when(F.col("_p") > 0, F.xxhash64(F.lit(seed), "_p", key, *order))
+    w = W.partitionBy(key, "_p").orderBy(place, *order)
+    g = d.withColumn("_d", F.col("_e") - F.lag("_e").over(w)).groupBy("_p").agg((F.sum(F.col("_d") * F.col("_d")) / F.sum(F.col("_e") * F.col("_e"))).alias("dw"))
+    own = g.where("_p = 0").select(F.col("dw").alias("_own"))  # one row
+    return g.crossJoin(F.broadcast(own)).agg(F.max("_own").alias("dw"), ((F.sum(((F.col("_p") > 0) & (F.col("dw") <= F.col("_own") + 1e-12)).cast("int")) + 1) / (permutations + 1)).alias("p_value"), F.lit(permutations).alias("permutations"))
+
+
+def calibration_power(df: DataFrame, y: str = "y", p: str = "p", effects: tuple[float, ...] = (0.005, 0.01, 0.02, 0.05), alpha: float = 0.05, power: float = 0.8) -> DataFrame:
+    """``(metric, variance, effect, required_n)``: rows needed to see a difference in the Brier score, by the variance of
+    its terms, and in the calibration error, by a proxy from the binomial variances of its bins."""
+    from statistics import NormalDist
+
+    from textloom.operators.metrics import reliability
+
+    z = NormalDist().inv_cdf(1 - alpha / 2) + NormalDist().inv_cdf(power)
+    b = df.agg(F.coalesce(F.var_samp((F.col(p) - F.col(y)) * (F.col(p) - F.col(y))), F.lit(0.0)).alias("variance")).withColumn("metric", F.lit("brier"))
+    n = df.agg(F.count("*").alias("all"))
+    c, a = F.col("mean_predicted"), F.col("observed")
+    e = reliability(df, [], y, p).crossJoin(F.broadcast(n)).agg((F.sum(F.col("n") / F.col("all") * (c * (1 - c) + a * (1 - a))) * (1 - 2 / math.pi)).alias("variance")).withColumn("metric", F.lit("ece"))
+    x = b.unionByName(e).withColumn("effect", F.explode(F.array(*map(F.lit, effects))))
+    need = F.ceil(F.lit(z * z) * F.col("variance") / (F.col("effect") * F.col("effect")))
+    return x.select("metric", "variance", "effect", F.when(F.col("variance") > 0, need).otherwise(0).alias("required_n"))
 
 
 def mcnemar(df: DataFrame, a: Column, b: Column) -> DataFrame:
@@ -129,6 +246,7 @@ def durbin_watson(df: DataFrame, value: str, key: str, order: list[str]) -> Data
 
 
 def jarque_bera(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """Skewness, excess kurtosis and the statistic, whose p value is exp(-jb / 2)."""
     g = df.groupBy(*keys).agg(F.count(value).alias("n"), F.skewness(value).alias("skew"), F.kurtosis(value).alias("kurt"))
     return g.withColumn("jb", F.col("n") / 6.0 * (F.col("skew") * F.col("skew") + F.col("kurt") * F.col("kurt") / 4.0))
 
@@ -212,8 +330,10 @@ def irls(df: DataFrame, x: list[str], y: str, ridge: float = 1e-6, rounds: int =
         cov = np.linalg.inv(h + ridge * np.eye(k))
         move = cov @ g
         beta = beta + move
-        if np.abs(move).max() < tolerance:
+        if np.abs(move).max() < tolerance * (1 + np.abs(beta).max()):
             break
+    else:
+        raise RuntimeError(f"the fit is not stable after {rounds} rounds; the classes may be separable")
     return {"beta": beta, "cov": cov, "log_likelihood": row[-1], "rounds": step + 1}
 
 
@@ -241,12 +361,13 @@ def breusch_pagan(df: DataFrame, x: list[str], y: str) -> dict:
 
 
 def hosmer_lemeshow(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:
-    """Statistic over bins between the exact quantiles of p, the last closed, and number of bins."""
-    qs = df.agg(F.percentile(p, F.array(*(F.lit(i / bins) for i in range(bins + 1)))).alias("q"))
-    d = df.crossJoin(F.broadcast(qs)).withColumn("q", F.array_distinct("q"))
-    b = F.least(F.size(F.filter("q", lambda e: e <= F.col(p))), F.size("q") - 1)
+    """Statistic over bins between the exact quantiles of p, the last closed, number of bins and degrees of
+    freedom (``chi2_sf`` gives the p value)."""
+    qs = quantiles(df, [], p, {str(i): F.lit(i / bins) for i in range(bins + 1)}, higher=False).agg(F.array_sort(F.collect_set("quantile")).alias("q"))  # one row of bins + 1 values
+    d = df.crossJoin(F.broadcast(qs))
+    b = F.greatest(F.lit(1), F.least(F.size(F.filter("q", lambda e: e <= F.col(p))), F.size("q") - 1))
     g = d.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.sum(p).alias("e"), F.sum(F.col(y)).alias("o"))
-    return g.agg(F.sum((F.col("o") - F.col("e")) * (F.col("o") - F.col("e")) / (F.col("e") * (1 - F.col("e") / F.col("n")))).alias("statistic"), F.count("*").alias("bins"))
+    return g.agg(F.sum((F.col("o") - F.col("e")) * (F.col("o") - F.col("e")) / (F.col("e") * (1 - F.col("e") / F.col("n")))).alias("statistic"), F.count("*").alias("bins"), F.greatest(F.count("*") - 2, F.lit(1)).alias("df"))
 
 
 def delong(df: DataFrame, y: str, a: str, b: str) -> dict:
@@ -254,8 +375,6 @@ def delong(df: DataFrame, y: str, a: str, b: str) -> dict:
     from counts over distinct scores."""
     d = df.withColumn("_y", F.col(y).cast("int"))
     for s in (a, b):
-        from textloom.operators.metrics import by_score
-
         t = by_score(d, [], "_y", s).select(F.col(s).alias("_s"), ((F.col("neg_below") + F.col("neg") / 2) / F.col("all_neg")).alias("_v"), (1 - (F.col("pos_below") + F.col("pos") / 2) / F.col("all_pos")).alias("_w"))
         d = d.join(t, F.col(s) == F.col("_s")).withColumn(f"_{s}_v", F.when(F.col("_y") == 1, F.col("_v")).otherwise(F.col("_w"))).drop("_s", "_v", "_w")
     g = {r["_y"]: r for r in d.groupBy("_y").agg(F.count("*").alias("n"), F.avg(f"_{a}_v").alias("a"), F.avg(f"_{b}_v").alias("b"), F.var_samp(f"_{a}_v").alias("va"), F.var_samp(f"_{b}_v").alias("vb"), F.covar_samp(f"_{a}_v", f"_{b}_v").alias("c")).collect()}
