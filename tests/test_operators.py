@@ -114,11 +114,13 @@ def test_clusters_subsample_and_leaks(spark):
     assert splits.leaks(g.withColumn("partition", F.col("doc_id") % 2), "g").count() == 10
 
 
-def test_hygiene_order(spark):
+def test_hygiene_by_source(spark):
     long = " ".join(["word"] * 60)
-    df = spark.createDataFrame([(1, ""), (2, f"rate limit {long}"), (3, long), (4, f" {long} "), (5, "short"), (6, None)], "doc_id bigint, text string")
-    got = {r["doc_id"]: r["reason"] for r in corpus.hygiene(df, "doc_id").collect()}
-    assert got == {1: "empty", 2: "marker", 3: "keep", 4: "duplicate", 5: "short", 6: "empty"}
+    df = spark.createDataFrame([(1, ""), (2, f"As an AI language model {long}"), (3, long), (4, f" {long} "), (5, "short"), (6, None), (7, "short"), (8, f"APIConnectionError {long}")], "doc_id bigint, text string")
+    got = lambda k: {r["doc_id"]: r["reason"] for r in corpus.hygiene(df, "doc_id", k).collect()}
+    assert got("mage") == {1: "empty", 2: "marker", 3: "keep", 4: "duplicate", 5: "short", 6: "empty", 7: "short", 8: "keep"}
+    assert got("defactify") == {1: "empty", 2: "keep", 3: "keep", 4: "duplicate", 5: "short", 6: "empty", 7: "duplicate", 8: "marker"}
+    assert got("raid")[2] == got("raid")[8] == "keep" and got("raid")[7] == "duplicate"
 
 
 def test_overlapping_windows_count_tokens_once(spark):

@@ -24,7 +24,18 @@ def test_tokens_as_unicode_words(spark):
 
 def test_content_type_and_language(spark):
     got = {r[0]: r[1:] for r in frame(spark).select("doc_id", T.content_type(F.coalesce("text", F.lit(""))), T.language(F.coalesce("text", F.lit("")))).collect()}
-    assert got[3][0] == "code" and got[2][0] == "prose" and got[0] == ("prose", "unknown") and got[1][1] == "en"
+    assert got[3][0] == "mixed" and got[2][0] == "prose" and got[0] == ("prose", "unknown") and got[1][1] == "en"
+
+
+def test_code_lines_by_hand(spark):
+    """One line in three looks like code: mixed; ``return`` and ``public`` alone don't; a hint needs its blank."""
+    texts = {"var x\nplain\nplain": "mixed", "public static\nplain": "code", "return x\npublic x\nprivate x": "prose", "def\nclass\nfn": "prose", "let it be": "code", "a => b\n" + "plain\n" * 8: "prose", "x;  \n\n \ny": "code", "{\n" + "plain\n" * 2: "mixed"}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r[0]: r[1] for r in df.select("t", T.content_type("t")).collect()}
+    assert got == texts
+    named = spark.createDataFrame([("plain words", "a.PY", None), ("plain words", "a.txt", None), ("plain words", None, None), ("let x", "a.py", "prose")], "t string, f string, o string")
+    assert [r[0] for r in named.select(T.content_type("t", F.col("f"), F.col("o"))).collect()] == ["code", "prose", "prose", "prose"]
+    assert named.select(T.language("t", F.lit("code"), F.col("f"))).first()[0] == "python"
 
 
 def test_windows_tile_the_tokens(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,7 +13,36 @@ WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_']*[\p{L}\p{N}_])?"
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]"
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085  ]"
 # What makes a line look like code.
-CODE_HINTS = ("def ", "class ", "import ", "from ", "function ", "const ", "let ", "return ", "public ", "private ", "#include", "package ", "fn ", "=>")
+CODE_HINTS = (
+    "def ",
+    "function ",
+    "const ",
+    "let ",
+    "var ",
+    "class ",
+    "import ",
+    "from ",
+    "public static",
+    "#include",
+    "package ",
+    "fn ",
+    "=>",
+)
+# File names that say what a text is.
+CODE_EXTENSIONS = {
+    ".py": "python",
+    ".js": "javascript",
+    ".ts": "javascript",
+    ".tsx": "javascript",
+    ".jsx": "javascript",
+    ".java": "java",
+    ".go": "go",
+    ".cs": "csharp",
+    ".cpp": "cpp",
+    ".cc": "cpp",
+    ".c": "c",
+    ".h": "c",
+}
 
 
 def _c(x: str | Column) -> Column:
@@ -55,24 +86,40 @@ def lines(text: str | Column) -> Column:
     return F.filter(F.split(_c(text), LINE_BREAK, -1), lambda x: ~is_blank(x))
 
 
+#: A line that looks like code: it holds a hint, or ends with a bracket or semicolon.
+CODE_LINE = "|".join(re.escape(h) for h in CODE_HINTS) + r"|[{}();][\s\p{Z}]*$"
+
+
 def code_line_ratio(text: str | Column) -> Column:
-    hit = lambda x: F.exists(F.array(*map(F.lit, CODE_HINTS)), lambda h: F.contains(strip(x), h)) | strip(x).rlike(r"[{}();]$")
-    ls = lines(text)
-    return F.when(F.size(ls) > 0, F.size(F.filter(ls, hit)) / F.size(ls)).otherwise(0.0)
+    """Share of the lines that look like code. A hint ends with a blank, so the blank that ends a line
+    must not count: lines are stripped once."""
+    return let(F.transform(lines(text), strip), lambda ls: F.when(F.size(ls) > 0, F.size(F.filter(ls, lambda x: x.rlike(CODE_LINE))) / F.size(ls)).otherwise(0.0))
+
+
+def extension(name: Column) -> Column:
+    return F.regexp_extract(F.lower(name), r"(\.[a-z]+)$", 1)
 
 
-def content_type(text: str | Column) -> Column:
-    """``code``, ``mixed`` or ``prose`` by the share of lines that look like code."""
-    r = code_line_ratio(text)
-    return F.when(r >= 0.35, "code").when(r >= 0.12, "mixed").otherwise("prose")
+def content_type(text: str | Column, filename: Column | None = None, override: Column | None = None) -> Column:
+    """``code``, ``mixed`` or ``prose``: as ``override`` says, else ``code`` by the extension of
+    ``filename``, else by the share of lines that look like code."""
+    out = let(code_line_ratio(text), lambda r: F.when(r >= 0.35, "code").when(r >= 0.12, "mixed").otherwise("prose"))
+    if filename is not None:
+        out = F.when(F.coalesce(extension(filename), F.lit("")).isin(*CODE_EXTENSIONS), "code").otherwise(out)
+    return F.coalesce(override, out) if override is not None else out
 
 
-def language(text: str | Column) -> Column:
-    """``en`` if more than 85 % of the letters are ASCII, else ``unknown``."""
+def language(text: str | Column, kind: Column | None = None, filename: Column | None = None) -> Column:
+    """Of code with a file name the language by its extension; else ``en`` if more than 85 % of the
+    letters are ASCII, else ``unknown``."""
     t = _c(text)
     ascii_ = F.length(F.regexp_replace(t, "[^A-Za-z]", ""))
     all_ = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
-    return F.when((all_ > 0) & (ascii_ / all_ > 0.85), "en").otherwise("unknown")
+    out = F.when((all_ > 0) & (ascii_ / all_ > 0.85), "en").otherwise("unknown")
+    if kind is None or filename is None:
+        return out
+    by = F.create_map(*(F.lit(x) for kv in CODE_EXTENSIONS.items() for x in kv))
+    return F.when(kind == "code", F.coalesce(F.try_element_at(by, extension(filename)), out)).otherwise(out)
 
 
 def clamp_probability(x: str | Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,21 +12,74 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import content_hash, length_bucket, strip, word_tokens
 
-ERROR_MARKERS = r"(?i)\b(internal server error|bad gateway|rate limit|access denied|page not found|timed out)\b"
-
-
-def hygiene(df: DataFrame, id_: str, text: str = "text", marker: str = ERROR_MARKERS, least_words: int = 50, seen: str = "kept") -> DataFrame:
-    """``(id, reason)`` with the first reason that drops a row, else ``keep``: empty, marker, duplicate,
-    short, in that order. Of equal stripped texts the smallest id stays; ``seen="kept"`` looks for
-    it among the rows that get so far, ``seen="all"`` among all rows."""
+# What marks a failed generation instead of a text, by source.
+ERROR_MARKERS = {
+    "mage": ("as an ai language model", "i cannot fulfill this request", "openai", "content policy"),
+    "defactify": ("Error communicating with", "api.openai.com", "NameResolutionError", "Max retries exceeded", "HTTPSConnectionPool", "OpenAI API error", "RateLimitError", "APIConnectionError"),
+    "raid": (),
+    "m4gt": (),
+}
+#: Which rows a copy is looked for among: those kept so far, those without the earlier faults, or all.
+SEEN = {"mage": "kept", "defactify": "all", "raid": "all", "m4gt": "all"}
+
+
+def hygiene(df: DataFrame, id_: str, source: str, text: str = "text", least_words: int = 50) -> DataFrame:
+    """``(id, reason)`` with the first reason that drops a row, else ``keep``, by the rules of a source:
+    empty, marker, duplicate, short (``defactify`` looks for markers first). Of equal stripped texts the
+    smallest id stays. Null texts are empty; a row counts by its id."""
+    markers = "|".join(re.escape(m) for m in ERROR_MARKERS[source])
     d = df.select(id_, strip(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    d = d.select(id_, (F.col("t") == "").alias("empty"), F.col("t").rlike(marker).alias("marked"), F.size(F.filter(F.split("t", r"[\s\p{Z}]+"), lambda w: w != "")).alias("n"), F.sha2(F.encode("t", "utf-8"), 256).alias("h"))
-    out = F.col("empty") | F.col("marked")
-    key = F.when(F.lit(seen == "all") | ~out, F.col(id_))
-    low = d.groupBy("h").agg(F.min(key).alias("low"))
+    marked = F.col("t").rlike(f"(?i){markers}") if markers else F.lit(False)
+    d = d.select(id_, (F.col("t") == "").alias("empty"), marked.alias("marked"), F.size(F.filter(F.split("t", r"[\s\p{Z}]+"), lambda w: w != "")).alias("n"), F.sha2(F.encode("t", "utf-8"), 256).alias("h"))
+    # Copies are copies of the whole text, so both have the same faults before this one.
+    low = d.groupBy("h").agg(F.min(id_).alias("low"))
     d = d.join(low, "h")
-    reason = F.when(F.col("empty"), "empty").when(F.col("marked"), "marker").when(F.col(id_) != F.col("low"), "duplicate").when(F.col("n") < least_words, "short").otherwise("keep")
-    return d.select(id_, reason.alias("reason"))
+    short = F.col("n") < least_words
+    copy = F.col(id_) != F.col("low")
+    reason = F.when(F.col("empty"), "empty").when(F.col("marked"), "marker")
+    # Where only kept rows are looked at, a copy of a short text is short, not a copy.
+    reason = reason.when(short, "short").when(copy, "duplicate") if SEEN[source] == "kept" else reason.when(copy, "duplicate").when(short, "short")
+    return d.select(id_, reason.otherwise("keep").alias("reason"))
+
+
+def hygiene_counts(reasons: DataFrame) -> DataFrame:
+    return reasons.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def text_group(text: Column) -> Column:
+    """The group of a text: the first 16 digits of its hash without blanks around it."""
+    return F.substring(content_hash(strip(F.coalesce(text, F.lit("")))), 1, 16)
+
+
+def parse_source(src: Column) -> Column:
+    """Struct of domain, family, prompt mode and whether paraphrased, from a source name:
+    ``<domain>_machine_<mode>_<generator>``, ``<domain>_human``, ``<domain>_human_para``, or
+    ``<domain>_<generator>`` with ``_para`` where paraphrased."""
+    s = F.coalesce(src, F.lit("None"))
+    at = F.instr(s, "_machine_")
+    rest = F.substring(s, at + 9, F.length(s))
+    mode, generator = F.split_part(rest, F.lit("_"), F.lit(1)), F.when(F.instr(rest, "_") > 0, F.substring(rest, F.instr(rest, "_") + 1, F.length(rest))).otherwise("")
+    para = s.endswith("_para")
+    body = F.when(para, F.substring(s, F.lit(1), F.length(s) - 5)).otherwise(s)
+    other = F.when(F.instr(body, "_") > 0, F.substring(body, F.instr(body, "_") + 1, F.length(body))).otherwise("unknown")
+    pick = lambda machine, human, human_para, rest_: F.when(at > 0, machine).when(s.endswith("_human"), human).when(s.endswith("_human_para"), human_para).otherwise(rest_)
+    known = lambda c: F.when(c == "", "unknown").otherwise(c)
+    return F.struct(
+        F.split_part(s, F.lit("_"), F.lit(1)).alias("domain"),
+        pick(known(generator), F.lit("human"), F.lit("paraphrased_human"), other).alias("family"),
+        pick(known(mode), F.lit("human"), F.lit("paraphrase"), F.when(para, "paraphrase").otherwise("ood")).alias("prompt_mode"),
+        pick(F.lit(False), F.lit(False), F.lit(True), para).alias("paraphrased"),
+    )
+
+
+def explode_pairs(df: DataFrame, original: str = "original", sampled: str = "sampled", keep: tuple[str, ...] = ("domain", "version")) -> DataFrame:
+    """``(*keep, pair_no, text, label, family, group)``: rows of a human text and a machine's text at the same
+    place of two arrays; the longer array's rest has no partner and is left out. The group is that
+    of the human text within its domain."""
+    n = F.least(F.size(original), F.size(sampled))
+    x = df.where(n > 0).select(*keep, F.posexplode(F.arrays_zip(F.slice(original, F.lit(1), n).alias("h"), F.slice(sampled, F.lit(1), n).alias("a"))).alias("pair_no", "x"))
+    x = x.select(*keep, "pair_no", F.concat_ws(":", "domain", text_group(F.col("x.h"))).alias("group"), F.explode(F.array(F.struct(F.col("x.h").alias("text"), F.lit(0).alias("label"), F.lit("human").alias("family")), F.struct(F.col("x.a").alias("text"), F.lit(1).alias("label"), F.col("version").alias("family")))).alias("y"))
+    return x.select(*keep, "pair_no", strip(F.coalesce("y.text", F.lit(""))).alias("text"), "y.label", "y.family", "group")
 
 
 def merkle_root(hashes: Column) -> Column:
@@ -135,6 +189,20 @@ def replay_sessions(events: DataFrame, session: str = "session_id", order: str =
     return events.groupBy(session).applyInPandas(one, "session string, text string, human_chars int, ai_chars int, prompt_chars int, ai_fraction double")
 
 
+def contributions(sessions: DataFrame, official: str = "written_by_human", least: int = 200) -> DataFrame:
+    """``sessions`` (human_chars, ai_chars) with at least ``least`` authored characters, with the shares of
+    both hands and the ``official`` human share out of 100 as a share."""
+    n = F.col("human_chars") + F.col("ai_chars")
+    return sessions.where(n >= least).withColumns({"ai_share": F.round(F.col("ai_chars") / n, 6), "human_share": F.col("human_chars") / n, "official_share": F.try_to_number(F.col(official).cast("string"), F.lit("999.99")).cast("double") / 100 if dict(sessions.dtypes)[official] == "string" else F.col(official) / 100.0})
+
+
+def replay_agreement(shares: DataFrame) -> DataFrame:
+    """``(n, pearson, mae)`` of the replayed human shares against the official ones that are given; without
+    variance, or with two rows or fewer, the correlation is 0."""
+    d = shares.where(F.col("official_share").isNotNull() & ~F.isnan("official_share"))
+    return d.agg(F.count("*").alias("n"), F.when(F.count("*") > 2, F.coalesce(F.corr("human_share", "official_share"), F.lit(0.0))).otherwise(0.0).alias("pearson"), F.coalesce(F.avg(F.abs(F.col("human_share") - F.col("official_share"))), F.lit(0.0)).alias("mae"))
+
+
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
     """One row per key: the first by ``order``."""
     return df.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(order))).where("_r = 1").drop("_r")

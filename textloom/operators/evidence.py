@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PREVALENCES = (0.001, 0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9)
+from textloom.operators.ranks import ranked, same_keys
+
+# Prevalences that evidence is weighed at, and shares of foreign words in mixtures.
+PREVALENCES = (0.001, 0.005, 0.01, 0.05, 0.1, 0.25, 0.5, 0.75)
 RATES = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
 
 
@@ -57,31 +60,66 @@ def overlap_corrected(df: DataFrame, p: str, start: str, end: str, id_: str = "d
     return s.groupBy(id_).agg(F.sum("len").alias("tokens"), (F.sum(F.col("sl") / F.col("sn") * F.col("len")) / F.sum("len")).alias("log_odds"))
 
 
-def mix_words(human: Column, ai: Column, rate: Column, suffix: bool = False) -> Column:
-    """Words of the human text with the rounded share of its length replaced by words of the other
-    text, at the start or the end."""
+def mix_words(human: Column, ai: Column, rate: Column, workflow: str = "ai_prefix") -> Column:
+    """Words of the human text with the rounded share of its length replaced by words of the other text:
+    at the start (``ai_prefix``), at the end (``ai_suffix``), or in turns with blocks of an eighth of the
+    human text, the foreign words first (``interleave``). Without human words the other text is the
+    mixture at rate 1, else there is none."""
     n = F.size(human)
-    k = F.least(F.bround(n * rate).cast("int"), F.size(ai))
-    own = F.slice(human, 1, n - k) if suffix else F.slice(human, k + 1, n)
-    own = F.when(k < n, own).otherwise(F.array().cast("array<string>"))
-    new = F.when(k > 0, F.slice(ai, 1, k)).otherwise(F.array().cast("array<string>"))
-    return F.concat(own, new) if suffix else F.concat(new, own)
+    k = F.least(F.bround(n * F.greatest(F.lit(0.0), F.least(F.lit(1.0), rate))).cast("int"), F.size(ai))
+    none = F.array().cast("array<string>")
+    part = lambda w, at, m: F.when(m > 0, F.slice(w, at, F.greatest(m, F.lit(0)))).otherwise(none)
+    if workflow == "ai_prefix":
+        mixed = F.concat(part(ai, F.lit(1), k), part(human, k + 1, n - k))
+    elif workflow == "ai_suffix":
+        mixed = F.concat(part(human, F.lit(1), n - k), part(ai, F.lit(1), k))
+    elif workflow == "interleave":
+        # While foreign words are left, each block is foreign; then come the human words from their start.
+        mixed = F.slice(F.concat(part(ai, F.lit(1), k), human), F.lit(1), n)
+    else:
+        raise ValueError(f"no workflow {workflow!r}")
+    return F.when(n > 0, mixed).when(rate >= 1, ai).otherwise(human)
+
+
+WORKFLOWS = ("ai_prefix", "ai_suffix", "interleave")
 
 
-def prompt_pairs(df: DataFrame, group: Column, id_: str = "record_id", once: bool = False) -> DataFrame:
+def prompt_pairs(df: DataFrame, group: Column, id_: str = "record_id") -> DataFrame:
     """``(group, kind, human_id, ai_id)``: of each group and kind that has both labels, every row with one
-    of the other label, chosen by rank in turn: the smaller side starts anew when it is used up. So a
-    group gives as many pairs as its larger side has rows, not all that could be formed. With ``once``
-    the turn ends with the smaller side, and what the larger has beyond it is in no pair."""
+    of the other label, in the order of the ids' digests: the smaller side starts anew when it is used
+    up. So a group gives as many pairs as its larger side has rows; how many could be formed,
+    ``pair_groups`` tells, and the pairs are its rows of either label crossed."""
     d = df.withColumn("_g", group).where("_g is not null and label in (0, 1)")
-    n = d.groupBy("_g", "kind").agg(F.sum(1 - F.col("label")).alias("_h"), F.sum("label").alias("_a")).where("_h > 0 and _a > 0")
-    pairs = F.least("_h", "_a") if once else F.greatest("_h", "_a")
-    rank = F.row_number().over(W.partitionBy("_g", "kind", "label").orderBy(id_)).cast("bigint")
-    d = d.select("_g", "kind", "label", id_, rank.alias("_r")).join(n, ["_g", "kind"]).withColumn("_n", pairs).where("_r <= _n")
+    n = pair_groups(df, group)
+    r = ranked(d.select("_g", "kind", "label", id_).withColumn("_v", F.lit(0)), ["_g", "kind", "label"], "_v", id_, "_r")
+    r = r.join(n.withColumnsRenamed({"group": "_g", "kind": "_kind"}), "_g").where(F.col("kind").eqNullSafe(F.col("_kind")))
+    many, own = F.greatest("humans", "ais"), F.when(F.col("label") == 0, F.col("humans")).otherwise(F.col("ais"))
     # A row stands at its rank and every so many places further; places are distinct on both sides.
-    d = d.withColumn("_k", F.explode(F.sequence("_r", "_n", F.when(F.col("label") == 0, F.col("_h")).otherwise(F.col("_a")))))
-    side = lambda label, name: d.where(F.col("label") == label).select("_g", "kind", "_k", F.col(id_).alias(name))
-    return side(0, "human_id").join(side(1, "ai_id"), ["_g", "kind", "_k"]).select(F.col("_g").alias("group"), "kind", "human_id", "ai_id")
+    r = r.withColumn("_k", F.explode(F.sequence("_r", many - 1, own)))
+    side = lambda label, name: r.where(F.col("label") == label).select("_g", "kind", "_k", F.col(id_).alias(name))
+    ai = side(1, "ai_id").withColumnsRenamed({c: f"{c}_k" for c in ("_g", "kind", "_k")})
+    return side(0, "human_id").join(ai, same_keys(["_g", "kind", "_k"])).select(F.col("_g").alias("group"), "kind", "human_id", "ai_id")
+
+
+def pair_groups(df: DataFrame, group: Column) -> DataFrame:
+    """``(group, kind, humans, ais, pairs)`` of groups with both labels: their rows and all pairs these form."""
+    d = df.withColumn("_g", group).where("_g is not null and label in (0, 1)")
+    g = d.groupBy(F.col("_g").alias("group"), "kind").agg(F.sum((1 - F.col("label")).cast("bigint")).alias("humans"), F.sum(F.col("label").cast("bigint")).alias("ais"))
+    return g.where("humans > 0 and ais > 0").withColumn("pairs", F.col("humans") * F.col("ais"))
+
+
+def mixture_curve(pairs: DataFrame, words: DataFrame, score, workflow: str = "ai_prefix", id_: str = "record_id") -> DataFrame:
+    """``(rate, n, mean_estimated, std_estimated)``: scores of the pairs' mixtures at each rate. ``words`` has
+    the columns id and ``w``, the text's words; ``score`` makes a score of a column with the mixture."""
+    x = pairs.join(words.withColumnsRenamed({id_: "human_id", "w": "h"}), "human_id").join(words.withColumnsRenamed({id_: "ai_id", "w": "a"}), "ai_id")
+    x = x.select("h", "a", F.explode(F.array(*map(F.lit, RATES))).alias("rate"))
+    m = score(x.select("rate", F.array_join(mix_words(F.col("h"), F.col("a"), F.col("rate"), workflow), " ").alias("text")))
+    return m.groupBy("rate").agg(F.count("*").alias("n"), F.avg("score").alias("mean_estimated"), F.stddev_pop("score").alias("std_estimated"))
+
+
+def tracking(curve: DataFrame) -> DataFrame:
+    """``(correlation, slope, mae)`` of a curve's mean scores against its rates."""
+    return curve.agg(F.corr("rate", "mean_estimated").alias("correlation"), F.regr_slope("mean_estimated", "rate").alias("slope"), F.avg(F.abs(F.col("rate") - F.col("mean_estimated"))).alias("mae"))
 
 
 def transport_cells(df: DataFrame, cohort: str, y: str = "y", p: str = "p") -> DataFrame:
@@ -95,38 +133,6 @@ def transport_cells(df: DataFrame, cohort: str, y: str = "y", p: str = "p") -> D
     return x.select(cohort, "n", (F.col("sq") / F.col("n")).alias("brier"), (F.col("ok") / F.col("n")).alias("accuracy"), (F.col("sq") / F.col("n") - (F.col("tsq") - F.col("sq")) / (F.col("tn") - F.col("n"))).alias("brier_delta"))
 
 
-def isotonic_knots(df: DataFrame, y: str = "y", p: str = "p", bins: int = 1000) -> list[tuple[float, float]] | None:
-    """Knots of the isotonic fit: scores are first aggregated to at most ``bins`` equal steps, then
-    pooled where the means fall. None for one class."""
-    g = df.groupBy(F.floor(F.col(p) * bins).alias("b")).agg(F.count("*").alias("n"), F.avg(p).alias("x"), F.avg(F.col(y).cast("double")).alias("m")).orderBy("b").collect()
-    if not g or all(r["m"] in (0.0,) for r in g) or all(r["m"] == 1.0 for r in g):
-        return None
-    pools: list[list[float]] = []  # weight, mean, first x, last x
-    for r in g:
-        pools.append([r["n"], r["m"], r["x"], r["x"]])
-        while len(pools) > 1 and pools[-2][1] >= pools[-1][1]:
-            b, a = pools.pop(), pools.pop()
-            w = a[0] + b[0]
-            pools.append([w, (a[0] * a[1] + b[0] * b[1]) / w, a[2], b[3]])
-    return sorted({(x, q[1]) for q in pools for x in (q[2], q[3])})
-
-
-def interpolate(p: Column, knots: list[tuple[float, float]]) -> Column:
-    """Linear between the knots, flat outside, held to [1e-6, 1 - 1e-6]. The knots are sorted, so each
-    row finds its place by bisection, whatever their number."""
-    n, xs, ys = len(knots), F.lit([float(x) for x, _ in knots]), F.lit([float(y) for _, y in knots])
-    steps = F.lit([1 << k for k in reversed(range(n.bit_length()))])
-    # How many knots are at or below p.
-    place = F.aggregate(steps, F.lit(0), lambda i, s: F.when((i + s <= n) & (F.get(xs, i + s - 1) <= p), i + s).otherwise(i))
-
-    def value(i):
-        x0, y0, x1, y1 = F.get(xs, i - 1), F.get(ys, i - 1), F.get(xs, i), F.get(ys, i)
-        between = y0 + F.when(x1 > x0, (p - x0) * (y1 - y0) / (x1 - x0)).otherwise(0.0)
-        return F.when(i == 0, F.lit(float(knots[0][1]))).when(i == n, F.lit(float(knots[-1][1]))).otherwise(between)
-
-    return clip(F.get(F.transform(F.array(place), value), 0))
-
-
 def centroids(df: DataFrame, vector: str, label: str) -> DataFrame:
     """``(label, n, centroid)``: mean vectors, element by element."""
     e = df.select(label, F.posexplode(vector).alias("i", "v")).groupBy(label, "i").agg(F.avg(F.col("v").cast("double")).alias("m"), F.count("*").alias("n"))
@@ -134,12 +140,17 @@ def centroids(df: DataFrame, vector: str, label: str) -> DataFrame:
 
 
 def nearest_family(df: DataFrame, vector: str, label: str, id_: str = "vec_id") -> DataFrame:
-    """``(id, label, nearest, distance)``: the family with the nearest centroid. Centroids are a row per
-    family; they go to all tasks only below the session's threshold."""
-    c = centroids(df, vector, label).select(F.col(label).alias("nearest"), "centroid")
-    d = F.aggregate(F.zip_with(vector, "centroid", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
-    best = df.select(id_, label, vector).crossJoin(c).groupBy(id_, label).agg(F.min(F.struct(d.alias("d"), F.col("nearest"))).alias("x"))
-    return best.select(id_, label, F.col("x.nearest").alias("nearest"), F.sqrt("x.d").alias("distance"))
+    """``(id, label, nearest, distance)``: the family with the nearest centroid. All centroids, a row per
+    family, stand beside each row in one array; more than ``MOST_FAMILIES`` are refused."""
+    c = centroids(df, vector, label).select(F.struct(F.col(label).alias("nearest"), "centroid").alias("f")).agg(F.collect_list("f").alias("_all"))
+    c = c.withColumn("_all", F.when(F.size("_all") <= MOST_FAMILIES, F.col("_all")).otherwise(F.raise_error(F.lit("too many families for one array"))))
+    far = lambda f: F.aggregate(F.zip_with(vector, f["centroid"], lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
+    best = F.array_min(F.transform("_all", lambda f: F.struct(far(f).alias("d"), f["nearest"].alias("nearest"))))
+    return df.crossJoin(F.broadcast(c)).select(id_, label, best.alias("x")).select(id_, label, F.col("x.nearest").alias("nearest"), F.sqrt("x.d").alias("distance"))
+
+
+#: Families whose centroids go to every task.
+MOST_FAMILIES = 10_000
 
 
 def required_n(p1: float, p2: float, alpha: float = 0.05, power: float = 0.8) -> int:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions.text import content_hash, let
+from textloom.operators.ranks import ranked
 from textloom.session import cut_lineage
 
-PRIME = (1 << 31) - 1
+#: The hash family works modulo a Mersenne prime on 64-bit hashes.
+PRIME = (1 << 61) - 1
 NEAR_WORD = "[a-z0-9']+"
 
 
@@ -19,36 +25,123 @@ def shingles(text: Column, n: int = 3) -> Column:
     return let(F.regexp_extract_all(F.lower(text), F.lit(NEAR_WORD), F.lit(0)), lambda w: F.array_distinct(F.when(F.size(w) >= n, runs(w)).otherwise(w)))
 
 
-def hash31(s: Column) -> Column:
-    return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("bigint").bitwiseAND(F.lit(PRIME))
+def coefficients(n: int, seed: int = 13) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers and addends of the hash family."""
+    rng = np.random.default_rng(seed)
+    return rng.integers(1, PRIME, n, dtype=np.uint64), rng.integers(0, PRIME, n, dtype=np.uint64)
+
+
+class Signer:
+    """Signatures of texts: the minima of ``perms`` hash functions over the hashes of their word runs.
+    The product wraps at 64 bits before the modulus; an empty text has the largest values."""
+
+    def __init__(self, perms: int = 128, words: int = 3):
+        import re
+
+        from xxhash import xxh64_intdigest
+
+        self.words, self.hash, self.find = words, xxh64_intdigest, re.compile(NEAR_WORD).findall
+        self.a, self.b = coefficients(perms)
+        self.cache: dict[str, int] = {}
+
+    def runs(self, text: str) -> np.ndarray:
+        """Distinct 64-bit hashes of the runs, or of the words of a shorter text."""
+        if len(self.cache) > 500_000:
+            self.cache.clear()
+        w = []
+        for x in self.find(text.lower()):
+            h = self.cache.get(x)
+            if h is None:
+                h = self.cache[x] = self.hash(x)
+            w.append(h)
+        a = np.array(w, dtype=np.uint64)
+        n = len(a) - self.words + 1
+        if n > 0:
+            h = np.zeros(n, dtype=np.uint64)
+            for k in range(self.words):
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + a[k : k + n]
+            a = h ^ (h >> np.uint64(32))
+        return np.unique(a)
+
+    def __call__(self, text: str) -> np.ndarray:
+        h = self.runs(text)
+        if not len(h):
+            return np.full(len(self.a), np.iinfo(np.uint64).max, dtype=np.uint64)
+        # A long text goes through in parts, so that the table of products stays small.
+        low = np.full(len(self.a), np.iinfo(np.uint64).max, dtype=np.uint64)
+        for k in range(0, len(h), 4096):
+            low = np.minimum(low, ((h[k : k + 4096, None] * self.a + self.b) % np.uint64(PRIME)).min(axis=0))
+        return low
 
 
-def permutations(n: int) -> list[tuple[int, int]]:
-    """Coefficients of the hash family, from a fixed recurrence."""
-    out, x = [], 12345
-    for _ in range(n):
-        pair = []
-        for _ in range(2):
-            x = (x * 1103515245 + 12345) % (1 << 31)
-            pair.append(x % (PRIME - 1) + 1)
-        out.append((pair[0], pair[1]))
-    return out
+def minhash(df: DataFrame, id_: str = "doc_id", text: str = "text", perms: int = 128) -> DataFrame:
+    """``(id, n, signature)`` of each document: its number of distinct word runs and their ``perms`` minima,
+    over batches of texts, without a shuffle. A null text is an empty one."""
+    kind = dict(df.dtypes)[id_]
+
+    def run(batches):
+        sign = Signer(perms)
+        for b in batches:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            rows = [sign(t).view(np.int64).tolist() for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(sign.runs(t)) for t in texts], pa.int32()), pa.array(rows, pa.list_(pa.int64()))], names=[id_, "n", "signature"])
+
+    return df.select(id_, text).mapInArrow(run, f"`{id_}` {kind}, n int, signature array<bigint>")
+
+
+def band_rows(df: DataFrame, id_: str = "doc_id", text: str = "text", bands: int = 32, rows: int = 4, words: int = 3) -> DataFrame:
+    """``(id, key)``: a row per document and band, the key from the band's number and minima."""
+    kind = dict(df.dtypes)[id_]
+
+    def run(batches):
+        sign = Signer(bands * rows, words)
+        number = np.arange(bands, dtype=np.uint64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            m = np.stack([sign(t or "") for t in b.column(1).to_pylist()]).reshape(b.num_rows, bands, rows)
+            k = np.broadcast_to(number, (b.num_rows, bands)).copy()
+            for r in range(rows):
+                k = (k ^ (k >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + m[:, :, r]
+            k ^= k >> np.uint64(32)
+            at = np.repeat(np.arange(b.num_rows), bands)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(k.reshape(-1).view(np.int64))], names=[id_, "key"])
+
+    return df.select(id_, text).mapInArrow(run, f"`{id_}` {kind}, key bigint")
+
+
+def lsh_edges(long: DataFrame, id_: str = "doc_id") -> DataFrame:
+    """``(a, b)``: each document of a bucket of ``band_rows`` with the smallest of it, so that a bucket
+    of any size gives as many edges as it has documents."""
+    low = long.groupBy("key").agg(F.min(id_).alias("a"), F.count("*").alias("n")).where("n > 1")
+    return long.join(low, "key").where(F.col(id_) != F.col("a")).select("a", F.col(id_).alias("b")).distinct()
 
 
-def minhash(df: DataFrame, id_: str = "doc_id", text: str = "text", perms: int = 128) -> DataFrame:
-    """``(id, m0, m1, ...)``: minima of the permuted shingle hashes, as native aggregates."""
-    h = df.select(id_, F.explode_outer(F.transform(shingles(F.coalesce(F.col(text), F.lit(""))), hash31)).alias("h"))
-    return h.groupBy(id_).agg(*(F.min((F.lit(a) * F.col("h") + F.lit(b)) % F.lit(PRIME)).alias(f"m{i}") for i, (a, b) in enumerate(permutations(perms))))
+def verified(edges: DataFrame, df: DataFrame, similarity: float, id_: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
+    """The edges ``(a, b)`` whose texts' word runs have at least this Jaccard similarity, measured on the
+    whole sets of hashes."""
 
+    def sets(batches):
+        sign = Signer(1, words)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sign.runs(t or "").tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=[id_, "runs"])
 
-def lsh_edges(df: DataFrame, id_: str = "doc_id", text: str = "text", bands: int = 32, rows: int = 4) -> DataFrame:
-    """``(a, b)``: each document of a band's bucket with the smallest of the bucket, so that a bucket
-    of any size gives as many edges as it has documents."""
-    m = minhash(df, id_, text, bands * rows)
-    key = lambda i: F.concat_ws(",", *(F.coalesce(F.col(f"m{i * rows + r}"), F.lit(-1)).cast("string") for r in range(rows)))
-    long = m.select(id_, F.posexplode(F.array(*(F.md5(key(i)) for i in range(bands)))).alias("band", "key"))
-    low = long.groupBy("band", "key").agg(F.min(id_).alias("a"), F.count("*").alias("n")).where("n > 1")
-    return long.join(low, ["band", "key"]).where(F.col(id_) != F.col("a")).select("a", F.col(id_).alias("b")).distinct()
+    kind = dict(df.dtypes)[id_]
+    wanted = edges.select(F.col("a").alias(id_)).union(edges.select("b")).distinct()
+    s = df.select(id_, text).join(wanted, id_, "left_semi").mapInArrow(sets, f"`{id_}` {kind}, runs binary")
+    x = edges.join(s.withColumnsRenamed({id_: "a", "runs": "ra"}), "a").join(s.withColumnsRenamed({id_: "b", "runs": "rb"}), "b").select("a", "b", "ra", "rb")
+
+    def measure(batches):
+        for b in batches:
+            keep = []
+            for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                p, q = np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= similarity * (len(p) + len(q) - both))
+            ok = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
+
+    return x.mapInArrow(measure, f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame, nodes: DataFrame, id_: str = "doc_id", max_rounds: int = 60) -> DataFrame:
@@ -66,11 +159,38 @@ def components(edges: DataFrame, nodes: DataFrame, id_: str = "doc_id", max_roun
         if now == total:
             break
         total = now
+    else:
+        raise RuntimeError(f"components not stable after {max_rounds} rounds")
     return nodes.select(id_).join(lab.withColumnRenamed("v", id_), id_, "left").select(id_, F.coalesce("l", F.col(id_)).alias("cluster"))
 
 
-def near_duplicate_clusters(df: DataFrame, id_: str = "doc_id", text: str = "text", bands: int = 32, rows: int = 4) -> DataFrame:
-    return components(lsh_edges(df, id_, text, bands, rows), df, id_)
+def near_duplicate_clusters(df: DataFrame, id_: str = "doc_id", text: str = "text", bands: int = 32, rows: int = 4, words: int = 3, similarity: float | None = None) -> DataFrame:
+    """``(id, cluster)``: documents that share a band of minima of their runs of ``words`` words, carried on;
+    the cluster is its smallest id. Documents without words are one cluster.
+
+    With ``similarity`` a link counts only if it is measured on the whole texts. Each document is compared
+    with the smallest of each of its buckets; then, in buckets that still hold several clusters, with the
+    documents of the other clusters. So a bucket of near copies forms no pairs beyond its star, and no
+    link between clusters is missed.
+    """
+    long = cut_lineage(band_rows(df, id_, text, bands, rows, words))
+    star = cut_lineage(lsh_edges(long, id_))
+    if similarity is None:
+        return components(star, df, id_)
+    first = cut_lineage(verified(star, df, similarity, id_, text, words))
+    b = long.join(components(first, df, id_), id_)
+    mixed = b.groupBy("key").agg(F.min("cluster").alias("_a"), F.max("cluster").alias("_b")).where("_a <> _b").select("key")
+    b = cut_lineage(b.join(mixed, "key", "left_semi"))
+    other = b.select("key", F.col(id_).alias("b"), F.col("cluster").alias("_c"))
+    pairs = b.withColumnRenamed(id_, "a").join(other, "key").where("cluster < _c").select("a", "b").distinct().join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    return components(first.union(cut_lineage(verified(cut_lineage(pairs), df, similarity, id_, text, words))), df, id_)
+
+
+def cluster_stats(clusters: DataFrame, bands: int = 32, rows: int = 4) -> DataFrame:
+    """``(n_documents, n_clusters, singletons, largest, threshold)``: the last is the similarity at which
+    half of the pairs share a band."""
+    g = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    return g.agg(F.sum("n").alias("n_documents"), F.count("*").alias("n_clusters"), F.sum((F.col("n") == 1).cast("int")).alias("singletons"), F.max("n").alias("largest"), F.lit((1 / bands) ** (1 / rows)).alias("threshold"))
 
 
 def jaccard(pairs: DataFrame, df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
@@ -116,6 +236,135 @@ def group_partitions(df: DataFrame, group: str, shares: dict[str, float], seed:
     return g.select(F.col("g").alias("group"), out.alias("partition"))
 
 
+def holdout(df: DataFrame, group: str, shares: tuple[float, float, float] = (0.6, 0.2, 0.2), seed: int = 13, least: int = 3) -> DataFrame:
+    """``(group, partition)``: groups, in the order of a hash, to test, calibration and the rest to train: the
+    rounded shares of their number, at least one of each share that isn't 0. Raises with fewer than
+    ``least`` groups. Null groups are in no partition."""
+    g = df.where(F.col(group).isNotNull()).select(F.col(group).cast("string").alias("g")).distinct().withColumn("one", F.lit(1))
+    g = cut_lineage(_running(g.withColumn("o", _ordered(g, f"{seed}:holdout:")), "o", "one"))
+    n = g.count()
+    if n < least:
+        raise ValueError(f"{n} groups can't be split; at least {least} are needed")
+    test, cal = (max(1, round(n * s)) if s else 0 for s in (shares[2], shares[1]))
+    if test + cal >= n:
+        test, cal = 1, min(1, cal)
+    part = F.when(F.col("before") < test, "test").when(F.col("before") < test + cal, "calibration").otherwise("train")
+    return g.select(F.col("g").alias("group"), part.alias("partition"))
+
+
+def majority_labels(df: DataFrame, group: str, label: str = "label") -> DataFrame:
+    """``(group, majority, n)``: 1 where at least half of a group's rows are."""
+    return df.where(F.col(group).isNotNull()).groupBy(group).agg((F.sum(F.col(label)) * 2 >= F.count("*")).cast("int").alias("majority"), F.count("*").alias("n"))
+
+
+def nested_folds(df: DataFrame, group: str, label: str = "label", folds: int = 5, seed: int = 13) -> DataFrame:
+    """``(fold, group, partition)``: for each outer fold its groups as test and, of the others, a quarter (at
+    least one, and two where both labels are there) as calibration: in the order of a hash, but first
+    one group of either majority label, so that both classes are there. The rest trains."""
+    m = majority_labels(df, group, label).select(group, "majority")
+    f = grouped_folds(df, group, folds).select(group, "fold").join(m, group)
+    outer = f.select("fold").distinct().withColumnRenamed("fold", "outer")
+    x = f.crossJoin(F.broadcast(outer)).withColumn("o", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("outer").cast("string"), F.col(group).cast("string")), 256))
+    rest = x.where("fold <> outer")
+    # The first group of either label, and where each stands among the others, per outer fold.
+    first = rest.groupBy("outer", "majority").agg(F.min("o").alias("o")).withColumn("_first", F.lit(1))
+    size = rest.groupBy("outer").agg(F.count("*").alias("n"), F.countDistinct("majority").alias("k"))
+    r = rest.join(first, ["outer", "majority", "o"], "left").join(size, "outer")
+    many = F.least(F.greatest(F.floor(F.col("n") / 4), F.when((F.col("k") > 1) & (F.col("n") >= 3), 2).otherwise(1)), F.col("n") - 1)
+    r = r.withColumn("_many", many).withColumn("_lead", F.when((F.col("_many") >= 2) & (F.col("k") > 1) & F.col("_first").isNotNull(), 0).otherwise(1))
+    r = ranked(r.withColumn("_key", F.concat(F.col("_lead").cast("string"), F.col("o"))).withColumn("_v", F.col("_lead")), ["outer"], "_v", "o", "_rank")
+    part = F.when(F.col("_rank") < F.col("_many"), "calibration").otherwise("train")
+    return r.select(F.col("outer").alias("fold"), group, part.alias("partition")).union(x.where("fold = outer").select("outer", group, F.lit("test")))
+
+
+#: Below so many groups a single holdout is too small.
+NESTED_BELOW = 30
+
+
+def protocol_splits(df: DataFrame, group: str, label: str = "label", author: str | None = None, seed: int = 13) -> DataFrame:
+    """``(fold, group, partition)``: nested folds where there are fewer than ``NESTED_BELOW`` groups, else one
+    holdout as fold 0. The unit is ``author`` where that is given and known, else ``group``."""
+    d = df.withColumn("_unit", F.coalesce(F.col(author).cast("string"), F.col(group).cast("string")) if author else F.col(group).cast("string"))
+    n = d.select("_unit").where("_unit is not null").distinct().limit(NESTED_BELOW).count()
+    if n < NESTED_BELOW:
+        if n < 3:
+            raise ValueError(f"{n} groups can't be split; at least 3 are needed")
+        return nested_folds(d, "_unit", label, seed=seed).withColumnRenamed("_unit", "group")
+    return holdout(d, "_unit", seed=seed).select(F.lit(0).alias("fold"), "group", "partition")
+
+
+def stratified_subsample(df: DataFrame, group: str, strata: list[str], most: int, seed: int = 13) -> DataFrame:
+    """Rows of whole groups of each stratum up to its share of ``most``: groups in the order of a hash, the first
+    always, then each that still fits; one that doesn't is skipped. All rows, if they are no more than
+    ``most``. The fold over a stratum's groups is a task; it gets a number per group."""
+    n = df.count()
+    if n <= most:
+        return df
+    d = df.where(F.col(group).isNotNull()).withColumn("_s", F.concat_ws("|", *(F.col(c).cast("string") for c in strata))).withColumn("_g", F.col(group).cast("string"))
+    g = d.groupBy("_s", "_g").agg(F.count("*").alias("c"))
+
+    def take(pdf):
+        # What fits depends on all groups before, so a stratum's counts go through in order.
+        pdf = pdf.assign(o=[hashlib.sha256(f"{seed}:{s}:{x}".encode()).hexdigest() for s, x in zip(pdf["_s"], pdf["_g"])]).sort_values("o")
+        quota = max(1, round(most * int(pdf["c"].sum()) / n))
+        kept, total = [], 0
+        for x, c in zip(pdf["_g"], pdf["c"]):
+            if kept and total + c > quota:
+                continue
+            kept.append(x)
+            total += c
+            if total >= quota:
+                break
+        return pdf[pdf["_g"].isin(kept)][["_s", "_g"]]
+
+    chosen = g.groupBy("_s").applyInPandas(take, "_s string, _g string")
+    return d.join(chosen, ["_s", "_g"], "left_semi").drop("_s", "_g")
+
+
+def cap_rows(df: DataFrame, group: str, most: int | None, seed: int = 13) -> DataFrame:
+    """``df``, or a sample of whole groups where it has more rows than ``most``."""
+    return df if most is None or df.limit(most + 1).count() <= most else group_subsample(df, group, most, seed)
+
+
+def exclude_groups(df: DataFrame, group: str, *others: DataFrame) -> DataFrame:
+    """Rows whose group is in none of the ``others``."""
+    for o in others:
+        df = df.join(o.select(F.col(group).alias("_x")).where("_x is not null").distinct(), F.col(group) == F.col("_x"), "left_anti")
+    return df
+
+
+def story_groups(df: DataFrame, threshold: float = 0.45, terms: int = 60_000, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(id, cluster)``: texts whose TF-IDF vectors have a cosine of at least ``threshold``, carried on.
+
+    Terms are words of two or more characters and pairs of them that at least two texts have, the
+    ``terms`` most frequent ones; weights are (1 + ln tf) (1 + ln((1 + n) / (1 + df))), vectors have
+    length 1. Texts meet through the terms in their prefix: ordered from the rarest, a text's terms up to
+    where the rest can't reach the threshold with any other text, so no pair is lost; pairs that share a
+    prefix term are then measured on whole vectors.
+    """
+    d = df.where(F.col(id_).isNotNull()).select(F.col(id_), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    words = F.regexp_extract_all("t", F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    pairs = lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))).otherwise(F.array().cast("array<string>"))
+    tf = d.select(id_, F.explode(let(words, lambda w: F.concat(w, pairs(w)))).alias("term")).groupBy(id_, "term").agg(F.count("*").alias("tf"))
+    tf = cut_lineage(tf)
+    n = d.count()
+    df_ = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).where("df >= 2").orderBy(F.desc("all"), "term").limit(terms)
+    df_ = cut_lineage(df_.select("term", "df", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1).alias("idf")))
+    v = tf.join(df_, "term").select(id_, "term", "df", ((F.log(F.col("tf").cast("double")) + 1) * F.col("idf")).alias("w"))
+    # Documents are arrays of at most their own terms, with length 1, the rarest term first.
+    norm = v.groupBy(id_).agg(F.array_sort(F.collect_list(F.struct("df", "term", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    docs = cut_lineage(norm.select(id_, F.transform("v", lambda x: F.struct(x["df"].alias("df"), x["term"].alias("term"), (x["w"] / F.col("norm")).alias("w"))).alias("v")))
+    # A pair that shares none of the terms up to a place has at most the length of what follows.
+    lead = F.aggregate("v", F.struct(F.lit(1.0).alias("left"), F.lit(0).alias("k")), lambda s, x: F.when(s["left"] >= threshold * threshold - 1e-9, F.struct((s["left"] - x["w"] * x["w"]).alias("left"), (s["k"] + 1).alias("k"))).otherwise(s), lambda s: s["k"])
+    keys = cut_lineage(docs.select(id_, F.explode(F.slice("v", F.lit(1), lead)).alias("x")).select(id_, "x.term"))
+    cand = keys.join(keys.withColumnRenamed(id_, "_b"), "term").where(F.col(id_) < F.col("_b")).select(F.col(id_).alias("a"), F.col("_b").alias("b")).distinct()
+    x = cand.join(docs.withColumnsRenamed({id_: "a", "v": "va"}), "a").join(docs.withColumnsRenamed({id_: "b", "v": "vb"}), "b")
+    as_map = lambda v: F.map_from_entries(F.transform(v, lambda t: F.struct(t["term"].alias("k"), t["w"].alias("v"))))
+    cosine = let(as_map(F.col("vb")), lambda m: F.aggregate("va", F.lit(0.0), lambda s, t: s + t["w"] * F.coalesce(F.try_element_at(m, t["term"]), F.lit(0.0))))
+    edges = cut_lineage(x.where(cosine >= threshold).select("a", "b"))
+    return components(edges, d, id_)
+
+
 def leaks(assigned: DataFrame, group: str, partition: str = "partition") -> DataFrame:
     """Groups that are in more than one partition; empty where the split is sound."""
     return assigned.groupBy(group).agg(F.countDistinct(partition).alias("partitions")).where("partitions > 1")
@@ -140,14 +389,47 @@ def hash_split(key: Column, salt: str, shares: dict[str, int]) -> Column:
     return F.when(key.isNotNull(), out)
 
 
-def stratified_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
-    """``(group, fold)`` by sizes: groups are dealt to folds in a snake over their order by size, so
-    folds get nearly equal weight without a driver loop."""
+def deal(sizes: list[tuple[int, int]], folds: int) -> list[tuple[int, int, list[int]]]:
+    """``(size, first rank, order)`` for distinct sizes with their numbers of groups, largest first: from
+    that rank on, groups of the size go to the folds of ``order`` in turn. Each group goes to the
+    lightest fold, the first of equals; groups that only repeat a turn are dealt at once, so the work
+    grows with the distinct sizes, not with the groups."""
+    load = [0] * folds
+    out: list[tuple[int, int, list[int]]] = []
+    for size, many in sizes:
+        at = 0
+        while at < many:
+            low = sorted(range(folds), key=lambda f: (load[f], f))
+            # Folds within one size of the lightest take turns until the next fold is reached.
+            ring = [f for f in low if load[f] < load[low[0]] + size]
+            rest = [load[f] for f in low if f not in ring]
+            turns = (many - at) // len(ring)
+            if rest:
+                turns = min(turns, (min(rest) - load[ring[-1]] - 1) // size)
+            if turns > 1:
+                out.append((size, at, ring))
+                for f in ring:
+                    load[f] += size * turns
+                at += turns * len(ring)
+            else:
+                out.append((size, at, [low[0]]))
+                load[low[0]] += size
+                at += 1
+    return out
+
+
+def grouped_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
+    """``(group, n, fold)``: groups from the largest on, each to the fold with the fewest rows so far; those
+    of equal size in the order of their names' digests. Fewer groups than folds give as many folds as groups, at least 2.
+    The driver gets a row per distinct size, of which there are at most the root of twice the rows;
+    null groups are in no fold."""
     g = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"))
-    per = g.groupBy("n").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    r = g.join(F.broadcast(per), "n").withColumn("i", F.col("before") + F.row_number().over(W.partitionBy("n").orderBy(group)) - 1)
-    k = F.col("i") % (2 * folds)
-    return r.select(group, "n", F.when(k < folds, k).otherwise(2 * folds - 1 - k).cast("int").alias("fold"))
+    sizes = sorted(((r["n"], r["c"]) for r in g.groupBy("n").agg(F.count("*").alias("c")).collect()), reverse=True)
+    k = max(2, min(folds, sum(c for _, c in sizes)))
+    steps = df.sparkSession.createDataFrame(deal(sizes, k), "n bigint, at bigint, ring array<int>").groupBy("n").agg(F.array_sort(F.collect_list(F.struct("at", "ring"))).alias("steps"))
+    r = ranked(g.withColumn("_v", F.lit(0)), ["n"], "_v", group, "_rank").join(steps, "n")
+    step = F.element_at(F.filter("steps", lambda x: x["at"] <= F.col("_rank")), -1)
+    return r.withColumn("_x", step).select(group, "n", F.get("_x.ring", (F.col("_rank") - F.col("_x.at")) % F.size("_x.ring")).cast("int").alias("fold"))
 
 
 def exact_copies(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
