@@ -23,6 +23,19 @@ SIGNATURE = (1, 0, 1, 1, 0, 1, 0, 0, 1, 1, 0, 0, 1, 0, 1, 0)
 INVISIBLE = "​‌‍﻿⁠­‎‏"
 
 
+# Letters of other scripts that look like Latin ones, and words for words in rewrites.
+HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "н": "h", "к": "k", "м": "m", "т": "t", "в": "b", "ο": "o", "α": "a", "ε": "e", "ρ": "p", "ν": "v"}
+SYNONYMS = {
+    "said": "stated", "say": "suggest", "says": "suggests", "new": "recent", "more": "additional", "also": "likewise", "big": "large", "small": "little", "show": "demonstrate", "shows": "demonstrates",
+    "find": "discover", "found": "discovered", "use": "utilize", "used": "utilized", "help": "assist", "make": "create", "made": "created", "get": "obtain", "need": "require", "important": "significant",
+    "many": "numerous", "good": "beneficial", "bad": "harmful", "great": "excellent", "first": "initial", "last": "final", "long": "extended", "short": "brief", "high": "elevated", "low": "reduced",
+    "old": "ancient", "young": "youthful", "people": "individuals", "city": "municipality", "team": "squad", "study": "investigation", "report": "account", "according": "per", "about": "regarding",
+    "after": "following", "before": "preceding", "during": "throughout", "because": "since", "but": "however", "so": "therefore", "if": "provided", "when": "upon", "while": "whereas", "this": "the",
+    "that": "which", "these": "those", "their": "its", "they": "these", "them": "those", "have": "possess", "has": "possesses", "will": "shall", "would": "might", "could": "might", "can": "may",
+    "over": "throughout", "under": "beneath",
+}
+
+
 @F.pandas_udf(DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if x is None or math.isnan(x) else 0.5 * math.erfc(-x / math.sqrt(2)))
@@ -90,6 +103,21 @@ def strip_invisible(text: Column) -> Column:
     return F.translate(text, INVISIBLE, "")
 
 
+def unicode_scrub(text: Column) -> Column:
+    """Without invisible characters, look-alikes as the Latin letters they look like."""
+    return F.translate(strip_invisible(text), "".join(HOMOGLYPHS), "".join(HOMOGLYPHS.values()))
+
+
+def synonyms(text: Column, rate: float, id_: Column, seed: int = 13) -> Column:
+    """Text with about ``rate`` of the words that have a synonym replaced by it; words then stand a blank
+    apart, marks at the word before. A text without tokens stays. Choices come from hashes."""
+    table = F.create_map(*(F.lit(x) for kv in SYNONYMS.items() for x in kv))
+    word = lambda t: t.rlike(r"^[\p{L}\p{N}_]+$")
+    swap = lambda t, i: F.when(word(t) & (_unit(seed, id_.cast("string"), i.cast("string")) < rate), F.coalesce(F.try_element_at(table, F.lower(t)), t)).otherwise(t)
+    parts = lambda k: F.transform(F.transform(k, swap), lambda t, i: F.when(word(t) & (i > 0), F.concat(F.lit(" "), t)).otherwise(t))
+    return let(tokens(text), lambda k: F.when(F.size(k) > 0, F.array_join(parts(k), "")).otherwise(text))
+
+
 def _unit(seed: int, *parts: Column) -> Column:
     """A number in [0, 1) from a hash, the same in any engine with SHA-256."""
     return F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), *parts), 256), 1, 8), 16, 10).cast("double") / 4294967296.0
@@ -112,12 +140,97 @@ def attack(text: Column, name: str, id_: Column, seed: int = 7, rate: float = 0.
     if name == "shuffle_sentences":
         s = F.transform(F.split(text, r"(?<=[.!?])\s+", -1), lambda x, i: F.struct(F.sha2(F.concat_ws(":", F.lit(str(seed)), id_.cast("string"), i.cast("string")), 256).alias("h"), x.alias("s")))
         return F.array_join(F.transform(F.array_sort(s), lambda x: x.s), " ")
+    if name == "unicode_scrub":
+        return unicode_scrub(text)
+    if name in ("synonym_30", "synonym_60"):
+        return synonyms(text, int(name[-2:]) / 100, id_)
+    if name == "truncate_75":
+        return F.array_join(F.slice(words, 1, F.greatest(F.lit(1), F.floor(F.size(words) * 0.75).cast("int"))), " ")
     if name == "none":
         return text
     raise ValueError(name)
 
 
-ATTACKS = ("none", "truncate", "drop_tokens", "strip_punctuation", "lowercase", "shuffle_sentences", "strip_invisible")
+ATTACKS = ("none", "unicode_scrub", "synonym_30", "synonym_60", "truncate", "drop_tokens", "strip_punctuation", "lowercase", "shuffle_sentences", "strip_invisible")
+#: Edits that a detector's robustness is measured under.
+TRANSFORMS = ("none", "truncate_75", "truncate", "drop_tokens", "lowercase", "strip_punctuation", "shuffle_sentences")
+
+
+def attacked(df: DataFrame, names: tuple[str, ...], id_: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, *keep, attack, text)``: each document once under each attack."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    each = F.array(*(F.struct(F.lit(a).alias("attack"), attack(t, a, F.col(id_)).alias("text")) for a in names))
+    return df.select(id_, *keep, F.explode(each).alias("_x")).select(id_, *keep, "_x.*")
+
+
+def robustness_curve(df: DataFrame, score, id_: str = "doc_id", text: str = "text", y: str = "label") -> DataFrame:
+    """Metrics of a detector by transform, and the difference of its AUROC to that of the texts as they
+    are. ``score`` adds a column ``p`` to rows with ``text``."""
+    from textloom.operators.metrics import binary_metrics
+
+    s = score(attacked(df, TRANSFORMS, id_, text, (y,))).select("attack", F.col(y).alias("y"), F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("p"))).alias("p"))
+    m = binary_metrics(s, ["attack"])
+    base = m.where("attack = 'none'").select(F.col("auroc").alias("_base"))  # one row
+    return m.crossJoin(F.broadcast(base)).withColumn("delta_auroc", F.col("auroc") - F.col("_base")).drop("_base")
+
+
+def degradation(df: DataFrame, id_: str = "doc_id", text: str = "text", key: str = KEY) -> DataFrame:
+    """``(attack, tested, mean_z, detect_rate, z_kept)``: the watermark test under each attack, its rejections at
+    z > 1.6449, and the share of the untouched texts' mean z that is left."""
+    k = kgw_counts(attacked(df, ATTACKS, id_, text), "text", key).where("z is not null")
+    g = k.groupBy("attack").agg(F.count("*").alias("tested"), F.avg("z").alias("mean_z"), F.avg((F.col("z") > 1.6448536269514722).cast("double")).alias("detect_rate"))
+    base = g.where("attack = 'none'").select(F.col("mean_z").alias("_base"))  # one row
+    return g.crossJoin(F.broadcast(base)).select("attack", "tested", "mean_z", "detect_rate", (F.col("mean_z") / F.col("_base")).alias("z_kept"))
+
+
+def attenuation(before: DataFrame, after: DataFrame, id_: str = "doc_id") -> DataFrame:
+    """``(pairs, mean_before, mean_after, attenuation, kept_rate)`` of z scores of texts that were tested before
+    and after a change; attenuation is 1 less the ratio of the means."""
+    x = before.where("z is not null").select(id_, F.col("z").alias("a")).join(after.where("z is not null").select(id_, F.col("z").alias("b")), id_)
+    return x.agg(F.count("*").alias("pairs"), F.avg("a").alias("mean_before"), F.avg("b").alias("mean_after"), (1 - F.avg("b") / F.avg("a")).alias("attenuation"), F.avg((F.col("b") > 1.6448536269514722).cast("double")).alias("kept_rate"))
+
+
+def synthesize(spark, n: int, length: int, vocabulary: list[str], bias: float, key: str = KEY, seed: int = 13) -> DataFrame:
+    """``(doc_id, text)``: ``n`` passages of ``length`` words of a vocabulary, each drawn from the green list that
+    the word before selects with a chance that ``bias`` >= 0 raises above its share: exp(bias) to 1 odds
+    for a green word against another. Draws come from hashes; a passage is made within a task."""
+    import hashlib
+
+    def make(batches):
+        import random
+
+        def green(prev: str, w: str) -> bool:
+            return hashlib.sha256(f"{key}::{prev}::{w}".encode()).hexdigest()[0] < "8"
+
+        weight = math.exp(bias)
+        for b in batches:
+            for i in b["doc_id"]:
+                r, prev, out = random.Random(f"{seed}:{i}"), "", []
+                for _ in range(length):
+                    ws = [weight if green(prev, w) else 1.0 for w in vocabulary]
+                    prev = r.choices(vocabulary, ws)[0]
+                    out.append(prev)
+                yield pd.DataFrame({"doc_id": [i], "text": [" ".join(out)]})
+
+    return spark.range(n).withColumnRenamed("id", "doc_id").mapInPandas(make, "doc_id bigint, text string")
+
+
+def synthetic_sweep(spark, biases: tuple[float, ...], n: int, length: int, vocabulary: list[str], key: str = KEY) -> DataFrame:
+    """``(bias, tested, mean_z, detect_rate)`` of synthesized passages over strengths of the watermark."""
+    out = None
+    for b in biases:
+        k = kgw_counts(synthesize(spark, n, length, vocabulary, b, key), "text", key).where("z is not null")
+        g = k.agg(F.count("*").alias("tested"), F.avg("z").alias("mean_z"), F.avg((F.col("z") > 1.6448536269514722).cast("double")).alias("detect_rate")).withColumn("bias", F.lit(b))
+        out = g if out is None else out.union(g)
+    return out
+
+
+def green_bias(pairs: DataFrame, key: str = KEY) -> DataFrame:
+    """``(pairs, green_rate, strength)`` of a student's bigram counts (prev, next, n): the share of its mass on
+    green successors, and how far that is above a half, twice."""
+    g = F.substring(F.sha2(F.encode(F.concat(F.lit(f"{key}::"), F.col("prev"), F.lit("::"), F.col("next")), "utf-8"), 256), 1, 1) < "8"
+    r = pairs.agg(F.sum("n").alias("pairs"), (F.sum(F.when(g, F.col("n")).otherwise(0)) / F.sum("n")).alias("green_rate"))
+    return r.withColumn("strength", 2 * (F.col("green_rate") - 0.5))
 
 
 def retention(df: DataFrame, id_: str = "doc_id", text: str = "text", key: str = KEY) -> DataFrame:
