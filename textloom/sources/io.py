@@ -45,21 +45,48 @@ def read_cohort(spark: SparkSession, path: str, columns: list[str] | None = None
 
 
 def read_outputs(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
-    """``(file, text, sha256, bytes)`` of the text files under a folder."""
+    """``(run_id, file, text, sha256, bytes)`` of the text files under a folder; the run is the folder that a
+    file lies in."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    return df.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.decode("content", "utf-8").alias("text"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    parts = F.split("path", "/")
+    return df.select(F.element_at(parts, -2).alias("run_id"), F.element_at(parts, -1).alias("file"), F.decode("content", "utf-8").alias("text"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+
+
+def read_manifests(spark: SparkSession, folder: str, pattern: str = "manifest.json") -> DataFrame:
+    """``(run_id, file, sha256, bytes, merkle_root, sound)``: a row per output that a run's manifest names;
+    ``sound`` tells whether the manifest's own hash is that of its content."""
+    docs = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(folder, wholetext=True)
+
+    @F.udf("boolean")
+    def is_sound(text):
+        try:
+            return verify(json.loads(text))
+        except (ValueError, AttributeError):
+            return False
+
+    m = docs.select(is_sound("value").alias("sound"), F.from_json("value", "run_id string, merkle_root string, outputs array<struct<file string, sha256 string, bytes bigint>>").alias("m"))
+    return m.select("m.run_id", "m.merkle_root", "sound", F.explode("m.outputs").alias("o")).select("run_id", "o.file", "o.sha256", "o.bytes", "merkle_root", "sound")
 
 
 def verified_runs(outputs: DataFrame, manifest: DataFrame) -> DataFrame:
-    """``(run_id, verified)``: all files of a run are there with the manifest's hash and size, and their
-    Merkle root is the manifest's. ``manifest``: run_id, file, sha256, bytes, merkle_root."""
-    m = manifest.select("run_id", "file", F.col("sha256").alias("want"), F.col("bytes").alias("size"), "merkle_root")
-    j = m.join(outputs.select("file", "sha256", "bytes"), "file", "left")
+    """``(run_id, verified)``: the manifest is as it was signed (column ``sound``, where there is one), all files
+    of a run are there with its hash and size, and their Merkle root is the manifest's. ``manifest``:
+    run_id, file, sha256, bytes, merkle_root. A single folder of outputs may have any name."""
+    sound = F.col("sound") if "sound" in manifest.columns else F.lit(True)
+    m = manifest.select("run_id", "file", F.col("sha256").alias("want"), F.col("bytes").alias("size"), "merkle_root", sound.alias("sound"))
+    on = ["run_id", "file"] if "run_id" in outputs.columns and manifest.select("run_id").distinct().limit(2).count() > 1 else ["file"]
+    j = m.join(outputs.select(*on, "sha256", "bytes"), on, "left")
     ok = F.coalesce((F.col("sha256") == F.col("want")) & (F.col("bytes") == F.col("size")), F.lit(False))
-    g = j.groupBy("run_id").agg(F.bool_and(ok).alias("files"), F.collect_list("want").alias("h"), F.max("merkle_root").alias("root"))
+    g = j.groupBy("run_id").agg(F.bool_and(ok & F.col("sound")).alias("files"), F.collect_list("want").alias("h"), F.max("merkle_root").alias("root"))
     return g.select("run_id", (F.col("files") & (merkle_root(F.col("h")) == F.col("root"))).alias("verified"))
 
 
+def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """Outputs of a folder's verified runs, each checked against the manifest beside it."""
+    m, o = read_manifests(spark, folder), read_outputs(spark, folder)
+    return o.join(verified_runs(o, m).where("verified"), "run_id", "left_semi")
+
+
 def combine(named: dict[str, DataFrame]) -> DataFrame:
     """Union of cohorts with a dataset column; groups are prefixed so that they stay apart."""
     out = None
@@ -95,6 +122,22 @@ def write_cohort(df: DataFrame, path: str, partition_by: list[str] | None = None
     w.option("compression", "gzip" if form == "json" else "zstd").format(form).save(path)
 
 
+def decode_upload(data: Column) -> Column:
+    """Bytes of a base64 text; null where it is none."""
+    return F.try_to_binary(data, F.lit("base64"))
+
+
+#: File types that can carry a content-credential manifest.
+MANIFEST_TYPES = ("jpg", "jpeg", "png", "webp", "gif", "tif", "tiff", "avif", "heic", "mp4", "mov", "m4a", "mp3", "wav", "pdf")
+
+
+def provenance_status(content: Column, filename: Column) -> Column:
+    """``not_applicable`` without content, ``unsupported_file`` by the extension, ``unverified`` where a manifest
+    is named in the bytes, which needs a reader to verify, else ``not_present``."""
+    ext = F.lower(F.element_at(F.split(filename, r"\."), -1))
+    return F.when(content.isNull(), "not_applicable").when(~F.coalesce(ext.isin(*MANIFEST_TYPES), F.lit(False)), "unsupported_file").when(provenance_marks(content), "unverified").otherwise("not_present")
+
+
 def provenance_marks(content: Column) -> Column:
     """Whether the first 2,000,000 bytes name a content-credential manifest."""
     return F.lower(F.decode(F.substring(content, 1, 2_000_000), "iso-8859-1")).rlike("c2pa|contentcredentials")
