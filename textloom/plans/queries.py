@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import corpus, detectors, evidence, features, metrics, splits, statistics, watermarks
+from textloom.operators import calibration, corpus, detectors, evidence, features, ledger, metrics, splits, statistics, transport, watermarks, windows
 from textloom.plans.sql import SQL
 from textloom.session import cut_lineage
 
@@ -128,10 +128,74 @@ def segment_windows(spark, d):
 
 @query
 def equal_thirds(spark, d):
-    w = docs(spark, d).select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "").alias("w"))
-    n = F.size("w")
-    part = lambda i: F.floor(n * (i + 1) / 3) - F.floor(n * i / 3)
-    return w.select("doc_id", *(part(i).cast("bigint").alias(f"third_{i}") for i in range(3)))
+    w = docs(spark, d).select("doc_id", windows.equal_parts(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")).alias("w"))
+    return w.select("doc_id", *(F.size(F.get("w", i)).cast("bigint").alias(f"third_{i}") for i in range(3)))
+
+
+@query
+def segment_spans(spark, d):
+    """Segments of prose with the offsets of their characters."""
+    t = table(spark, d, "documents").where("coalesce(kind, 'text') <> 'code'")
+    return windows.segments(t, kind=F.lit("prose")).drop("segment", "kind")
+
+
+@query
+def code_segments(spark, d):
+    t = table(spark, d, "documents").where("kind = 'code'")
+    return windows.segments(t, kind=F.lit("code")).withColumn("sha256", T.content_hash("segment")).drop("segment")
+
+
+@query
+def model_windows(spark, d):
+    """Windows of 128 tokens that share 32, up to 32 of them, as a model takes them."""
+    return windows.document_windows(docs(spark, d), budget=130, overlap=32)
+
+
+@query
+def segment_scores(spark, d):
+    return rounded(ledger.score_segments(table(spark, d, "documents").select("doc_id", "text", "kind"), kind=F.when(F.col("kind") == "code", "code").otherwise("prose")).drop("human"))
+
+
+@query
+def segment_sources(spark, d):
+    return rounded(ledger.source_by_segment(table(spark, d, "documents").select("doc_id", "text", "kind"), kind=F.when(F.col("kind") == "code", "code").otherwise("prose")))
+
+
+@query
+def segment_watermarks(spark, d):
+    return rounded(ledger.watermark_by_segment(docs(spark, d)), 4)
+
+
+@query
+def contribution_waterfall(spark, d):
+    t = table(spark, d, "documents").select("doc_id", "text", "kind")
+    return rounded(ledger.contribution_waterfall(ledger.score_segments(t, kind=F.when(F.col("kind") == "code", "code").otherwise("prose"))))
+
+
+@query
+def fixture_scores(spark, d):
+    return rounded(ledger.fixture_score(docs(spark, d)).drop("text"))
+
+
+WATERMARK_KEYS = {"scheme-a": watermarks.KEY, "scheme-b": "another-key", "scheme-c": "third-key"}
+
+
+@query
+def watermark_q_values(spark, d):
+    return rounded(ledger.watermark_tests(docs(spark, d), WATERMARK_KEYS).select("doc_id", "scheme", "status", "z", "p_value", "q_value"), 5)
+
+
+@query
+def evidence_ledger(spark, d):
+    """All entries of the documents' three channels."""
+    t = docs(spark, d)
+    provenance = t.select("doc_id", F.when(F.col("text").isNull(), "not_applicable").otherwise("not_present").alias("status"), F.lit(None).cast("string").alias("issuer"))
+    return ledger.ledger(ledger.statistical_entries(detectors.analyze(t)), ledger.watermark_entries(ledger.watermark_tests(t, WATERMARK_KEYS)), ledger.provenance_entries(provenance))
+
+
+@query
+def evidence_summaries(spark, d):
+    return ledger.summaries(evidence_ledger(spark, d)).groupBy("statistical", "watermark", "provenance").agg(F.count("*").alias("n"))
 
 
 @query
@@ -167,7 +231,33 @@ def analyze_documents(spark, d):
 
 @query
 def corpus_hygiene(spark, d):
-    return corpus.hygiene(docs(spark, d), "doc_id").groupBy("reason").agg(F.count("*").alias("n"))
+    """Rows dropped and kept by the rules of each source."""
+    t = docs(spark, d)
+    parts = [corpus.hygiene_counts(corpus.hygiene(t, "doc_id", k)).withColumn("rules", F.lit(k)) for k in corpus.ERROR_MARKERS]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query
+def text_groups(spark, d):
+    t = docs(spark, d)
+    kept = corpus.hygiene(t, "doc_id", "m4gt").where("reason = 'keep'")
+    return t.join(kept, "doc_id", "left_semi").select("doc_id", corpus.text_group(F.col("text")).alias("group"))
+
+
+@query
+def source_names(spark, d):
+    """Domain, family, mode and paraphrase of source names made of the documents' columns."""
+    n = F.element_at(F.array(F.concat_ws("_", "source", F.lit("machine"), "kind", "family"), F.concat("source", F.lit("_human")), F.concat("source", F.lit("_human_para")), F.concat_ws("_", "source", "family"), F.concat_ws("_", "source", "family", F.lit("para")), F.col("source")), (F.col("doc_id") % 6 + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", n.alias("src")).select("doc_id", corpus.parse_source(F.col("src")).alias("p")).select("doc_id", "p.*")
+
+
+@query
+def version_pairs(spark, d):
+    """Human and machine texts of a prompt, paired at the same place and exploded."""
+    r = table(spark, d, "corpus_records").where("text is not null and label in (0, 1)").dropDuplicates(["record_id"]).select(key("prompt_id").alias("domain"), F.coalesce("cohort_id", F.lit("none")).alias("version"), "label", "text", "record_id").where("domain is not null")
+    ordered = lambda label: F.transform(F.array_sort(F.collect_list(F.when(F.col("label") == label, F.struct("record_id", "text")))), lambda x: x["text"])
+    g = r.groupBy("domain", "version").agg(ordered(0).alias("original"), ordered(1).alias("sampled"))
+    return corpus.explode_pairs(g).select("domain", "version", "pair_no", "label", "family", "group", T.content_hash("text").alias("sha256"))
 
 
 @query
@@ -228,9 +318,20 @@ def near_duplicates(spark, d):
     return splits.near_duplicate_clusters(docs(spark, d)).groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1")
 
 
+@query
+def near_duplicates_measured(spark, d):
+    """Clusters over links of runs of five words with a measured similarity of at least 0.8."""
+    return splits.near_duplicate_clusters(docs(spark, d), words=5, similarity=0.8).groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query
+def cluster_sizes(spark, d):
+    return rounded(splits.cluster_stats(splits.near_duplicate_clusters(docs(spark, d))))
+
+
 @query
 def minhash_signatures(spark, d):
-    return splits.minhash(docs(spark, d), perms=4).fillna(-1)
+    return splits.minhash(docs(spark, d))
 
 
 @query
@@ -253,17 +354,21 @@ def group_partitions(spark, d):
     return splits.group_partitions(table(spark, d, "documents"), "author", {"train": 0.6, "calibration": 0.2, "test": 0.2})
 
 
+# The writers' splits and their seed.
+WRITER_SHARES = {"train": 4000, "development": 1500, "calibration": 1500, "test": 3000}
+
+
 @query
 def writer_splits(spark, d):
-    s = splits.hash_split(F.col("author"), "20260819:", {"train": 4000, "calibration": 1500, "development": 1500, "test": 3000})
+    s = splits.hash_split(F.col("author"), "20260819:", WRITER_SHARES)
     return table(spark, d, "documents").select("author", s.alias("partition")).where("author is not null").distinct()
 
 
 @query
 def split_leaks(spark, d):
-    """Authors in more than one hash split: none."""
-    s = splits.hash_split(F.col("author"), "20260819:", {"train": 4000, "calibration": 1500, "development": 1500, "test": 3000})
-    return splits.leaks(table(spark, d, "documents").withColumn("partition", s).where("author is not null"), "author")
+    """Runs whose records stand in more than one split."""
+    r = table(spark, d, "corpus_records").select(key("run_id").alias("run"), F.lower(F.trim("split")).alias("partition")).where("run is not null and partition is not null")
+    return splits.leaks(r, "run")
 
 
 @query
@@ -274,20 +379,56 @@ def leakage_by_prompt(spark, d):
 
 @query
 def balanced_folds(spark, d):
-    return splits.stratified_folds(table(spark, d, "documents"), "author")
+    return splits.grouped_folds(table(spark, d, "documents"), "author")
+
+
+def labelled(spark, d) -> DataFrame:
+    return table(spark, d, "corpus_records").select("record_id", "prompt_id", "kind", "label").distinct()
 
 
 @query
-def prompt_pairs(spark, d):
-    r = table(spark, d, "corpus_records").select("record_id", "prompt_id", "kind", "label").distinct()
-    return evidence.prompt_pairs(r, key("prompt_id"), once=True)  # as its SQL has it
+def author_majorities(spark, d):
+    return splits.majority_labels(table(spark, d, "documents"), "author")
+
+
+@query
+def author_holdout(spark, d):
+    return splits.holdout(table(spark, d, "documents"), "author")
+
+
+@query
+def nested_author_folds(spark, d):
+    return splits.nested_folds(table(spark, d, "documents"), "author")
+
+
+@query
+def protocol_partitions(spark, d):
+    """Authors are enough for one holdout, families only for nested folds."""
+    t = table(spark, d, "documents")
+    return splits.protocol_splits(t, "author").withColumn("unit", F.lit("author")).union(splits.protocol_splits(t, "family").withColumn("unit", F.lit("family")))
 
 
 @query
-def prompt_pairs_all_rows(spark, d):
+def stratified_authors(spark, d):
+    return splits.stratified_subsample(table(spark, d, "documents").select("doc_id", "author", "source", "label"), "author", ["source", "label"], 400)
+
+
+@query
+def story_groups(spark, d):
+    """Texts and their rewrites: TF-IDF cosine of at least 0.45, carried on."""
+    return splits.story_groups(docs(spark, d)).groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query
+def prompt_pairs(spark, d):
     """Pairs in which every row of a prompt and kind with both labels stands."""
-    r = table(spark, d, "corpus_records").select("record_id", "prompt_id", "kind", "label").distinct()
-    return evidence.prompt_pairs(r, key("prompt_id"))
+    return evidence.prompt_pairs(labelled(spark, d), key("prompt_id"))
+
+
+@query
+def prompt_pair_groups(spark, d):
+    """How many pairs the rows of each prompt and kind form: its human rows with its other rows."""
+    return evidence.pair_groups(labelled(spark, d), key("prompt_id"))
 
 
 @query
@@ -342,7 +483,189 @@ def prevalence_metrics(spark, d):
 
 @query
 def bootstrap_by_author(spark, d):
-    return rounded(metrics.group_bootstrap(scored(spark, d).where("author is not null"), "author", 20))
+    return rounded(metrics.group_bootstrap(scored(spark, d), "author"))
+
+
+@query
+def bootstrap_intervals(spark, d):
+    return rounded(metrics.group_bootstrap_ci(scored(spark, d), "author"))
+
+
+@query
+def paired_scores(spark, d):
+    """Difference of two scores on the same resampled authors."""
+    return rounded(metrics.paired_bootstrap(two_scores(spark, d), "author", "p", "q"))
+
+
+@query
+def sliced_conformal(spark, d):
+    return rounded(metrics.sliced_conformal(scored(spark, d), ["kind", "family", "lang"]))
+
+
+def partitioned(spark, d) -> DataFrame:
+    """The scored documents in four partitions by a hash of their id."""
+    s = splits.hash_split(F.col("doc_id").cast("string"), "partition:", WRITER_SHARES)
+    return scored(spark, d).withColumn("partition", s)
+
+
+def parts(spark, d) -> tuple[DataFrame, DataFrame]:
+    t = partitioned(spark, d)
+    return t.where("partition = 'calibration'"), t.where("partition = 'test'")
+
+
+@query
+def conformal_fit(spark, d):
+    c = parts(spark, d)[0]
+    return rounded(calibration.fit_conformal(c).withColumn("method", F.lit("mondrian")).union(calibration.fit_conformal(c, mondrian=False).withColumn("method", F.lit("pooled"))))
+
+
+@query
+def conformal_applied(spark, d):
+    c, t = parts(spark, d)
+    return rounded(calibration.apply_conformal(t, calibration.fit_conformal(c)))
+
+
+@query
+def fpr_thresholds(spark, d):
+    c, t = parts(spark, d)
+    return rounded(calibration.tpr_at_thresholds(t, calibration.fit_fpr_thresholds(c)))
+
+
+@query
+def selective_thresholds(spark, d):
+    c, t = parts(spark, d)
+    return rounded(calibration.apply_selective_thresholds(t, calibration.fit_selective_thresholds(c)))
+
+
+@query
+def operating_points(spark, d):
+    return rounded(calibration.operating_report(*parts(spark, d)))
+
+
+@query
+def calibration_slope(spark, d):
+    r = calibration.slope_intercept(scored(spark, d))
+    return spark.createDataFrame([(k, round(v, 4)) for k, v in r.items()], "term string, value double")
+
+
+@query
+def calibration_bundle(spark, d):
+    """The test documents' scores under a bundle fitted on the calibration documents."""
+    c, t = parts(spark, d)
+    name = {"detector_id": "demo", "model_revision": "1", "task": "document", "cohort": "documents"}
+    b = calibration.fit_bundle(c, **name)
+    return rounded(t.select("doc_id", b.calibrate(F.col("p"), **name).alias("calibrated")), 4)
+
+
+@query
+def selected_detector(spark, d):
+    return rounded(calibration.fit_select_calibrate_test({"a": "p", "b": "q"}, two_scores(spark, d).withColumn("partition", splits.hash_split(F.col("doc_id").cast("string"), "partition:", WRITER_SHARES))), 4)
+
+
+@query
+def cohort_cells(spark, d):
+    """Metrics of each crossing of language and family with both classes."""
+    t = scored(spark, d).withColumn("cohort", transport.cohort_key("domain_generator", "lang", "kind"))
+    return rounded(transport.cell_metrics(t, "cohort"))
+
+
+@query
+def calibration_transfers(spark, d):
+    """Isotonic maps of one language's documents applied to all languages'."""
+    return rounded(transport.calibration_transfer(*parts(spark, d), "lang"), 4)
+
+
+@query
+def transfer_summary(spark, d):
+    return rounded(transport.transfer_summary(transport.calibration_transfer(*parts(spark, d), "lang")), 4)
+
+
+@query
+def balanced_view(spark, d):
+    return rounded(transport.source_balanced(scored(spark, d), "author"), 4)
+
+
+def fit_logistic(names=("long_words", "unique_ratio", "sentence_len_mean", "punctuation", "log_words"), y="y"):
+    """What fits a logistic model on training rows and returns what scores others."""
+
+    def fit(train):
+        model = evidence.train_logistic(train, list(names), y)
+        from pyspark.ml.functions import vector_to_array
+
+        return lambda rows: model.transform(rows).withColumn("p", vector_to_array("probability")[1]).drop("probability", "predicted", "_raw", "_x", "_z")
+
+    return fit
+
+
+def featured(spark, d) -> DataFrame:
+    t = features.extract(table(spark, d, "documents").where("author is not null").select("doc_id", "text", "kind", "label", "author", "source", "family", "lang")).drop("text")
+    return cut_lineage(t.withColumnsRenamed({"label": "y", "author": "group", "source": "domain"}))
+
+
+@query
+def held_out_sources(spark, d):
+    """Each source held out of training and calibration: its metrics and those of the others' test rows."""
+    return transport.cohort_transport(featured(spark, d), "domain", fit_logistic())
+
+
+@query
+def seen_sources(spark, d):
+    return transport.pooled_generalization(featured(spark, d), "domain", fit_logistic())
+
+
+@query
+def source_transport(spark, d):
+    return transport.transport_matrix(featured(spark, d), "kind", fit_logistic())
+
+
+@query
+def robustness(spark, d):
+    """The prose score's metrics under edits of the texts."""
+    score = lambda t: detectors.prose_score(t).withColumn("p", F.col("raw_score"))
+    return rounded(watermarks.robustness_curve(table(spark, d, "documents"), score))
+
+
+@query
+def watermark_degradation(spark, d):
+    return rounded(watermarks.degradation(docs(spark, d)))
+
+
+@query
+def green_bias(spark, d):
+    return rounded(watermarks.green_bias(watermarks.bigram_student(docs(spark, d))[0]))
+
+
+@query
+def scrubbed_texts(spark, d):
+    t = F.translate(F.coalesce("text", F.lit("")), "aeopcxyhkmtb", "".join(list(watermarks.HOMOGLYPHS)[:12]))
+    return docs(spark, d).select("doc_id", T.content_hash(watermarks.unicode_scrub(watermarks.embed_zero_width(t))).alias("sha256"))
+
+
+@query
+def synonym_texts(spark, d):
+    return docs(spark, d).select("doc_id", T.content_hash(watermarks.synonyms(F.coalesce("text", F.lit("")), 0.3, F.col("doc_id"))).alias("sha256"))
+
+
+@query
+def welch_test_prices(spark, d):
+    r = statistics.welch_test(table(spark, d, "lineitem"), "l_extendedprice", F.col("l_returnflag") == "R")
+    return spark.createDataFrame([(k, round(float(v), 5)) for k, v in r.items()], "term string, value double")
+
+
+@query
+def pseudo_r2(spark, d):
+    return rounded(statistics.pseudo_r2(scored(spark, d), "y", "p"))
+
+
+@query
+def calibration_power(spark, d):
+    return rounded(statistics.calibration_power(scored(spark, d)))
+
+
+@query
+def event_order_test(spark, d):
+    """Durbin-Watson over each user's events and orders of them."""
+    return rounded(statistics.durbin_watson_permutation(table(spark, d, "events"), "value", "user_id", ["ts", "event_id"], 49))
 
 
 @query
@@ -368,17 +691,26 @@ def overlap_corrected_odds(spark, d):
     return rounded(evidence.overlap_corrected(s.withColumn("s", F.col("segment_no") * 128).withColumn("e", F.col("segment_no") * 128 + F.col("n_tokens")), "p", "s", "e"))
 
 
-@query
-def mixture_lengths(spark, d):
-    """Texts of prompt pairs mixed at seven rates: words and watermark z of the mixture."""
+def pair_words(spark, d) -> tuple[DataFrame, DataFrame]:
     r = table(spark, d, "corpus_records").where("text is not null and kind = 'text'").select("record_id", "prompt_id", "kind", "label", "text").dropDuplicates(["record_id"])
-    words = r.select("record_id", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w"))
-    p = evidence.prompt_pairs(r.select("record_id", "prompt_id", "kind", "label"), key("prompt_id"))
-    x = p.join(words.withColumnsRenamed({"record_id": "human_id", "w": "h"}), "human_id").join(words.withColumnsRenamed({"record_id": "ai_id", "w": "a"}), "ai_id")
-    x = x.withColumn("rate", F.explode(F.array(*map(F.lit, evidence.RATES))))
-    m = x.select("rate", evidence.mix_words(F.col("h"), F.col("a"), F.col("rate")).alias("m"))
-    k = watermarks.kgw_counts(m.select("rate", F.array_join("m", " ").alias("text")))
-    return rounded(k.groupBy("rate").agg(F.count("*").alias("pairs"), F.count("z").alias("tested"), F.sum("n_tokens").alias("tokens"), F.avg("z").alias("mean_z"), F.stddev_pop("z").alias("sd_z")))
+    return evidence.prompt_pairs(r, key("prompt_id")), r.select("record_id", T.word_tokens("text").alias("w"))
+
+
+@query
+def mixture_curves(spark, d):
+    """Scores of prompt pairs' texts mixed at seven rates in three ways."""
+    p, w = pair_words(spark, d)
+    out = None
+    for flow in evidence.WORKFLOWS:
+        c = evidence.mixture_curve(p, w, lambda m: detectors.prose_score(m).withColumn("score", F.col("raw_score")), flow).withColumn("workflow", F.lit(flow))
+        out = c if out is None else out.union(c)
+    return rounded(out)
+
+
+@query
+def mixture_tracking(spark, d):
+    p, w = pair_words(spark, d)
+    return rounded(evidence.tracking(evidence.mixture_curve(p, w, lambda m: detectors.prose_score(m).withColumn("score", F.col("raw_score")))), 4)
 
 
 @query
@@ -466,15 +798,17 @@ def feature_inflation(spark, d):
     return spark.createDataFrame([(k, round(a, 3)) for k, a in v.items()], "feature string, inflation double")
 
 
+def two_scores(spark, d) -> DataFrame:
+    return scored(spark, d).withColumn("q", F.round((F.col("p") + (F.col("doc_id") % 7) / 10.0) / 1.6, 6))
+
+
 @query
 def delong_scores(spark, d):
-    s = scored(spark, d).withColumn("q", F.round((F.col("p") + (F.col("doc_id") % 7) / 10.0) / 1.6, 3))
-    r = statistics.delong(s, "y", "p", "q")
+    r = statistics.delong(two_scores(spark, d), "y", "p", "q")
     return spark.createDataFrame([tuple(round(v, 6) for v in r.values())], ", ".join(f"{k} double" for k in r))
 
 
 @query
 def isotonic_calibration(spark, d):
     s = scored(spark, d)
-    knots = evidence.isotonic_knots(s)
-    return rounded(s.select("doc_id", evidence.interpolate(F.col("p"), knots).alias("calibrated")), 4) if knots else s.select("doc_id", F.col("p").alias("calibrated"))
+    return rounded(s.select("doc_id", calibration.interpolate(F.col("p"), calibration.isotonic_knots(s)).alias("calibrated")), 4)

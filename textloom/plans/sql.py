@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from textloom.operators.watermarks import SYNONYMS  # fixed values
+
 W = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'']*[\p{L}\p{N}_])?"
 TOK = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]"
 WORDS = f"regexp_extract_all(lower(coalesce(text, '')), '{W}')"
@@ -65,37 +67,103 @@ RANKS = """with s as {src}, g as (select {k} p, sum(y) as pos, sum(1 - y) as neg
         sum(pos) over (partition by {part}) as tp, sum(neg) over (partition by {part}) as tn from g)"""
 
 
-def metrics_sql(k: str) -> str:
+def metrics_sql(k: str, src: str = SCORED) -> str:
     kk, part = (f"{k},", k) if k else ("", "1")
     by = f"group by {k}" if k else ""
     on = f"using ({k})" if k else "on true"
     tpr = lambda f, n: f"(select {kk} avg((p >= th)::int) as {n} from s join (select {kk} p as th from b where neg > 0 and nb <= ceil({1 - f} * (tn - 1) - 1e-9) and ceil({1 - f} * (tn - 1) - 1e-9) < nb + neg) {on} where y = 1 {by})"
     bins = "case " + " ".join(f"when p >= {i * 0.1!r} and p < {((i + 1) * 0.1 if i < 9 else 1.0)!r} then {i}" for i in range(10)) + " end"
-    return f"""{RANKS.format(src=SCORED, k=kk, part=part)}
-    select {kk} n, round(brier, 6) as brier, round(accuracy, 6) as accuracy, round(auroc, 6) as auroc, round(auprc, 6) as auprc, round(ece, 6) as ece, round(tpr_at_1fpr, 6) as tpr_at_1fpr, round(tpr_at_5fpr, 6) as tpr_at_5fpr
+    return f"""{RANKS.format(src=src, k=kk, part=part)}
+    select {kk} n, round(brier, 6) as brier, round(accuracy, 6) as accuracy, round(auroc, 6) as auroc, round(auprc, 6) as auprc, round(ece, 6) as ece, round(tpr_at_01fpr, 6) as tpr_at_01fpr, round(tpr_at_1fpr, 6) as tpr_at_1fpr, round(tpr_at_5fpr, 6) as tpr_at_5fpr
     from (select {kk} count(*) as n, avg((p - y) * (p - y)) as brier, avg(((p >= 0.5)::int = y)::int) as accuracy from s {by})
     join (select {kk} sum(pos * (nb + neg / 2)) / (max(tp) * max(tn)) as auroc, sum(pos * (tp - pb) / (tp - pb + tn - nb)) / max(tp) as auprc from b {by}) {on}
     join (select {kk} sum(m * abs(mp - my)) / max(c) as ece from (select {kk} bin, count(*) as m, avg(p) as mp, avg(y) as my from (select *, {bins} as bin from s) where bin is not null group by all)
         join (select {kk} count(*) as c from s {by}) {on} {by}) {on}
-    join {tpr(0.01, 'tpr_at_1fpr')} {on} join {tpr(0.05, 'tpr_at_5fpr')} {on}"""
+    join {tpr(0.001, 'tpr_at_01fpr')} {on} join {tpr(0.01, 'tpr_at_1fpr')} {on} join {tpr(0.05, 'tpr_at_5fpr')} {on}"""
 
 
 BINS = "case " + " ".join(f"when p >= {i * 0.1!r} and p < {((i + 1) * 0.1 if i < 9 else 1.0)!r} then {i}" for i in range(10)) + " end"
 U = "('0x' || substr(sha256({x}), 1, 8))::bigint / 4294967296.0"
 MOD = "(" + " + ".join(f"('0x' || substr(h, {i * 4 + 1}, 4))::bigint * {pow(65536, 15 - i, 10000)}" for i in range(16)) + ") % 10000"
-WRITER = f"(select author, case when m < 4000 then 'train' when m < 5500 then 'calibration' when m < 7000 then 'development' else 'test' end as partition from (select author, {MOD} as m from (select distinct author, sha256('20260819:' || author) as h from documents where author is not null)))"
+WRITER = f"(select author, case when m < 4000 then 'train' when m < 5500 then 'development' when m < 7000 then 'calibration' else 'test' end as partition from (select author, {MOD} as m from (select distinct author, sha256('20260819:' || author) as h from documents where author is not null)))"
 SHINGLES = """list_distinct(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) else w end)"""
 
 
-def _perms(n: int) -> list[tuple[int, int]]:
-    out, x = [], 12345
-    for _ in range(n):
-        pair = []
-        for _ in range(2):
-            x = (x * 1103515245 + 12345) % 2147483648
-            pair.append(x % 2147483646 + 1)
-        out.append((pair[0], pair[1]))
-    return out
+# Lines that look like code.
+CODE_LINE = r"def |function |const |let |var |class |import |from |public static|#include|package |fn |=>|[{}();]$"
+RULES = {
+    "mage": ("as an ai language model|i cannot fulfill this request|openai|content policy", "kept"),
+    "defactify": (r"error communicating with|api\.openai\.com|nameresolutionerror|max retries exceeded|httpsconnectionpool|openai api error|ratelimiterror|apiconnectionerror", "all"),
+    "raid": ("$^x", "all"),
+    "m4gt": ("$^x", "all"),
+}
+STRIPPED = "regexp_replace(coalesce(text, ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')"
+SPLIT4 = f"(select doc_id, case when m < 4000 then 'train' when m < 5500 then 'development' when m < 7000 then 'calibration' else 'test' end as partition from (select doc_id, {MOD} as m from (select doc_id, sha256('partition:' || cast(doc_id as varchar)) as h from documents)))"
+CAL = f"(select s.* from {SCORED} s join {SPLIT4} using (doc_id) where partition = 'calibration')"
+TEST = f"(select s.* from {SCORED} s join {SPLIT4} using (doc_id) where partition = 'test')"
+TWO = f"(select *, round((p + doc_id % 7 / 10.0) / 1.6, 6) as q from {SCORED})"
+
+
+def hygiene_sql(rules: str) -> str:
+    marker, seen = RULES[rules]
+    own = "when n < 50 then 'short' when doc_id <> low then 'duplicate'" if seen == "kept" else "when doc_id <> low then 'duplicate' when n < 50 then 'short'"
+    return f"""select doc_id, case when t = '' then 'empty' when regexp_matches(lower(t), '{marker}') then 'marker' {own} else 'keep' end as reason
+        from (select doc_id, t, len(list_filter(regexp_split_to_array(t, '[\\s\\p{{Z}}]+'), lambda w: w <> '')) as n, min(doc_id) over (partition by t) as low from (select doc_id, {STRIPPED} as t from documents))"""
+
+
+def higher(src: str, value: str, q: str) -> str:
+    """The "higher" quantile of a value."""
+    return f"(select v from (select {value} as v, row_number() over (order by {value}) - 1 as i, count(*) over () as n from {src}) where i = ceil(({q}) * (n - 1) - 1e-9) limit 1)"
+
+
+LEVEL = "greatest(0, least(1, ceil((n + 1) * 0.9) / n))"
+NON = "case when y = 1 then 1 - p else p end"
+DRAWS = f"""(select "group", replicate, {{cols}}, case when u < {0.36787944117144233!r} then 0 {{steps}} end as m from (select *, {U.format(x="'11:' || \"group\" || ':' || cast(replicate as varchar)")} as u from {{src}}, (select unnest(range(200)) as replicate)))"""
+
+
+def draws(src: str, cols: str) -> str:
+    """Groups with their Poisson multiplicities in each of 200 replicates."""
+    cdf, k, steps = 0.0, 1.0, ""
+    for i in range(13):
+        k = k / i if i else 1.0
+        cdf += 0.36787944117144233 * k
+        steps += f" when u < {cdf!r} then {i}" if i else ""
+    return DRAWS.format(src=src, cols=cols, steps=steps + " else 13")
+
+
+def boot_auroc(p: str) -> str:
+    g = draws(f"""(select author as "group", {p} as p, sum(y) as pos, sum(1 - y) as neg from {TWO} where author is not null group by 1, 2)""", "p, pos, neg")
+    return f"""(with d as (select replicate, p, sum(m * pos) as pos, sum(m * neg) as neg from {g} where m > 0 group by 1, 2),
+        c as (select *, coalesce(sum(neg) over (partition by replicate order by p rows between unbounded preceding and 1 preceding), 0) as nb from d)
+        select replicate, sum(pos * (nb + neg / 2)) / (sum(pos) * sum(neg)) as auroc from c group by 1)"""
+
+
+def boot_sums(p: str) -> str:
+    g = draws(f"""(select author as "group", count(*) as n, sum(({p} - y) * ({p} - y)) as sq, sum((({p} >= 0.5)::int = y)::int) as ok from {TWO} where author is not null group by 1)""", "n, sq, ok")
+    return f"(select replicate, sum(m * sq) / sum(m * n) as brier, sum(m * ok) / sum(m * n) as accuracy from {g} where m > 0 group by 1)"
+
+
+def point_sql(p: str) -> str:
+    return f"""(with s as (select y, {p} as p from {TWO} where author is not null), g as (select p, sum(y) as pos, sum(1 - y) as neg from s group by 1), c as (select *, coalesce(sum(neg) over (order by p rows between unbounded preceding and 1 preceding), 0) as nb from g)
+        select (select sum(pos * (nb + neg / 2)) / (sum(pos) * sum(neg)) from c) as auroc, avg((p - y) * (p - y)) as brier, avg(((p >= 0.5)::int = y)::int) as accuracy from s)"""
+
+
+def isotonic(src: str) -> str:
+    """The isotonic fit at each distinct score: the largest, over starts up to it, of the smallest mean from there
+    to an end beyond it."""
+    return f"""(with g as (select p, count(*) as w, sum(y) as s from {src} group by 1), c as (select p, w, s, row_number() over (order by p) as i, sum(w) over (order by p) as cw, sum(s) over (order by p) as cs from g),
+        m as (select a.i as j, b.i as k, b.p, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) as mean from c a join c b on b.i >= a.i),
+        f as (select j, k, p, min(mean) over (partition by j order by k desc rows between unbounded preceding and current row) as low from m) select p, max(low) as fit from f group by 1)"""
+
+
+def placements(s: str) -> str:
+    """Each row's share of the other class that its score beats, ties half."""
+    return f"""(with g as (select {s} as s, sum(y) as pos, sum(1 - y) as neg from {TWO} group by 1), c as (select *, sum(neg) over (order by s) - neg as nb, sum(pos) over (order by s) - pos as pb, sum(pos) over () as tp, sum(neg) over () as tn from g)
+        select doc_id, y, case when y = 1 then (nb + neg / 2) / tn else 1 - (pb + pos / 2) / tp end as v from {TWO} t join c on t.{s} = c.s)"""
+
+
+PAIR_SIDES = f"""r as (select distinct record_id, {key('prompt_id')} as g, kind, label from corpus_records), n as (select g, kind, sum(1 - label) as h, sum(label) as a from r where g is not null and label in (0, 1) group by 1, 2 having sum(1 - label) > 0 and sum(label) > 0),
+    k as (select *, row_number() over (partition by g, kind, label order by md5(cast(record_id as varchar)), record_id) - 1 as i from r where g is not null and label in (0, 1))"""
 
 
 SQL: dict[str, str] = {
@@ -123,7 +191,7 @@ SQL: dict[str, str] = {
     "token_counts": f"select doc_id, cast(len({WORDS}) as integer) as n_words, cast(len({TOKENS}) as integer) as n_tokens, case when len({WORDS}) < 50 then 'lt50' when len({WORDS}) < 150 then '50-149' when len({WORDS}) < 500 then '150-499' else '500plus' end as bucket, sha256(coalesce(text, '')) as content_hash from documents",
     "content_types": f"""select doc_id, case when r >= 0.35 then 'code' when r >= 0.12 then 'mixed' else 'prose' end as content_type, case when b > 0 and a / b > 0.85 then 'en' else 'unknown' end as language from (
         select doc_id, length(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) as a, length(regexp_replace(coalesce(text, ''), '[^\\p{{L}}]', '', 'g')) as b,
-        case when len({LINES}) > 0 then len(list_filter({LINES}, lambda x: regexp_matches(regexp_replace(x, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), 'def |class |import |from |function |const |let |return |public |private |#include|package |fn |=>|[{{}}();]$'))) / len({LINES}) else 0 end as r from documents)""",
+        case when len({LINES}) > 0 then len(list_filter({LINES}, lambda x: regexp_matches(regexp_replace(x, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), '{CODE_LINE}'))) / len({LINES}) else 0 end as r from documents)""",
     "segment_windows": f"select doc_id, cast(k as integer) as segment_no, cast(k * 128 as integer) as token_start, cast(least(k * 128 + 160, n) as integer) as token_end from (select doc_id, n, unnest(range(greatest(cast(ceil((n - 160) / 128.0) as bigint), 0) + 1)) as k from (select doc_id, len({TOKENS}) as n from documents) where n > 0)",
     "equal_thirds": "select doc_id, n // 3 as third_0, n * 2 // 3 - n // 3 as third_1, n - n * 2 // 3 as third_2 from (select doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) as n from documents)",
     "stylometry": f"select doc_id, {', '.join(f'round({c}, 6) as {c}' for c in NAMES)} from {FEATURES}",
@@ -133,10 +201,7 @@ SQL: dict[str, str] = {
         round(least(1, greatest(0, least(1, -({' + '.join(f'e{i} / s * ln(e{i} / s)' for i in range(5))}) / ln(5))) + case when len < 500 then 0.25 else 0 end), 6) as unknown_score from (
         select *, e0 + e1 + e2 + e3 + e4 as s from (select doc_id, len, exp(-1.0 + 1.4 * long_words + 0.5 * connectors) as e0, exp(-1.1 + 1.1 * unique_ratio + 0.4 * short_sentences) as e1, exp(-1.2 + 1.2 * structured + 0.5 * digits) as e2,
         exp(-0.9 + 1.3 * connectors + 0.4 * balanced_lines) as e3, exp(-1.3 + 1.0 * short_sentences + 0.4 * unique_ratio) as e4 from {FEATURES}))""",
-    "corpus_hygiene": """with t as (select doc_id, regexp_replace(coalesce(text, ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') as t from documents),
-        f as (select doc_id, t, t = '' or regexp_matches(t, '(?i)\\b(internal server error|bad gateway|rate limit|access denied|page not found|timed out)\\b') as bad, t = '' as e, len(list_filter(regexp_split_to_array(t, '[\\s\\p{Z}]+'), lambda w: w <> '')) as n from t)
-        select case when e then 'empty' when bad then 'marker' when doc_id <> low then 'duplicate' when n < 50 then 'short' else 'keep' end as reason, count(*) as n
-        from (select *, min(case when not bad then doc_id end) over (partition by t) as low from f) group by 1""",
+    "corpus_hygiene": " union all ".join(f"select '{r}' as rules, reason, count(*) as n from ({hygiene_sql(r)}) group by 2" for r in RULES),
     "exact_copies": "select doc_id, low as first_id from (select doc_id, min(doc_id) over (partition by text) as low from documents where text is not null) where doc_id <> low",
     "corpus_datasheet": f"select family, kind, case when n < 50 then 'lt50' when n < 150 then '50-149' when n < 500 then '150-499' else '500plus' end as bucket, count(*) as n, cast(sum(label) as bigint) as ai from (select *, len({WORDS}) as n from {RECORDS}) group by 1, 2, 3",
     "contamination_status": f"select family, kind, count(*) as n, ['declared-none', 'unknown', 'suspected', 'declared-active'][max(case watermark_status when 'declared-active' then 3 when 'suspected' then 2 when 'declared-none' then 0 else 1 end) + 1] as status from {RECORDS} group by 1, 2",
@@ -147,30 +212,33 @@ SQL: dict[str, str] = {
     "catalog_problems": f"with a as (select distinct {key('run_id')} as run from corpus_records), b as (select distinct {key('run_id')} as run from runs) select run, 'dangling' as problem from a where run is not null and run not in (select run from b where run is not null) union all select run, 'unreferenced' from b where run is not null and run not in (select run from a where run is not null)",
     "stale_hashes": f"select record_id, sha256 is null as absent from (select record_id, r.sha256, sha256(text) as h from {RECORDS} r where text is not null) where not coalesce(lower(trim(sha256)) = h, false)",
     "output_counts": f"select run, max(n_outputs) as registered, any_value(found) as found from (select {key('run_id')} as run, n_outputs from runs) join (select {key('run_id')} as run, count(distinct record_id) as found from corpus_records group by 1) using (run) where run is not null group by 1 having max(n_outputs) <> any_value(found)",
-    "minhash_signatures": f"select doc_id, {', '.join(f'coalesce(min(({a} * h + {b}) % 2147483647), -1) as m{i}' for i, (a, b) in enumerate(_perms(4)))} from documents left join (select doc_id, ('0x' || substr(md5(s), 1, 8))::bigint & 2147483647 as h from (select doc_id, unnest({SHINGLES}) as s from (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+') as w from documents))) using (doc_id) group by 1",
     "author_copies_jaccard": f"""with s as (select doc_id, {SHINGLES} as s from (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+') as w from documents)),
         p as (select lag(doc_id) over (partition by source order by doc_id) as a, doc_id as b from documents)
         select a, b, round(case when len(x.s) + len(y.s) > 0 then len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) else 1 end, 6) as similarity from p join s x on x.doc_id = a join s y on y.doc_id = b where a is not null""",
     "group_subsample": "select doc_id, author from documents where author in (select author from (select author, n, sum(n) over (order by sha256('7:' || author)) as c from (select author, count(*) as n from documents where author is not null group by 1)) where c <= 300 or c = n)",
     "group_partitions": "select author as \"group\", case when i < round_even(n * 0.6, 0) then 'train' when i < round_even(n * 0.8, 0) then 'calibration' else 'test' end as partition from (select author, row_number() over (order by sha256('7:partition:' || author)) - 1 as i, count(*) over () as n from (select distinct author from documents where author is not null))",
     "writer_splits": f"select author, partition from {WRITER}",
-    "split_leaks": "select author, cast(2 as bigint) as partitions from documents where false",
+    "split_leaks": f"select run, count(distinct lower(trim(split))) as partitions from (select {key('run_id')} as run, split from corpus_records) where run is not null and split is not null group by 1 having count(distinct lower(trim(split))) > 1",
     "leakage_by_prompt": f"with r as (select distinct record_id, split, {key('prompt_id')} as g from corpus_records), d as (select * from r where g is not null and split is not null) select split, count(*) as n, sum((g in (select g from d where split = 'train'))::int)::bigint as leaked from d where split <> 'train' group by 1",
-    "balanced_folds": "select author, n, cast(case when k < 5 then k else 9 - k end as integer) as fold from (select author, n, (row_number() over (order by n desc, author) - 1) % 10 as k from (select author, count(*) as n from documents where author is not null group by 1))",
-    "prompt_pairs": f"with r as (select distinct record_id, {key('prompt_id')} as g, kind, label from corpus_records), h as (select *, row_number() over (partition by g, kind order by record_id) as k from r where label = 0 and g is not null), a as (select *, row_number() over (partition by g, kind order by record_id) as k from r where label = 1 and g is not null) select h.g as \"group\", h.kind, h.record_id as human_id, a.record_id as ai_id from h join a using (g, kind, k)",
+    "balanced_folds": """with recursive g as (select author, count(*) as n from documents where author is not null group by 1), o as (select *, row_number() over (order by n desc, md5(author), author) as i, least(5, count(*) over ()) as k from g),
+        s as (select 0 as i, cast(null as varchar) as author, cast(0 as bigint) as n, cast(0 as bigint) as fold, list_transform(range(greatest(2, (select max(k) from o))), lambda x: cast(0 as bigint)) as l
+            union all select o.i, o.author, o.n, list_position(l, list_min(l)) - 1, list_transform(range(1, len(l) + 1), lambda x: case when x = list_position(l, list_min(l)) then l[x] + o.n else l[x] end) from s join o on o.i = s.i + 1)
+        select author, n, cast(fold as integer) as fold from s where i > 0""",
+    "prompt_pairs": f"""with {PAIR_SIDES}, p as (select g, kind, h, a, unnest(range(greatest(h, a)::bigint)) as k from n)
+        select p.g as "group", p.kind, x.record_id as human_id, y.record_id as ai_id from p join k x on x.g = p.g and x.kind = p.kind and x.label = 0 and x.i = p.k % p.h join k y on y.g = p.g and y.kind = p.kind and y.label = 1 and y.i = p.k % p.a""",
     "metrics_by_kind": metrics_sql("kind"),
     "metrics_overall": metrics_sql(""),
     "reliability_bins": f"select cast(bin as integer) as bin, count(*) as n, round(avg(p), 6) as mean_predicted, round(avg(y), 6) as observed from (select *, {BINS} as bin from {SCORED}) where bin is not null group by 1",
-    "adaptive_calibration": f"select round(sum(m / n * abs(mp - my)), 6) as adaptive_ece, count(*) as bins from (select bin, count(*) as m, avg(p) as mp, avg(y) as my, max(n) as n from (select p, y, n, ((i + 1) * 10 - 1) // n as bin from (select p, y, row_number() over (order by p, doc_id) - 1 as i, count(*) over () as n from {SCORED})) group by 1)",
+    "adaptive_calibration": f"select round(sum(m / n * abs(mp - my)), 6) as adaptive_ece, count(*) as bins from (select bin, count(*) as m, avg(p) as mp, avg(y) as my, max(n) as n from (select p, y, n, ((i + 1) * 10 - 1) // n as bin from (select p, y, row_number() over (order by p, md5(cast(doc_id as varchar))) - 1 as i, count(*) over () as n from {SCORED})) group by 1)",
     "fairness_slices": f"select slice, value, count(*) as n, round(avg((p - y) * (p - y)), 6) as brier, round(avg(((p >= 0.5)::int = y)::int), 6) as accuracy, round(avg(y), 6) as base_rate from (select y, p, 'kind' as slice, kind as value from {SCORED} union all select y, p, 'family', family from {SCORED} union all select y, p, 'lang', lang from {SCORED}) group by 1, 2 having count(*) >= 4",
     "coverage_curve": f"select cast(step as integer) as step, count(*) as n_kept, round(count(*) / (select count(*) from documents), 6) as coverage, round(avg(r), 6) as accuracy from (select greatest(p, 1 - p) as c, ((p >= 0.5)::int = y)::int as r from {SCORED}), (select unnest(range(10)) as step) where c >= 0.5 + step * 0.49 / 9 group by 1",
     "conformal_sets": f"""with s as (select y, p, case when y = 1 then 1 - p else p end as s from {SCORED}), n as (select count(*) as n from s), t as (select s as th from (select s, row_number() over (order by s) - 1 as i from s), n where i = ceil(least(1, ceil((n + 1) * 0.9) / n) * (n - 1) - 1e-9))
         select round(max(th), 6) as threshold, round(avg((1 - p <= th)::int + (p <= th)::int), 6) as mean_set_size, round(avg((case when y = 1 then 1 - p <= th else p <= th end)::int), 6) as coverage,
         round(avg(((1 - p <= th)::int + (p <= th)::int = 1)::int), 6) as singleton_rate, round(avg(((1 - p <= th)::int + (p <= th)::int = 2)::int), 6) as abstention_rate from s, t""",
-    "selective_risk": f"select coverage, count(*) as n_kept, round(avg(wrong), 6) as risk from (select row_number() over (order by greatest(p, 1 - p) desc, doc_id) as r, count(*) over () as n, ((p >= 0.5)::int <> y)::int as wrong from {SCORED}), (select unnest([0.5, 0.7, 0.8, 0.9, 0.95, 1.0])::double as coverage) where r <= greatest(1, ceil(coverage * n - 1e-9)) group by 1",
+    "selective_risk": f"select coverage, count(*) as n_kept, round(avg(wrong), 6) as risk, round(avg(sq), 6) as brier from (select (p - y) * (p - y) as sq, row_number() over (order by greatest(p, 1 - p) desc, md5(cast(doc_id as varchar))) as r, count(*) over () as n, ((p >= 0.5)::int <> y)::int as wrong from {SCORED}), (select unnest([0.5, 0.7, 0.8, 0.9, 0.95, 1.0])::double as coverage) where r <= greatest(1, ceil(coverage * n - 1e-9)) group by 1",
     "prevalence_metrics": f"select prevalence, round(sum(b * w), 6) as brier, round(sum(l * w), 6) as log_loss, round(sum(a * w), 6) as accuracy from (select prevalence, b, l, a, case when y = 1 then prevalence else 1 - prevalence end as w from (select y, avg((p - y) * (p - y)) as b, avg(-ln(case when y = 1 then greatest(1e-6, least(1 - 1e-6, p)) else 1 - greatest(1e-6, least(1 - 1e-6, p)) end)) as l, avg(((p >= 0.5)::int = y)::int) as a from {SCORED} group by 1), (select unnest([0.01, 0.1, 0.5])::double as prevalence)) group by 1",
     "transport_cells": f"with g as (select lang, count(*) as n, sum((p - y) * (p - y)) as sq, sum(((p >= 0.5)::int = y)::int) as ok from {SCORED} group by 1) select lang, n, round(sq / n, 6) as brier, round(ok / n, 6) as accuracy, round(sq / n - ((select sum(sq) from g) - sq) / ((select sum(n) from g) - n), 6) as brier_delta from g",
-    "prior_grid": f"select doc_id, prevalence, round(lr * prevalence / (1 - prevalence) / (1 + lr * prevalence / (1 - prevalence)), 6) as posterior from (select doc_id, q / (1 - q) as lr from (select doc_id, greatest(1e-6, least(1 - 1e-6, p)) as q from {SCORED})), (select unnest([0.001, 0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9])::double as prevalence)",
+    "prior_grid": f"select doc_id, prevalence, round(lr * prevalence / (1 - prevalence) / (1 + lr * prevalence / (1 - prevalence)), 6) as posterior from (select doc_id, q / (1 - q) as lr from (select doc_id, greatest(1e-6, least(1 - 1e-6, p)) as q from {SCORED})), (select unnest([0.001, 0.005, 0.01, 0.05, 0.1, 0.25, 0.5, 0.75])::double as prevalence)",
     "segment_dependence": f"""with s as (select doc_id, segment_no, ln(p / (1 - p)) as l from (select doc_id, segment_no, greatest(0.02, least(0.98, green / n_tokens)) as p from {SEGMENTS} where n_tokens >= 20)),
         e as (select doc_id, segment_no, l, l - avg(l) over (partition by doc_id) as e from s), f as (select *, lag(e) over (partition by doc_id order by segment_no) as f from e),
         g as (select doc_id, count(*) as n, sum(l) as naive, sum(e * f) as ef, sum(e * e) as ee from f group by 1), r as (select *, case when n >= 3 and ee > 1e-12 then greatest(0, least(1, ef / ee)) else 0 end as rho from g)
@@ -185,7 +253,7 @@ SQL: dict[str, str] = {
         select l_linestatus, n1, n0, round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 6) as t, round((v1 / n1 + v0 / n0) ^ 2 / ((v1 / n1) ^ 2 / (n1 - 1) + (v0 / n0) ^ 2 / (n0 - 1)), 6) as df, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 6) as cohens_d from g""",
     "mann_whitney_quantity": """with g as (select l_quantity as v, sum((l_returnflag = 'R')::int) as a, sum((l_returnflag <> 'R')::int) as b from lineitem group by 1), h as (select *, coalesce(sum(b) over (order by v rows between unbounded preceding and 1 preceding), 0) as below from g),
         s as (select sum(a) as n1, sum(b) as n0, sum(a * (below + b / 2)) as u, sum((a + b)::double ^ 3 - (a + b)) as ties from h)
-        select n1::bigint as n1, n0::bigint as n0, round(u, 6) as u, round(2 * u / (n1::double * n0) - 1, 6) as rank_biserial, round((u - n1::double * n0 / 2) / sqrt(n1::double * n0 / 12 * (n1 + n0 + 1 - ties / ((n1::double + n0) * (n1 + n0 - 1)))), 6) as z from s""",
+        select n1::bigint as n1, n0::bigint as n0, round(u, 6) as u, round(1 - 2 * u / (n1::double * n0), 6) as rank_biserial, round((u - n1::double * n0 / 2) / sqrt(n1::double * n0 / 12 * (n1 + n0 + 1 - ties / ((n1::double + n0) * (n1 + n0 - 1)))), 6) as z from s""",
     "fdr_by_brand": """with g as (select p_brand, count(*) as n, sum((l_returnflag = 'R')::int) as k from lineitem join part on p_partkey = l_partkey group by 1), t as (select sum(k) / sum(n) as p0 from g), z as (select p_brand, (k / n - p0) / sqrt(p0 * (1 - p0) / n) as z from g, t),
         b as (select p_brand, z, exp(-z * z / 2) as b from z), r as (select *, count(*) over () / row_number() over (order by b) * b as q from b)
         select p_brand, round(z, 6) as z, round(b, 6) as bound, round(least(1, min(q) over (order by b desc range between unbounded preceding and current row)), 6) as q_value from r""",
@@ -193,4 +261,67 @@ SQL: dict[str, str] = {
     "durbin_watson_prices": "with e as (select *, l_extendedprice - avg(l_extendedprice) over (partition by l_orderkey) as e from lineitem), d as (select e, e - lag(e) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as d from e) select round(sum(d * d) / sum(e * e), 6) as dw, count(*) as n from d",
     "jarque_bera_prices": "with m as (select l_returnflag, avg(l_extendedprice) as m from lineitem group by 1), g as (select l_returnflag, count(*) as n, avg((l_extendedprice - m) ^ 2) as m2, avg((l_extendedprice - m) ^ 3) as m3, avg((l_extendedprice - m) ^ 4) as m4 from lineitem join m using (l_returnflag) group by 1) select l_returnflag, n, round(m3 / m2 ^ 1.5, 3) as skew, round(m4 / m2 ^ 2 - 3, 3) as kurt, round(n / 6 * ((m3 / m2 ^ 1.5) ^ 2 + (m4 / m2 ^ 2 - 3) ^ 2 / 4), 3) as jb from g",
     "first_events": "select event_type, count(distinct user_id) as users from events group by 1",
+    "text_groups": f"select doc_id, substr(sha256({STRIPPED}), 1, 16) as \"group\" from documents join ({hygiene_sql('m4gt')}) using (doc_id) where reason = 'keep'",
+    "source_names": r"""select doc_id, split_part(src, '_', 1) as domain,
+        case when contains(src, '_machine_') then regexp_replace(src, '^.*?_machine_[^_]*_', '') when src like '%\_human' escape '\' then 'human' when src like '%\_human\_para' escape '\' then 'paraphrased_human'
+            when contains(body, '_') then substr(body, strpos(body, '_') + 1) else 'unknown' end as family,
+        case when contains(src, '_machine_') then regexp_extract(src, '_machine_([^_]*)', 1) when src like '%\_human' escape '\' then 'human' when src like '%\_para' escape '\' then 'paraphrase' else 'ood' end as prompt_mode,
+        src like '%\_para' escape '\' and not contains(src, '_machine_') as paraphrased
+        from (select *, regexp_replace(src, '_para$', '') as body from (select doc_id, case doc_id % 6 when 0 then source || '_machine_' || kind || '_' || family when 1 then source || '_human' when 2 then source || '_human_para' when 3 then source || '_' || family when 4 then source || '_' || family || '_para' else source end as src from documents))""",
+    "version_pairs": f"""with r as (select {key('prompt_id')} as domain, coalesce(cohort_id, 'none') as version, label, text, record_id from {RECORDS} where text is not null and label in (0, 1)),
+        k as (select *, row_number() over (partition by domain, version, label order by record_id) - 1 as i from r where domain is not null),
+        x as (select h.domain, h.version, h.i, h.text as ht, a.text as mt from k h join k a on h.domain = a.domain and h.version = a.version and h.i = a.i and h.label = 0 and a.label = 1)
+        select domain, version, cast(i as integer) as pair_no, label, case when label = 0 then 'human' else version end as family, domain || ':' || substr(sha256({STRIPPED.replace('text', 'ht')}), 1, 16) as "group", sha256({STRIPPED.replace('text', 't')}) as sha256
+        from (select *, 0 as label, ht as t from x union all select *, 1, mt from x)""",
+    "prompt_pair_groups": f"""with {PAIR_SIDES} select g as "group", kind, h::bigint as humans, a::bigint as ais, (h * a)::bigint as pairs from n""",
+    "bootstrap_by_author": f"select replicate::int as replicate, round(brier, 6) as brier, round(accuracy, 6) as accuracy from {boot_sums('p')}",
+    "bootstrap_intervals": " union all ".join(f"select '{m}' as metric, round((select {m} from {point_sql('p')}), 6) as point, round(quantile_cont({m}, 0.025), 6) as low, round(quantile_cont({m}, 0.975), 6) as high, count({m}) as n_boot from {b('p')}" for m, b in (("auroc", boot_auroc), ("brier", boot_sums), ("accuracy", boot_sums))),
+    "paired_scores": " union all ".join(f"select '{m}' as metric, round((select {m} from {point_sql('p')}) - (select {m} from {point_sql('q')}), 6) as diff, round(quantile_cont(d, 0.025), 6) as low, round(quantile_cont(d, 0.975), 6) as high, round(least(1, 2 * least(avg((d <= 0)::int), avg((d >= 0)::int))), 6) as p_value, count(d) as n_boot from (select x.{m} - z.{m} as d from {b('p')} x join {b('q')} z using (replicate))" for m, b in (("auroc", boot_auroc), ("brier", boot_sums), ("accuracy", boot_sums))),
+    "sliced_conformal": f"""with t as (select {higher('(select *, ' + NON + ' as s from ' + SCORED + ')', 's', LEVEL)} as th), x as (select ({NON} <= th)::int as ok, kind, family, lang from {SCORED}, t),
+        l as (select 'pooled' as slice, 'all' as value, ok from x union all select 'kind', kind, ok from x union all select 'family', family, ok from x union all select 'lang', lang, ok from x)
+        select slice, value, count(*) as n, round(avg(ok), 6) as coverage, round(avg(ok) - 0.9, 6) as gap from l group by 1, 2 having count(*) >= 30 or slice = 'pooled'""",
+    "conformal_fit": f"""with c as (select y, {NON} as s from {CAL}) select k as class, round(coalesce(case k when 0 then {higher('(select * from c where y = 0)', 's', LEVEL)} else {higher('(select * from c where y = 1)', 's', LEVEL)} end, 1), 6) as threshold, (select count(*) from c) as n_calibration, 'mondrian' as method from (select unnest([0, 1]) as k)
+        union all select k, round({higher('c', 's', LEVEL)}, 6), (select count(*) from c), 'pooled' from (select unnest([0, 1]) as k)""",
+    "conformal_applied": f"""with c as (select y, {NON} as s from {CAL}), t as (select {higher('(select * from c where y = 0)', 's', LEVEL)} as t0, {higher('(select * from c where y = 1)', 's', LEVEL)} as t1),
+        x as (select y, (1 - p <= t1)::int as a, (p <= t0)::int as b from {TEST}, t), z as (select y, a + b as k, case when y = 1 then a else b end as ok from x)
+        select count(*) as n, round(avg(ok), 6) as coverage, round(avg(k), 6) as mean_set_size, round(avg((k = 1)::int), 6) as singleton_rate, round(avg((k = 2)::int), 6) as abstention_rate, round(avg((k = 0)::int), 6) as empty_rate, round(avg(case when y = 0 then ok end), 6) as coverage_0, round(avg(case when y = 1 then ok end), 6) as coverage_1 from z""",
+    "fpr_thresholds": " union all ".join(f"select {f}::double as fpr, round(th, 6) as threshold, round(avg((p >= th)::int), 6) as tpr from {TEST}, (select {higher('(select * from ' + CAL + ' where y = 0)', 'p', str(1 - f))} as th) where y = 1 group by 1, 2" for f in (0.001, 0.01, 0.05)),
+    "selective_thresholds": " union all ".join(f"select {c}::double as coverage, round(th, 6) as threshold, count(*) as n_kept, round(count(*) / (select count(*) from {TEST}), 6) as empirical_coverage, round(avg(((p >= 0.5)::int <> y)::int), 6) as risk, round(avg((p - y) * (p - y)), 6) as brier from {TEST}, (select {'0' if c == 1 else higher('(select greatest(p, 1 - p) as c from ' + CAL + ')', 'c', str(1 - c))} as th) where greatest(p, 1 - p) >= th group by 1, 2" for c in (1.0, 0.95, 0.9, 0.8, 0.7, 0.5)),
+    "isotonic_calibration": f"select doc_id, round(greatest(1e-6, least(1 - 1e-6, fit)), 4) as calibrated from {SCORED} join {isotonic(SCORED)} using (p)",
+    "calibration_bundle": f"""with f as (select p, fit from {isotonic(CAL)}), t as (select doc_id, p, (select max(f.p) from f where f.p <= t.p) as a, (select min(f.p) from f where f.p > t.p) as b from {TEST} t)
+        select doc_id, round(greatest(1e-6, least(1 - 1e-6, case when a is null then fb.fit when b is null then fa.fit else fa.fit + (t.p - a) * (fb.fit - fa.fit) / (b - a) end)), 4) as calibrated from t left join f fa on fa.p = a left join f fb on fb.p = b""",
+    "worst_language": f"select count(*) as groups, round(min(auroc), 6) as worst_auroc, round(max(brier), 6) as worst_brier, round(max(ece), 6) as worst_ece from ({metrics_sql('lang')}) where n >= 4 and auroc is not null",
+    "hosmer_lemeshow": f"""with q as (select list_sort(list_distinct(quantile_cont(p, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) as q from {SCORED}),
+        b as (select least(len(list_filter(q, lambda e: e <= p)), len(q) - 1) as bin, p, y from {SCORED}, q), g as (select bin, count(*) as n, sum(p) as e, sum(y) as o from b group by 1)
+        select round(sum((o - e) ^ 2 / (e * (1 - e / n))), 4) as statistic, count(*) as bins, greatest(count(*) - 2, 1) as df from g""",
+    "delong_scores": f"""with x as (select a.y, a.v as a, b.v as b from {placements('p')} a join {placements('q')} b using (doc_id)), g as (select y, count(*) as n, avg(a) as ma, avg(b) as mb, var_samp(a) + var_samp(b) - 2 * covar_samp(a, b) as v from x group by 1),
+        z as (select max(ma) filter (y = 1) as auc_a, max(mb) filter (y = 1) as auc_b, sum(v / n) as v from g) select round(auc_a, 6) as auc_a, round(auc_b, 6) as auc_b, round((auc_a - auc_b) / sqrt(v), 6) as z, round(p, 6) as p_value
+        from (select *, case when abs((auc_a - auc_b) / sqrt(v)) > 5.5 then 0.0 end as p from z)""",
+    "segment_spans": f"""with k as (select doc_id, text, regexp_extract_all(text, '(?:{TOK})[\\s\\p{{Z}}]*') as k from documents where text is not null and coalesce(kind, 'text') <> 'code'),
+        t as (select doc_id, len(k) as n, length(text) - list_sum(list_transform(k, lambda x: length(x))) as lead, k from k where len(k) > 0),
+        o as (select doc_id, i, lead + coalesce(sum(length(w)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as a, length(regexp_replace(w, '[\\s\\p{{Z}}]+$', '')) as l from (select doc_id, lead, unnest(k) as w, unnest(range(len(k))) as i from t)),
+        w as (select doc_id, n, unnest(range(greatest(cast(ceil((n - 160) / 128.0) as bigint), 0) + 1)) as j from t)
+        select w.doc_id, cast(j + 1 as integer) as segment_no, cast(x.a as integer) as start, cast(y.a + y.l as integer) as end, cast(least(160, n - j * 128) as integer) as n_tokens from w join o x on x.doc_id = w.doc_id and x.i = j * 128 join o y on y.doc_id = w.doc_id and y.i = least(n, j * 128 + 160) - 1""",
+    "fixture_scores": """select doc_id, round(0.08 + 0.84 * ((('0x' || substr(h, 1, 8))::bigint * 4294967296.0 + ('0x' || substr(h, 9, 8))::bigint) / 18446744073709551616.0 + case when contains(t, 'watermark positive') or contains(t, 'ai-generated') then 0.9 when contains(t, 'human-written') then 0.08 else 0.45 end) / 2, 6) as raw_score
+        from (select doc_id, sha256(coalesce(text, '')) as h, lower(coalesce(text, '')) as t from documents)""",
+    "author_majorities": "select author, cast(sum(label) * 2 >= count(*) as integer) as majority, count(*) as n from documents where author is not null group by 1",
+    "author_holdout": """with g as (select author, row_number() over (order by sha256('13:holdout:' || author)) - 1 as i, count(*) over () as n from (select distinct author from documents where author is not null)), c as (select *, greatest(1, round_even(n * 0.2, 0)) as k from g)
+        select author as "group", case when i < k then 'test' when i < 2 * k then 'calibration' else 'train' end as partition from c""",
+    "cohort_cells": metrics_sql("cohort", f"(select * from (select *, lang || '|' || kind as cohort, count(*) over (partition by lang, kind) as c, min(y) over (partition by lang, kind) as a, max(y) over (partition by lang, kind) as b from {SCORED}) where c >= 30 and a < b)"),
+    "pseudo_r2": f"""with g as (select sum(ln(case when y = 1 then greatest(1e-12, p) else 1 - least(1 - 1e-12, p) end)) as ll, avg(y) as r, count(*) as n, avg(p) filter (y = 1) as a, avg(p) filter (y = 0) as b from {SCORED}) select round(1 - ll / (n * (r * ln(r) + (1 - r) * ln(1 - r))), 6) as mcfadden, round(a - b, 6) as tjur from g""",
+    "calibration_power": f"""with v as (select 'brier' as metric, var_samp((p - y) * (p - y)) as v from {SCORED} union all
+            select 'ece', sum(m / c * (mp * (1 - mp) + my * (1 - my))) * (1 - 2 / pi()) from (select bin, count(*) as m, avg(p) as mp, avg(y) as my from (select *, {BINS} as bin from {SCORED}) where bin is not null group by 1), (select count(*) as c from {SCORED}))
+        select metric, round(v, 6) as variance, e as effect, cast(ceil(7.848879734349086 * v / (e * e)) as bigint) as required_n from v, (select unnest([0.005, 0.01, 0.02, 0.05])::double as e)""",
+    "green_bias": f"""select sum(n)::bigint as pairs, round(sum(case when g then n else 0 end) / sum(n), 6) as green_rate, round(2 * (sum(case when g then n else 0 end) / sum(n) - 0.5), 6) as strength from (select n, substr(sha256('demo-key::' || prev || '::' || t), 1, 1) < '8' as g
+        from (select prev, t, count(*) as n from (select t, lag(t) over (partition by doc_id order by i) as prev from (select doc_id, unnest(k) as t, unnest(range(len(k))) as i from (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '{TOK}') as k from documents))) where prev is not null group by 1, 2))""",
+    "story_groups": f"""with recursive w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}') as w from documents),
+        t as (select doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as t from w), f as (select doc_id, t, count(*) as tf from t group by 1, 2),
+        v as (select t, ln((1 + (select count(*) from documents)) / (1.0 + count(*))) + 1 as idf from f group by 1 having count(*) >= 2 order by sum(tf) desc, t limit 60000),
+        x as (select doc_id, t, (1 + ln(tf)) * idf as w from f join v using (t)), n as (select doc_id, t, w / sqrt(sum(w * w) over (partition by doc_id)) as w from x),
+        e as (select a.doc_id as a, b.doc_id as b from n a join n b on a.t = b.t and a.doc_id < b.doc_id group by 1, 2 having sum(a.w * b.w) >= 0.45), s as (select a, b from e union all select b, a from e),
+        r as (select distinct a as v, a as l from s union select s.b, r.l from r join s on s.a = r.v)
+        select l as cluster, count(*) as n from (select v, min(l) as l from r group by 1) group by 1""",
+    "synonym_texts": f"""with k as (select doc_id, regexp_extract_all(coalesce(text, ''), '{TOK}') as k, coalesce(text, '') as t from documents), w as (select doc_id, unnest(k) as w, unnest(range(len(k))) as i from k),
+        x as (select doc_id, i, w, regexp_full_match(w, '[\\p{{L}}\\p{{N}}_]+') as word, case when regexp_full_match(w, '[\\p{{L}}\\p{{N}}_]+') and {U.format(x="'13:' || cast(doc_id as varchar) || ':' || cast(i as varchar)")} < 0.3 then coalesce(s.b, w) else w end as o from w left join (values {', '.join(f"('{a}', '{b}')" for a, b in SYNONYMS.items())}) s(a, b) on s.a = lower(w)),
+        j as (select doc_id, string_agg(case when word and i > 0 then ' ' || o else o end, '' order by i) as t from x group by 1) select k.doc_id, sha256(coalesce(j.t, k.t)) as sha256 from k left join j using (doc_id)""",
 }
