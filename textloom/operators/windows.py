@@ -28,8 +28,8 @@ def code_boundaries(text: str) -> list[int]:
 
 def code_windows(spans: list[tuple[int, int]], boundaries: list[int], most: int = CODE_TOKENS) -> list[tuple[int, int, int]]:
     """``(start, end, tokens)``: blocks merged while they hold at most ``most`` tokens. A window that a
-    block would overfill still reaches to that block's end, whose tokens are dropped from both counts,
-    as those of a block that starts before the window's start are."""
+    block would overfill reaches to that block's end; the block's tokens count for the next window,
+    which starts there."""
     out, start, held, k = [], boundaries[0], 0, 0
     for b in boundaries[1:]:
         n = 0
