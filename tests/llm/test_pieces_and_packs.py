@@ -37,6 +37,17 @@ def test_windows(spark):
     assert got.where("record_id = 99").count() == 0
 
 
+def test_two_texts_of_one_record(spark):
+    """Deliveries that differ in their text are each cut by their own tokens; every piece tells how it ends."""
+    a, b = "word " * 300, "wo d " * 300
+    r = spark.createDataFrame([(1, a), (1, b)], "record_id bigint, text string")
+    w = spark.createDataFrame([(1, 0, 0, None)], "record_id bigint, window_no int, token_start int, token_end int")
+    rows = oversized.split_windows(r, w).collect()
+    assert len(a) == len(b) and all(x["piece"] == (a if "word" in x["piece"] else b)[x["char_start"] : x["char_end"]] for x in rows)
+    assert {x["natural"] for x in rows if x["piece_no"] == 0} == {False} and {x["cut"] for x in rows} == {"forced"}
+    assert {x["piece"] for x in oversized.split_windows(r, w, with_text=False).collect()} == {None}
+
+
 def test_decimal_point_is_no_boundary():
     t = "pay 3.5 now. Then\nstop"
     spans = [m.span() for m in TOKEN.finditer(t)]

@@ -52,9 +52,11 @@ def forced(start: int, end: int, cuts: list[int], limit: int) -> bool:
     return end - last > limit
 
 
-def split_windows(records: DataFrame, windows: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+def split_windows(records: DataFrame, windows: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, with_text: bool = True) -> DataFrame:
     """Pieces of at most ``limit`` tokens of each distinct window that has more in the actual text:
-    ``(record_id, window_no, cut, piece_no, token_start, token_end, char_start, char_end, piece)``.
+    ``(record_id, window_no, cut, piece_no, token_start, token_end, char_start, char_end, natural,
+    piece)``; ``natural`` tells whether the piece ends at a boundary or at the window's end, ``cut``
+    whether the window could be cut so throughout. ``piece`` is the text, or null without ``with_text``.
 
     A null ``token_end`` or one beyond the text means the end of the text, a null or negative
     ``token_start`` its start. Windows without an existing record, with an empty or null text, or
@@ -70,25 +72,25 @@ def split_windows(records: DataFrame, windows: DataFrame, limit: int = LIMIT, ov
     joined = r.join(w, "record_id").select("record_id", "window_no", "token_start", "token_end", "text")
 
     def make():
-        last: list = [None, [], [], []]
+        last: list = [None, [], [], []]  # of the text that came last, since windows of a record follow each other
 
         def work(ids, nos, froms, tos, texts):
-            out: list[list] = [[] for _ in range(9)]
+            out: list[list] = [[] for _ in range(10)]
             for rid, no, a, b, text in zip(ids, nos, froms, tos, texts):
-                if last[0] != (rid, len(text)):
+                if last[0] != text:
                     starts, ends = token_ends(text)
-                    last[:] = [(rid, len(text)), starts, ends, boundaries(text, starts, ends)]
+                    last[:] = [text, starts, ends, boundaries(text, starts, ends)]
                 _, starts, ends, cuts = last
                 b = len(starts) if b is None else min(b, len(starts))
                 if b - a <= limit:
                     continue
                 cut = "forced" if forced(a, b, cuts, limit) else "boundary"
-                for k, (x, y, _) in enumerate(plan_pieces(a, b, cuts, limit, overlap)):
-                    for column, v in zip(out, (rid, no, cut, k, x, y, starts[x], ends[y - 1], text[starts[x] : ends[y - 1]])):
+                for k, (x, y, natural) in enumerate(plan_pieces(a, b, cuts, limit, overlap)):
+                    for column, v in zip(out, (rid, no, cut, k, x, y, starts[x], ends[y - 1], natural, text[starts[x] : ends[y - 1]] if with_text else None)):
                         column.append(v)
             return out
 
         return work
 
-    pieces = map_rows(joined, joined.columns, make, "record_id bigint, window_no int, cut string, piece_no int, token_start int, token_end int, char_start int, char_end int, piece string")
+    pieces = map_rows(joined, joined.columns, make, "record_id bigint, window_no int, cut string, piece_no int, token_start int, token_end int, char_start int, char_end int, natural boolean, piece string")
     return pieces.dropDuplicates(["record_id", "window_no", "token_start", "token_end", "piece_no"])

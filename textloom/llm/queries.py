@@ -30,7 +30,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return p3_pieces(spark, d).select("record_id", "window_no", "cut").distinct()
+    p = oversized.split_windows(table(spark, d, "corpus_records"), table(spark, d, "token_windows"), with_text=False)
+    return p.select("record_id", "window_no", "cut").distinct()
 
 
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
