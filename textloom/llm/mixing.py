@@ -109,22 +109,25 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 20260819, tokenize
     as 1; repeated targets add up. Documents without tokens are drawn like others; null sources and
     ids are in no selection. Nothing present gives an empty result.
     """
-    sized, rows = _prepared(documents, targets, seed, tokenizer, total_tokens)
-    spark = documents.sparkSession
+    return _drawn(*_prepared(documents, targets, seed, tokenizer, total_tokens), seed).orderBy("shuffle_key")
+
+
+def _drawn(sized: DataFrame, rows: list[dict], seed: int) -> DataFrame:
+    spark = sized.sparkSession
     ts = spark.createDataFrame([(r["source"], [min(max(t, -1.0), 2.0) for t in r["thresholds"]]) for r in rows], "source string, thresholds array<double>")
     u = (F.col("step") + 0.5) / STEPS
     out = sized.join(ts, "source").withColumn("copies", F.size(F.filter("thresholds", lambda t: t <= u)))
     out = out.where("copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select("doc_id", "source", "copy_no", "n_tokens", F.xxhash64(F.lit(seed + 1), "doc_id", "copy_no").alias("shuffle_key")).orderBy("shuffle_key")
+    return out.select("doc_id", "source", "copy_no", "n_tokens", F.xxhash64(F.lit(seed + 1), "doc_id", "copy_no").alias("shuffle_key"))
 
 
 def mix_report(documents: DataFrame, targets: DataFrame, seed: int = 20260819, tokenizer: str = TOKENIZER, total_tokens: int | str | None = None) -> DataFrame:
-    """By source with a target: target share, tokens available and selected, share and repeats reached."""
-    _, rows = _prepared(documents, targets, seed, tokenizer, total_tokens)
-    out = []
-    for r in rows:
-        got = sum(n * taken((s + 0.5) / STEPS, r["thresholds"]) for s, n in r["tokens"].items())
-        out.append([r["source"], float(r["share"]), int(r["most"]), int(r["available"]), int(got)])
-    total = sum(x[4] for x in out)
-    data = [(*x, x[4] / total if total else None, x[4] / x[3] if x[3] else None) for x in out]
-    return documents.sparkSession.createDataFrame(data, "source string, target_share double, max_repeats int, available_tokens bigint, selected_tokens bigint, reached_share double, repeats double")
+    """By source with a target: target share, tokens available and selected, share and repeats reached, from the
+    rows that ``mix`` selects."""
+    sized, rows = _prepared(documents, targets, seed, tokenizer, total_tokens)
+    plan = documents.sparkSession.createDataFrame([(r["source"], float(r["share"]), int(r["most"]), int(r["available"])) for r in rows], "source string, target_share double, max_repeats int, available_tokens bigint")
+    got = _drawn(sized, rows, seed).groupBy("source").agg(F.sum("n_tokens").alias("n"))
+    x = plan.join(got, "source", "left").withColumn("selected_tokens", F.coalesce("n", F.lit(0)).cast("bigint"))
+    total = x.agg(F.sum("selected_tokens").alias("total"))  # one row
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    return x.crossJoin(F.broadcast(total)).select("source", "target_share", "max_repeats", "available_tokens", "selected_tokens", share("selected_tokens", "total").alias("reached_share"), share("selected_tokens", "available_tokens").alias("repeats"))
