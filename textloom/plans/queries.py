@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import calibration, corpus, detectors, evidence, features, ledger, metrics, splits, statistics, transport, watermarks, windows
+from textloom.operators import calibration, corpus, detectors, evidence, features, hypotheses, ledger, metrics, models, splits, statistics, transport, watermarks, windows
 from textloom.plans.sql import SQL
 from textloom.session import cut_lineage
 
@@ -618,6 +618,69 @@ def source_transport(spark, d):
     return transport.transport_matrix(featured(spark, d), "kind", fit_logistic())
 
 
+X5 = ("long_words", "unique_ratio", "sentence_len_mean", "punctuation", "log_words")
+
+
+@query
+def cross_validated(spark, d):
+    return models.cross_validate(featured(spark, d), "group", fit_logistic())
+
+
+@query
+def protocol_metrics(spark, d):
+    return models.evaluate_protocol(featured(spark, d), "group", fit_logistic())[0]
+
+
+@query
+def protocol_operating_points(spark, d):
+    return models.evaluate_protocol(featured(spark, d), "group", fit_logistic())[1]
+
+
+@query
+def auroc_interval(spark, d):
+    return rounded(models.auroc_interval(scored(spark, d)))
+
+
+@query
+def family_attribution(spark, d):
+    """Families told from features, out of fold: precision, recall and F1."""
+    return models.f1_report(models.attribution_cv(featured(spark, d).where("family is not null"), "group", list(X5)))
+
+
+@query
+def source_origin(spark, d):
+    return models.origin_probe(featured(spark, d), "group", list(X5), "domain")
+
+
+@query
+def unseen_families(spark, d):
+    """How far each held-out family is from the others, against how far these are from themselves."""
+    return rounded(models.leave_one_family_out(featured(spark, d), list(X5)), 4)
+
+
+@query
+def part_dependence(spark, d):
+    """Evidence of a text's thirds summed, shrunk, and that of the whole text."""
+    t = table(spark, d, "documents").where("kind = 'text'").select("doc_id", "text")
+    s = hypotheses.part_scores(t, 3, 36).withColumnRenamed("part_no", "segment_no")
+    whole = detectors.prose_score(t.join(s.select("doc_id").distinct(), "doc_id", "left_semi")).withColumnRenamed("raw_score", "p")
+    return rounded(models.dependence_summary(models.compare_dependence(s, whole)))
+
+
+@query
+def hypothesis_battery(spark, d):
+    t = table(spark, d, "documents").select("doc_id", "text", "kind", "label", "family")
+    f = cut_lineage(features.extract(t))
+    rows = [(r["id"], r["test"], None if r["statistic"] is None else round(float(r["statistic"]), 5), round(float(r["p_value"]), 5), round(float(r["q_value"]), 5), r["decision"]) for r in hypotheses.run_battery(f, permutations=19)]
+    return spark.createDataFrame(rows, "id string, test string, statistic double, p_value double, q_value double, decision string")
+
+
+@query
+def score_comparison(spark, d):
+    r = hypotheses.comparison_battery(two_scores(spark, d), "y", "p", "q")
+    return spark.createDataFrame([(k, round(float(v), 5)) for k, v in r.items()], "term string, value double")
+
+
 @query
 def robustness(spark, d):
     """The prose score's metrics under edits of the texts."""
