@@ -157,3 +157,93 @@ def test_manifests(spark, tmp_path):
     b = spark.createDataFrame([(b"xx c2pa yy", "a.JPG"), (b"none", "a.png"), (b"c2pa", "a.txt"), (None, "a.png")], "c binary, f string")
     assert [r[0] for r in b.select(io.provenance_status(F.col("c"), F.col("f"))).collect()] == ["unverified", "not_present", "unsupported_file", "not_applicable"]
     assert spark.createDataFrame([("aGk=",), ("!",)], "t string").select(io.decode_upload(F.col("t"))).collect()[0][0] == b"hi"
+
+
+def test_catalog_and_manifests(spark, tmp_path):
+    import json
+
+    key = lambda c: F.lower(F.trim(c))
+    records = spark.createDataFrame([("r1",), ("R1 ",), ("gone",), (None,)], "run_id string")
+    runs = spark.createDataFrame([("r1", "x"), ("r1", "y"), ("idle", "z"), (None, "q")], "run_id string, merkle_root string")
+    assert sorted(map(tuple, corpus.catalog_check(records, runs, key).collect())) == [("gone", "dangling"), ("idle", "unreferenced"), ("r1", "duplicate"), ("r1", "root mismatch")]
+    r = spark.createDataFrame([("a", 1, "x"), ("a", 2, "é"), (None, 3, "x")], "run_id string, record_id int, text string")
+    m = json.loads(corpus.manifests(r, F.col("run_id"), F.col("record_id").cast("string")).first()["manifest"])
+    assert m["n_outputs"] == 2 and [o["bytes"] for o in m["outputs"]] == [1, 2] and len(m["merkle_root"]) == 64
+    w = spark.createDataFrame([("P ", "2026-02-01", None), ("p", "2025-01-01", None), ("q", "2026-02-01", None), ("p", "2026-02-01", "declared-none")], "provider string, at string, status string")
+    got = [tuple(x[0]) for x in w.select(corpus.resolve_watermark(F.col("provider"), F.col("at"), F.col("status"), {"p": ("2026-01-01", "s")})).collect()]
+    assert got == [("suspected", "s"), ("unknown", None), ("unknown", None), ("declared-none", None)]
+    path = str(tmp_path / "registry.jsonl")
+    io.append_registry({"run_id": "a"}, path)
+    with pytest.raises(ValueError):
+        io.append_registry({"run_id": "a"}, path)
+    assert io.validate_document(io.sign({"a": 1}), {"a": str, "b": int}) == ["b is missing", "a is no str"] and io.validate_document({"a": "x"}, {"a": str}) == ["the hash is not that of the content"]
+    io.write_signed({"bundle_id": "one", "metrics": {}}, str(tmp_path / "b" / "one.json"))
+    (tmp_path / "b" / "two.json").write_text(json.dumps({"bundle_id": "two", "metrics": {}, "artifact_sha256": "0"}))
+    assert list(io.read_bundles(str(tmp_path / "b"))) == ["one"] and io.read_bundles(str(tmp_path / "none")) == {}
+    assert io.reproduced({"a": 1.0, "b": 2.0, "c": 3.0}, {"a": 1.0, "b": 2.1}) == {"b": (2.0, 2.1), "c": (3.0, None)}
+
+
+def test_hash_of_rows_in_order(spark):
+    import hashlib
+
+    df = spark.createDataFrame([(2, "b", 1), (1, "a", 0), (3, None, None)], "doc_id int, text string, label int")
+    assert corpus.ordered_hash(df, "doc_id") == hashlib.sha256(b"a\x000\nb\x001\n\x00None\n").hexdigest()
+    assert corpus.dataset_hash(df).first() == corpus.dataset_hash(df.orderBy("text")).first()
+    with pytest.raises(ValueError):
+        corpus.ordered_hash(df, "doc_id", most=2)
+
+
+def test_tar_members(spark, tmp_path):
+    import io as bytes_io
+    import tarfile
+
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as t:
+        for name, body in (("x/one.json", b"{}"), ("x/two.txt", b"no"), ("three.json", b"[1]")):
+            info = tarfile.TarInfo(name)
+            info.size = len(body)
+            t.addfile(info, bytes_io.BytesIO(body))
+    assert sorted((r["member"], r["content"]) for r in io.read_tar(spark, str(tmp_path / "a.tar.gz")).collect()) == [("three.json", "[1]"), ("x/one.json", "{}")]
+
+
+def test_findings_and_limits(spark):
+    df = spark.createDataFrame([("supported", 0.9, 0.001, "verified"), ("supported", 0.65, 0.5, None), ("supported", 0.1, None, None), ("supported", 0.5, None, None), ("insufficient_data", 0.9, 0.001, None)], "s string, p double, q double, v string")
+    got = [r[0] for r in df.select(ledger.plain_language(F.col("s"), F.col("p"), F.col("q"), F.col("v"))).collect()]
+    assert got[0].startswith("Strong") and "watermark" in got[0] and "provenance" in got[0] and got[1] == "Moderate calibrated evidence suggests AI participation." and "leans human" in got[2] and "mixed" in got[3] and "not enough" in got[4]
+    n = [len(r[0]) for r in df.select(ledger.limitations(F.col("s"), F.lit("prose"), F.lit("de"), F.lit(20), F.lit(True))).collect()]
+    assert n == [6, 6, 6, 6, 7]
+
+
+def test_joint_groups_and_windowed_corpus(spark):
+    from textloom.operators import splits
+
+    t = " ".join(f"w{i}" for i in range(60))
+    g = splits.joint_groups({"train": spark.createDataFrame([(1, t), (2, "other words entirely here")], "doc_id int, text string"), "test": spark.createDataFrame([(1, t + " end")], "doc_id int, text string")}).collect()
+    by = {(r["split"], r["doc_id"]): r["group"] for r in g}
+    assert by["train", "1"] == by["test", "1"] != by["train", "2"]
+    w = windows.windowed_corpus(spark.createDataFrame([(1, "a b c " * 50, 1, "g")], "doc_id int, text string, label int, group string"), budget=66, overlap=16)
+    assert w.count() == 3 and {(r["label"], r["group"]) for r in w.collect()} == {(1, "g")}
+
+
+def test_cross_cohort_and_radioactivity(spark):
+    rows = [(f"g{i % 40}", i % 2, (i * 7 % 10) / 10) for i in range(400)]
+    df = spark.createDataFrame(rows, "group string, y int, p double")
+    got = {(r["part"], r["scores"]): r for r in transport.cross_cohort(df, df, lambda train: lambda d: d).collect()}
+    assert len(got) == 4 and got["diagonal", "raw"]["delta_auroc"] == 0.0
+    words = [f"w{i}" for i in range(30)]
+    r = {x["stage"]: x["mean_z"] for x in watermarks.radioactivity(spark, 3.0, 20, 90, words).collect()}
+    assert r["teacher"] > r["student"] > 2 > abs(r["control"]) and r["neutralised"] < r["student"]
+
+
+def test_plugins_abstain(spark):
+    from textloom.functions import registry
+
+    registry.register("picky", lambda t: 1 / 0 if t == "bad" else 0.25)
+    got = spark.createDataFrame([("ok",), ("bad",), (None,)], "t string").select(registry.attempt("picky", F.col("t")).alias("r")).collect()
+    assert tuple(got[0]["r"]) == (0.25, None) and got[1]["r"]["raw_score"] == 0.5 and "picky" in got[1]["r"]["abstain_reason"] and got[2]["r"]["abstain_reason"] == "no text"
+    assert registry.discover("no.such.group") == []
+
+
+def test_command_line(capsys):
+    from textloom.__main__ import main
+
+    assert main(["queries"]) == 0 and "kgw_detect" in capsys.readouterr().out and main(["run", "nothing", "x", "y"]) == 2

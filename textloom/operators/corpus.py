@@ -117,6 +117,44 @@ def contamination(df: DataFrame, keys: list[str], status: str = "watermark_statu
     return g.select(*keys, "n", F.element_at(F.array(*map(F.lit, ("declared-none", "unknown", "suspected", "declared-active"))), F.col("r") + 1).alias("status"))
 
 
+# What a run may say of its watermark.
+WATERMARK_STATUSES = ("declared-none", "declared-active", "suspected", "unknown")
+
+
+def resolve_watermark(provider: Column, created: Column, status: Column, since: dict[str, tuple[str, str]]) -> Column:
+    """Struct of status and scheme: as declared, else ``suspected`` with the provider's scheme for runs made at or
+    after the date that ``since`` names for it (provider to ISO date and scheme), else ``unknown``. A
+    status that isn't one of ``WATERMARK_STATUSES`` raises."""
+    name = F.lower(F.trim(provider))
+    table = F.create_map(*(x for k, (d, scheme) in since.items() for x in (F.lit(k), F.struct(F.lit(d).alias("since"), F.lit(scheme).alias("scheme"))))) if since else F.lit(None).cast("map<string, struct<since: string, scheme: string>>")
+    rule = F.try_element_at(table, name)
+    late = F.coalesce(created >= rule["since"], F.lit(False))
+    known = F.when(status.isNull() | status.isin(*WATERMARK_STATUSES), status).otherwise(F.raise_error(F.concat(F.lit("no watermark status: "), status)))
+    return F.struct(F.coalesce(known, F.when(late, "suspected").otherwise("unknown")).alias("status"), F.when(known.isNull() & late, rule["scheme"]).alias("scheme"))
+
+
+def manifests(records: DataFrame, run: Column, file: Column, text: str = "text") -> DataFrame:
+    """``(run, manifest)``: a JSON document per run with its outputs (file, hash, bytes), their number and Merkle
+    root. A run is one submission, so its outputs are a list of bounded length."""
+    r = records.withColumn("run", run).where("run is not null").select("run", file.alias("file"), content_hash(text).alias("sha256"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).alias("bytes"))
+    g = r.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("file", "sha256", "bytes"))).alias("outputs"))
+    return g.select("run", F.to_json(F.struct(F.col("run").alias("run_id"), F.size("outputs").alias("n_outputs"), merkle_root(F.transform("outputs", lambda o: o["sha256"])).alias("merkle_root"), "outputs")).alias("manifest"))
+
+
+def ordered_hash(df: DataFrame, order: str, text: str = "text", label: str = "label", most: int = 1_000_000) -> str:
+    """SHA-256 over all rows in order, each as its text, a zero byte, its label and a line end. Rows come to the driver
+    one partition at a time, so more than ``most`` of them are refused; ``dataset_hash`` serves any number."""
+    import hashlib
+
+    d = df.select(order, F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(label).cast("string").alias("l"))
+    if d.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows; use dataset_hash")
+    h = hashlib.sha256()
+    for r in d.orderBy(order).select("t", "l").toLocalIterator():
+        h.update(f"{r['t']}\0{r['l']}\n".encode())
+    return h.hexdigest()
+
+
 def first_submissions(runs: DataFrame, key: Column) -> DataFrame:
     """The first row of each run, and how often it was submitted."""
     r = runs.withColumn("run", key).where("run is not null")
@@ -125,10 +163,14 @@ def first_submissions(runs: DataFrame, key: Column) -> DataFrame:
 
 
 def catalog_check(records: DataFrame, runs: DataFrame, key) -> DataFrame:
-    """Runs of records that the registry lacks, and registered runs without records."""
+    """``(run, problem)``: runs of records that the registry lacks (``dangling``), registered runs without records
+    (``unreferenced``), runs that are registered more than once (``duplicate``), and runs whose rows tell
+    different Merkle roots (``root mismatch``)."""
     a = records.select(key("run_id").alias("run")).where("run is not null").distinct()
-    b = runs.select(key("run_id").alias("run")).where("run is not null").distinct()
-    return a.join(b, "run", "left_anti").withColumn("problem", F.lit("dangling")).union(b.join(a, "run", "left_anti").withColumn("problem", F.lit("unreferenced")))
+    r = runs.withColumn("run", key("run_id")).where("run is not null")
+    g = r.groupBy("run").agg(F.count("*").alias("n"), F.countDistinct("merkle_root").alias("roots"))
+    said = lambda d, what: d.select("run", F.lit(what).alias("problem"))
+    return said(a.join(g, "run", "left_anti"), "dangling").union(said(g.join(a, "run", "left_anti"), "unreferenced")).union(said(g.where("n > 1"), "duplicate")).union(said(g.where("roots > 1"), "root mismatch"))
 
 
 def validate_rows(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from textloom.functions.text import WORD, is_blank, lines, word_tokens
 # Words that connect sentences, and marks of structure.
 CONNECTORS = ("however", "therefore", "moreover", "additionally", "overall", "furthermore")
 MARKERS = ("\n-", "\n*", ":", ";", "(", ")", "[", "]")
+# Names of the features, the first seven of which source families are told by.
 ATTRIBUTION = ("long_words", "connectors", "unique_ratio", "short_sentences", "structured", "digits", "balanced_lines")
 FEATURES = (*ATTRIBUTION, "token_entropy", "punctuation", "mean_word_length", "word_length_var", "avg_line_len", "line_sd", "sentence_len_mean", "sentence_len_sd", "hapax_ratio", "log_words")
 
@@ -80,3 +81,14 @@ def extract(df: DataFrame, text: str = "text", kind: str | None = "kind") -> Dat
     }
     d = d.withColumns({k: F.when(n > 0, v).otherwise(F.lit(0.0)) for k, v in values.items()})
     return d.select(*(c for c in df.columns if c not in values), *values)
+
+
+def vector(names: tuple[str, ...] = tuple(FEATURES)) -> Column:
+    """A row's features as an array, in their order."""
+    return F.array(*(F.col(n).cast("double") for n in names))
+
+
+def profile(df: DataFrame, text: str = "text", kind: str | None = "kind") -> DataFrame:
+    """``df`` with the struct ``profile`` of the features that source families are told by; null for no text."""
+    f = extract(df.withColumn("_t", F.coalesce(F.col(text), F.lit(""))), "_t", kind)
+    return f.select(*df.columns, F.when(F.col("_t") != "", F.struct(*ATTRIBUTION)).alias("profile"))

@@ -127,6 +127,39 @@ def summaries(entries: DataFrame, id_: str = "doc_id", significant: float = SIGN
     return g.select(id_, F.when(F.col("s").isin("valid", "unknown"), "supported").otherwise("limited").alias("statistical"), F.when(F.col("w") > 1 - significant, "significant").when(F.col("w").isNotNull(), "not significant").otherwise("not tested").alias("watermark"), F.when(F.col("p") == "valid", "verified").when(F.col("p") == "invalid", "tampered").otherwise("none").alias("provenance"))
 
 
+def plain_language(state: Column, participation: Column, least_q: Column, provenance: Column) -> Column:
+    """What a document's analysis says in one or two sentences: the strength of its statistical evidence, and
+    whether a watermark test found strong evidence (q below 0.01) or a provenance chain was verified."""
+    extra = F.concat(F.when(F.coalesce(least_q < 0.01, F.lit(False)), " A configured public watermark test found strong evidence.").otherwise(""), F.when(F.coalesce(provenance == "verified", F.lit(False)), " Signed file provenance was also present.").otherwise(""))
+    return (
+        F.when(state != "supported", "There is not enough supported evidence for a reliable statistical conclusion.")
+        .when(participation >= 0.8, F.concat(F.lit("Strong calibrated evidence suggests AI participation."), extra))
+        .when(participation >= 0.6, F.concat(F.lit("Moderate calibrated evidence suggests AI participation."), extra))
+        .when(participation <= 0.2, "The calibrated evidence leans human-written, but this is not proof of authorship.")
+        .otherwise(F.concat(F.lit("The evidence is mixed or close to the decision boundary."), extra))
+    )
+
+
+# What an analysis can't show.
+LIMITATIONS = (
+    "A negative watermark result is not evidence that content is human-written.",
+    "Source-family values are conditional similarity, not proof of exact model identity.",
+    "Provenance is not authorship.",
+)
+
+
+def limitations(state: Column, kind: Column, language: Column, n_tokens: Column, unavailable: Column) -> Column:
+    """The limits of a document's analysis as an array: the standing ones and those of its length, kind and language."""
+    return F.array_compact(F.array(
+        *map(F.lit, LIMITATIONS),
+        F.when(state == "insufficient_data", "The input is below the minimum evidence threshold."),
+        F.when(kind == "code", "Code formatting and semantic-preserving edits can remove or distort evidence."),
+        F.when((kind == "prose") & (language != "en"), "Generic prose calibration currently supports English only."),
+        F.when(n_tokens < 150, "Short inputs have low statistical power."),
+        F.when(unavailable, "A watermark detector is unavailable."),
+    ))
+
+
 def applicability(seeds: Column, windows: Column, raw: Column, low: float, high: float) -> Column:
     """Struct of the spread among an ensemble's scores, the spread among the windows', whether the raw score is
     in the range that the calibration was fitted on, and flags for what is not as it should be."""

@@ -155,7 +155,7 @@ def components(edges: DataFrame, nodes: DataFrame, id_: str = "doc_id", max_roun
         one = lab.join(near, "v", "left").select("v", F.least("l", F.coalesce("k", "l")).alias("l"))
         up = one.select(F.col("v").alias("l"), F.col("l").alias("ll"))
         lab = cut_lineage(one.join(up, "l", "left").select("v", F.least("l", F.coalesce("ll", "l")).alias("l")))
-        now = lab.agg(F.sum(F.col("l").cast("decimal(38,0)")), F.count("*")).first()
+        now = lab.agg(F.sum(F.xxhash64("v", "l").cast("decimal(38,0)")), F.count("*")).first()
         if now == total:
             break
         total = now
@@ -186,6 +186,17 @@ def near_duplicate_clusters(df: DataFrame, id_: str = "doc_id", text: str = "tex
     return components(first.union(cut_lineage(verified(cut_lineage(pairs), df, similarity, id_, text, words))), df, id_)
 
 
+def joint_groups(splits_: dict[str, DataFrame], id_: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``(split, id, group)``: near-duplicate clusters over all splits together, so that a text and its copy in another
+    split have one group. Ids need to be unique within their split only."""
+    out = None
+    for name, df in splits_.items():
+        d = df.select(F.lit(name).alias("split"), F.col(id_).cast("string").alias("_own"), F.col(text).alias("text"))
+        out = d if out is None else out.union(d)
+    d = out.withColumn("_id", F.concat_ws(":", "split", "_own"))
+    return d.join(near_duplicate_clusters(d, "_id", "text", **options), "_id").select("split", F.col("_own").alias(id_), F.col("cluster").alias("group"))
+
+
 def cluster_stats(clusters: DataFrame, bands: int = 32, rows: int = 4) -> DataFrame:
     """``(n_documents, n_clusters, singletons, largest, threshold)``: the last is the similarity at which
     half of the pairs share a band."""

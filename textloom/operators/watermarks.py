@@ -262,3 +262,62 @@ def knowledge_nll(student: DataFrame, held_out: DataFrame, id_: str = "doc_id",
     x = k.join(bi, ["prev", "next"], "left").join(after, "prev", "left").join(uni.select(F.col("word").alias("next"), F.col("n").alias("n1")), "next", "left").crossJoin(F.broadcast(vocabulary))
     p = F.when(F.col("after").isNotNull(), (F.coalesce("n", F.lit(0)) + 0.5) / (F.col("after") + 0.5 * F.col("v"))).otherwise((F.coalesce("n1", F.lit(0)) + 0.5) / (F.col("total") + 0.5 * F.col("v")))
     return x.groupBy(id_).agg(F.sum("times").alias("pairs"), (F.sum(-F.log(p) * F.col("times")) / F.sum("times")).alias("nll"))
+
+
+def sample_student(spark, bi: DataFrame, uni: DataFrame, prompts: list[str], length: int, vocabulary: int = 2000, bias: float = 0.0, smoothing: float = 0.5, key: str = KEY, seed: int = 13) -> DataFrame:
+    """``(doc_id, text)``: each prompt continued by ``length`` tokens of a bigram student, over its ``vocabulary`` most
+    frequent words; ``bias`` below 0 keeps away from the green list, which neutralises an inherited
+    watermark. The student's table over these words, of bounded size, goes to every task."""
+    import hashlib
+    import re
+
+    words = [r["word"] for r in uni.orderBy(F.desc("n"), "word").limit(vocabulary).collect()]
+    known = spark.createDataFrame([(w,) for w in words], "w string")
+    rows = bi.join(known.withColumnRenamed("w", "prev"), "prev", "left_semi").join(known.withColumnRenamed("w", "next"), "next", "left_semi").collect()
+    counts: dict[str, dict[str, int]] = {}
+    for r in rows:
+        counts.setdefault(r["prev"], {})[r["next"]] = r["n"]
+    base = {r["word"]: r["n"] for r in uni.join(known.withColumnRenamed("w", "word"), "word", "left_semi").collect()}
+    shared = spark.sparkContext.broadcast((words, counts, base))
+
+    def make(batches):
+        import random
+
+        ws, table, unigram = shared.value
+        word, tok = re.compile(r"\w+$"), re.compile(r"\w+|[^\w\s]")
+        weight = math.exp(bias)
+        for b in batches:
+            for i, prompt in zip(b["doc_id"], b["prompt"]):
+                r, text = random.Random(f"{seed}:{i}"), prompt.rstrip()
+                prev = (tok.findall(text.lower()) or [""])[-1]
+                for _ in range(length):
+                    after = table.get(prev, unigram)
+                    p = [after.get(w, 0) + smoothing for w in ws]
+                    if bias:
+                        p = [x * weight if hashlib.sha256(f"{key}::{prev}::{w}".encode()).hexdigest()[0] < "8" else x for x, w in zip(p, ws)]
+                    prev = r.choices(ws, p)[0]
+                    text += " " + prev if word.match(prev) else prev
+                yield pd.DataFrame({"doc_id": [i], "text": [text]})
+
+    return spark.createDataFrame(list(enumerate(prompts)), "doc_id bigint, prompt string").mapInPandas(make, "doc_id bigint, text string")
+
+
+def radioactivity(spark, bias: float, n: int, length: int, vocabulary: list[str], key: str = KEY, seed: int = 13) -> DataFrame:
+    """``(stage, tested, mean_z, detect_rate)`` of a watermarked teacher, of a student of its texts, of a student of unmarked
+    texts, of the first student neutralised, and of the teacher's texts rewritten with synonyms."""
+    teacher, plain = synthesize(spark, n, length, vocabulary, bias, key, seed), synthesize(spark, n, length, vocabulary, 0.0, key, seed + 1)
+    bi, uni = bigram_student(teacher)
+    bi0, uni0 = bigram_student(plain)
+    prompts = [vocabulary[i % len(vocabulary)] for i in range(n)]
+    stages = {
+        "teacher": teacher,
+        "student": sample_student(spark, bi, uni, prompts, length, key=key, seed=seed),
+        "control": sample_student(spark, bi0, uni0, prompts, length, key=key, seed=seed),
+        "neutralised": sample_student(spark, bi, uni, prompts, length, bias=-abs(bias), key=key, seed=seed),
+        "rewritten": teacher.select("doc_id", synonyms(F.col("text"), 0.45, F.col("doc_id")).alias("text")),
+    }
+    out = None
+    for stage, t in stages.items():
+        g = kgw_counts(t, "text", key).where("z is not null").agg(F.count("*").alias("tested"), F.avg("z").alias("mean_z"), F.avg((F.col("z") > 1.6448536269514722).cast("double")).alias("detect_rate")).withColumn("stage", F.lit(stage))
+        out = g if out is None else out.union(g)
+    return out.select("stage", "tested", "mean_z", "detect_rate")

@@ -118,6 +118,11 @@ def document_windows(df: DataFrame, id_: str = "doc_id", text: str = "text", bud
     return _over_texts(df, id_, text, [], rows, "window_no int, token_start int, token_end int, char_start int, char_end int, covered int")
 
 
+def windowed_corpus(df: DataFrame, keep: tuple[str, ...] = ("label", "group"), id_: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``document_windows`` with columns of the document that each window inherits."""
+    return document_windows(df, id_, text, **options).join(df.select(id_, *keep), id_)
+
+
 def pad(ids: Column, length: int, filler: int = 0) -> Column:
     """Struct of ``ids`` cut or filled up at the right to ``length``, and the mask of the real ones."""
     n = F.least(F.size(ids), F.lit(length))

@@ -132,6 +132,49 @@ def equal_thirds(spark, d):
     return w.select("doc_id", *(F.size(F.get("w", i)).cast("bigint").alias(f"third_{i}") for i in range(3)))
 
 
+@query
+def plain_findings(spark, d):
+    """How many documents' analyses say what, and with which limits."""
+    a = detectors.analyze(docs(spark, d))
+    q = ledger.watermark_tests(docs(spark, d), WATERMARK_KEYS).groupBy("doc_id").agg(F.min("q_value").alias("q"))
+    x = a.join(q, "doc_id", "left")
+    said = ledger.plain_language(F.col("state"), F.col("ai_generated") + F.col("ai_refined_or_mixed"), F.col("q"), F.lit("not_present"))
+    limits = ledger.limitations(F.col("state"), F.col("content_type"), F.col("language"), F.col("n_tokens"), F.lit(False))
+    return x.select(said.alias("finding"), F.size(limits).alias("limits")).groupBy("finding", "limits").agg(F.count("*").alias("n"))
+
+
+@query
+def run_manifests(spark, d):
+    """A manifest per run as JSON, by its hash."""
+    r = table(spark, d, "corpus_records").where("text is not null").dropDuplicates(["record_id"])
+    return corpus.manifests(r, key("run_id"), F.col("record_id").cast("string")).select("run", F.get_json_object("manifest", "$.merkle_root").alias("merkle_root"), F.get_json_object("manifest", "$.n_outputs").cast("int").alias("n_outputs"))
+
+
+@query
+def resolved_watermarks(spark, d):
+    """Watermark status of each provider's runs: as declared, or by provider and date."""
+    since = {"mirelle": ("2026-03-01", "scheme-x"), "quince": ("2026-05-01", "scheme-y")}
+    r = table(spark, d, "runs").select("provider", corpus.resolve_watermark(F.col("provider"), F.date_format("created_utc", "yyyy-MM-dd"), F.col("watermark_status"), since).alias("w"))
+    return r.groupBy("provider", "w.status", "w.scheme").agg(F.count("*").alias("n"))
+
+
+@query
+def corpus_summary(spark, d):
+    from textloom.sources.cohorts import summarize
+
+    r = table(spark, d, "corpus_records").dropDuplicates(["record_id"])
+    f = features.extract(r.select("record_id", "text", "kind")).drop("text", "kind")
+    return rounded(summarize(r, f), 5)
+
+
+@query
+def joint_split_groups(spark, d):
+    """Groups of near-duplicate records over all splits together that more than one split has."""
+    r = table(spark, d, "corpus_records").where("split is not null and text is not null").dropDuplicates(["record_id"]).withColumnRenamed("record_id", "doc_id")
+    g = splits.joint_groups({k: r.where(F.lower(F.trim("split")) == k) for k in ("train", "development", "calibration", "test")})
+    return g.groupBy("group").agg(F.countDistinct("split").alias("splits"), F.count("*").alias("n")).where("splits > 1")
+
+
 @query
 def segment_spans(spark, d):
     """Segments of prose with the offsets of their characters."""

@@ -209,7 +209,9 @@ SQL: dict[str, str] = {
         r as (select run, n, a from g union all select run, n, list_transform(range(1, (len(a) + 1) // 2 + 1), lambda i: sha256(a[2 * i - 1] || coalesce(a[2 * i], a[2 * i - 1]))) from r where len(a) > 1)
         select run, n, a[1] as merkle_root from r where len(a) = 1""",
     "run_registry": f"select run, count(*) as submissions, arg_min(model_slug, (submitted_utc, model_slug)) as model_slug, arg_min_null(provider, (submitted_utc, model_slug)) as provider, strftime(arg_min(created_utc, (submitted_utc, model_slug)) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as created_utc, strftime(arg_min(submitted_utc, (submitted_utc, model_slug)) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as submitted_utc from (select *, {key('run_id')} as run from runs) where run is not null group by 1",
-    "catalog_problems": f"with a as (select distinct {key('run_id')} as run from corpus_records), b as (select distinct {key('run_id')} as run from runs) select run, 'dangling' as problem from a where run is not null and run not in (select run from b where run is not null) union all select run, 'unreferenced' from b where run is not null and run not in (select run from a where run is not null)",
+    "catalog_problems": f"""with a as (select distinct {key('run_id')} as run from corpus_records), b as (select {key('run_id')} as run, count(*) as n, count(distinct merkle_root) as roots from runs group by 1)
+        select run, 'dangling' as problem from a where run is not null and run not in (select run from b where run is not null) union all select run, 'unreferenced' from b where run is not null and run not in (select run from a where run is not null)
+        union all select run, 'duplicate' from b where run is not null and n > 1 union all select run, 'root mismatch' from b where run is not null and roots > 1""",
     "stale_hashes": f"select record_id, sha256 is null as absent from (select record_id, r.sha256, sha256(text) as h from {RECORDS} r where text is not null) where not coalesce(lower(trim(sha256)) = h, false)",
     "output_counts": f"select run, max(n_outputs) as registered, any_value(found) as found from (select {key('run_id')} as run, n_outputs from runs) join (select {key('run_id')} as run, count(distinct record_id) as found from corpus_records group by 1) using (run) where run is not null group by 1 having max(n_outputs) <> any_value(found)",
     "author_copies_jaccard": f"""with s as (select doc_id, {SHINGLES} as s from (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+') as w from documents)),
@@ -324,4 +326,13 @@ SQL: dict[str, str] = {
     "synonym_texts": f"""with k as (select doc_id, regexp_extract_all(coalesce(text, ''), '{TOK}') as k, coalesce(text, '') as t from documents), w as (select doc_id, unnest(k) as w, unnest(range(len(k))) as i from k),
         x as (select doc_id, i, w, regexp_full_match(w, '[\\p{{L}}\\p{{N}}_]+') as word, case when regexp_full_match(w, '[\\p{{L}}\\p{{N}}_]+') and {U.format(x="'13:' || cast(doc_id as varchar) || ':' || cast(i as varchar)")} < 0.3 then coalesce(s.b, w) else w end as o from w left join (values {', '.join(f"('{a}', '{b}')" for a, b in SYNONYMS.items())}) s(a, b) on s.a = lower(w)),
         j as (select doc_id, string_agg(case when word and i > 0 then ' ' || o else o end, '' order by i) as t from x group by 1) select k.doc_id, sha256(coalesce(j.t, k.t)) as sha256 from k left join j using (doc_id)""",
+    "run_manifests": f"""with recursive h as (select {key('run_id')} as run, sha256(text) as h from {RECORDS} where text is not null), g as (select run, count(*) as n, list_sort(list(h)) as a from h where run is not null group by 1),
+        r as (select run, n, a from g union all select run, n, list_transform(range(1, (len(a) + 1) // 2 + 1), lambda i: sha256(a[2 * i - 1] || coalesce(a[2 * i], a[2 * i - 1]))) from r where len(a) > 1)
+        select run, a[1] as merkle_root, cast(n as integer) as n_outputs from r where len(a) = 1""",
+    "resolved_watermarks": """select provider, coalesce(watermark_status, case when late then 'suspected' else 'unknown' end) as status, case when watermark_status is null and late then case lower(trim(provider)) when 'mirelle' then 'scheme-x' else 'scheme-y' end end as scheme, count(*) as n
+        from (select provider, watermark_status, coalesce(strftime(created_utc at time zone 'UTC', '%Y-%m-%d') >= case lower(trim(provider)) when 'mirelle' then '2026-03-01' when 'quince' then '2026-05-01' end, false) as late from runs) group by 1, 2, 3""",
+    "auroc_interval": f"""with d as (select replicate, p, sum(m * pos) as pos, sum(m * neg) as neg from {draws(f'(select doc_id as "group", p, y as pos, 1 - y as neg from {SCORED})', 'p, pos, neg')} where m > 0 group by 1, 2), c as (select *, coalesce(sum(neg) over (partition by replicate order by p rows between unbounded preceding and 1 preceding), 0) as nb from d),
+        b as (select replicate, sum(pos * (nb + neg / 2)) / (sum(pos) * sum(neg)) as a from c group by 1), g as (select p, sum(y) as pos, sum(1 - y) as neg from {SCORED} group by 1), h as (select *, coalesce(sum(neg) over (order by p rows between unbounded preceding and 1 preceding), 0) as nb from g)
+        select round((select sum(pos * (nb + neg / 2)) / (sum(pos) * sum(neg)) from h), 6) as auroc, round(quantile_cont(a, 0.025), 6) as low, round(quantile_cont(a, 0.975), 6) as high, count(a) as n_boot from b""",
+    "hourly_events": """select strftime(w, '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*) as n, round(sum(value), 4) as value from (select event_type, value, unnest([time_bucket(interval 30 minutes, t), time_bucket(interval 30 minutes, t) - interval 30 minutes]) as w from (select event_type, value, ts at time zone 'UTC' as t from events)) group by 1, 2""",
 }

@@ -141,3 +141,63 @@ def provenance_status(content: Column, filename: Column) -> Column:
 def provenance_marks(content: Column) -> Column:
     """Whether the first 2,000,000 bytes name a content-credential manifest."""
     return F.lower(F.decode(F.substring(content, 1, 2_000_000), "iso-8859-1")).rlike("c2pa|contentcredentials")
+
+
+def read_tar(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """``(archive, member, content)`` of the members of tar archives whose name fits a pattern; an archive is unpacked by
+    one task, member by member."""
+    import fnmatch
+    import io
+    import tarfile
+
+    def unpack(batches):
+        import pandas as pd
+
+        for b in batches:
+            for archive, data in zip(b["path"], b["content"]):
+                with tarfile.open(fileobj=io.BytesIO(data)) as t:
+                    for m in t:
+                        if m.isfile() and fnmatch.fnmatch(m.name.rsplit("/", 1)[-1], pattern):
+                            yield pd.DataFrame({"archive": [archive], "member": [m.name], "content": [t.extractfile(m).read().decode("utf-8", "replace")]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "archive string, member string, content string")
+
+
+def read_bundles(folder: str, required: tuple[str, ...] = ("bundle_id", "metrics"), allowed: tuple[str, ...] | None = None) -> dict[str, dict]:
+    """Signed JSON documents of a folder by ``bundle_id``: those that are named in ``allowed``, have the required keys and
+    hash to what they say; others are left out."""
+    out = {}
+    for name in sorted(os.listdir(folder)) if os.path.isdir(folder) else []:
+        if not name.endswith(".json"):
+            continue
+        try:
+            with open(os.path.join(folder, name), encoding="utf-8") as f:
+                d = json.load(f)
+        except ValueError:
+            continue
+        if isinstance(d, dict) and all(k in d for k in required) and verify(d) and (allowed is None or d["bundle_id"] in allowed):
+            out[d["bundle_id"]] = d
+    return out
+
+
+def validate_document(document: dict, schema: dict) -> list[str]:
+    """Problems of a signed document: keys that are missing or of another type than ``schema`` (key to type) says, and a
+    hash that isn't that of the content."""
+    found = [f"{k} is missing" for k in schema if k not in document]
+    found += [f"{k} is no {t.__name__}" for k, t in schema.items() if k in document and not isinstance(document[k], t)]
+    return found + ([] if verify(document) else ["the hash is not that of the content"])
+
+
+def reproduced(expected: dict[str, float], found: dict[str, float], tolerance: float = 1e-6) -> dict[str, tuple[float, float | None]]:
+    """Metrics whose recomputed value is absent or further from the expected one than ``tolerance``."""
+    return {k: (v, found.get(k)) for k, v in expected.items() if found.get(k) is None or abs(found[k] - v) > tolerance}
+
+
+def append_registry(entry: dict, path: str) -> None:
+    """Appends a signed entry to a registry of JSON lines; an entry whose ``run_id`` it has already is refused."""
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            if any(json.loads(line).get("run_id") == entry.get("run_id") for line in f if line.strip()):
+                raise ValueError(f"run {entry.get('run_id')!r} is registered already")
+    with open(path, "a", encoding="utf-8") as f:
+        f.write(json.dumps(sign(entry), sort_keys=True, ensure_ascii=False) + "\n")
