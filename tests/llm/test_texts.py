@@ -154,3 +154,14 @@ def test_encodings(spark):
     want = {k: sha256(v.encode()).hexdigest() for k, v in clean.items()} | {40: sha256((en * 3).encode()).hexdigest(), 41: "lost", 45: "lost"}
     assert got == want
     assert encoding.restore(df.limit(0)).count() == 0
+
+
+def test_no_rows_no_results(spark, profiles):
+    r = spark.createDataFrame([], "record_id bigint, prompt_id string, text string, kind string, language string")
+    p = spark.createDataFrame([], "prompt_id string, prompt string")
+    assert pairs.find_defects(r, p, profiles).count() == 0 and language.relabelled(r, r, profiles).count() == 0
+    one = spark.createDataFrame([(1, "p", PROSE + "Nobody had opened the", "text", None)], r.schema)
+    assert pairs.find_defects(one, p, profiles).count() == 0
+    # Without other texts the end of the only one is cut off: nothing shows that texts end so.
+    got = pairs.find_defects(one, spark.createDataFrame([("P", "Describe the harbour in 100 words.")], "prompt_id string, prompt string"), profiles).collect()
+    assert [tuple(x) for x in got] == [(1, "truncated")]

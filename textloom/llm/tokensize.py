@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
+import os
 from functools import lru_cache
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from textloom.llm.common import map_rows
@@ -35,8 +37,13 @@ def token_sizes(documents: DataFrame, tokenizer: str = TOKENIZER, carry: tuple[t
     """``(doc_id, n_tokens, *carry)``; null and empty texts have none. ``carry`` names further columns
     with their types."""
 
+    name = os.path.basename(tokenizer)
+    sent = os.path.isfile(tokenizer)
+    if sent:
+        documents.sparkSession.sparkContext.addFile(tokenizer)  # to every executor, once
+
     def make():
-        encode = load(tokenizer)
+        encode = load(SparkFiles.get(name) if sent else tokenizer)
         return lambda ids, texts, *more: (ids, [len(encode(t)) if t else 0 for t in texts], *more)
 
     d = documents.select("doc_id", "text", *(c for c, _ in carry))
