@@ -102,3 +102,50 @@ def test_battery(spark):
     assert hypotheses.render(list(r.values())).count("\n") == 5 and json.dumps([h["q_value"] for h in r.values()])
     c = hypotheses.comparison_battery(spark.createDataFrame([(i % 2, 0.9 if i % 2 else 0.1, 0.4) for i in range(20)], "y int, a double, b double"), "y", "a", "b")
     assert c["only_a"] == 10 and c["only_b"] == 0 and c["mcnemar_p"] < 0.01 and c["auc_a"] == 1.0
+
+
+def test_trained_models(spark, rows):
+    from textloom.operators import evidence
+
+    for model in (evidence.train_logistic(rows, ["a", "b"], "y"), evidence.train_boosted(rows.withColumn("v", F.col("doc_id") % 4 == 0), ["a", "b"], "y", 10, "v")):
+        right = model.transform(rows).agg(F.avg((F.col("predicted") == F.col("y")).cast("double"))).first()[0]
+        assert right > 0.7
+
+
+def test_group_weights_of_losses(spark):
+    from textloom.operators import evidence
+
+    g = evidence.GroupDRO(["a", "b"], rate=0.5)
+    first = g.update({"a": 1.0, "b": 3.0})
+    assert abs(g.q.sum() - 1) < 1e-12 and g.q[1] > g.q[0] and 1.0 < first < 3.0
+    for _ in range(50):
+        g.update({"a": 1.0, "b": 3.0})
+    assert g.q[1] > 0.99
+    w = evidence.group_weights(spark.createDataFrame([("a",), ("a",), ("a",), ("b",)], "g string"), "g").collect()
+    assert abs(sum(r["weight"] for r in w) - 4) < 1e-9 and {round(r["weight"], 6) for r in w if r["g"] == "b"} == {2.0}
+
+
+def test_regression_diagnostics(spark):
+    from textloom.operators import statistics as S
+
+    r = np.random.default_rng(7)
+    x, z = r.normal(size=400), r.normal(size=400)
+    y = (r.random(400) < 1 / (1 + np.exp(-(0.3 + 1.2 * x)))).astype(int)
+    df = spark.createDataFrame([(int(a), float(b), float(c)) for a, b, c in zip(y, x, z)], "y int, x double, z double").cache()
+    assert S.likelihood_ratio_test(df, ["x", "z"], ["z"], "y")["p_value"] < 1e-6 < S.likelihood_ratio_test(df, ["x", "z"], ["x"], "y")["p_value"]
+    assert S.link_test(df, ["x"], "y")["p_value"] > 0.001 and S.breusch_pagan(df, ["x"], "z")["p_value"] > 0.001
+    assert abs(S.correlations(df, ["x", "z"])[0, 1] - np.corrcoef(x, z)[0, 1]) < 1e-9 and S.condition_number(df, ["x", "z"]) < 1.5
+    c = S.cooks_distance(df, ["x"], "y").agg(F.min("cooks_d"), F.max("leverage"), F.sum("leverage")).first()
+    assert c[0] >= 0 and c[1] < 1 and abs(c[2] - 2) < 1e-3  # leverages add up to the number of coefficients
+    assert 0 < S.hosmer_lemeshow_test(df.withColumn("p", 1 / (1 + F.exp(-(0.3 + 1.2 * F.col("x"))))), "y", "p")["p_value"] <= 1
+    assert S.vif(df.withColumn("w", F.col("x") + 0.01 * F.col("z")), ["x", "w", "z"])["x"] > 100
+    assert S.screen_features(df.withColumn("w", F.col("x") + 0.01 * F.col("z")), ["x", "w", "z"]) != ["x", "w", "z"]
+
+
+def test_permuted_groups(rows):
+    from textloom.operators import statistics as S
+
+    r = S.permutation_manova(rows, ["a", "b"], "family", "doc_id", 19)
+    assert abs(r["wilks_lambda"] - S.wilks_lambda(rows, ["a", "b"], "family")) < 1e-9 and r["p_value"] == 0.05
+    none = S.permutation_manova(rows.withColumn("k", F.xxhash64("doc_id") % 3), ["a", "b"], "k", "doc_id", 19)
+    assert none["p_value"] > 0.05

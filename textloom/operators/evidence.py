@@ -192,10 +192,14 @@ def train_logistic(df: DataFrame, features: list[str], y: str, c: float = 1.0):
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), StandardScaler(inputCol="_x", outputCol="_z", withMean=True), LogisticRegression(featuresCol="_z", labelCol=y, regParam=1 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=100, predictionCol="predicted", probabilityCol="probability", rawPredictionCol="_raw")]).fit(df)
 
 
-def train_boosted(df: DataFrame, features: list[str], y: str, rounds: int = 50):
-    """Gradient-boosted trees of depth 3."""
+def train_boosted(df: DataFrame, features: list[str], y: str, rounds: int = 50, validation: str | None = None, tolerance: float = 0.01):
+    """Gradient-boosted trees of depth 3. With ``validation``, the name of a boolean column, training stops early once
+    the loss on the rows where it holds falls by less than ``tolerance``."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), GBTClassifier(featuresCol="_x", labelCol=y, maxDepth=3, stepSize=0.06, maxIter=rounds, predictionCol="predicted", probabilityCol="probability", rawPredictionCol="_raw")]).fit(df)
+    trees = GBTClassifier(featuresCol="_x", labelCol=y, maxDepth=3, stepSize=0.06, maxIter=rounds, predictionCol="predicted", probabilityCol="probability", rawPredictionCol="_raw")
+    if validation:
+        trees = trees.setValidationIndicatorCol(validation).setParams(validationTol=tolerance)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), trees]).fit(df)

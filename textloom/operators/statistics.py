@@ -173,21 +173,26 @@ def pseudo_r2(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def permutation_manova(df: DataFrame, columns: list[str], group: str, id_: str, permutations: int = 199, seed: int = 13) -> dict:
-    """Wilks' lambda and the share of random assignments with one as small, itself counted in. Rows are put in
-    one of 1,000 cells by a hash of their id, and the cells' labels are permuted among hash orders: what
-    is moved are whole rows' labels, by their ranks. The labels of a permutation come from ``ranked``."""
+    """Wilks' lambda and the share of permutations of the groups among the rows with one as small, itself counted in.
+    In each permutation a row takes the group of the row whose place by id is its own place by a hash. The
+    total cross-products stay the same, so a permutation is told by its groups' sums: all are one job, and
+    the driver gets a row per permutation and group."""
     from textloom.operators.ranks import ranked
 
     d = df.where(" and ".join(f"`{c}` is not null" for c in [*columns, group])).select(id_, group, *columns)
-    observed = wilks_lambda(d, columns, group)
-    # Labels by their place in the order of ids; a permutation takes the label of another place.
-    base = ranked(d.withColumn("_v", F.lit(0)), [], "_v", id_, "_at").drop("_v", "all_rows")
-    labels = base.select(F.col("_at").alias("_to"), F.col(group).alias("_label"))
-    below = 0
-    for k in range(permutations):
-        mixed = ranked(base.drop(group).withColumn("_v", F.xxhash64(F.lit(f"{seed}:{k}"), F.col(id_))), [], "_v", id_, "_to")
-        below += wilks_lambda(mixed.join(labels, "_to"), columns, "_label") <= observed + 1e-12
-    return {"wilks_lambda": observed, "p_value": (below + 1) / (permutations + 1), "permutations": permutations}
+    n, s, m = moments(d, columns)
+    total = m - np.outer(s, s) / n
+    places = ranked(d.select(id_, group).withColumn("_v", F.lit(0)), [], "_v", id_, "_to").select("_to", F.col(group).alias("_label"))
+    mixed = d.drop(group).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("_v", F.xxhash64(F.lit(seed), "_k", id_))
+    mixed = ranked(mixed, ["_k"], "_v", id_, "_to").join(places, "_to").select("_k", "_label", *columns)
+    own = d.select(F.lit(0).alias("_k"), F.col(group).alias("_label"), *columns)
+    between: dict[int, np.ndarray] = {}
+    for r in own.union(mixed).groupBy("_k", "_label").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"s{i}") for i, c in enumerate(columns))).collect():
+        v = np.array([float(r[f"s{i}"]) for i in range(len(columns))])
+        between[r["_k"]] = between.get(r["_k"], -np.outer(s, s) / n) + np.outer(v, v) / r["n"]
+    values = {k: float(np.linalg.det(total - b) / np.linalg.det(total)) for k, b in between.items()}
+    below = sum(v <= values[0] + 1e-12 for k, v in values.items() if k)
+    return {"wilks_lambda": values[0], "p_value": (below + 1) / (permutations + 1), "permutations": permutations}
 
 
 def durbin_watson_permutation(df: DataFrame, value: str, key: str, order: list[str], permutations: int = 199, seed: int = 13) -> DataFrame:
@@ -246,9 +251,9 @@ def durbin_watson(df: DataFrame, value: str, key: str, order: list[str]) -> Data
 
 
 def jarque_bera(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """Skewness, excess kurtosis and the statistic, whose p value is exp(-jb / 2)."""
+    """Skewness, excess kurtosis, the statistic and its p value (chi square of two degrees)."""
     g = df.groupBy(*keys).agg(F.count(value).alias("n"), F.skewness(value).alias("skew"), F.kurtosis(value).alias("kurt"))
-    return g.withColumn("jb", F.col("n") / 6.0 * (F.col("skew") * F.col("skew") + F.col("kurt") * F.col("kurt") / 4.0))
+    return g.withColumn("jb", F.col("n") / 6.0 * (F.col("skew") * F.col("skew") + F.col("kurt") * F.col("kurt") / 4.0)).withColumn("p_value", F.exp(-F.col("jb") / 2))
 
 
 def moments(df: DataFrame, columns: list[str], weight: Column | None = None) -> tuple[float, np.ndarray, np.ndarray]:
@@ -370,6 +375,11 @@ def hosmer_lemeshow(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:
     return g.agg(F.sum((F.col("o") - F.col("e")) * (F.col("o") - F.col("e")) / (F.col("e") * (1 - F.col("e") / F.col("n")))).alias("statistic"), F.count("*").alias("bins"), F.greatest(F.count("*") - 2, F.lit(1)).alias("df"))
 
 
+def hosmer_lemeshow_test(df: DataFrame, y: str, p: str, bins: int = 10) -> dict:
+    r = hosmer_lemeshow(df, y, p, bins).first()
+    return {**r.asDict(), "p_value": chi2_sf(r["statistic"] or 0.0, r["df"])}
+
+
 def delong(df: DataFrame, y: str, a: str, b: str) -> dict:
     """Difference of two correlated AUROCs and its z: each row's placement among the other class comes
     from counts over distinct scores."""

@@ -75,6 +75,18 @@ def kgw_detect(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     return d.withColumn("p_value", F.greatest(F.lit(1e-16), F.least(F.lit(1.0), 1 - normal_cdf(F.col("z"))))).withColumn("power", 1 - normal_cdf((critical - r) / alt))
 
 
+def screen(df: DataFrame, keys: list[str], z: float = 1.6448536269514722, text: str = "text", key: str = KEY) -> DataFrame:
+    """``(keys, tested, reject_rate, mean_z, mean_green_rate)`` over the documents long enough to be tested."""
+    k = kgw_counts(df, text, key).where("z is not null")
+    return k.groupBy(*keys).agg(F.count("*").alias("tested"), F.avg((F.col("z") > z).cast("double")).alias("reject_rate"), F.avg("z").alias("mean_z"), F.avg("green_rate").alias("mean_green_rate"))
+
+
+def flagged(df: DataFrame, most: int = 50, id_: str = "doc_id", text: str = "text", key: str = KEY) -> DataFrame:
+    """The ``most`` documents with the highest z, ties by id."""
+    k = kgw_counts(df, text, key).where("z is not null").select(id_, "n_tokens", "green", "z")
+    return k.orderBy(F.desc(F.round("z", 6)), id_).limit(most)
+
+
 def kgw_segments(df: DataFrame, id_: str = "doc_id", text: str = "text", key: str = KEY, size: int = 160, overlap: int = 32) -> DataFrame:
     """``(id, segment_no, n_tokens, green, z)`` of each window of tokens; z is null under 20 tokens."""
     d = df.select(id_, tokens(F.coalesce(F.col(text), F.lit(""))).alias("k")).withColumn("g", greens(F.col("k"), key))

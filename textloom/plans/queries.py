@@ -36,6 +36,10 @@ def key(c) -> F.Column:
     return F.when(k != "", k)
 
 
+#: Features that the models of these queries use.
+X5 = ("long_words", "unique_ratio", "sentence_len_mean", "punctuation", "log_words")
+
+
 def scored(spark, d) -> DataFrame:
     """Documents with a probability made of label and a hash of the id: y, p, and slices."""
     h = F.conv(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 6), 16, 10).cast("bigint") % 1000
@@ -61,15 +65,14 @@ def kgw_segments(spark, d):
 
 @query
 def kgw_screen(spark, d):
-    """Share of rejections at z > 1.6449 by label and kind, over tested documents."""
-    k = watermarks.kgw_counts(docs(spark, d, "text", "label", "kind")).where("z is not null")
-    return rounded(k.groupBy("label", "kind").agg(F.count("*").alias("tested"), F.avg((F.col("z") > 1.6448536269514722).cast("double")).alias("reject_rate"), F.avg("z").alias("mean_z"), F.avg("green_rate").alias("mean_green_rate")))
+    """Share of rejections by label and kind, over tested documents."""
+    return rounded(watermarks.screen(docs(spark, d, "text", "label", "kind"), ["label", "kind"]))
 
 
 @query
 def kgw_flags(spark, d):
     """The 50 documents with the highest z."""
-    return rounded(watermarks.kgw_counts(docs(spark, d)).where("z is not null").select("doc_id", "n_tokens", "green", "z").orderBy(F.desc(F.round("z", 6)), "doc_id").limit(50))
+    return rounded(watermarks.flagged(docs(spark, d)))
 
 
 @query
@@ -628,7 +631,7 @@ def balanced_view(spark, d):
     return rounded(transport.source_balanced(scored(spark, d), "author"), 4)
 
 
-def fit_logistic(names=("long_words", "unique_ratio", "sentence_len_mean", "punctuation", "log_words"), y="y"):
+def fit_logistic(names=X5, y="y"):
     """What fits a logistic model on training rows and returns what scores others."""
 
     def fit(train):
@@ -661,9 +664,6 @@ def source_transport(spark, d):
     return transport.transport_matrix(featured(spark, d), "kind", fit_logistic())
 
 
-X5 = ("long_words", "unique_ratio", "sentence_len_mean", "punctuation", "log_words")
-
-
 @query
 def cross_validated(spark, d):
     return models.cross_validate(featured(spark, d), "group", fit_logistic())
@@ -867,6 +867,35 @@ def jarque_bera_prices(spark, d):
     return rounded(statistics.jarque_bera(table(spark, d, "lineitem"), "l_extendedprice", ["l_returnflag"]), 3)
 
 
+@query
+def feature_correlations(spark, d):
+    x = list(X5)
+    c = statistics.correlations(cut_lineage(features.extract(docs(spark, d, "text", "kind")).select(*x)), x)
+    return spark.createDataFrame([(a, b, round(float(c[i, j]), 5)) for i, a in enumerate(x) for j, b in enumerate(x) if i < j], "a string, b string, r double")
+
+
+@query
+def regression_tests(spark, d):
+    """Whether diversity tells more than length, whether powers of the fit do, and the spread of the residuals."""
+    f = cut_lineage(features.extract(table(spark, d, "documents").select("text", "kind", "label")).select("label", *X5))
+    x = ["log_words", "unique_ratio"]
+    rows = [("likelihood_ratio", statistics.likelihood_ratio_test(f, x, ["log_words"], "label")), ("link", statistics.link_test(f, x, "label")), ("reset", statistics.link_test(f, x, "label", 3)), ("breusch_pagan", statistics.breusch_pagan(f, x, "label"))]
+    return spark.createDataFrame([(n, round(float(r.get("statistic", r.get("lm"))), 4), int(r["df"]), round(float(r["p_value"]), 4)) for n, r in rows], "test string, statistic double, df int, p_value double")
+
+
+@query
+def influential_documents(spark, d):
+    """The ten documents that move the logistic fit most."""
+    f = cut_lineage(features.extract(table(spark, d, "documents").select("doc_id", "text", "kind", "label")).select("doc_id", "label", *X5))
+    return rounded(statistics.cooks_distance(f, ["log_words", "unique_ratio"], "label").select("doc_id", "leverage", "cooks_d").orderBy(F.desc("cooks_d"), "doc_id").limit(10), 5)
+
+
+@query
+def family_separation(spark, d):
+    f = cut_lineage(features.extract(table(spark, d, "documents").where("kind = 'text' and family is not null").select("text", "kind", "family")).select("family", *X5))
+    return spark.createDataFrame([(round(statistics.wilks_lambda(f, ["unique_ratio", "long_words", "punctuation"], "family"), 5),)], "wilks_lambda double")
+
+
 @query
 def hosmer_lemeshow(spark, d):
     return rounded(statistics.hosmer_lemeshow(scored(spark, d), "y", "p"), 4)

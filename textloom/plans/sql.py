@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.operators.watermarks import SYNONYMS  # fixed values
+from textloom.operators.watermarks import HOMOGLYPHS, SYNONYMS  # fixed values
 
 W = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'']*[\p{L}\p{N}_])?"
 TOK = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]"
@@ -67,6 +67,25 @@ RANKS = """with s as {src}, g as (select {k} p, sum(y) as pos, sum(1 - y) as neg
         sum(pos) over (partition by {part}) as tp, sum(neg) over (partition by {part}) as tn from g)"""
 
 
+def features_of(src: str) -> str:
+    """``FEATURES`` of other rows with the columns of documents."""
+    return FEATURES.replace("kind, label from documents)", f"kind, label from {src})")
+
+
+def prose_of(src: str) -> str:
+    return PROSE.replace("as text from documents)", f"as text from {src})")
+
+
+CODE_SCORE = f"""(with t as (select doc_id, coalesce(text, '') as text from documents where kind = 'code'), w as (select doc_id, regexp_extract_all(text, '{W}') as w from t), l as (select doc_id, {LINES} as ls from t),
+    i as (select doc_id, len(w) as n, list_filter(w, lambda x: regexp_full_match(x, '[\\p{{L}}_][\\p{{L}}\\p{{N}}_]*')) as ids from w),
+    p as (select doc_id, n, len(list_filter(ls, lambda x: regexp_matches(regexp_replace(x, '^[\\s\\p{{Z}}]+', ''), '^(#|//|/\\*|\\*)'))) / greatest(len(ls), 1) as comment, len(list_filter(ids, lambda x: length(x) >= 14)) / greatest(len(ids), 1) as long_, len(list_distinct(ids)) / greatest(len(ids), 1) as uniq,
+        list_transform(list_filter(ls, lambda x: x[1] = ' '), lambda x: length(x) - length(regexp_replace(x, '^ +', ''))) as ind,
+        (contains(lower(text), 'example')::int + contains(lower(text), 'usage')::int + contains(lower(text), 'todo')::int + contains(lower(text), 'note:')::int + contains(lower(text), 'this function')::int + contains(lower(text), 'returns')::int) / 6 as boiler from t join i using (doc_id) join l using (doc_id))
+    select doc_id, case when n >= 25 then least(0.98, greatest(0.02, 0.48 + 0.16 * (least(0.25, greatest(-0.08, comment - 0.08)) + 0.08) / 0.33 + 0.13 * (least(0.22, greatest(-0.08, long_ - 0.08)) + 0.08) / 0.3
+        + 0.12 * (least(0.25, greatest(-0.5, case when len(ind) < 2 then 0.5 else len(list_filter(ind, lambda x: x % 2 = 0)) / len(ind) end - 0.72)) + 0.5) / 0.75 + 0.10 * (least(0.5, greatest(-0.2, boiler - 0.2)) + 0.2) / 0.7
+        - 0.15 * (least(0.2, greatest(-0.3, uniq - 0.78)) + 0.3) / 0.5)) else 0.5 end as raw_score, case when n < 25 then 'insufficient' end as abstain_reason from p)"""
+
+
 def metrics_sql(k: str, src: str = SCORED) -> str:
     kk, part = (f"{k},", k) if k else ("", "1")
     by = f"group by {k}" if k else ""
@@ -166,6 +185,45 @@ PAIR_SIDES = f"""r as (select distinct record_id, {key('prompt_id')} as g, kind,
     k as (select *, row_number() over (partition by g, kind, label order by md5(cast(record_id as varchar)), record_id) - 1 as i from r where g is not null and label in (0, 1))"""
 
 
+def folds_sql(unit: str) -> str:
+    """Groups from the largest on, each to the lightest of five folds."""
+    return f"""(with recursive g as (select {unit} as u, count(*) as n from documents where {unit} is not null group by 1), o as (select *, row_number() over (order by n desc, md5(u), u) as i, least(5, count(*) over ()) as k from g),
+        s as (select 0 as i, cast(null as varchar) as u, cast(0 as bigint) as n, cast(0 as bigint) as fold, list_transform(range(greatest(2, (select max(k) from o))), lambda x: cast(0 as bigint)) as l
+            union all select o.i, o.u, o.n, list_position(l, list_min(l)) - 1, list_transform(range(1, len(l) + 1), lambda x: case when x = list_position(l, list_min(l)) then l[x] + o.n else l[x] end) from s join o on o.i = s.i + 1)
+        select u, n, cast(fold as integer) as fold from s where i > 0)"""
+
+
+def nested_sql(unit: str) -> str:
+    """Each fold's groups as test; of the others a quarter to calibration, first one of either majority."""
+    return f"""(with f as {folds_sql(unit)}, m as (select {unit} as u, cast(sum(label) * 2 >= count(*) as integer) as majority from documents where {unit} is not null group by 1), t as (select distinct fold as o from f),
+        x as (select t.o, f.u, f.fold, majority, sha256('13:' || t.o || ':' || f.u) as h from f join m using (u), t), r as (select *, h = min(h) over (partition by o, majority) as first, count(*) over (partition by o) as n, min(majority) over (partition by o) <> max(majority) over (partition by o) as two from x where fold <> o),
+        c as (select *, least(greatest(n // 4, case when two and n >= 3 then 2 else 1 end), n - 1) as many from r), d as (select *, row_number() over (partition by o order by case when many >= 2 and two and first then 0 else 1 end, md5(h), h) - 1 as i from c)
+        select o as fold, u as "group", case when i < many then 'calibration' else 'train' end as partition from d union all select o, u, 'test' from x where fold = o)"""
+
+
+def isotonic_by(src: str, key_: str) -> str:
+    return f"""(with g as (select {key_} as source, p, count(*) as w, sum(y) as s from {src} group by 1, 2), c as (select source, p, w, s, row_number() over (partition by source order by p) as i, sum(w) over (partition by source order by p) as cw, sum(s) over (partition by source order by p) as cs from g),
+        m as (select a.source, a.i as j, b.i as k, b.p, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) as mean from c a join c b on a.source = b.source and b.i >= a.i), f as (select source, j, k, p, min(mean) over (partition by source, j order by k desc rows between unbounded preceding and current row) as low from m)
+        select source, p, max(low) as fit from f group by 1, 2)"""
+
+
+def transfers() -> str:
+    """Test rows of each language under the isotonic map of each language's calibration rows."""
+    ok = lambda src: f"(select lang from {src} group by 1 having count(*) >= 30 and min(y) < max(y))"
+    return f"""(with f as materialized (select * from {isotonic_by(CAL, 'lang')} where source in {ok(CAL)}), t as (select * from {TEST} where lang in {ok(TEST)}),
+        x as (select q.source, t.lang as target, t.y, t.p, (select max(f.p) from f where f.source = q.source and f.p <= t.p) as a, (select min(f.p) from f where f.source = q.source and f.p > t.p) as b from t, (select distinct source from f) q)
+        select x.source, target, y, greatest(1e-6, least(1 - 1e-6, case when a is null then fb.fit when b is null then fa.fit else fa.fit + (x.p - a) * (fb.fit - fa.fit) / (b - a) end)) as p from x left join f fa on fa.source = x.source and fa.p = a left join f fb on fb.source = x.source and fb.p = b)"""
+
+
+def mixtures(flows: str) -> str:
+    """Scores of the pairs' mixtures at each rate."""
+    return f"""(with {PAIR_SIDES}, p as (select g, kind, h, a, unnest(range(greatest(h, a)::bigint)) as k from n), z as (select x.record_id as hid, y.record_id as aid from p join k x on x.g = p.g and x.kind = p.kind and x.label = 0 and x.i = p.k % p.h join k y on y.g = p.g and y.kind = p.kind and y.label = 1 and y.i = p.k % p.a),
+        w as (select record_id, regexp_extract_all(lower(text), '{W}') as w from texts), q as (select row_number() over () as doc_id, x.w as h, y.w as a, rate, flow, least(round_even(len(x.w) * rate, 0)::bigint, len(y.w)) as k from z join w x on x.record_id = hid join w y on y.record_id = aid, (select unnest([0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0])::double as rate), (select unnest({flows}) as flow)),
+        m as materialized (select doc_id, rate, flow, array_to_string(case when len(h) = 0 then case when rate >= 1 then a else [] end when flow = 'ai_prefix' then list_concat(a[1:k], h[k + 1:]) when flow = 'ai_suffix' then list_concat(h[1:len(h) - k], a[1:k]) else list_concat(a[1:k], h[1:len(h) - k]) end, ' ') as text from q)
+        select rate, flow as workflow, raw_score from m join {prose_of('m')} using (doc_id))""".replace("from corpus_records)", "from texts)").replace("(with ", f"(with texts as (select * from {RECORDS} where text is not null and kind = 'text'), ", 1)
+
+
+X5 = ("long_words", "unique_ratio", "sentence_len_mean", "punctuation", "log_words")
 SQL: dict[str, str] = {
     "kgw_detect": f"""select doc_id, n_tokens, green, round((green - n_tokens * 0.5) / sqrt(n_tokens * 0.25), 6) as z, round(green / n_tokens, 6) as green_rate, round(green / n_tokens - 0.5, 6) as effect,
         round(case when green is not null then greatest(0, least(1, (green / n_tokens - 0.5) / 0.5)) end, 6) as dilution,
@@ -261,7 +319,7 @@ SQL: dict[str, str] = {
         select p_brand, round(z, 6) as z, round(b, 6) as bound, round(least(1, min(q) over (order by b desc range between unbounded preceding and current row)), 6) as q_value from r""",
     "mcnemar_counts": f"select a::bigint as only_a, b::bigint as only_b, round(case when a + b > 0 then greatest(0, abs(a - b) - 1) ^ 2 / (a + b) else 0 end, 6) as chi2 from (select sum((x and not w)::int) as a, sum((not x and w)::int) as b from (select (p >= 0.5)::int = y as x, (p >= 0.6)::int = y as w from {SCORED}))",
     "durbin_watson_prices": "with e as (select *, l_extendedprice - avg(l_extendedprice) over (partition by l_orderkey) as e from lineitem), d as (select e, e - lag(e) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as d from e) select round(sum(d * d) / sum(e * e), 6) as dw, count(*) as n from d",
-    "jarque_bera_prices": "with m as (select l_returnflag, avg(l_extendedprice) as m from lineitem group by 1), g as (select l_returnflag, count(*) as n, avg((l_extendedprice - m) ^ 2) as m2, avg((l_extendedprice - m) ^ 3) as m3, avg((l_extendedprice - m) ^ 4) as m4 from lineitem join m using (l_returnflag) group by 1) select l_returnflag, n, round(m3 / m2 ^ 1.5, 3) as skew, round(m4 / m2 ^ 2 - 3, 3) as kurt, round(n / 6 * ((m3 / m2 ^ 1.5) ^ 2 + (m4 / m2 ^ 2 - 3) ^ 2 / 4), 3) as jb from g",
+    "jarque_bera_prices": "with m as (select l_returnflag, avg(l_extendedprice) as m from lineitem group by 1), g as (select l_returnflag, count(*) as n, avg((l_extendedprice - m) ^ 2) as m2, avg((l_extendedprice - m) ^ 3) as m3, avg((l_extendedprice - m) ^ 4) as m4 from lineitem join m using (l_returnflag) group by 1) select l_returnflag, n, round(m3 / m2 ^ 1.5, 3) as skew, round(m4 / m2 ^ 2 - 3, 3) as kurt, round(n / 6 * ((m3 / m2 ^ 1.5) ^ 2 + (m4 / m2 ^ 2 - 3) ^ 2 / 4), 3) as jb, round(exp(-n / 12 * ((m3 / m2 ^ 1.5) ^ 2 + (m4 / m2 ^ 2 - 3) ^ 2 / 4)), 3) as p_value from g",
     "first_events": "select event_type, count(distinct user_id) as users from events group by 1",
     "text_groups": f"select doc_id, substr(sha256({STRIPPED}), 1, 16) as \"group\" from documents join ({hygiene_sql('m4gt')}) using (doc_id) where reason = 'keep'",
     "source_names": r"""select doc_id, split_part(src, '_', 1) as domain,
@@ -335,4 +393,40 @@ SQL: dict[str, str] = {
         b as (select replicate, sum(pos * (nb + neg / 2)) / (sum(pos) * sum(neg)) as a from c group by 1), g as (select p, sum(y) as pos, sum(1 - y) as neg from {SCORED} group by 1), h as (select *, coalesce(sum(neg) over (order by p rows between unbounded preceding and 1 preceding), 0) as nb from g)
         select round((select sum(pos * (nb + neg / 2)) / (sum(pos) * sum(neg)) from h), 6) as auroc, round(quantile_cont(a, 0.025), 6) as low, round(quantile_cont(a, 0.975), 6) as high, count(a) as n_boot from b""",
     "hourly_events": """select strftime(w, '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*) as n, round(sum(value), 4) as value from (select event_type, value, unnest([time_bucket(interval 30 minutes, t), time_bucket(interval 30 minutes, t) - interval 30 minutes]) as w from (select event_type, value, ts at time zone 'UTC' as t from events)) group by 1, 2""",
+    "code_scores": f"select doc_id, round(raw_score, 6) as raw_score, abstain_reason from {CODE_SCORE}",
+    "scrubbed_texts": "select doc_id, sha256(translate(regexp_replace(coalesce(text, ''), '[\\x{200B}\\x{200C}\\x{200D}\\x{FEFF}\\x{2060}\\x{AD}\\x{200E}\\x{200F}]', '', 'g'), '" + "".join(HOMOGLYPHS) + "', '" + "".join(HOMOGLYPHS.values()) + "')) as sha256 from documents",
+    "dataset_fingerprint": "select sha256(count(*)::varchar || ':' || " + " || ':' || ".join(f"sum(('0x' || substr(h, {i * 12 + 1}, 12))::bigint)::varchar" for i in range(5)) + ") as dataset_hash from (select sha256(coalesce(text, '') || ' ' || coalesce(label::varchar, '')) as h from documents)",
+    "model_windows": f"""with d as (select doc_id, coalesce(text, '') as text from documents), k as (select doc_id, text, regexp_extract_all(text, '(?:{TOK})[\\s\\p{{Z}}]*') as k from d),
+        t as (select doc_id, text, len(k) as n, length(text) - coalesce(list_sum(list_transform(k, lambda x: length(x))), 0) as lead, k from k),
+        o as (select doc_id, i, lead + coalesce(sum(length(w)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as a, length(regexp_replace(w, '[\\s\\p{{Z}}]+$', '')) as l from (select doc_id, lead, unnest(k) as w, unnest(range(len(k))) as i from t)),
+        w as (select doc_id, n, greatest(cast(ceil((n - 128) / 96.0) as bigint), 0) + 1 as m, unnest(range(least(32, greatest(cast(ceil((n - 128) / 96.0) as bigint), 0) + 1))) as j from t where n > 0)
+        select w.doc_id, j::int as window_no, (j * 96)::int as token_start, least(n, j * 96 + 128)::int as token_end, x.a::int as char_start, (y.a + y.l)::int as char_end, (m <= 32)::int as covered from w join o x on x.doc_id = w.doc_id and x.i = j * 96 join o y on y.doc_id = w.doc_id and y.i = least(n, j * 96 + 128) - 1
+        union all select doc_id, 0, 0, 0, 0, length(text), 1 from t where n = 0""",
+    "balanced_view": f"""with b as (select quantile_cont(auroc, 0.025) as low, quantile_cont(auroc, 0.975) as high from {boot_auroc('p')}), r as (select avg(y) as r from {SCORED}), g as (select p, sum(y) as pos, sum(1 - y) as neg from {SCORED} group by 1), c as (select *, coalesce(sum(neg) over (order by p rows between unbounded preceding and 1 preceding), 0) as nb from g),
+        v as (select unnest(['natural', 'balanced']) as view), s as (select view, (p - y) * (p - y) as b, -ln(case when y = 1 then greatest(1e-6, p) else 1 - least(1 - 1e-6, p) end) as l, ((p >= 0.5)::int = y)::int as a, case when view = 'natural' then 1 when y = 1 then 0.5 / r else 0.5 / (1 - r) end as w from {SCORED}, v, r)
+        select view, round((select r from r), 4) as natural, round(sum(b * w) / sum(w), 4) as brier, round(sum(l * w) / sum(w), 4) as log_loss, round(sum(a * w) / sum(w), 4) as accuracy, round((select sum(pos * (nb + neg / 2)) / (sum(pos) * sum(neg)) from c), 4) as auroc, round((select low from b), 4) as low, round((select high from b), 4) as high from s group by 1""",
+    "corpus_summary": f"""with r as (select * from {RECORDS}), f as {features_of('(select record_id as doc_id, text, kind, family, label from ' + RECORDS + ')')},
+        c as (select family, kind, count(*) as n, count(distinct run_id) as runs, sum((b < 50)::int)::bigint as n_lt50, sum((b between 50 and 149)::int)::bigint as n_50_149, sum((b between 150 and 499)::int)::bigint as n_150_499, sum((b >= 500)::int)::bigint as n_500plus,
+            ['declared-none', 'unknown', 'suspected', 'declared-active'][max(case watermark_status when 'declared-active' then 3 when 'suspected' then 2 when 'declared-none' then 0 else 1 end) + 1] as status from (select *, len({WORDS}) as b from r) group by 1, 2),
+        g as (select family, kind, {', '.join(f'round({fn}({c}), 5) as {c}_{n}' for c in NAMES for n, fn in (('mean', 'avg'), ('min', 'min'), ('max', 'max')))} from f group by 1, 2) select * from c join g using (family, kind)""",
+    "part_dependence": f"""with w as (select doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as w from documents where kind = 'text' and text is not null), p as (select doc_id, unnest([0, 1, 2]) as i, w from w where len(w) >= 36),
+        s as {prose_of("(select doc_id * 10 + i as doc_id, array_to_string(w[len(w) * i // 3 + 1 : len(w) * (i + 1) // 3], ' ') as text from p)")},
+        l as (select doc_id // 10 as doc_id, doc_id % 10 as i, ln(q / (1 - q)) as l from (select doc_id, greatest(1e-6, least(1 - 1e-6, raw_score)) as q from s)), e as (select *, l - avg(l) over (partition by doc_id) as e from l), f as (select *, lag(e) over (partition by doc_id order by i) as f from e),
+        g as (select doc_id, count(*) as n, sum(l) as naive, sum(e * f) as ef, sum(e * e) as ee from f group by 1), r as (select *, case when n >= 3 and ee > 1e-12 then greatest(0, least(1, ef / ee)) else 0 end as rho from g), d as (select doc_id, ln(q / (1 - q)) as document from (select doc_id, greatest(1e-6, least(1 - 1e-6, raw_score)) as q from {PROSE}))
+        select count(*) as n_documents, round(avg(naive), 6) as mean_naive, round(avg(naive / (1 + (n - 1) * rho)), 6) as mean_shrunk, round(avg(document), 6) as mean_document, round(avg(rho), 6) as mean_rho, round(avg(abs(naive - document)), 6) as naive_vs_document from r join d using (doc_id)""",
+    "mixture_curves": f"select rate, count(*) as n, round(avg(raw_score), 6) as mean_estimated, round(stddev_pop(raw_score), 6) as std_estimated, workflow from {mixtures("['ai_prefix', 'ai_suffix', 'interleave']")} group by rate, workflow",
+    "mixture_tracking": f"select round(corr(rate, m), 4) as correlation, round(regr_slope(m, rate), 4) as slope, round(avg(abs(rate - m)), 4) as mae from (select rate, avg(raw_score) as m from {mixtures("['ai_prefix']")} group by 1)",
+    "nested_author_folds": f"select fold, \"group\" as author, partition from {nested_sql('author')}",
+    "protocol_partitions": f"""with g as (select author, row_number() over (order by sha256('13:holdout:' || author)) - 1 as i, count(*) over () as n from (select distinct author from documents where author is not null)), c as (select *, greatest(1, round_even(n * 0.2, 0)) as k from g)
+        select 0 as fold, author as "group", case when i < k then 'test' when i < 2 * k then 'calibration' else 'train' end as partition, 'author' as unit from c union all select fold, "group", partition, 'family' from {nested_sql('family')}""",
+    "stratified_authors": """with recursive g as (select concat_ws('|', source, label) as s, author as a, count(*) as c from documents where author is not null group by 1, 2),
+        o as (select *, row_number() over (partition by s order by sha256('13:' || s || ':' || a)) as i, greatest(1, round_even(400.0 * sum(c) over (partition by s) / (select count(*) from documents), 0)) as q from g),
+        r as (select distinct s, cast(0 as bigint) as i, cast(0 as bigint) as total, cast(null as varchar) as a, false as keep from g
+            union all select o.s, o.i, total + case when total < q and (total = 0 or total + c <= q) then c else 0 end, o.a, total < q and (total = 0 or total + c <= q) from r join o on o.s = r.s and o.i = r.i + 1)
+        select d.doc_id, d.author, d.source, d.label from documents d join r on r.keep and r.a = d.author and r.s = concat_ws('|', d.source, d.label)""",
+    "calibration_transfers": f"select source, target, n, source = target as on_diagonal, {', '.join(f'round({c}, 4) as {c}' for c in ('brier', 'accuracy', 'auroc', 'auprc', 'ece', 'tpr_at_01fpr', 'tpr_at_1fpr', 'tpr_at_5fpr'))} from ({metrics_sql('source, target', transfers())})",
+    "transfer_summary": f"select count(distinct source) as n_source_cohorts, round(avg(auroc) filter (source = target), 4) as on_auroc, round(avg(auroc) filter (source <> target), 4) as off_auroc, round(avg(brier) filter (source = target), 4) as on_brier, round(avg(brier) filter (source <> target), 4) as off_brier, round(avg(auroc) filter (source = target) - avg(auroc) filter (source <> target), 4) as auroc_gap from ({metrics_sql('source, target', transfers())})",
+    "feature_correlations": " union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 5) as r from {FEATURES}" for i, a in enumerate(X5) for b in X5[i + 1 :]),
 }
+SQL["operating_points"] = f"""select 'conformal' as block, point, value from (unpivot (select coverage, mean_set_size, singleton_rate, abstention_rate, empty_rate from ({SQL['conformal_applied']})) on coverage, mean_set_size, singleton_rate, abstention_rate, empty_rate into name point value value)
+    union all select 'tpr_at_fpr', fpr::varchar, tpr from ({SQL['fpr_thresholds']}) union all select 'selective_risk', coverage::varchar, risk from ({SQL['selective_thresholds']})"""
