@@ -199,7 +199,7 @@ def train_boosted(df: DataFrame, features: list[str], y: str, rounds: int = 50,
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    trees = GBTClassifier(featuresCol="_x", labelCol=y, maxDepth=3, stepSize=0.06, maxIter=rounds, predictionCol="predicted", probabilityCol="probability", rawPredictionCol="_raw")
+    trees = GBTClassifier(featuresCol="_x", labelCol=y, maxDepth=3, stepSize=0.06, maxIter=rounds, predictionCol="predicted").setProbabilityCol("probability").setRawPredictionCol("_raw")
     if validation:
         trees = trees.setValidationIndicatorCol(validation).setParams(validationTol=tolerance)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), trees]).fit(df)

@@ -279,16 +279,27 @@ def correlations(df: DataFrame, columns: list[str]) -> np.ndarray:
     return c / np.outer(d, d)
 
 
+def inflations(r: np.ndarray) -> np.ndarray:
+    """Variance inflation of each column of a correlation matrix: 1 / (1 - R squared) on the others; a column that the
+    others make up has 1e12, also where the matrix is singular."""
+    out = []
+    for j in range(len(r)):
+        rest = [i for i in range(len(r)) if i != j]
+        r2 = float(r[j, rest] @ np.linalg.pinv(r[np.ix_(rest, rest)], rcond=1e-10) @ r[rest, j]) if rest else 0.0
+        out.append(1 / max(1 - r2, 1e-12))
+    return np.array(out)
+
+
 def vif(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    """Variance inflation of each column: the diagonal of the inverse correlation matrix."""
-    return dict(zip(columns, np.diag(np.linalg.pinv(correlations(df, columns))).tolist()))
+    """Variance inflation of each column."""
+    return dict(zip(columns, inflations(correlations(df, columns)).tolist()))
 
 
 def screen_features(df: DataFrame, columns: list[str], most: float = 10.0) -> list[str]:
     """Columns left after dropping the worst until every inflation is at most ``most``."""
     r, left = correlations(df, columns), list(range(len(columns)))
     while len(left) > 1:
-        v = np.diag(np.linalg.pinv(r[np.ix_(left, left)]))
+        v = inflations(r[np.ix_(left, left)])
         if v.max() <= most:
             break
         left.pop(int(v.argmax()))
