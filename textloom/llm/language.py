@@ -246,7 +246,7 @@ def fit_profiles(records: DataFrame, diagnostics: DataFrame, sample_rows: int =
     n = records.count()
     picked = F.pmod(F.xxhash64(F.lit(7), "record_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, sample_rows / max(n, 1))))
     labels = diagnostics.where(picked).select("record_id", label_language("language").alias("label")).where(F.col("label").isin(*LANGUAGES)).groupBy("record_id").agg(F.min("label").alias("label"))
-    texts = records.where(picked & (F.coalesce("kind", F.lit("text")) == "text") & F.col("text").isNotNull()).select("record_id", "text").dropDuplicates(["record_id"]).join(labels, "record_id").select("text", "label")
+    texts = cut_lineage(records.where(picked & (F.coalesce("kind", F.lit("text")) == "text") & F.col("text").isNotNull()).select("record_id", "text").dropDuplicates(["record_id"]).join(labels, "record_id").select("text", "label"))  # bounded, and read once per round
     seeds = seed_counts()
     found = None
     for _ in range(rounds):
