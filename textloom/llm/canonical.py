@@ -78,9 +78,10 @@ def is_flat(fields: Pairs) -> bool:
     return not any(isinstance(v, list) for _, v in fields)
 
 
-def digests(text: str, nested: bool = False) -> tuple[int, str, str | None]:
-    """Number of words, digest of the letters and digits in their order, digest of the named fields."""
-    words = folded_words(text)
+def digests(text: str, nested: bool = False, words: list[str] | None = None) -> tuple[int, str, str | None]:
+    """Number of words, digest of the letters and digits in their order, digest of the named fields; ``words`` are the
+    text's folded words, where these are at hand."""
+    words = folded_words(text) if words is None else words
     f = fields_of(text)
     by_fields = merkle(f).hex() if f is not None and (nested or is_flat(f)) else None
     return len(words), _digest("".join(words).encode()).hex(), by_fields

@@ -22,8 +22,8 @@ def _constants(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 2**32, size=n, dtype=np.uint64).astype(np.uint32), rng.integers(0, 2**31, size=n, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-_XOR, _ODD = _constants(6, BANDS * ROWS)
-_SKETCH_XOR, _SKETCH_ODD = _constants(7, 256)
+MINIMA = BANDS * ROWS
+_XOR, _ODD = _constants(6, MINIMA)
 
 
 class Hasher:
@@ -55,20 +55,20 @@ def _minima(x: np.ndarray, xor: np.ndarray, odd: np.ndarray) -> np.ndarray:
 
 
 def signature(h: np.ndarray) -> tuple[list[int], bytes]:
-    """A 32-bit key for each band, and a sketch of 256 bits, each the low bit of one minimum."""
-    x = (h >> _U(32)).astype(np.uint32)
-    m = _minima(x, _XOR, _ODD).reshape(BANDS, ROWS).astype(np.uint64)
+    """A 32-bit key for each band, and a sketch of one bit of each of the same minima."""
+    m = _minima((h >> _U(32)).astype(np.uint32), _XOR, _ODD)
     k = np.zeros(BANDS, dtype=np.uint64)
-    for r in range(ROWS):
-        k = (k ^ (k >> _U(31))) * _U(0x9E3779B97F4A7C15) + m[:, r]
+    for r in m.reshape(BANDS, ROWS).astype(np.uint64).T:
+        k = (k ^ (k >> _U(31))) * _U(0x9E3779B97F4A7C15) + r
     k ^= k >> _U(32)
-    return (k & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32).tolist(), np.packbits((_minima(x, _SKETCH_XOR, _SKETCH_ODD) >> np.uint32(7)) & np.uint32(1)).tobytes()
+    return (k & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32).tolist(), np.packbits((m >> np.uint32(7)) & np.uint32(1)).tobytes()
 
 
 def sketch_floor(similarity: float) -> int:
-    """Equal bits of 256 that a pair of this similarity has all but surely (five deviations)."""
+    """Equal bits of a sketch that a pair of this similarity has all but surely (five deviations); that the pair shares
+    a band only adds to them."""
     p = (1 + similarity) / 2
-    return int(256 * p - 5 * (256 * p * (1 - p)) ** 0.5)
+    return int(MINIMA * p - 5 * (MINIMA * p * (1 - p)) ** 0.5)
 
 
 def index_records(records: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -83,10 +83,11 @@ def index_records(records: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
             out: list[list] = [[] for _ in range(8)]
             for rid, text, train in zip(ids, texts, trains):
-                n, plain, by_fields = digests(text)
-                if n < min_words:
+                words = folded_words(text)
+                if len(words) < min_words:
                     continue
-                h = hasher.runs(folded_words(text))
+                _, plain, by_fields = digests(text, words=words)
+                h = hasher.runs(words)
                 bands, sketch = signature(h)
                 for column, v in zip(out, (rid, train, plain, by_fields, xxh128_hexdigest(h.tobytes()), len(h), bands, sketch)):
                     column.append(v)
@@ -117,8 +118,8 @@ def candidate_pairs(reps: DataFrame, similarity: float = SIMILARITY) -> DataFram
         bits = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint16)
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint8).reshape(b.num_rows, 32) for c in b.columns[2:])
-                ok = pa.array(256 - bits[x ^ y].sum(axis=1) >= floor)
+                x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1) for c in b.columns[2:])
+                ok = pa.array(MINIMA - bits[x ^ y].sum(axis=1) >= floor)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["eval_id", "train_id"])
 
     return pairs.select("eval_id", "train_id", "eval_sketch", "train_sketch").mapInArrow(alike, "eval_id bigint, train_id bigint")
