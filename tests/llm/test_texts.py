@@ -13,7 +13,7 @@ def detector():
 
 
 @pytest.mark.parametrize("text,kind", [
-    ("Dear {{ name }},\n\n" + PROSE, "placeholder"), (PROSE + "\n\nSent by [INSERT NAME HERE]", "placeholder"), (PROSE + "Title: __ENGINE__", "placeholder"), (PROSE + "${museum}", "placeholder"),
+    ("Dear {{ name }},\n\n" + PROSE, "placeholder"), (PROSE + "\n\nSent by [INSERT NAME HERE]", "placeholder"), (PROSE + "Title: __ENGINE__", "placeholder"), (PROSE + "${museum}", "placeholder"), ("Dear {% block title %},\n\n" + PROSE, "placeholder"), (PROSE + "Hello #{user.name}, welcome.", "placeholder"),
     ("Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "filler"), (PROSE + "\n\nTempor labore enim magna aliqua ut dolore.", "filler"), ("asdf qwer zxcv asdf", "filler"),
     ("404 Not Found", "error"), ("Rate limit exceeded. Please try again later.", "error"), (PROSE + "Nobody had\n\n[stream aborted: upstream connect error, code 503, id 7c9a37c9]", "error"),
     ("Please enable JavaScript to view this page.", "script"), ("Bitte aktivieren Sie JavaScript, um den Inhalt zu sehen.", "script"),

@@ -192,7 +192,7 @@ def build_exemplars() -> list[tuple[Exemplar, str]]:
 # What marks an unfilled placeholder.
 _FIELD = r"name|first name|last name|full name|date|time|title|company|address|city|country|email|phone|number|recipient|sender|signature|topic|subject|product|details|nombre|fecha|nom|datum|nome|data|naam"
 _SLOT = re.compile(
-    r"\{\{[^{}\n]{0,80}\}\}|\$\{[^{}\n]{1,80}\}|<%=?[^%\n]{1,80}%>|<<\s*[A-Za-z][\w -]{0,60}>>|%%\s*\w[\w -]{0,60}%%|@@\s*\w[\w -]{0,60}@@|##\w[\w -]{0,60}##|\b__[A-Z][A-Z0-9_]*__|(?<![\w$%\\{])\{[A-Za-z_]\w*\}(?!\})|%\(\w+\)s"
+    r"\{\{[^{}\n]{0,80}\}\}|\{%[^%\n]{1,80}%\}|\{#[^#\n]{1,80}#\}|#\{[^{}\n]{1,80}\}|\$\{[^{}\n]{1,80}\}|<%=?[^%\n]{1,80}%>|<<\s*[A-Za-z][\w -]{0,60}>>|%%\s*\w[\w -]{0,60}%%|@@\s*\w[\w -]{0,60}@@|##\w[\w -]{0,60}##|\b__[A-Z][A-Z0-9_]*__|(?<![\w$%\\{])\{[A-Za-z_]\w*\}(?!\})|%\(\w+\)s"
     r"|\[(?i:(?:please )?(?:insert|add|enter|fill in|fill|put|type|write|replace|choose|select|your|the|einfügen|hier|insérer|votre|insertar|su|inserire|inserir|invoegen|uw)\b[^\]\n]{0,80}|(?:[\w ]{0,30} )?(?:" + _FIELD + r")(?: here)?|todo|tbd|tba|placeholder|blank)\]"
     r"|\((?i:[\w ]{1,40} (?:goes|go|comes|come) here|(?:insert|add|enter|fill in|your) [\w ]{1,40} here)\)"
     r"|<(?i:(?:your |insert |enter |the )?[a-z]+ (?:" + _FIELD + r"))>|<(?i:insert|enter|your)[^<>\n]{0,60}>"
@@ -285,7 +285,7 @@ def passages(text: str) -> list[tuple[int, int]]:
 
 _DIGIT = re.compile(r"\d")
 #: A placeholder starts where this matches.
-_MAY_BE_SLOT = re.compile(r"\{\{|\$\{|[{\[]\w|<[%<A-Za-z]|%[%(]|@@|##|__|XXXX|xxxx|TKTK|TODO|TB[DA]\b|FIXME|\([^()\n]{1,60} here\)")
+_MAY_BE_SLOT = re.compile(r"\{[{%#]|#\{|\$\{|[{\[]\w|<[%<A-Za-z]|%[%(]|@@|##|__|XXXX|xxxx|TKTK|TODO|TB[DA]\b|FIXME|\([^()\n]{1,60} here\)")
 _STATUS = re.compile(r"(?<![^\W_])[45]\d\d(?![^\W_])")
 _SLOT_MARK = re.compile(r"[{\[<%@]|##|__|XXXX|xxxx|TKTK|TODO|TB[DA]\b|FIXME")
 
