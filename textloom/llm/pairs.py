@@ -7,6 +7,7 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ WORD_BYTES, SLACK_BYTES = 8, 4
 SHORT_BYTES = 40
 #: Bits of the filter that lets terminal contexts through before the exact join: at most this many.
 MOST_BITS = 1 << 25
+#: Texts whose words are counted together.
+CHUNK_TEXTS = 500
 
 # How a refusal is put, by language. A sentence that matches one of these declines.
 _REFUSALS = [
@@ -164,7 +167,7 @@ class Contexts:
         self.bits, self.mask, self.limit = bits.tobytes(), n - 1, limit
         self.seen: set[str] = set()
         self.yes: set[str] = set()
-        self.separators: dict[str, bool] = {}
+        self.separators = Separators()
 
     def wanted(self, contexts: list[str]) -> set[str]:
         """The set of all wanted contexts met so far; of these, it has all that are wanted."""
@@ -178,51 +181,74 @@ class Contexts:
                 self.yes.add(c)
         return self.yes
 
-    def ends(self, separator: str) -> bool:
-        """Whether a sentence or line ends with what stands between two words."""
-        got = self.separators.get(separator)
-        if got is None:
-            if len(self.separators) > 10_000:
-                self.separators.clear()
-            got = self.separators[separator] = separator[:1] in (".", "!", "?", "…") or "\n" in separator[:2] or "\r" in separator[:2]
-        return got
-
-    def add(self, text: str, ends: Counter, on: Counter) -> list[str]:
-        """Adds the text's contexts to those after which something ends or goes on: each word and pair, and
-        each line's first pieces. Returns those at the text's very end, if no mark follows: it may be a cut."""
-        folded = text.casefold()
-        parts = _SPLIT.split(folded)
-        words, after = parts[1::2], parts[2::2]
-        final = []
+    def add(self, texts: list[str], ends: Counter, on: Counter) -> list[tuple[int, str]]:
+        """Adds the texts' contexts to those after which something ends or goes on: each word and pair, and each line's
+        first pieces. Returns those at the very end of a text, with its number, if no mark follows: it may be a cut."""
+        words: list[str] = []
+        after: list[str] = []
+        starts, opens, final = [], [], []
+        for number, text in enumerate(texts):
+            folded = text.casefold()
+            parts = _SPLIT.split(folded)
+            if len(parts) > 1:
+                starts.append(len(words))
+                words += parts[1::2]
+                after += parts[2::2]
+                if not parts[-1].strip(_CLOSERS):
+                    opens.append(len(words) - 1)
+                    final.append((number, f"$ {parts[-2]}"))
+                    if len(parts) > 3:
+                        final.append((number, f"$ {parts[-4]} {parts[-2]}"))
+            lines = folded.rstrip(_CLOSERS).split("\n")
+            for k, line in enumerate(lines[1:], 1):
+                pieces = line.split()
+                start = "$$"
+                for n, piece in enumerate(pieces[:LINE_PIECES], 1):
+                    start += " " + piece
+                    if start not in self.yes and (start in self.seen or start not in self.wanted((start,))):
+                        break  # the filter has each beginning of a wanted line
+                    if n < len(pieces):
+                        on[start] += 1
+                    elif k < len(lines) - 1:
+                        ends[start] += 1
+                    else:
+                        final.append((number, start))
         if words:
-            pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
-            open_ = not after[-1].strip(_CLOSERS)
-            if open_:
-                final += [f"$ {c}" for c in (words[-1], *pairs[-1:])]
-            # The last word's fate is known only where a mark follows it.
-            last = len(words) - open_
-            stop = [self.ends(x) for x in after[:last]]
-            yes = self.wanted([*words, *pairs, *final])
-            ends.update([w for w, e in zip(words, stop) if e and w in yes])
-            on.update([w for w, e in zip(words, stop) if not e and w in yes])
-            ends.update([p for p, e in zip(pairs, stop[1:]) if e and p in yes])
-            on.update([p for p, e in zip(pairs, stop[1:]) if not e and p in yes])
-            final = [c for c in final if c in yes]
-        lines = folded.rstrip(_CLOSERS).split("\n")
-        for k, line in enumerate(lines[1:], 1):
-            pieces = line.split()
-            start = "$$"
-            for n, piece in enumerate(pieces[:LINE_PIECES], 1):
-                start += " " + piece
-                if start not in self.wanted([start]):
-                    break  # the filter has each beginning of a wanted line
-                if n < len(pieces):
-                    on[start] += 1
-                elif k < len(lines) - 1:
-                    ends[start] += 1
-                else:
-                    final.append(start)
-        return final
+            codes, known = pd.factorize(np.array(words, dtype=object))
+            stop = np.fromiter(map(self.separators.__getitem__, after), dtype=bool, count=len(after))
+            told = np.ones(len(words), dtype=bool)
+            told[opens] = False  # the fate of a last word is known only where a mark follows it
+            self.count(known.tolist(), codes[told], stop[told], ends, on)
+            follows = told.copy()
+            follows[starts] = False
+            at = np.flatnonzero(follows)
+            keys, place = np.unique(codes[at - 1].astype(np.int64) * len(known) + codes[at], return_inverse=True)
+            a, b = np.divmod(keys, len(known))
+            self.count([f"{x} {y}" for x, y in zip(known[a].tolist(), known[b].tolist())], place, stop[at], ends, on)
+        yes = self.wanted([c for _, c in final])
+        return [(number, c) for number, c in final if c in yes]
+
+    def count(self, contexts: list[str], codes: np.ndarray, stop: np.ndarray, ends: Counter, on: Counter) -> None:
+        """Adds how often each of the contexts, by their places in ``codes``, ends something and goes on."""
+        yes = self.wanted(contexts)
+        stopped = np.bincount(codes[stop], minlength=len(contexts)).tolist()
+        went = np.bincount(codes[~stop], minlength=len(contexts)).tolist()
+        for c, x, y in zip(contexts, stopped, went):
+            if c in yes:
+                if x:
+                    ends[c] += x
+                if y:
+                    on[c] += y
+
+
+class Separators(dict):
+    """Whether a sentence or line ends with what stands between two words."""
+
+    def __missing__(self, separator: str) -> bool:
+        if len(self) > 10_000:
+            self.clear()
+        got = self[separator] = separator[:1] in (".", "!", "?", "…") or "\n" in separator[:2] or "\r" in separator[:2]
+        return got
 
 
 def context_filter(wanted: DataFrame) -> tuple[np.ndarray, int]:
@@ -258,11 +284,9 @@ def context_counts(records: DataFrame, wanted: DataFrame) -> DataFrame:
 
         def work(texts):
             ends, on, final = Counter(), Counter(), set()
-            for t in texts:
-                got = contexts.add(t, ends, on)
-                if got:
-                    h = xxh64_intdigest(t) - (1 << 63)
-                    final.update((c, h) for c in got)
+            for k in range(0, len(texts), CHUNK_TEXTS):
+                part = texts[k : k + CHUNK_TEXTS]
+                final.update((c, xxh64_intdigest(part[number]) - (1 << 63)) for number, c in contexts.add(part, ends, on))
             both = list(ends | on)
             n = len(final)
             return both + [c for c, _ in final], [None] * len(both) + [h for _, h in final], [ends[c] for c in both] + [1] * n, [on[c] for c in both] + [0] * n
