@@ -119,6 +119,9 @@ def cut(sizes: DataFrame, largest: list[int]) -> DataFrame:
     return p.select("pack", "doc_id", "piece_no", start.cast("bigint").alias("token_start"), F.least(n, start + c).cast("bigint").alias("token_end")).withColumn("len", (F.col("token_end") - F.col("token_start")).cast("int"))
 
 
+PACKED = "pack_name string, doc_id bigint, piece_no int, token_start bigint, token_end bigint, container_no bigint, capacity int, offset bigint"
+
+
 def pack_items(sizes: DataFrame, packs: dict[str, list[int]]) -> DataFrame:
     """``(pack_name, doc_id, piece_no, token_start, token_end, container_no, capacity, offset)``: all
     items of ``sizes`` (doc_id, n_tokens) in containers, once for each pack, which names its
@@ -129,11 +132,13 @@ def pack_items(sizes: DataFrame, packs: dict[str, list[int]]) -> DataFrame:
     containers by best fit; items then find their place by their rank within their length, counted
     in hash buckets, so that a length that a third of all items share is no single task. Items
     without tokens lie in the first container. Repeated document ids are separate items; null
-    sizes count as 0. No items give an empty result.
+    sizes count as 0. No items or no packs give an empty result.
     """
-    if not packs or any(c < 1 for caps in packs.values() for c in caps):
+    if any(c < 1 for caps in packs.values() for c in caps):
         raise ValueError("capacities must be positive")
     spark = sizes.sparkSession
+    if not packs:
+        return spark.createDataFrame([], PACKED)
     names = list(packs)
     largest = [max(packs[p]) for p in names]
     n_docs = sizes.count()
@@ -174,7 +179,7 @@ def pack_items(sizes: DataFrame, packs: dict[str, list[int]]) -> DataFrame:
 
         return work
 
-    return map_rows(ranked, ranked.columns, make, "pack_name string, doc_id bigint, piece_no int, token_start bigint, token_end bigint, container_no bigint, capacity int, offset bigint")
+    return map_rows(ranked, ranked.columns, make, PACKED)
 
 
 def read_packs(pack_sizes: DataFrame, most: int = 1000) -> dict[str, int]:
