@@ -349,9 +349,8 @@ def story_groups(df: DataFrame, threshold: float = 0.45, terms: int = 60_000, id
 
     Terms are words of two or more characters and pairs of them that at least two texts have, the
     ``terms`` most frequent ones; weights are (1 + ln tf) (1 + ln((1 + n) / (1 + df))), vectors have
-    length 1. Texts meet through their leading terms: from the rarest on, up to where the rest has less than a
-    third of the threshold. The products over these are summed per pair; pairs that could still reach the
-    threshold with the rest are measured on whole vectors, so no pair is lost.
+    length 1. Texts meet on their terms' hashes; the products are summed per pair in each task before the shuffle,
+    so each pair that shares a term is one row there: the cost grows with the square of a frequent term's texts.
     """
     d = df.where(F.col(id_).isNotNull()).select(F.col(id_), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     words = F.regexp_extract_all("t", F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
@@ -364,19 +363,12 @@ def story_groups(df: DataFrame, threshold: float = 0.45, terms: int = 60_000, id
     v = tf.join(df_, "term").select(id_, "term", "df", ((F.log(F.col("tf").cast("double")) + 1) * F.col("idf")).alias("w"))
     # Documents are arrays of at most their own terms, with length 1, the rarest term first.
     norm = v.groupBy(id_).agg(F.array_sort(F.collect_list(F.struct("df", "term", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    docs = cut_lineage(norm.select(id_, F.transform("v", lambda x: F.struct(x["df"].alias("df"), x["term"].alias("term"), (x["w"] / F.col("norm")).alias("w"))).alias("v")))
-    # Terms are in one order, so what a pair shares lies, but for the rest of one of both, in the leads of both.
-    most_left = threshold / 3
-    lead = F.aggregate("v", F.struct(F.lit(1.0).alias("left"), F.lit(0).alias("k")), lambda s, x: F.when(s["left"] > most_left * most_left, F.struct((s["left"] - x["w"] * x["w"]).alias("left"), (s["k"] + 1).alias("k"))).otherwise(s))
-    led = docs.withColumn("_l", lead)
-    keys = cut_lineage(led.select(id_, F.sqrt(F.greatest("_l.left", F.lit(0.0))).alias("left"), F.explode(F.slice("v", F.lit(1), F.col("_l.k"))).alias("x")).select(id_, "left", "x.term", "x.w"))
-    other = keys.select("term", F.col(id_).alias("_b"), F.col("left").alias("_left"), F.col("w").alias("_w"))
-    shared = keys.join(other, "term").where(F.col(id_) < F.col("_b")).groupBy(F.col(id_).alias("a"), F.col("_b").alias("b")).agg(F.sum(F.col("w") * F.col("_w")).alias("dot"), F.max("left").alias("la"), F.max("_left").alias("lb"))
-    cand = cut_lineage(shared.where(F.col("dot") + F.greatest("la", "lb") >= threshold - 1e-9).select("a", "b"))
-    x = cand.join(docs.withColumnsRenamed({id_: "a", "v": "va"}), "a").join(docs.withColumnsRenamed({id_: "b", "v": "vb"}), "b")
-    as_map = lambda v: F.map_from_entries(F.transform(v, lambda t: F.struct(t["term"].alias("k"), t["w"].alias("v"))))
-    cosine = let(as_map(F.col("vb")), lambda m: F.aggregate("va", F.lit(0.0), lambda s, t: s + t["w"] * F.coalesce(F.try_element_at(m, t["term"]), F.lit(0.0))))
-    edges = cut_lineage(x.where(cosine >= threshold).select("a", "b"))
+    docs = cut_lineage(norm.select(id_, F.transform("v", lambda x: F.struct(F.xxhash64(x["term"]).alias("k"), (x["w"] / F.col("norm")).alias("w"))).alias("v")))
+    # The products over all shared terms, summed per pair in each task before the shuffle.
+    w = cut_lineage(docs.select(id_, F.explode("v").alias("x")).select(id_, F.col("x.k").alias("k"), F.col("x.w").alias("w")))
+    other = w.select("k", F.col(id_).alias("_b"), F.col("w").alias("_w"))
+    pairs_ = w.join(other, "k").where(F.col(id_) < F.col("_b")).groupBy(F.col(id_).alias("a"), F.col("_b").alias("b")).agg(F.sum(F.col("w") * F.col("_w")).alias("dot"))
+    edges = cut_lineage(pairs_.where(F.col("dot") >= threshold).select("a", "b"))
     return components(edges, d, id_)
 
 
