@@ -89,3 +89,15 @@ def test_index_misses_hardly_any_pair():
         same = 256 - sum(bin(p ^ q).count("1") for p, q in zip(x[1], y[1]))
         found += any(p == q for p, q in zip(x[0], y[0])) and same >= cross_split.sketch_floor(0.6)
     assert found >= 398
+
+
+def test_growing_sides_of_joins_are_not_sent_to_the_driver(spark):
+    records = spark.createDataFrame([(i, " ".join(f"w{i * 7 % 5}{j}" for j in range(40)), "train" if i % 2 else "test") for i in range(20)], "record_id bigint, text string, split string")
+    reps = cross_split.index_records(records)
+    pairs = cross_split.candidate_pairs(reps)
+    sets = cross_split.run_sets(records)
+    classes = canonical.classes_of(reps.select("record_id", "plain", "by_fields"))
+    for df in (pairs, cross_split.measured(pairs, sets), classes):
+        df.collect()  # joins may turn into broadcasts as late as that
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -9,7 +9,7 @@ from hashlib import blake2b
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WORD, map_rows, only_ids
+from textloom.llm.common import WORD, join_rows, map_rows, only_ids
 from textloom.llm.components import hash_to_min
 from textloom.session import cut_lineage
 
@@ -112,7 +112,7 @@ def classes_of(digested: DataFrame, *carry: str) -> DataFrame:
     ties = digested.where("by_fields is not null").select(F.concat(F.lit("p"), "plain").alias("a"), F.concat(F.lit("f"), "by_fields").alias("b")).distinct()
     comp = hash_to_min(ties)
     tagged = digested.select("record_id", F.concat(F.lit("p"), "plain").alias("node"), *carry)
-    return tagged.join(comp, "node", "left").select("record_id", F.coalesce("component", "node").alias("class_id"), *carry)
+    return join_rows(tagged, comp, "node", "left").select("record_id", F.coalesce("component", "node").alias("class_id"), *carry)
 
 
 def sorted_form(node):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import join_rows
 from textloom.session import cut_lineage
 
 
@@ -28,7 +29,7 @@ def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int =
         if not last[0]:
             break
         low = state.groupBy("v").agg(F.min("u").alias("m"))
-        sent = state.join(low, "v")
+        sent = join_rows(state, low, "v")
         state = cut_lineage(sent.selectExpr("m as v", "u").union(sent.selectExpr("u as v", "m as u")).distinct())
         now = print_of(state)
         if now == last:

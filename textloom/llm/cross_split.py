@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.canonical import MIN_WORDS, classes_of, digests, folded_words
-from textloom.llm.common import Bounded, key, map_rows, only_ids
+from textloom.llm.common import Bounded, join_rows, key, map_rows, only_ids
 from textloom.session import cut_lineage
 
 RUN, SIMILARITY = 3, 0.6
@@ -106,9 +106,10 @@ def candidate_pairs(reps: DataFrame, similarity: float = SIMILARITY) -> DataFram
     rows = reps.select("record_id", "train", F.posexplode("bands").alias("band", "k")).select((F.shiftleft(F.col("band").cast("bigint"), 32) + F.col("k").cast("bigint")).alias("k"), "record_id", "train")
     e = rows.where("not train").select("k", F.col("record_id").alias("eval_id"))
     t = rows.where("train").select("k", F.col("record_id").alias("train_id"))
-    pairs = e.join(t, "k").select("eval_id", "train_id").distinct()
+    pairs = join_rows(e, t, "k").select("eval_id", "train_id").distinct()
     sk = reps.select("record_id", "n", "sketch")
-    pairs = pairs.join(sk.withColumnsRenamed({"record_id": "eval_id", "n": "eval_n", "sketch": "eval_sketch"}), "eval_id").join(sk.withColumnsRenamed({"record_id": "train_id", "n": "train_n", "sketch": "train_sketch"}), "train_id")
+    pairs = join_rows(pairs, sk.withColumnsRenamed({"record_id": "eval_id", "n": "eval_n", "sketch": "eval_sketch"}), "eval_id")
+    pairs = join_rows(pairs, sk.withColumnsRenamed({"record_id": "train_id", "n": "train_n", "sketch": "train_sketch"}), "train_id")
     pairs = pairs.where(F.least("eval_n", "train_n") >= F.lit(similarity) * F.greatest("eval_n", "train_n"))
 
     def alike(batches):
@@ -137,8 +138,8 @@ def run_sets(records: DataFrame) -> DataFrame:
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Similarity of the pairs' sets, and the evaluation record's containment in its partner."""
-    x = pairs.join(sets.withColumnsRenamed({"record_id": "eval_id", "runs": "eval_runs"}), "eval_id")
-    x = x.join(sets.withColumnsRenamed({"record_id": "train_id", "runs": "train_runs"}), "train_id").select("eval_id", "train_id", "eval_runs", "train_runs")
+    x = join_rows(pairs, sets.withColumnsRenamed({"record_id": "eval_id", "runs": "eval_runs"}), "eval_id")
+    x = join_rows(x, sets.withColumnsRenamed({"record_id": "train_id", "runs": "train_runs"}), "train_id").select("eval_id", "train_id", "eval_runs", "train_runs")
 
     def make():
         def work(es, ts, xs, ys):
@@ -170,17 +171,18 @@ def cross_split_pairs(records: DataFrame, similarity: float = SIMILARITY, min_wo
     # A record delivered twice is there twice, which the last aggregation mends at the least cost.
     members = index.select("record_id", "train", "runs")
     low = members.groupBy("runs", "train").agg(F.min("record_id").alias("rep"), F.count("*").alias("copies"))
-    others = members.join(low.where("copies > 1"), ["runs", "train"]).where("record_id <> rep").select("record_id")
+    others = join_rows(members, low.where("copies > 1"), ["runs", "train"]).where("record_id <> rep").select("record_id")
     reps = only_ids(index, others, "record_id", "left_anti")
     pairs = cut_lineage(candidate_pairs(reps, similarity))
     wanted = pairs.select(F.col("eval_id").alias("record_id")).union(pairs.select("train_id"))
     texts = only_ids(records.select("record_id", "text").where("text is not null"), wanted, "record_id", "left_semi")
     near = measured(pairs.distinct(), run_sets(texts).dropDuplicates(["record_id"])).where(F.col("similarity") >= similarity)
-    of_rep = members.join(low, ["runs", "train"]).select("record_id", "rep")
-    near = near.join(of_rep.withColumnsRenamed({"rep": "eval_id", "record_id": "eval_record"}), "eval_id").join(of_rep.withColumnsRenamed({"rep": "train_id", "record_id": "train_record"}), "train_id")
+    of_rep = join_rows(members, low, ["runs", "train"]).select("record_id", "rep")
+    near = join_rows(near, of_rep.withColumnsRenamed({"rep": "eval_id", "record_id": "eval_record"}), "eval_id")
+    near = join_rows(near, of_rep.withColumnsRenamed({"rep": "train_id", "record_id": "train_record"}), "train_id")
     near = near.select(F.col("eval_record").alias("eval_id"), F.col("train_record").alias("train_id"), "similarity", "containment")
     c = classes_of(index.select("record_id", "train", "plain", "by_fields"), "train")
-    same = c.where("not train").select("class_id", F.col("record_id").alias("eval_id")).join(c.where("train").select("class_id", F.col("record_id").alias("train_id")), "class_id")
+    same = join_rows(c.where("not train").select("class_id", F.col("record_id").alias("eval_id")), c.where("train").select("class_id", F.col("record_id").alias("train_id")), "class_id")
     none = F.lit(None).cast("double")
     return near.union(same.select("eval_id", "train_id", none, none)).groupBy("eval_id", "train_id").agg(F.max("similarity").alias("similarity"), F.max("containment").alias("containment"))
 
@@ -190,4 +192,4 @@ def overlap_report(records: DataFrame, similarity: float = SIMILARITY) -> DataFr
     hit = cross_split_pairs(records, similarity).groupBy(F.col("eval_id").alias("record_id")).agg(F.count("*").alias("partners"), F.max("containment").alias("containment"))
     s = key("split")
     r = records.select("record_id", s.alias("split"), "family").where(s.isin("development", "calibration", "test")).dropDuplicates(["record_id"])
-    return r.join(hit, "record_id", "left").groupBy("split", "family").agg(F.count("*").alias("records"), F.count("partners").alias("overlapping"), F.coalesce(F.sum("partners"), F.lit(0)).alias("pairs"), F.max("containment").alias("most_contained"))
+    return join_rows(r, hit, "record_id", "left").groupBy("split", "family").agg(F.count("*").alias("records"), F.count("partners").alias("overlapping"), F.coalesce(F.sum("partners"), F.lit(0)).alias("pairs"), F.max("containment").alias("most_contained"))
